@@ -74,6 +74,22 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets[:-1])
         self.counts = np.diff(np.append(self.first, len(self.start)))
 
+    def split(self, at: np.ndarray) -> None:
+        """Words also end and begin at these bytes, all of which stand inside a word or at its start."""
+        edges = np.zeros(len(self.data) + 1, bool)
+        edges[self.start] = True
+        edges[at] = True
+        begin = np.flatnonzero(edges)
+        edges[self.end] = True
+        stops = np.flatnonzero(edges)
+        nxt = np.searchsorted(stops, begin, side="right")
+        self.start, self.end = begin, stops[nxt]
+        self.first = np.searchsorted(self.start, self.offsets[:-1])
+        self.counts = np.diff(np.append(self.first, len(self.start)))
+
+    def lower(self) -> None:
+        self.data = _LOWER[self.data]
+
     @property
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
