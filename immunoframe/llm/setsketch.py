@@ -5,12 +5,16 @@
 2. Each class gets a SetSketch: by register, the smallest of exponentially distributed element values,
    truncated to the exponentially spaced levels ``floor(1 - log_b(x))``. Registers merge by their maximum and
    two sets agree in a register with about their Jaccard similarity.
-3. Bands of register values give buckets. A bucket is not expanded to pairs: its members are compared with
-   one centre (a star). The joint likelihood of two sketches bounds their similarity from both sides, and only
-   pairs that may reach the threshold are verified, on their full sets.
-4. Links become components. In a bucket that still holds several components, only members that the triangle
-   inequality of the Jaccard distance cannot separate stay, and the next star begins; buckets of at most
-   ``SMALL`` members are finished pairwise. Rounds end when no bucket holds an unsettled pair, so nothing
+3. Bands of register values give buckets. Buckets of at most ``SMALL`` members are compared pairwise. The
+   joint likelihood of two sketches bounds their similarity from both sides, and only pairs that may reach
+   the threshold are verified, on their full sets. Links become components.
+4. Larger buckets are not expanded. For their members the exact prefix filter finds the pairs: of two similar
+   sets, the larger one's ``n - ceil(t n) + 1`` rarest shingles meet the smaller one's
+   ``n - ceil(2 t n / (1 + t)) + 1`` rarest. Where many sets share one of their rarest shingles, all are
+   compared with one centre (a star), the set with the most common shingles, as it is likely to be what the
+   others were copied from. Then members stay that are of another component, or that the triangle inequality
+   of the Jaccard distance cannot separate from one, and more stars follow, of several centres. A member whose rarer shingles
+   alone rule out every partner in the bucket leaves it. Rounds end when no unsettled pair is left, so nothing
    is capped.
 
 The one chance of losing a link is that two similar sets share no bucket (1e-6 at the threshold with the
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -108,7 +112,7 @@ def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = batch.slice(at, 4096)
             k1, k2 = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("sketch_a", "sketch_c"))
             lo, _, hi = similarity_bounds(k1, k2, *(b.column(c).to_numpy().astype(float) for c in ("n_a", "n_c")))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("c"), pa.array(lo), pa.array(hi)], ["a", "c", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "c", "n_a", "n_c")), pa.array(lo), pa.array(hi)], ["a", "c", "n_a", "n_c", "lo", "hi"])
 
 
 def _verify(k: int, percent: int):
@@ -125,13 +129,147 @@ def _verify(k: int, percent: int):
                         centre, own = cs[i], s
                     elif centre == cs[i]:
                         both = len(np.intersect1d(own, s, assume_unique=True))
-                        if 100 * both >= percent * (len(own) + len(s) - both):
-                            got.append((xs[i], cs[i]))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.binary()), pa.array([c for _, c in got], pa.binary())], ["a", "b"])
+                        union = len(own) + len(s) - both
+                        got.append((xs[i], cs[i], both / union, 100 * both >= percent * union))
+                columns = zip(*got, strict=True) if got else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.float64(), pa.bool_()), strict=True)], ["a", "c", "j", "linked"])
 
     return run
 
 
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, keys = batch.column("text"), batch.column("key").to_pylist()
+            for a, b in slices(text):
+                kept = [(keys[i], s) for i, s in zip(range(a, b), shingle_sets(text.slice(a, b - a), k), strict=True) if set_key(s) == keys[i]]
+                if kept:
+                    of = np.repeat(np.arange(len(kept)), [len(s) for _, s in kept])
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.binary()).take(pa.array(of)), pa.array(np.concatenate([s for _, s in kept]).view(np.int64))], ["key", "shingle"])
+
+    return run
+
+
+class _Join:
+    """The classes, what is known of their pairs so far (``bounds``, ``links``), and the components."""
+
+    def __init__(self, scratch: Scratch, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> None:
+        self.scratch, self.docs, self.classes, self.k, self.percent = scratch, docs, classes, k, percent
+        self.bounds: DataFrame | None = None
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def named(self, of: str, *columns: str) -> DataFrame:
+        return self.classes.select(F.col("key").alias(of), *(F.col(c).alias(f"{c}_{of}") for c in columns))
+
+    def texts(self, wanted: DataFrame, of: str) -> DataFrame:
+        """``wanted`` with the text of each class named in its column ``of``."""
+        ids = self.scratch.cut(wanted.join(self.classes.select(F.col("key").alias(of), "doc_id"), of))
+        return ids.join(self.docs, "doc_id")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Bounds, verifies and links pairs ``a``, ``c`` that may repeat; known pairs and pairs of one component are left out."""
+        cut, percent = self.scratch.cut, self.percent
+        pairs = pairs.select(F.greatest("a", "c").alias("a"), F.least("a", "c").alias("c")).where("a != c").distinct()
+        if self.bounds is not None:
+            pairs = pairs.join(self.bounds.select("a", "c"), ["a", "c"], "left_anti")
+        pairs = cut(pairs)
+        half = cut(pairs.join(self.named("a", "n", "sketch"), "a"))
+        fits = f"100 * least(n_a, n_c) >= {percent} * greatest(n_a, n_c)"
+        bounds = cut(half.join(self.named("c", "n", "sketch"), "c").mapInArrow(_bounds, "a binary, c binary, n_a long, n_c long, lo double, hi double"))
+        self.scratch.drop(half, pairs)
+        hopeful = bounds.where(f"hi >= {percent / 100} and {fits}").select("a", "c")
+        if self.labels is not None:
+            for x in "ac":
+                hopeful = hopeful.join(self.labels.select(F.col("node").alias(x), F.col("root").alias("root_" + x)), x, "left")
+            hopeful = hopeful.where("root_a is null or root_c is null or root_a != root_c").select("a", "c")
+        hopeful = cut(hopeful)
+        salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt")
+        wanted = hopeful.select(F.col("a").alias("x"), "c", salt, F.lit(True).alias("member"))
+        wanted = wanted.unionByName(hopeful.select(F.col("c").alias("x"), "c", salt, F.lit(False).alias("member")).distinct())
+        texts = self.texts(wanted, "x").select("x", "c", "salt", "member", "text")
+        ordered = texts.repartition("c", "salt").sortWithinPartitions("c", "salt", "member")
+        exact = cut(ordered.mapInArrow(_verify(self.k, percent), "a binary, c binary, j double, linked boolean").dropDuplicates(["a", "c"]))
+        bounds = bounds.join(exact.select("a", "c", "j"), ["a", "c"], "left").select("a", "c", F.coalesce("j", "lo").alias("lo"), F.coalesce("j", "hi").alias("hi"))
+        found = exact.where("linked").select("a", F.col("c").alias("b"))
+        self.bounds = cut(bounds if self.bounds is None else self.bounds.unionByName(bounds))
+        self.links = cut(found if self.links is None else self.links.unionByName(found))
+        self.labels = connected_components(self.scratch, self.links)
+
+    def apart(self, members: DataFrame, of: str) -> DataFrame:
+        """``members`` with ``apart``: whether ``key`` and the class in column ``of`` are in different components."""
+        root = self.labels.select(F.col("node").alias("key"), "root")
+        placed = members.drop("apart").join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        placed = placed.join(root.select(F.col("key").alias(of), F.col("root").alias("top")), of, "left")
+        return placed.withColumn("apart", F.col("root") != F.coalesce("top", of)).drop("root", "top")
+
+    def unsettled(self, star: DataFrame) -> DataFrame:
+        """Of buckets whose members have all been compared with ``c``, those members that may still have a link to another component."""
+        placed = self.apart(star.where("key != c"), "c")
+        known = self.bounds.select(F.col("a").alias("x"), F.col("c").alias("y"), "lo", "hi")
+        placed = placed.withColumn("x", F.greatest("key", "c")).withColumn("y", F.least("key", "c")).join(known, ["x", "y"], "left")
+        placed = placed.withColumn("lo", F.coalesce("lo", F.lit(0.0))).withColumn("hi", F.coalesce("hi", F.lit(1.0))).drop("x", "y")
+        placed = self.scratch.cut(placed.withColumnRenamed("c", "main"))
+        far = self.scratch.cut(placed.where("apart").groupBy("bucket").agg(F.max("hi").alias("top_hi")))
+        return placed.join(far, "bucket").where(f"apart or lo - top_hi <= {1 - self.percent / 100}").drop("lo", "hi", "top_hi")
+
+    def by_bands(self) -> tuple[DataFrame, DataFrame]:
+        """The pairs within small buckets of equal bands, and the members of large buckets."""
+        width = 2 * ROWS
+        bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("sketch", j * width + 1, F.lit(width)))))
+        members = self.classes.select("key", bands.alias("bucket"))
+        sizes = self.scratch.cut(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+        shared = self.scratch.cut(members.join(sizes, "bucket"))
+        few, many = shared.where(f"size <= {SMALL}"), shared.where(f"size > {SMALL}")
+        pairs = few.select(F.col("key").alias("a"), "bucket").join(few.select("bucket", F.col("key").alias("c")), "bucket").where("c < a").select("a", "c")
+        return pairs, self.scratch.cut(many.select("key").distinct())
+
+    def by_prefixes(self, keys: DataFrame, extra: DataFrame | None = None) -> None:
+        """Compares all pairs of these classes that can be similar, and first also the pairs ``extra``."""
+        cut, p = self.scratch.cut, self.percent
+        shingles = cut(self.texts(keys, "key").select("key", "text").mapInArrow(_sets(self.k), "key binary, shingle long").distinct())
+        df = cut(shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
+        ranked = shingles.join(df, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+        ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("df", "shingle"))).where("df > 1")
+        own = Window.partitionBy("key")
+        sized = ranked.withColumn("score", F.avg(F.log2("df")).over(own)).withColumn("n", F.count("*").over(own)).where("df > 1")
+        probe = sized.where(f"at <= n - (({p} * n + 99) div 100) + 1").withColumn("index", F.expr(f"at <= n - ((2 * {p} * n + {99 + p}) div {100 + p}) + 1"))
+        active = cut(probe.select(F.col("shingle").alias("bucket"), "key", "n", "at", "index", "score", F.lit(True).alias("apart")))
+        first = True
+        while True:
+            # With its first common shingle at ``at`` a set shares at most n - at + 1; the least partner that is left asks for more of some.
+            least = active.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("size")).where("size > 1").select("bucket", "least")
+            partner = f"greatest(least, ({p} * n + 99) div 100)"
+            alive = cut(active.join(cut(least), "bucket").where(f"{100 + p} * (n - at + 1) >= {p} * (n + {partner})").drop("least"))
+            of = F.when(F.col("index") & F.col("apart"), F.struct("score", "key"))
+            counts = (F.count_if("index").alias("indexed"), F.count_if("apart").alias("outside"), F.max(of).alias("top"))
+            sizes = cut(alive.groupBy("bucket").agg(F.count("*").alias("size"), *counts).where("size > 1 and indexed > 0 and outside > 0"))
+            # Few on one side: every pair of two components, in proportion to the other side.
+            few = alive.join(sizes.where(f"top is null or indexed <= {SMALL} or outside <= {SMALL}").select("bucket"), "bucket")
+            many = sizes.where(f"top is not null and indexed > {SMALL} and outside > {SMALL}")
+            if first:
+                star = cut(alive.join(many.select("bucket", F.col("top.key").alias("c")), "bucket"))
+            else:  # up to SMALL centres in each bucket
+                outside = alive.where("apart").join(many.select("bucket"), "bucket").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(SMALL)))
+                centres = cut(outside.groupBy("bucket", "part").agg(F.max(F.struct("score", "key")).alias("top")).select("bucket", F.col("top.key").alias("c")))
+                star = cut(alive.join(centres, "bucket"))
+            left = few.select("bucket", "apart", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+            right = few.where("index").select("bucket", F.col("apart").alias("apart_c"), F.col("key").alias("c"), F.col("n").alias("n_c"), F.col("at").alias("at_c"))
+            fits = f"a != c and n_c <= n_a and 100 * n_c >= {p} * n_a and {100 + p} * (1 + least(n_a - at_a, n_c - at_c)) >= {p} * (n_a + n_c)"
+            pairs = left.where("apart").join(right, "bucket").where(fits).select("a", "c")
+            pairs = pairs.unionByName(left.where("not apart").join(right.where("apart_c"), "bucket").where(fits).select("a", "c"))
+            pairs = pairs.unionByName(star.select(F.col("key").alias("a"), "c"))
+            self.compare(pairs if extra is None else pairs.unionByName(extra))
+            if star.isEmpty():
+                return
+            if first:
+                active = self.unsettled(star)
+            else:
+                done = centres.select("bucket", F.col("c").alias("key"))
+                active = self.apart(alive.join(many.select("bucket"), "bucket").join(done, ["bucket", "key"], "left_anti"), "main")
+            active, extra, first = cut(active), None, False
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``.
 
@@ -147,55 +285,17 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, text: str
     classes = scratch.cut(
         table.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("m")).select("key", "m.*")
     )
-    width = 2 * ROWS
-    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("sketch", j * width + 1, F.lit(width)))))
-    members = classes.select("key", bands.alias("bucket"))
-    shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
-    active = scratch.cut(members.join(shared, "bucket"))
-    links, settled = None, None
-    while not active.isEmpty():
-        head = scratch.cut(active.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("c")))
-        # Small buckets are finished pairwise; the others get one star.
-        few = scratch.cut(active.join(head.where(f"size <= {SMALL}").select("bucket"), "bucket"))
-        star = scratch.cut(active.join(head.where(f"size > {SMALL}").select("bucket", "c"), "bucket"))
-        pairs = few.join(few.select("bucket", F.col("key").alias("c")), "bucket").where("c < key").select(F.col("key").alias("a"), "c")
-        pairs = pairs.unionByName(star.where("key != c").select(F.col("key").alias("a"), "c")).distinct()
-        if settled is not None:
-            pairs = pairs.join(settled.select("a", "c"), ["a", "c"], "left_anti")
-        pairs = scratch.cut(pairs)
-        half = scratch.cut(pairs.join(classes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a"))
-        whole = half.join(classes.select(F.col("key").alias("c"), F.col("n").alias("n_c"), F.col("sketch").alias("sketch_c")), "c")
-        bounds = scratch.cut(whole.mapInArrow(_bounds, "a binary, c binary, lo double, hi double"))
-        scratch.drop(half, pairs)
-        settled = bounds if settled is None else scratch.cut(settled.unionByName(bounds))
-        sizes = [classes.select(F.col("key").alias(x), F.col("n").alias("n_" + x)) for x in "ac"]
-        hopeful = bounds.where(f"hi >= {percent / 100}").join(sizes[0], "a").select("a", "c", "n_a")
-        hopeful = scratch.cut(hopeful.join(sizes[1], "c").where(f"100 * least(n_a, n_c) >= {percent} * greatest(n_a, n_c)").select("a", "c"))
-        salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt")
-        wanted = hopeful.select(F.col("a").alias("x"), "c", salt, F.lit(True).alias("member"))
-        wanted = wanted.unionByName(hopeful.select(F.col("c").alias("x"), "c", salt, F.lit(False).alias("member")).distinct())
-        wanted = scratch.cut(wanted.join(classes.select(F.col("key").alias("x"), "doc_id"), "x"))
-        texts = wanted.join(docs, "doc_id").select("x", "c", "salt", "member", "text")
-        found = texts.repartition("c", "salt").sortWithinPartitions("c", "salt", "member").mapInArrow(_verify(k, percent), "a binary, b binary")
-        found = scratch.cut(found.distinct())
-        links = found if links is None else scratch.cut(links.unionByName(found))
-        labels = connected_components(scratch, links)
-        if star.isEmpty():
-            break
-        # What stays: members of another component than the centre's, and those that are not provably too far from them.
-        root = labels.select(F.col("node").alias("key"), "root")
-        placed = star.join(root, "key", "left").select("bucket", "key", "c", F.coalesce("root", "key").alias("root"))
-        placed = placed.join(root.select(F.col("key").alias("c"), F.col("root").alias("top")), "c", "left").select("bucket", "key", "c", (F.col("root") != F.coalesce("top", "c")).alias("apart"))
-        placed = placed.join(settled.select(F.col("a").alias("key"), "c", "lo", "hi"), ["key", "c"], "left")
-        placed = scratch.cut(placed.where("key != c").select("bucket", "key", "apart", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi")))
-        far = scratch.cut(placed.where("apart").groupBy("bucket").agg(F.max("hi").alias("top_hi")))
-        active = scratch.cut(placed.join(far, "bucket").where(f"apart or lo - top_hi <= {1 - percent / 100}").select("key", "bucket"))
+    join = _Join(scratch, docs, classes, k, percent)
+    pairs, many = join.by_bands()
+    if many.isEmpty():
+        join.compare(pairs)
+    else:
+        join.by_prefixes(many, pairs)
     named = table.select("doc_id", "n", "key")
     reps = classes.select("key", F.col("doc_id").alias("rep"))
-    if links is not None:
-        rooted = scratch.cut(reps.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root")))
-        least = scratch.cut(rooted.groupBy("root").agg(F.min("rep").alias("least")))
-        reps = scratch.cut(rooted.join(least, "root").select("key", F.col("least").alias("rep")))
+    rooted = scratch.cut(reps.join(join.labels.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root")))
+    least = scratch.cut(rooted.groupBy("root").agg(F.min("rep").alias("least")))
+    reps = scratch.cut(rooted.join(least, "root").select("key", F.col("least").alias("rep")))
     out = named.join(reps, "key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
