@@ -4,7 +4,7 @@
    cannot give is shared again by weight among the others.
 2. Each source is cut into ``BLOCKS`` blocks, dealt by hash. Whole readings take all blocks; the rest of the
    target takes blocks in the order of a random permutation, and of the last block documents in such an order.
-   Documents of more than 1 / ``COARSE`` of that rest are in blocks of their own, which come last.
+   Then up to ``FIXES`` documents, each of about the size that a source is short of or over, are added or left out.
 3. The blocks to be read (by source, as exact numbers) are split among the output shards down a binary tree.
    At each node the numbers that go left are drawn from the multivariate hypergeometric distribution, as a
    chain of urn draws without replacement. Each shard then gets the next blocks of every source's permutation,
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 BLOCKS = 1024
-#: A document is large if so many of them exceed what a source still has to give.
-COARSE = 50
+#: Documents of each source that are exchanged at most to come nearer to its target.
+FIXES = 3
 #: Levels of the tree: 2 ** LEVELS output shards.
 LEVELS = 6
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -106,15 +106,12 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     )
     rows = rows.withColumn("source_id", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))).withColumn("block", F.pmod("mark", F.lit(BLOCKS)).cast("int"))
     rows = scratch.cut(rows)
-    aims = scratch.cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, most=most))
+    blocks = scratch.cut(rows.groupBy("source_id", "source", "block").agg(F.sum("size").alias("words")))
+    aims = scratch.cut(targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights=weights, most=most))
     aims = aims.withColumn("source_id", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))).drop("source")
     aims = aims.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.expr("target / source_size + 1e-12"))).otherwise(0))
     aims = scratch.cut(aims.withColumn("rest", F.greatest(F.lit(0.0), F.expr("target - whole * source_size"))))
-    # Documents that are large beside the rest come after all others in their source's permutation.
-    late = (F.col("size") * COARSE > F.col("rest")).cast("int") * BLOCKS
-    rows = scratch.cut(rows.join(aims.select("source_id", "rest"), "source_id").withColumn("block", F.col("block") + late).drop("rest"))
-    blocks = rows.groupBy("source_id", "block").agg(F.sum("size").alias("words"))
-    permuted = Window.partitionBy("source_id").orderBy(F.col("block") >= BLOCKS, F.xxhash64(F.lit(seed + 1), "source_id", "block"), "block")
+    permuted = Window.partitionBy("source_id").orderBy(F.xxhash64(F.lit(seed + 1), "source_id", "block"), "block")
     placed = blocks.withColumn("before", F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = scratch.cut(placed.join(aims, "source_id").select("source_id", "block", "before", "words", "source_size", "target", "whole", "rest"))
     # The units that the shards share: every block in each whole reading, and those that the rest begins.
@@ -126,10 +123,25 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     shard = F.size(F.filter("ends", lambda e: e < F.col("rank")))
     homes = units.join(ends, "source_id").groupBy("source_id", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("pass", shard.alias("shard")))), lambda x: x["shard"]).alias("homes"))
     plan = scratch.cut(placed.join(homes, ["source_id", "block"], "left"))
-    within = Window.partitionBy("source_id", "block").orderBy("mark", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("earlier", F.coalesce(F.sum("size").over(within), F.lit(0))).join(plan, ["source_id", "block"])
-    extra = F.expr("before + earlier + size / 2D <= rest and before < rest").cast("int")
-    out = out.withColumn("copies", (F.col("whole").cast("int") + extra)).withColumn("shards", F.slice(F.coalesce("homes", F.array().cast("array<int>")), F.lit(1), F.col("copies")))
+    within = Window.partitionBy("source_id", "block").orderBy("mark", "doc_id")
+    earlier = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = rows.withColumn("earlier", earlier).withColumn("nth", F.row_number().over(within)).join(plan, ["source_id", "block"])
+    out = scratch.cut(out.withColumn("extra", F.expr("before + earlier + size / 2D <= rest and before < rest").cast("int")).drop("before", "earlier", "words"))
+    at = ["source_id", "block", "nth"]
+    fixed = None
+    for _ in range(FIXES):
+        now = out.select(*at, "size", "extra", "whole", "rest")
+        if fixed is not None:
+            now = now.join(fixed, at, "left").withColumn("extra", F.coalesce("put", "extra")).drop("put")
+        short = now.groupBy("source_id").agg((F.max("rest") - F.sum(F.col("size") * F.col("extra"))).alias("short"))
+        able = now.join(short, "source_id").where(f"size > 0 and (short > 0 and extra = 0 and whole < {most} or short < 0 and extra = 1) and abs(abs(short) - size) < abs(short)")
+        best = able.groupBy("source_id").agg(F.min(F.struct(F.abs(F.abs("short") - F.col("size")).alias("off"), "block", "nth", "extra")).alias("b"))
+        best = best.select("source_id", "b.block", "b.nth", (1 - F.col("b.extra")).alias("put"))
+        fixed = scratch.cut(best if fixed is None else best.unionByName(fixed.join(best, at, "left_anti")))
+    out = out.join(fixed, at, "left").withColumn("copies", F.col("whole").cast("int") + F.coalesce("put", "extra"))
+    # A document that was added needs a home beyond those of its block.
+    spare = F.array(F.pmod(F.col("mark"), F.lit(1 << LEVELS)).cast("int"))
+    out = out.withColumn("shards", F.slice(F.concat(F.coalesce("homes", F.array().cast("array<int>")), spare), F.lit(1), F.col("copies")))
     names = ["size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "shards"]
     return out.select(*(["given.*"] if with_rows else ["doc_id"]), *names, *(["mark"] if with_rows else []))
 
