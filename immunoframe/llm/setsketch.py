@@ -18,7 +18,7 @@
    is capped.
 
 The one chance of losing a link is that two similar sets share no bucket (1e-6 at the threshold with the
-default bands) or that the likelihood bound is wrong (about 1e-7).
+default bands) or that the likelihood bound is wrong (about 1e-5 at the threshold).
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ BASE, RATE, LEVELS = 1.001, 20.0, 65534
 SMALL = 24
 #: Tasks that share the members of one centre.
 SALTS = 64
-#: Log-likelihood below the maximum at which a similarity counts as excluded (5.3 standard deviations).
-DOUBT = 14.0
+#: Log-likelihood below the maximum at which a similarity counts as excluded (4.2 standard deviations).
+DOUBT = 9.0
 
 _PICK = np.random.default_rng(20240229)
 _MUL = (_PICK.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -156,16 +156,21 @@ class _Join:
     def __init__(self, scratch: Scratch, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> None:
         self.scratch, self.docs, self.classes, self.k, self.percent = scratch, docs, classes, k, percent
         self.bounds: DataFrame | None = None
+        self.candidates: DataFrame | None = None
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def named(self, of: str, *columns: str) -> DataFrame:
         return self.classes.select(F.col("key").alias(of), *(F.col(c).alias(f"{c}_{of}") for c in columns))
 
+    def read_candidates(self, keys: DataFrame) -> None:
+        """Fetches the texts of classes that may have partners, once; all later joins are with these."""
+        ids = self.classes.join(keys, "key", "left_semi").select("key", "doc_id")
+        self.candidates = self.scratch.cut(self.docs.join(ids.hint("merge"), "doc_id").select("key", "text"))
+
     def texts(self, wanted: DataFrame, of: str) -> DataFrame:
         """``wanted`` with the text of each class named in its column ``of``."""
-        ids = self.scratch.cut(wanted.join(self.classes.select(F.col("key").alias(of), "doc_id"), of))
-        return ids.join(self.docs, "doc_id")
+        return wanted.join(self.candidates.withColumnRenamed("key", of).hint("merge"), of)
 
     def compare(self, pairs: DataFrame) -> None:
         """Bounds, verifies and links pairs ``a``, ``c`` that may repeat; known pairs and pairs of one component are left out."""
@@ -193,8 +198,9 @@ class _Join:
         bounds = bounds.join(exact.select("a", "c", "j"), ["a", "c"], "left").select("a", "c", F.coalesce("j", "lo").alias("lo"), F.coalesce("j", "hi").alias("hi"))
         found = exact.where("linked").select("a", F.col("c").alias("b"))
         self.bounds = cut(bounds if self.bounds is None else self.bounds.unionByName(bounds))
-        self.links = cut(found if self.links is None else self.links.unionByName(found))
-        self.labels = connected_components(self.scratch, self.links)
+        if self.labels is None or not found.isEmpty():
+            self.links = cut(found if self.links is None else self.links.unionByName(found))
+            self.labels = connected_components(self.scratch, self.links)
 
     def apart(self, members: DataFrame, of: str) -> DataFrame:
         """``members`` with ``apart``: whether ``key`` and the class in column ``of`` are in different components."""
@@ -220,6 +226,7 @@ class _Join:
         members = self.classes.select("key", bands.alias("bucket"))
         sizes = self.scratch.cut(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
         shared = self.scratch.cut(members.join(sizes, "bucket"))
+        self.read_candidates(shared.select("key").distinct())
         few, many = shared.where(f"size <= {SMALL}"), shared.where(f"size > {SMALL}")
         pairs = few.select(F.col("key").alias("a"), "bucket").join(few.select("bucket", F.col("key").alias("c")), "bucket").where("c < a").select("a", "c")
         return pairs, self.scratch.cut(many.select("key").distinct())
