@@ -6,18 +6,45 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .html_crf import extract
+from .licenses import license_scan
+from .mih import nearest
 from .mixing import mix
 from .packing import pack
 from .quality_lines import quality_rules
+from .secret_forest import scan
 from .setsketch import near_duplicates
 from .sharding import shard
+from .url_templates import url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", F.col("word").cast("long").alias("word"), F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("digest"), F.round("score", 6).alias("score"), "secret")
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +65,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_sampled_splitters, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_license_scan, op4_secret_scan, op5_nearest_neighbours, op6_sampled_splitters, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
