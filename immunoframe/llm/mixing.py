@@ -93,7 +93,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     """``doc_id, size, source_size, target, taken, copies, shards`` for every row of ``docs``.
 
     ``size`` counts words (null text: 0); ``taken`` is ``copies * size``; ``shards`` has the output shard of each copy.
-    ``with_rows`` keeps the columns of ``docs`` instead of ``doc_id``. A null source is a source of its own, the
+    ``with_rows`` gives the row of ``docs`` as a struct ``given`` instead of ``doc_id``. A null source is a source of its own, the
     last one. Documents without words are read with their blocks and take nothing. Repeated rows and ties are
     ordered by hashes of id and text, rows equal in both being interchangeable; so reruns agree. No rows give
     no rows.
@@ -143,13 +143,13 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     spare = F.array(F.pmod(F.col("mark"), F.lit(1 << LEVELS)).cast("int"))
     out = out.withColumn("shards", F.slice(F.concat(F.coalesce("homes", F.array().cast("array<int>")), spare), F.lit(1), F.col("copies")))
     names = ["size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "shards"]
-    return out.select(*(["given.*"] if with_rows else ["doc_id"]), *names, *(["mark"] if with_rows else []))
+    return out.select(*(["given", "mark"] if with_rows else ["doc_id"]), *names)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every copy as a row with the columns of ``docs``, sorted at random within its shard."""
     taken = mix(docs, with_rows=True, **options)
-    copies = taken.select(*docs.columns, "mark", F.posexplode("shards").alias("copy", "shard"))
+    copies = taken.select("given", "mark", F.posexplode("shards").alias("copy", "shard"))
     key = F.xxhash64("mark", "copy", F.lit(11))
     parts = F.pmod(F.col("mark"), F.lit(16))  # parts of a shard: tasks don't grow with it
-    return copies.withColumn("key", key).repartition("shard", parts).sortWithinPartitions("shard", "key").select(*docs.columns)
+    return copies.withColumn("key", key).repartition("shard", parts).sortWithinPartitions("shard", "key").select("given.*")
