@@ -237,7 +237,7 @@ class _Join:
         shingles = cut(self.texts(keys, "key").select("key", "text").mapInArrow(_sets(self.k), "key binary, shingle long").distinct())
         df = cut(shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
         ranked = shingles.join(df, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-        ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("df", "shingle"))).where("df > 1")
+        ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("df", "shingle")))
         own = Window.partitionBy("key")
         sized = ranked.withColumn("score", F.avg(F.log2("df")).over(own)).withColumn("n", F.count("*").over(own)).where("df > 1")
         probe = sized.where(f"at <= n - (({p} * n + 99) div 100) + 1").withColumn("index", F.expr(f"at <= n - ((2 * {p} * n + {99 + p}) div {100 + p}) + 1"))
