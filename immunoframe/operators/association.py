@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.clonotype import SAMPLE, strip_allele, to_bool
@@ -70,7 +71,7 @@ def _log_pmf(a: np.ndarray, n: int, pos: int, present: int, table: np.ndarray) -
 def fisher_p(a: Column, b: Column, c: Column, d: Column, alternative: str = "greater") -> Column:
     """Exact p of 2 x 2 tables: tails of the hypergeometric distribution; ``two-sided`` doubles the smaller one, ``minlike`` sums what is no likelier."""
 
-    @pandas_udf("double")
+    @pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         t = pd.DataFrame({"a": a, "b": b, "c": c, "d": d}).astype("int64")
         table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(t.sum(axis=1).max()) + 1)))]) if len(t) else np.zeros(1)
@@ -95,7 +96,7 @@ def fisher_p(a: Column, b: Column, c: Column, d: Column, alternative: str = "gre
     return run(a, b, c, d)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def chi2_sf1(stat: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution with one degree of freedom."""
     return stat.map(lambda x: math.erfc(math.sqrt(x / 2)))

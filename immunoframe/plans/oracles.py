@@ -1,3 +1,110 @@
 """DuckDB SQL for the registered queries."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from ..operators.features import HYDROPATHY
+from .adapter import oracle
+
+STRIP = r"array_to_string(list_sort(list_distinct(list_transform(string_split({c}, ','), lambda x: regexp_replace(trim(x), '\*.*$', '')))), ',')"
+V, J, CC = (STRIP.format(c=c) for c in ("v_call", "j_call", "c_call"))
+RF = "round(cast(duplicate_count as double) / sum(duplicate_count) over (partition by sample_id), 6) as frequency"
+ROWS = f"select sample_id, ord, duplicate_count, {RF} from"
+RAW = "select sample_id, ord, duplicate_count, round(frequency, 6) as frequency from"
+W = "cast(sum(duplicate_count) as bigint) as weight"
+KMER = "unnest(list_transform(range(1, length({c}) - {k} + 2), lambda i: substr({c}, cast(i as int), {k})))"
+AGG = "agg as (select sample_id, {k}, sum(duplicate_count) as count from clonotypes group by all), per as (select *, count / sum(count) over (partition by sample_id) as freq from agg)"
+SPEC = "sp as (select sample_id, duplicate_count as c, count(*) as m from clonotypes group by all)"
+YES = "('+', '1', 'true', 't', 'yes', 'y', 'pos', 'positive', 'case')"
+DESIGN = "design as (select sample_id, batch, cmv = '+' as positive from samples where cmv is not null)"
+FEAT = "feat as (select distinct sample_id, junction_aa from clonotypes where not regexp_matches(junction_aa, '[*_]'))"
+LF = "lgamma({} + 1)"
+_lf = LF.format
+PMF = f"exp({_lf('a + c')} - {_lf('k')} - {_lf('a + c - k')} + {_lf('b + d')} - {_lf('a + b - k')} - {_lf('d - a + k')} - {_lf('a + b + c + d')} + {_lf('a + b')} + {_lf('c + d')})"
+LIGHT = "r as (select *, case when locus in ('TRB', 'TRD', 'IGH') then 'heavy' else 'light' end as role from cells), " \
+    "k as (select *, row_number() over w as rn, first_value(duplicate_count) over w as d1, first_value(umi_count) over w as u1 from r window w as (partition by cell_id, role order by duplicate_count desc, umi_count desc, ord)), " \
+    "res as (select * from k where rn = 1 or (role = 'light' and rn = 2 and duplicate_count / d1 > 0.1 and umi_count / u1 > 0.1 and umi_count >= 2 and duplicate_count >= 5))"
+
+
+def _pool(key: str, rest: str) -> str:
+    best = ", ".join(f"arg_max(coalesce({c}, chr(1)), duplicate_count * 1000000000000 - ord) as {c}_" for c in rest.split(", "))
+    names = ", ".join(f"nullif({c}_, chr(1)) as {c}" for c in rest.split(", "))
+    return f"select {key}, {names}, duplicate_count, incidence, occurrences, convergence from (select {key}, {best}, cast(sum(duplicate_count) as bigint) as duplicate_count, count(distinct sample_id) as incidence, count(*) as occurrences, count(distinct (junction_nt, v_call, j_call)) as convergence from clonotypes group by {key})"
+
+
+_H = "map {" + ", ".join(f"'{k}': {v}e0" for k, v in HYDROPATHY.items()) + "}"
+
+ORACLE_SQL: dict[str, str] = {name: oracle(sql) for name, sql in {
+    "schema_normalize": f"select sample_id, ord, v_call, cast(null as varchar) as d_call, junction_aa, duplicate_count, {RF} from clonotypes",
+    "scalar_expressions": rf"""select ord, case when length(v_call) >= 3 then substr(v_call, 1, 3) end as locus, {V} as genes, regexp_replace(trim(string_split(v_call, ',')[1]), '\*.*$', '') as gene,
+        upper(regexp_replace(c_call, '^(IGH[MDGAE]).*$', '\1')) as isotype, case duplicate_count when 1 then 'singleton' when 2 then 'doubleton' when 3 then 'tripleton' else 'large' end as size_class,
+        round(1 - exp(-frequency * 100), 6) as capture, reverse(translate(upper(junction_nt), 'ACGT', 'TGCA')) as reverse, round(log10(greatest(duplicate_count, 1)), 6) as log10, round(ln(1 + duplicate_count), 6) as log1p,
+        round(ln((frequency * 1000 + 0.5) / ((1 - frequency) * 1000 + 0.5)), 6) as logit, round(asin(sqrt((frequency * 1000 + 0.375) / 1000.75)), 6) as arcsine, round(greatest(least((duplicate_count - 25) / 10e0, 8), -8), 6) as z from clonotypes""",
+    "clr_usage": f", u as (select sample_id, {V} as v_call, sum(duplicate_count) as w from clonotypes group by all), p as (select *, ln(w / sum(w) over (partition by sample_id)) as l from u) select sample_id, v_call, round(l - avg(l) over (partition by sample_id), 6) as clr from p",
+    "robust_loc_scale": f", u as (select sample_id, {V} as v_call, cast(sum(duplicate_count) as double) as w from clonotypes group by all), m as (select *, median(w) over (partition by sample_id) as mid from u) select sample_id, round(any_value(mid), 6) as loc, round(median(abs(w - mid)) * 1.4826, 6) as scale from m group by sample_id",
+    "filter_productive": f"{ROWS} clonotypes where not regexp_matches(junction_aa, '[*atgc#~_?]')",
+    "filter_unproductive": f"{RAW} clonotypes where regexp_matches(junction_aa, '[*atgc#~_?]')",
+    "filter_functional_genes": rf"{ROWS} clonotypes where regexp_replace(trim(v_call), '\*.*$', '') not in (select 'TRBV' || (4 * i) from range(1, 5) t(i))",
+    "filter_length": f"{ROWS} clonotypes where length(junction_aa) between 11 and 13",
+    "filter_frequency": f"{ROWS} clonotypes where frequency >= 1e-5",
+    "filter_segment": rf"{ROWS} clonotypes where regexp_matches(v_call, '(^|,)\s*(TRBV1|TRBV2)') and regexp_matches(j_call, '(^|,)\s*(TRBJ1)')",
+    "filter_by_sample": f"{ROWS} clonotypes where sample_id != 'S00' and (junction_aa, v_call, j_call) in (select (junction_aa, v_call, j_call) from clonotypes where sample_id = 'S00')",
+    "decontaminate": f", s as (select sample_id, junction_aa, j_call, sum(duplicate_count) as own from clonotypes group by all) {RAW} clonotypes c where not exists (select 1 from s where s.junction_aa = c.junction_aa and s.j_call = c.j_call and s.sample_id != c.sample_id and s.own >= 3 * c.duplicate_count)",
+    "sanitise_dropped": "select sample_id, round(sum(case when regexp_matches(junction_aa, '^C[ACDEFGHIKLMNPQRSTVWY]*[FW]$') then 0 else duplicate_count end) / sum(duplicate_count), 6) as dropped from clonotypes group by sample_id",
+    "select_top": f"{ROWS} (select *, row_number() over (partition by sample_id order by duplicate_count desc, ord) as r from clonotypes) where r <= 25",
+    "downsample_reads": "select sample_id, cast(least(500, sum(duplicate_count)) as bigint) as reads from clonotypes group by sample_id",
+    "downsample_clones": "select sample_id, cast(least(40, count(*)) as bigint) as clones from clonotypes group by sample_id",
+    "pool_aa": _pool("junction_aa", "v_call, d_call, j_call, junction_nt"),
+    "pool_strict": _pool("junction_nt, junction_aa, v_call, j_call", "d_call"),
+    "join_samples": "select junction_aa, v_call, j_call, count(distinct sample_id) as incidence from clonotypes group by all having count(distinct sample_id) >= 3",
+    "track_clonotypes": "select junction_aa, " + ", ".join(f"round(coalesce(sum(frequency) filter (sample_id = '{s}'), 0), 6) as {s}" for s in ("S01", "S02", "S03")) + ", round(sum(frequency), 6) as freq_sum from clonotypes where sample_id in ('S01', 'S02', 'S03') group by junction_aa",
+    "diversity_stats": f""", {SPEC}, n as (select sample_id, sum(c * m) as n, sum(m) as s, coalesce(sum(m) filter (c = 1), 0) as f1, coalesce(sum(m) filter (c = 2), 0) as f2 from sp group by all),
+        e as (select sample_id, sum(-m * (c / n) * ln(c / n)) as h, sum(m * (c / n) * (c / n)) as d from sp join n using (sample_id) group by all),
+        k as (select sample_id, count(*) filter (cum < 0.5 * n) + 1 as k from (select sample_id, sum(duplicate_count) over (partition by sample_id order by duplicate_count desc, ord) as cum, sum(duplicate_count) over (partition by sample_id) as n from clonotypes) group by all)
+        select sample_id, cast(n as bigint) as reads, cast(s as bigint) as observed, round(s + f1 * (f1 - 1) / (2 * (f2 + 1)), 6) as chao1,
+        round(case when f1 * (f1 - 1) > 0 then s + f1 * (f1 - 1) / (2 * (f2 + 1)) * (1 - pow(1 - f1 / (n * (f1 * (f1 - 1) / (2 * (f2 + 1)))), n)) else s end, 6) as chao_e,
+        round(exp(h), 6) as shannon_wiener, round(case when s > 1 then h / ln(s) else 0 end, 6) as normalized_shannon_wiener, round(1 / d, 6) as inverse_simpson, round(1 - least(k, s) / s, 6) as d50 from n join e using (sample_id) join k using (sample_id)""",
+    "hill_numbers": f", {SPEC}, p as (select *, c / sum(c * m) over (partition by sample_id) as p from sp) select sample_id, round(cast(sum(m) as double), 6) as hill_0, round(exp(sum(-m * p * ln(p))), 6) as hill_1, round(1 / sum(m * p * p), 6) as hill_2 from p group by all",
+    "count_spectrum": "select sample_id, duplicate_count as count, count(*) as clones from clonotypes group by all",
+    "segment_usage_v": f"select sample_id, substr(v_call, 1, 3) as locus, {V} as v_call, {W} from clonotypes group by all",
+    "segment_usage_d": f"select sample_id, substr(v_call, 1, 3) as locus, {STRIP.format(c='d_call')} as d_call, count(*) as weight from clonotypes where d_call is not null group by all",
+    "segment_usage_j": f"select sample_id, substr(v_call, 1, 3) as locus, {J} as j_call, round(sum(frequency), 6) as weight from clonotypes group by all",
+    "vj_usage": f"select sample_id, substr(v_call, 1, 3) as locus, {V} as v_call, {J} as j_call, {W} from clonotypes group by all",
+    "spectratype": f"select sample_id, substr(v_call, 1, 3) as locus, cast(length(junction_aa) as int) as length, {W} from clonotypes group by all",
+    "vj_spectratype": f"select sample_id, substr(v_call, 1, 3) as locus, {V} as v_call, {J} as j_call, cast(length(junction_nt) as int) as length, {W} from clonotypes group by all",
+    "shm_spectrum": ", h as (select sample_id, cast(least(floor(v_identity * 20), 19) as int) as bin, sum(frequency) as weight from clonotypes where v_identity is not null group by all), g as (select distinct sample_id, cast(b as int) as bin from clonotypes, range(20) t(b)) select sample_id, bin, round(bin / 20, 6) as low, round(coalesce(weight, 0), 6) as weight from g left join h using (sample_id, bin)",
+    "shm_summary": r""", x as (select sample_id, v_identity as i, duplicate_count as w, upper(regexp_replace(c_call, '^(IGH[MDGAE]).*$', '\1')) as iso from clonotypes where v_identity is not null and c_call is not null),
+        b as (select sample_id, least(floor(i * 20), 19) as bin, sum(w) as b from x group by all), p as (select *, b / sum(b) over (partition by sample_id) as p from b), e as (select sample_id, sum(-p * ln(p)) as entropy from p group by all),
+        m as (select sample_id, sum(w * i) / sum(w) as mean, sum(w * i * i) / sum(w) as m2, coalesce(sum(w) filter (i < 0.98), 0) / sum(w) as mut, coalesce(sum(w) filter (iso not in ('IGHM', 'IGHD')), 0) / sum(w) as sw from x group by all)
+        select sample_id, round(mean, 6) as mean_identity, round(mut, 6) as frac_mutated, round(sw, 6) as frac_switched, round(entropy, 6) as entropy, round(sqrt(greatest(m2 - mean * mean, 0)), 6) as sd_identity from m join e using (sample_id)""",
+    "kmer_profile": f", k as (select sample_id, substr(v_call, 1, 3) as locus, duplicate_count, {KMER.format(c='junction_aa', k=3)} as kmer from clonotypes) select sample_id, locus, kmer, {W} from k group by all",
+    "v_kmer_c_profile": f", k as (select substr(v_call, 1, 3) as locus, {V} as v, {CC} as c, duplicate_count, {KMER.format(c='junction_aa', k=4)} as kmer from clonotypes) select locus, v as v_call, c as c_call, kmer, {W} from k group by all",
+    "kmer_cohort": f", t as (select sample_id, {V} as v_call, substr(junction_aa, 4, length(junction_aa) - 6) as core from clonotypes where length(junction_aa) > 6) select distinct sample_id, v_call, {KMER.format(c='core', k=3)} as kmer from t",
+    "physchem_profile": f", t as (select sample_id, j_call, duplicate_count as w, list_filter(list_transform(string_split(substr(junction_aa, cast(length(junction_aa) // 2 - 1 as int), 5), ''), lambda r: {_H}[r]), lambda x: x is not null) as v from clonotypes where length(junction_aa) >= 5) select sample_id, j_call, 'hydropathy' as property, round(sum(list_avg(v) * w) / sum(w), 6) as value from t where len(v) > 0 group by all",
+    "overlap_pair": ", " + AGG.format(k="junction_aa") + " select junction_aa, cast(a.count as bigint) as count_a, round(a.freq, 6) as freq_a, cast(b.count as bigint) as count_b, round(b.freq, 6) as freq_b from per a join per b using (junction_aa) where a.sample_id = 'S01' and b.sample_id = 'S02'",
+    "overlap_cohort": ", " + AGG.format(k="junction_aa") + """, n as (select sample_id, count(*) as n from per group by all), m as (select a.sample_id as sample_a, b.sample_id as sample_b, count(*) as shared, sum(a.freq * b.freq) as ab, sum(sqrt(a.freq * b.freq)) as f2, case when count(*) > 2 then corr(a.freq, b.freq) end as r from per a join per b using (junction_aa) where a.sample_id < b.sample_id group by all)
+        select sample_a, sample_b, x.n as n_a, y.n as n_b, shared, round(shared / (x.n * y.n), 6) as "D", round(sqrt(ab), 6) as "F", round(f2, 6) as "F2", round(r, 6) as "R", round(shared / (x.n + y.n - shared), 6) as jaccard from m join n x on x.sample_id = sample_a join n y on y.sample_id = sample_b""",
+    "pairwise_distances": ", " + AGG.format(k="junction_aa, j_call") + ", m as (select a.sample_id as sample_a, b.sample_id as sample_b, sqrt(sum(a.freq * b.freq)) as f from per a join per b using (junction_aa, j_call) where a.sample_id != b.sample_id group by all), s as (select distinct sample_id from clonotypes) select x.sample_id as sample_a, y.sample_id as sample_b, round(case when x.sample_id = y.sample_id then 0 else -log10(coalesce(f, 0) + 1e-9) end, 6) as distance from s x cross join s y left join m on sample_a = x.sample_id and sample_b = y.sample_id",
+    "fuzzy_overlap": ", x as (select junction_aa, sum(frequency) as f from clonotypes where sample_id = 'S01' group by all), y as (select junction_aa, sum(frequency) as f from clonotypes where sample_id = 'S02' group by all) select x.junction_aa as seq_a, y.junction_aa as seq_b, cast(levenshtein(x.junction_aa, y.junction_aa) as int) as distance, round(x.f, 6) as freq_a, round(y.f, 6) as freq_b from x, y where levenshtein(x.junction_aa, y.junction_aa) <= 1",
+    "fuzzy_overlap_metrics": ", x as (select junction_aa as j, sum(frequency) as f from clonotypes where sample_id = 'S01' group by all), y as (select junction_aa as j, sum(frequency) as f from clonotypes where sample_id = 'S02' group by all), p as (select x.j as a, y.j as b, x.f as fa, y.f as fb from x, y where length(x.j) = length(y.j) and hamming(x.j, y.j) <= 1), q as (select (select count(*) from p) as pairs, (select count(distinct a) from p) / (select count(*) from x) as matched_a, (select coalesce(sum(fa), 0) from (select distinct a, fa from p)) as freq_a, (select count(distinct b) from p) / (select count(*) from y) as matched_b, (select coalesce(sum(fb), 0) from (select distinct b, fb from p)) as freq_b) select pairs, round(matched_a, 6) as matched_a, round(freq_a, 6) as freq_a, round(matched_b, 6) as matched_b, round(freq_b, 6) as freq_b, round(sqrt(freq_a * freq_b), 6) as \"fuzzy_F\" from q",
+    "design_binary": "select sample_id, 'cmv' as level, cmv = '+' as positive from samples where cmv is not null",
+    "design_categorical": ", l as (select batch as level from samples group by all having count(*) >= 2) select sample_id, level, batch = level as positive from samples, l",
+    "design_hla": ", t as (select distinct sample_id, string_split(a, ':')[1] as level from (select sample_id, unnest([hla_1, hla_2]) as a from samples) where a is not null) select s.sample_id, l.level, exists (select 1 from t where t.sample_id = s.sample_id and t.level = l.level) as positive from (select distinct sample_id from t) s, (select distinct level from t) l",
+    "design_zygosity": "select sample_id, 'homozygous' as level, hla_1 = hla_2 as positive from samples where hla_1 is not null and hla_2 is not null",
+    "select_candidates": f", f as (select distinct sample_id, junction_aa, {V} as v_call, {J} as j_call from clonotypes where not regexp_matches(junction_aa, '[*_]')) select junction_aa, v_call, j_call, count(*) as incidence from f group by all having count(*) >= greatest(2, ceil((select count(distinct sample_id) from f) * 0.2))",
+    "fisher_association": f""", {DESIGN}, {FEAT}, z as (select count(*) filter (positive) as p, count(*) filter (not positive) as q from design),
+        t as (select junction_aa, a, b, p - a as c, q - b as d from (select junction_aa, count(*) filter (positive) as a, count(*) filter (not positive) as b from feat join design using (sample_id) group by all), z where a + b >= 2),
+        u as (select *, least(1, list_sum(list_transform(range(a, least(a + b, a + c) + 1), lambda k: {PMF}))) as p_value from t),
+        v as (select *, round(p_value, 12) as pr from u), w as (select *, count(*) over (order by pr) as r, count(*) over () as m from v)
+        select junction_aa, 'cmv' as level, a, b, c, d, round((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)), 6) as odds_ratio, case when a * (b + d) > b * (a + c) then 'enriched' else 'depleted' end as direction, round(p_value, 6) as p_value, round(least(1, min(p_value * m / r) over (order by pr range between current row and unbounded following)), 6) as q_value from w""",
+    "cmh_association": f""", {DESIGN}, {FEAT}, z as (select batch, count(*) filter (positive) as p, count(*) filter (not positive) as q from design group by all),
+        t as (select junction_aa, a, b, p - a as c, q - b as d, p + q as n from (select junction_aa, batch, count(*) filter (positive) as a, count(*) filter (not positive) as b from feat join design using (sample_id) group by all) join z using (batch) where p + q >= 2),
+        s as (select junction_aa, sum(a * d / n) as up, sum(b * c / n) as down, sum(a) as obs, sum((a + b) * (a + c) / n) as ex, sum((a + b) * (c + d) * (a + c) * (b + d) / (cast(n as double) * n * (n - 1))) as v from t group by all)
+        select junction_aa, round(case when down > 0 then up / down when up > 0 then 'inf'::double else 'nan'::double end, 6) as or_mh, round(case when v > 0 then pow(greatest(abs(obs - ex) - 0.5, 0), 2) / v else 0 end, 6) as chi2 from s""",
+    "resolve_chains": f", {LIGHT} select cell_id, sequence_id, locus, duplicate_count, umi_count from res",
+    "pair_chains": f", {LIGHT}, p as (select a.cell_id, a.v_call as alpha_v_call, a.j_call as alpha_j_call, a.junction_aa as alpha_junction_aa, a.umi_count as alpha_umi_count, a.duplicate_count as alpha_duplicate_count, b.v_call as beta_v_call, b.j_call as beta_j_call, b.junction_aa as beta_junction_aa, b.umi_count as beta_umi_count, b.duplicate_count as beta_duplicate_count, row_number() over (partition by a.cell_id order by b.ord, a.ord) as i, count(*) over (partition by a.cell_id) as n from res a join res b using (cell_id) where a.locus = 'TRA' and b.locus = 'TRB') select * exclude (i, n), case when n = 1 then cell_id else cell_id || '_' || i end as pair_id from p",
+    "chain_multiplicity": ", c as (select cell_id, cast(sum(cast(locus = 'TRA' as int)) as bigint) as n_light, cast(sum(cast(locus = 'TRB' as int)) as bigint) as n_heavy from cells where locus in ('TRA', 'TRB') group by all) select n_light, n_heavy, count(*) as cells from c group by all",
+    "cluster_eval": """, c as (select label as t, vec_id % 7 as p, count(*) as n from embeddings group by all), x as (select *, sum(n) over (partition by t) as nt, sum(n) over (partition by p) as np, sum(n) over () as total from c),
+        t as (select t, sum(n) as nt, max(n) as mt from c group by all), p as (select p, sum(n) as np, max(n) as mp from c group by all), z as (select sum(n) as total from c)
+        select round((select sum(mp) from p) / any_value(total), 6) as purity, round((select sum(mt) from t) / any_value(total), 6) as inverse_purity,
+        round(1 - sum(-n / total * ln(n / np)) / (select sum(-nt / total * ln(nt / total)) from t, z), 6) as homogeneity, round(1 - sum(-n / total * ln(n / nt)) / (select sum(-np / total * ln(np / total)) from p, z), 6) as completeness from x""",
+}.items()}

@@ -5,5 +5,320 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import clonotype as C
+from ..operators import association as assoc
+from ..operators import diversity, features, filters, neighbours, overlap, pooling, sampling, singlecell, usage
+from . import adapter as A
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+#: Rounding of floats, so that engines that sum in another order agree.
+DIGITS = 6
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
+    return f
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    return df.select("sample_id", "ord", "duplicate_count", "frequency")
+
+
+@query
+def schema_normalize(s, d):
+    c = A.clonotypes(s, d).withColumn("duplicate_count", F.concat(F.col("duplicate_count").cast("string"), F.lit(".7"))).drop("d_call", "frequency")
+    return C.normalize(c, keep=("ord",), recompute=True).select("sample_id", "ord", "v_call", "d_call", "junction_aa", "duplicate_count", "frequency")
+
+
+@query
+def scalar_expressions(s, d):
+    c = A.clonotypes(s, d)
+    v, nt, n, f = (F.col(x) for x in ("v_call", "junction_nt", "duplicate_count", "frequency"))
+    return c.select(
+        "ord", C.locus_of(v).alias("locus"), C.strip_allele(v).alias("genes"), C.resolve_gene(v).alias("gene"), C.isotype(F.col("c_call")).alias("isotype"), C.size_class(n).alias("size_class"),
+        C.poisson_capture(f, 100.0).alias("capture"), C.reverse_complement(nt).alias("reverse"), C.log10_floor(n).alias("log10"), C.log1p_floor(n).alias("log1p"),
+        C.logit(f, 1000.0).alias("logit"), C.arcsine(f, 1000.0).alias("arcsine"), C.reference_z(n, 25.0, 10.0).alias("z"),
+    )
+
+
+@query
+def translate_junction(s, d):
+    return A.reads(s, d).select("junction_nt").distinct().select("junction_nt", C.translate_junction(F.col("junction_nt")).alias("junction_aa"))
+
+
+@query
+def clr_usage(s, d):
+    u = usage.segment_usage(A.clonotypes(s, d), "V", by_locus=False)
+    return C.clr(u, "weight", ("sample_id",)).select("sample_id", "v_call", "clr")
+
+
+@query
+def robust_loc_scale(s, d):
+    return C.robust_loc_scale(usage.segment_usage(A.clonotypes(s, d), "V", by_locus=False).withColumn("weight", F.col("weight").cast("double")), "weight", ("sample_id",))
+
+
+@query
+def filter_productive(s, d):
+    return _rows(filters.filter_productive(A.clonotypes(s, d)))
+
+
+@query
+def filter_unproductive(s, d):
+    return _rows(filters.filter_productive(A.clonotypes(s, d), "unproductive", renormalise=False))
+
+
+@query
+def filter_functional_genes(s, d):
+    genes = s.sql("select concat('TRBV', id) gene, case when id % 4 = 0 then 'P' else 'F' end functional from range(1, 20)")
+    return _rows(filters.filter_functional_genes(A.clonotypes(s, d), genes, segments=("V",)))
+
+
+@query
+def filter_length(s, d):
+    return _rows(filters.filter_length(A.clonotypes(s, d), 11, 13))
+
+
+@query
+def filter_frequency(s, d):
+    return _rows(filters.filter_frequency(A.clonotypes(s, d), min_freq=1e-5))
+
+
+@query
+def filter_segment(s, d):
+    return _rows(filters.filter_segment(A.clonotypes(s, d), v=["TRBV1", "TRBV2"], j="TRBJ1"))
+
+
+@query
+def filter_by_sample(s, d):
+    c = A.clonotypes(s, d)
+    return _rows(filters.filter_by_sample(c.where("sample_id != 'S00'"), A.one(c, "S00")))
+
+
+@query
+def decontaminate(s, d):
+    return _rows(filters.decontaminate(A.clonotypes(s, d), ratio=3.0, measure="reads", key=("junction_aa", "j_call")))
+
+
+@query
+def sanitise_dropped(s, d):
+    return filters.sanitise(A.clonotypes(s, d))[1]
+
+
+@query
+def select_top(s, d):
+    return _rows(sampling.select_top(A.clonotypes(s, d), 25))
+
+
+@query
+def downsample_reads(s, d):
+    return sampling.downsample(A.clonotypes(s, d), 500).groupBy("sample_id").agg(F.sum("duplicate_count").alias("reads"))
+
+
+@query
+def downsample_clones(s, d):
+    return sampling.downsample(A.clonotypes(s, d), 40, "clones").groupBy("sample_id").agg(F.count("*").alias("clones"))
+
+
+@query
+def correct_errors(s, d):
+    return _rows(sampling.correct(A.clonotypes(s, d), 2, 0.2))
+
+
+@query
+def pool_aa(s, d):
+    return pooling.pool_samples(A.clonotypes(s, d), "aa")
+
+
+@query
+def pool_strict(s, d):
+    return pooling.pool_samples(A.clonotypes(s, d), "strict")
+
+
+@query
+def join_samples(s, d):
+    return pooling.join_samples(A.clonotypes(s, d), "aaVJ", 3).select("junction_aa", "v_call", "j_call", "incidence")
+
+
+@query
+def track_clonotypes(s, d):
+    return pooling.track_clonotypes(A.clonotypes(s, d), ["S01", "S02", "S03"], key=("junction_aa",))
+
+
+@query
+def diversity_stats(s, d):
+    return diversity.diversity_stats(A.clonotypes(s, d)).drop("efron_thisted")
+
+
+@query
+def efron_thisted(s, d):
+    return diversity.diversity_stats(A.clonotypes(s, d)).select("sample_id", "efron_thisted")
+
+
+@query
+def hill_numbers(s, d):
+    return diversity.hill(A.clonotypes(s, d))
+
+
+@query
+def count_spectrum(s, d):
+    return diversity.spectrum(A.clonotypes(s, d))
+
+
+@query
+def segment_usage_v(s, d):
+    return usage.segment_usage(A.clonotypes(s, d), "V")
+
+
+@query
+def segment_usage_d(s, d):
+    return usage.segment_usage(A.clonotypes(s, d), "D", "unique")
+
+
+@query
+def segment_usage_j(s, d):
+    return usage.segment_usage(A.clonotypes(s, d), "J", "freq")
+
+
+@query
+def vj_usage(s, d):
+    return usage.vj_usage(A.clonotypes(s, d))
+
+
+@query
+def spectratype(s, d):
+    return usage.spectratype(A.clonotypes(s, d))
+
+
+@query
+def vj_spectratype(s, d):
+    return usage.vj_spectratype(A.clonotypes(s, d), "nt")
+
+
+@query
+def shm_spectrum(s, d):
+    return usage.shm_spectrum(A.clonotypes(s, d))
+
+
+@query
+def shm_summary(s, d):
+    return usage.shm_summary(A.clonotypes(s, d).where("v_identity is not null and c_call is not null"), "reads")
+
+
+@query
+def kmer_profile(s, d):
+    return features.kmer_profile(A.clonotypes(s, d))
+
+
+@query
+def v_kmer_c_profile(s, d):
+    return features.v_kmer_c_profile(A.clonotypes(s, d), 4, by=())
+
+
+@query
+def kmer_cohort(s, d):
+    return features.kmer_cohort(A.clonotypes(s, d), 3, 3)
+
+
+@query
+def physchem_profile(s, d):
+    return features.physchem_profile(A.clonotypes(s, d), ("j_call",), "center", properties={"hydropathy": features.HYDROPATHY})
+
+
+@query
+def overlap_pair(s, d):
+    c = A.clonotypes(s, d)
+    return overlap.overlap_pair(A.one(c, "S01"), A.one(c, "S02"), ("junction_aa",))
+
+
+@query
+def overlap_cohort(s, d):
+    return overlap.cohort_overlap(A.clonotypes(s, d), ("junction_aa",))
+
+
+@query
+def pairwise_distances(s, d):
+    return overlap.pairwise_distances(A.clonotypes(s, d), "F", ("junction_aa", "j_call"))
+
+
+@query
+def fuzzy_overlap(s, d):
+    c = A.clonotypes(s, d)
+    return overlap.fuzzy_overlap(A.one(c, "S01"), A.one(c, "S02"), "1,1,1,1")
+
+
+@query
+def fuzzy_overlap_metrics(s, d):
+    c = A.clonotypes(s, d)
+    return overlap.fuzzy_overlap_metrics(A.one(c, "S01"), A.one(c, "S02"))
+
+
+@query
+def metaclonotypes(s, d):
+    c = A.clonotypes(s, d).where("not junction_aa rlike '[*_]'")
+    pairs = neighbours.near_pairs(c, c).select(F.col("seq_a").alias("a"), F.col("seq_b").alias("b"))
+    return neighbours.components(pairs, c.select(F.col("junction_aa").alias("node")))
+
+
+@query
+def design_binary(s, d):
+    return assoc.binary(A.samples(s, d), "cmv")
+
+
+@query
+def design_categorical(s, d):
+    return assoc.categorical(A.samples(s, d), "batch", min_level_size=2)
+
+
+@query
+def design_hla(s, d):
+    return assoc.hla_alleles(A.samples(s, d), ["hla_1", "hla_2"], resolution=1)
+
+
+@query
+def design_zygosity(s, d):
+    return assoc.zygosity(A.samples(s, d), "hla_1", "hla_2")
+
+
+@query
+def select_candidates(s, d):
+    return assoc.select_candidates(A.clonotypes(s, d), min_share=0.2)
+
+
+@query
+def fisher_association(s, d):
+    return assoc.association(A.clonotypes(s, d), assoc.binary(A.samples(s, d), "cmv"), ("junction_aa",))
+
+
+@query
+def cmh_association(s, d):
+    meta = A.samples(s, d)
+    design = assoc.binary(meta, "cmv").join(meta.select("sample_id", "batch"), "sample_id")
+    return assoc.cmh(assoc.contingency(A.clonotypes(s, d), design, ("junction_aa",), stratum="batch"), ["junction_aa"]).drop("p_value")
+
+
+@query
+def resolve_chains(s, d):
+    return singlecell.resolve_chains(A.cells(s, d)).select("cell_id", "sequence_id", "locus", "duplicate_count", "umi_count")
+
+
+@query
+def pair_chains(s, d):
+    return singlecell.pair_chains(A.cells(s, d))
+
+
+@query
+def chain_multiplicity(s, d):
+    return singlecell.chain_multiplicity(A.cells(s, d))
+
+
+@query
+def cluster_eval(s, d):
+    e = A.table(s, d, "embeddings")
+    return singlecell.cluster_eval(e.select(F.col("label").alias("label_true"), (F.col("vec_id") % 7).alias("label_pred")))
