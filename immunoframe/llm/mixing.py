@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 BLOCKS = 1024
+#: Parts into which the blocks of a source are dealt where its documents meet its shortage.
+PARTS = 128
 #: Documents of each source that are exchanged at most to come nearer to its target.
 FIXES = 3
 #: Levels of the tree: 2 ** LEVELS output shards.
@@ -133,9 +135,12 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
         now = out.select(*at, "size", "extra", "whole", "rest")
         if fixed is not None:
             now = now.join(fixed, at, "left").withColumn("extra", F.coalesce("put", "extra")).drop("put")
+        now = now.withColumn("part", F.pmod("block", F.lit(PARTS)))
         short = now.groupBy("source_id").agg((F.max("rest") - F.sum(F.col("size") * F.col("extra"))).alias("short"))
-        able = now.join(short, "source_id").where(f"size > 0 and (short > 0 and extra = 0 and whole < {most} or short < 0 and extra = 1) and abs(abs(short) - size) < abs(short)")
-        best = able.groupBy("source_id").agg(F.min(F.struct(F.abs(F.abs("short") - F.col("size")).alias("off"), "block", "nth", "extra")).alias("b"))
+        short = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        able = now.join(short, ["source_id", "part"]).where(f"size > 0 and (short > 0 and extra = 0 and whole < {most} or short < 0 and extra = 1) and abs(abs(short) - size) < abs(short)")
+        best = able.groupBy("source_id", "part").agg(F.min(F.struct(F.abs(F.abs("short") - F.col("size")).alias("off"), "block", "nth", "extra")).alias("b"))
+        best = best.groupBy("source_id").agg(F.min("b").alias("b"))
         best = best.select("source_id", "b.block", "b.nth", (1 - F.col("b.extra")).alias("put"))
         fixed = scratch.cut(best if fixed is None else best.unionByName(fixed.join(best, at, "left_anti")))
     out = out.join(fixed, at, "left").withColumn("copies", F.col("whole").cast("int") + F.coalesce("put", "extra"))
