@@ -57,12 +57,12 @@ def cluster_eval(labels: DataFrame, true: str = "label_true", predicted: str = "
     """Purity, inverse purity, homogeneity and completeness of a clustering, from its contingency table."""
     cells = labels.groupBy(F.col(true).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
     own_t, own_p, every = Window.partitionBy("t"), Window.partitionBy("p"), Window.partitionBy()  # the table has a row for each pair of labels
-    x = cells.withColumn("nt", F.sum("n").over(own_t)).withColumn("np", F.sum("n").over(own_p)).withColumn("N", F.sum("n").over(every))
+    x = cells.withColumn("nt", F.sum("n").over(own_t)).withColumn("np", F.sum("n").over(own_p)).withColumn("total", F.sum("n").over(every))
     x = x.withColumn("mt", F.row_number().over(own_t.orderBy(F.desc("n"), "p")) == 1).withColumn("mp", F.row_number().over(own_p.orderBy(F.desc("n"), "t")) == 1)
-    share = lambda of: -F.col("n") / F.col("N") * F.log(F.col("n") / F.col(of))
+    share = lambda of: -F.col("n") / F.col("total") * F.log(F.col("n") / F.col(of))
     one = x.agg(
-        (F.sum(F.when(F.col("mp"), F.col("n"))) / F.max("N")).alias("purity"), (F.sum(F.when(F.col("mt"), F.col("n"))) / F.max("N")).alias("inverse_purity"),
-        F.sum(share("np")).alias("tp"), F.sum(share("nt")).alias("pt"), F.sum(-F.col("n") / F.col("N") * F.log(F.col("nt") / F.col("N"))).alias("ht"), F.sum(-F.col("n") / F.col("N") * F.log(F.col("np") / F.col("N"))).alias("hp"),
+        (F.sum(F.when(F.col("mp"), F.col("n"))) / F.max("total")).alias("purity"), (F.sum(F.when(F.col("mt"), F.col("n"))) / F.max("total")).alias("inverse_purity"),
+        F.sum(share("np")).alias("tp"), F.sum(share("nt")).alias("pt"), F.sum(-F.col("n") / F.col("total") * F.log(F.col("nt") / F.col("total"))).alias("ht"), F.sum(-F.col("n") / F.col("total") * F.log(F.col("np") / F.col("total"))).alias("hp"),
     )
     rest = lambda a, b: 1 - F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return one.select("purity", "inverse_purity", rest("tp", "ht").alias("homogeneity"), rest("pt", "hp").alias("completeness"))
