@@ -4,8 +4,9 @@ Every line is normalised (lower case, single spaces) and hashed. For each host a
 the distinct documents that hold it; lines held by more than the limit are furniture (menus, notices,
 licence footers) and are removed, and a document of which too little is left is rejected.
 
-A document counts by what stands around the line, namely by the least hash of its other lines: copies of one
-document therefore count once, so that a group of copies doesn't make its own text furniture.
+A document counts by the hash of its whole normalised text (its normalised lines that aren't blank, in order):
+copies of one document count once, so that a group of copies doesn't make its own text furniture, and
+documents that differ anywhere count each, whatever lines they share.
 """
 
 from __future__ import annotations
@@ -31,24 +32,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= _TOP else x
 
 
-def _lines(text: str | None) -> tuple[int, dict[int, list[int]]]:
-    """Lines equal to an earlier one, and by hash of normalised line its words in all and the line numbers."""
-    repeats, seen, out = 0, set(), {}
+def _lines(text: str | None) -> tuple[int, dict[int, list[int]], int]:
+    """Lines equal to an earlier one, by hash of normalised line its words in all and the line numbers, and the hash of all normalised lines."""
+    repeats, seen, out, whole = 0, set(), {}, xxhash.xxh64()
     for i, line in enumerate((text or "").split("\n")):
         if not line.strip(_BLANK):
             continue
         if line in seen:
             repeats += 1
         seen.add(line)
-        words = line.lower().split()
-        entry = out.setdefault(_signed(xxhash.xxh64_intdigest(" ".join(words))), [0])
+        plain = " ".join(line.lower().split())
+        whole.update(plain + "\n")
+        entry = out.setdefault(_signed(xxhash.xxh64_intdigest(plain)), [0])
         entry[0] += len(line.split())
         entry.append(i)
-    return repeats, out
+    return repeats, out, _signed(whole.intdigest())
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("line", pa.int64()), ("around", pa.int64()), ("n", pa.int64()), ("at", pa.list_(pa.int32()))]))
+    kind = pa.list_(pa.struct([("line", pa.int64()), ("n", pa.int64()), ("at", pa.list_(pa.int32()))]))
     for batch in batches:
         column = batch.column("text")
         for a, b in slices(column):
@@ -73,19 +75,18 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + 5, -1)
                     repeated[i] = int((np.cumsum(edge) > 0).sum())
-            copies, lines = [], []
+            copies, lines, whole = [], [], []
             for t in text.to_pylist():
-                c, found = _lines(t)
+                c, found, of = _lines(t)
                 copies.append(c)
-                low = sorted(found)[:2]
-                other = lambda h, low=low: low[0] if low[0] != h else low[1] if len(low) > 1 else 0
-                lines.append([{"line": h, "around": other(h), "n": v[0], "at": v[1:]} for h, v in found.items()])
+                whole.append(of)
+                lines.append([{"line": h, "n": v[0], "at": v[1:]} for h, v in found.items()])
             columns = [batch.column("row").slice(a, rows), batch.column("doc_id").slice(a, rows), batch.column("host").slice(a, rows)]
-            columns += [pa.array(x, pa.int64()) for x in (words.counts, chars, symbols, copies, repeated)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, kind)], ["row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+            columns += [pa.array(x, pa.int64()) for x in (whole, words.counts, chars, symbols, copies, repeated)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, kind)], ["row", "doc_id", "host", "whole", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
 
-_MEASURED = "row long, doc_id long, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line: long, around: long, n: long, at: array<int>>>"
+_MEASURED = "row long, doc_id long, host long, whole long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line: long, n: long, at: array<int>>>"
 
 
 def quality_rules(
@@ -93,8 +94,8 @@ def quality_rules(
 ) -> DataFrame:
     """The base counts, ``base_failed``, ``n_left`` (words outside removed lines) and ``kept``, for every row.
 
-    A line is removed if more than ``max(least_documents, share * documents of the host)`` distinct documents
-    of its host hold it. A document is rejected if the base rules fail, or if removal leaves fewer than
+    A line is removed if more than ``max(least_documents, share * distinct documents of the host)`` distinct
+    documents of its host hold it. A document is rejected if the base rules fail, or if removal leaves fewer than
     ``least_words`` words or less than ``least_left`` of its words. ``with_lines`` adds ``removed``, the
     numbers of the removed lines, for :func:`without_lines`.
 
@@ -107,13 +108,13 @@ def quality_rules(
         F.xxhash64(F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))).alias("host"), F.col(text).cast("string").alias("text"),
     )
     table = scratch.cut(given.mapInArrow(_measure, _MEASURED))
-    lines = table.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.*")
-    held = lines.groupBy("host", "line", "around").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > least_documents)
-    sizes = scratch.cut(table.groupBy("host").agg(F.count("*").alias("of")))
+    lines = table.select("row", "host", "whole", F.explode("lines").alias("x")).select("row", "host", "whole", "x.*")
+    held = lines.groupBy("host", "line", "whole").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > least_documents)
+    sizes = scratch.cut(table.groupBy("host", "whole").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of")))
     common = scratch.cut(held.join(sizes, "host").where(F.col("documents") > F.col("of") * share).select("host", "line"))
     # One row a common line: small enough to send to every task, or else a shuffled join that splits hot lines.
     gone = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("n").alias("gone"), *([F.flatten(F.collect_list("at")).alias("removed")] if with_lines else []))
-    out = table.drop("lines").join(gone, "row", "left").withColumn("n_left", F.greatest(F.lit(0), F.col("n_words") - F.coalesce("gone", F.lit(0))))
+    out = table.drop("lines", "whole").join(gone, "row", "left").withColumn("n_left", F.greatest(F.lit(0), F.col("n_words") - F.coalesce("gone", F.lit(0))))
     out = out.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
     depleted = F.col("gone").isNotNull() & ((F.col("n_left") < least_words) | (F.col("n_left") < F.col("n_words") * least_left))
     kept = ~F.col("base_failed") & ~depleted

@@ -180,6 +180,37 @@ def test_quality_common_lines(spark):
     assert quality_rules(docs.limit(0)).collect() == []
 
 
+def test_quality_several_common_lines(spark):
+    """Different documents of a host that share many lines count each; lines removed are those of a plain count of distinct texts."""
+    import random
+
+    rng = random.Random(4)
+    furniture = [f"menu entry {i} of this host" for i in range(20)]
+    texts = ["\n".join([*furniture, f"own words of document {i} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))]) for i in range(60)]
+    texts += ["\n".join([*rng.sample(furniture, 5), f"Page  {i} of the shorter ones, with words of its own"]) for i in range(60)]
+    texts += ["\n".join(furniture), texts[0].upper(), texts[0].replace(" ", "  "), *["copied line\nand the next of the same text with enough words in it"] * 30]
+    texts += [f"a line that twenty hold\nand one of its own, number {i}, with some more words" for i in range(20)]
+    plain = [[" ".join(x.lower().split()) for x in t.split("\n")] for t in texts]
+    held = defaultdict(set)
+    for p in plain:
+        for x in p:
+            held[x].add(tuple(p))
+    limit = max(20, 0.01 * len(set(map(tuple, plain))))
+    want = {i: [j for j, x in enumerate(p) if len(held[x]) > limit] for i, p in enumerate(plain)}
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: sorted(r.removed or []) for r in quality_rules(docs, with_lines=True).collect()}
+    assert got == want and want[0] == list(range(20)) and want[120] == list(range(20)) and not want[130] and not want[155]
+
+
+def test_quality_share_of_distinct_documents(spark):
+    """The share is of the distinct documents: copies neither count for a line nor raise its limit."""
+    texts = [f"shared notice of the host\nown line {i} with enough words to be kept as it stands" for i in range(25)]
+    texts += ["another text of the host, copied often, with enough words to stand alone"] * 100
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.removed for r in quality_rules(docs, share=0.5, with_lines=True).collect()}
+    assert all(got[i] == [0] for i in range(25)) and not any(got[i] for i in range(25, 125))
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return train(labelled_findings(spark))
