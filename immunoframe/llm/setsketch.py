@@ -17,13 +17,15 @@
    alone rule out every partner in the bucket leaves it. Rounds end when no unsettled pair is left, so nothing
    is capped.
 
-The one chance of losing a link is that two similar sets share no bucket (1e-6 at the threshold with the
-default bands) or that the likelihood bound is wrong (about 1e-5 at the threshold).
+The one chance of losing a link is that two similar sets share no bucket (at most ``MISS``, 1e-6, at any threshold, as
+:func:`banding` sizes the bands for it) or that the likelihood bound is wrong (about 1e-5 at the threshold).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ from .components import connected_components
 from .scratch import Scratch
 from .textkernels import C1, C2, C3, mix64, shingle_sets, slices
 
-BANDS, ROWS = 36, 7
+#: Chance that two sets at the threshold share no bucket, at most; registers of a sketch that bands of several rows may take.
+MISS, REGISTERS = 1e-6, 280
 BASE, RATE, LEVELS = 1.001, 20.0, 65534
 #: Buckets of at most so many unsettled members are finished pairwise.
 SMALL = 24
@@ -43,19 +46,36 @@ SALTS = 64
 #: Log-likelihood below the maximum at which a similarity counts as excluded (4.2 standard deviations).
 DOUBT = 9.0
 
-_PICK = np.random.default_rng(20240229)
-_MUL = (_PICK.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
-_ADD = _PICK.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows of a band for a threshold: the longest bands that miss ``MISS`` at most and fit ``REGISTERS``."""
+    fits = (1, 1)
+    for rows in range(1, 17):
+        share = (percent / 100) ** rows
+        bands = 1 if share >= 1 else math.ceil(math.log(MISS) / math.log1p(-share))
+        if rows == 1 or bands * rows <= REGISTERS:
+            fits = (bands, rows)
+    return fits
 
-def registers(elements: np.ndarray) -> np.ndarray:
-    """SetSketch registers of a set of 64-bit element hashes; all zero for the empty set."""
+
+BANDS, ROWS = banding(85)
+
+
+@lru_cache
+def _draws(n: int) -> tuple[np.ndarray, np.ndarray]:
+    pick = np.random.default_rng(20240229)
+    return (pick.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1))[:, None], pick.integers(0, 1 << 32, n, dtype=np.uint32)[:, None]
+
+
+def registers(elements: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+    """``size`` SetSketch registers of a set of 64-bit element hashes; all zero for the empty set."""
     if not len(elements):
-        return np.zeros(BANDS * ROWS, np.uint16)
+        return np.zeros(size, np.uint16)
+    mul, add = _draws(size)
     h = (elements >> np.uint64(32)).astype(np.uint32)
     least = None
     for at in range(0, len(h), 1024):
-        part = (_MUL * h[None, at : at + 1024] + _ADD).min(axis=1)
+        part = (mul * h[None, at : at + 1024] + add).min(axis=1)
         least = part if least is None else np.minimum(least, part)
     x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1.0 - np.log(x) / np.log(BASE)), 0, LEVELS + 1).astype(np.uint16)
@@ -91,7 +111,7 @@ def similarity_bounds(k1: np.ndarray, k2: np.ndarray, n1: np.ndarray, n2: np.nda
     return np.maximum(j[rows, ok.argmax(axis=1)] - step, 0), j[rows, ll.argmax(axis=1)], np.minimum(j[rows, j.shape[1] - 1 - ok[:, ::-1].argmax(axis=1)] + step, 1)
 
 
-def _sketch(k: int, column: str):
+def _sketch(k: int, column: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(column)
@@ -100,7 +120,7 @@ def _sketch(k: int, column: str):
                 for s in shingle_sets(text.slice(a, b - a), k):
                     sizes.append(len(s))
                     keys.append(set_key(s))
-                    sketches.append(registers(s).tobytes())
+                    sketches.append(registers(s, size).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n", "key", "sketch"])
 
     return run
@@ -217,12 +237,13 @@ class _Join:
         placed = placed.withColumn("lo", F.coalesce("lo", F.lit(0.0))).withColumn("hi", F.coalesce("hi", F.lit(1.0))).drop("x", "y")
         placed = self.scratch.cut(placed.withColumnRenamed("c", "main"))
         far = self.scratch.cut(placed.where("apart").groupBy("bucket").agg(F.max("hi").alias("top_hi")))
-        return placed.join(far, "bucket").where(f"apart or lo - top_hi <= {1 - self.percent / 100}").drop("lo", "hi", "top_hi")
+        return placed.join(far, "bucket").where(f"apart or lo - top_hi <= {1 - self.percent / 100 + 1e-9}").drop("lo", "hi", "top_hi")
 
     def by_bands(self) -> tuple[DataFrame, DataFrame]:
         """The pairs within small buckets of equal bands, and the members of large buckets."""
-        width = 2 * ROWS
-        bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("sketch", j * width + 1, F.lit(width)))))
+        count, rows = banding(self.percent)
+        width = 2 * rows
+        bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.xxhash64(j, F.substring("sketch", j * width + 1, F.lit(width)))))
         members = self.classes.select("key", bands.alias("bucket"))
         sizes = self.scratch.cut(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
         shared = self.scratch.cut(members.join(sizes, "bucket"))
@@ -288,7 +309,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, text: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = scratch.cut(docs.mapInArrow(_sketch(k, "text"), "doc_id long, n long, key binary, sketch binary"))
+    table = scratch.cut(docs.mapInArrow(_sketch(k, "text", math.prod(banding(percent))), "doc_id long, n long, key binary, sketch binary"))
     classes = scratch.cut(
         table.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("m")).select("key", "m.*")
     )

@@ -12,7 +12,7 @@ from immunoframe.llm.components import connected_components
 from immunoframe.llm.mih import nearest
 from immunoframe.llm.mixing import mix, mixed_rows, targets
 from immunoframe.llm.scratch import Scratch
-from immunoframe.llm.setsketch import merge, near_duplicates, registers, similarity_bounds
+from immunoframe.llm.setsketch import MISS, banding, merge, near_duplicates, registers, similarity_bounds
 from immunoframe.llm.sharding import shard
 
 from .test_text_operators import documents, odd_docs
@@ -79,6 +79,39 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_near_dedup_stage(spark, sf):
+    """The pipeline's stage keeps what brute force keeps with five-word shingles at 0.8: on the table, and on pairs from 0.80 to 0.85 and large buckets."""
+    from corpus_pipeline import near_dedup
+
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for _ in range(30):  # 96 of 116 five-word shingles, 98 of 118 three-word ones
+        text = fresh(100)
+        rows += [" ".join(text), " ".join(text + fresh(20))]
+    for n in (24, 25):  # 96 of 120 is a link, 96 of 121 isn't
+        text = fresh(100)
+        rows += [" ".join(text), " ".join(text + fresh(n))]
+    base = fresh(150)
+    for _ in range(90):
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(len(text))] = fresh(1)[0]
+        rows.append(" ".join(text))
+    rows = [(100_000 + i, t) for i, t in enumerate(rows)]
+    for given in (rows, [(i, t) for i, t, _ in documents(spark, sf)[1]]):
+        want = {i for i, (_, root) in brute_components(given, 5, 80).items() if i == root}
+        assert want != {i for i, (_, root) in brute_components(given).items() if i == root}
+        assert {r.doc_id for r in near_dedup(spark, spark.createDataFrame(given, "doc_id long, text string"), "").collect()} == want
+
+
+def test_bands_fit_the_threshold():
+    assert banding(85) == (36, 7)
+    for percent in range(5, 101):
+        bands, rows = banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= MISS * (1 + 1e-9) and bands * rows <= 280
+
+
 def test_set_sketches():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
