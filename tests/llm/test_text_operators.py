@@ -100,6 +100,28 @@ def test_url_templates_learn_from_labels(spark):
     assert got[5].template == "/buy/{n}.html"
 
 
+def test_url_verdicts_stay_as_the_table_grows(spark):
+    """Languages without labels inherit nothing from the one that a rule blocks, and ten times the rows change no verdict."""
+
+    def pages(times):
+        rows = [f"http://a.example.com/{x}/{i}.html" for x, n in (("en", 60), ("fr", 20)) for i in range(n * times)]
+        rows += [f"http://b.com/s{i % 12}/p{i}" for i in range(60 * times)]
+        return spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+
+    small, large = ({r.path + r.host: r.verdict for r in url_filter(pages(t)).collect()} for t in (1, 10))
+    assert all(large[x] == v for x, v in small.items())
+    assert all(v == "allow" for x, v in large.items() if not x.startswith("/en/"))
+
+
+def test_url_templates_at_every_level(spark):
+    """Alike sections below the root and beyond four segments pool their labels; good and bad ones that part at the fifth segment stay apart."""
+    rows = [(s * 100 + i, f"http://h.test/a/b/c/d/s{s}/{i}", s < 10) for s in range(20) for i in range(15)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(p, bad) for p, _, bad in rows if p % 100 < 12], "page_id long, bad boolean")
+    got = {r.page_id: r for r in url_filter(pages, labels=labels).collect()}
+    assert all(got[p].verdict == ("block" if bad else "allow") for p, _, bad in rows)
+
+
 def test_license_scan(spark, sf):
     docs, rows = documents(spark, sf)
     got = {r.doc_id: r for r in license_scan(docs).collect()}
