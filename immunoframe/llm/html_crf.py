@@ -28,6 +28,9 @@ TRAINING_PAGES = 700
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>\"'])*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|data-label|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object"}
+#: Of these, the ones whose content isn't markup.
+_CODE = {"script", "style", "textarea", "title"}
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "track", "param"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Open elements that a start tag ends.
@@ -36,6 +39,21 @@ _SCOPE = {"ul", "ol", "table", "body", "html", "div", "article", "section", "mai
 _ASCII_WORD = re.compile(r"[a-z]+")
 
 
+def _raw_end(page: str, at: int, name: str, stack: list[tuple[str, str, str]]) -> int:
+    """Where an element ends whose content is not text of the page, its start tag ending at ``at``.
+
+    Code and plain text end at their end tag, or without one at that of the element around them. Others without an end
+    tag within the element around them are read as empty, so that nothing after them is lost.
+    """
+    around = next((s[0] for s in reversed(stack) if s[0] not in _INLINE and s[0] != "p"), "body")
+    end = re.compile(rf"</(?:{re.escape(name)}|{re.escape(around)})(?![a-zA-Z0-9])[^>]*(?:>|\Z)", re.I)
+    found = end.search(page, at)
+    if name in _CODE:
+        own = re.compile(rf"</{re.escape(name)}(?![a-zA-Z0-9])[^>]*(?:>|\Z)", re.I).search(page, at)
+        return own.end() if own else found.start() if found else len(page)
+    return found.end() if found and found[0][2 : 2 + len(name)].lower() == name and name != around else at
+
+
 def blocks(page: str | None) -> list[tuple[str, tuple, float]]:
     """The leaf blocks of a page: text, open elements as (tag, words of class, id and role, label), link share."""
     out: list[tuple[str, tuple, float]] = []
@@ -73,8 +91,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple, float]]:
                 if depth is not None:
                     del stack[depth:]
             elif name in _RAW:
-                end = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if not _SELF_CLOSED.search(token[3] or ""):
+                    at = _raw_end(page, at, name, stack)
             elif name not in _VOID:
                 ends = _ENDS.get(name) or (set() if name in _INLINE else {"p", "h1", "h2", "h3", "h4", "h5", "h6"})
                 for i in range(len(stack) - 1, -1, -1):
