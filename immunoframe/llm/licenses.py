@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernels import Words, slices
+from .textkernels import C1, Words, slices
 
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -26,27 +26,35 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 TEMPLATES = [
     ("mit", "[the] <0-8> [is] released under the [terms of the] mit license"),
     ("mit", "[is] licensed under the [terms of the] mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this <1-3> and associated documentation files the <1-3> to deal in the <1-3> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the <1-3> and to permit persons to whom the <1-3> is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the <1-3>"),
+    ("mit", "the <1-3> is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the <0-3> authors or copyright <1-3> be liable for any claim damages or other liability"),
     ("apache-2", "licensed under the apache license version 2 [0]"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <0-10> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <0-10> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("gpl-3", "<0-3> licensed under the [terms of the] gnu general public license [as published by the free software foundation] [either] version 3"),
+    ("gpl-3", "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
     ("gpl-2", "licensed under the [terms of the] gnu general public license [as published by the free software foundation] [either] version 2"),
+    ("gpl-2", "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
     ("lgpl", "licensed under the [terms of the] gnu lesser general public license"),
+    ("lgpl", "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("agpl-3", "licensed under the [terms of the] gnu affero general public license [version 3]"),
+    ("agpl-3", "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("cc-by-nc", "licensed under [a] [the] [creative commons] cc by nc [sa] [nd] [4] [3] [0] [license]"),
     ("cc-by-nc", "licensed under [a] [the] creative commons attribution noncommercial"),
     ("cc-by", "licensed under [a] [the] creative commons attribution <0-1> international"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "[copyright] <0-8> all rights reserved"),
+    ("mit", "spdx license identifier mit"),
+    ("apache-2", "spdx license identifier apache 2 0"),
+    ("gpl-3", "spdx license identifier gpl 3 0 [only] [or later]"),
+    ("bsd", "spdx license identifier bsd <1-1> clause"),
 ]
 
-#: Texts without any of these can neither hold a phrase nor any template's mandatory wording.
-_HINT = re.compile(rb"licen|cc[^0-9a-z\x80-\xff]+by[^0-9a-z\x80-\xff]+nc|rights|permission|redistribution|unencumbered")
-
-
 class Automaton:
     """Compiled template. States are places in its list of steps: a word, an optional run, or a gap."""
 
@@ -62,6 +70,17 @@ class Automaton:
         self.first = steps[0][1]
         self.mandatory = sum(s[0] == "word" for s in steps)
 
+    def begins(self) -> set[tuple[str, str | None]]:
+        """The first mandatory word with each word that may follow where more than it matches; None if any word may."""
+        out = set()
+        for step in self.steps[1:]:
+            if step[0] == "gap":
+                return out | {(self.first, None)}
+            out.add((self.first, step[1] if step[0] == "word" else step[1][0]))
+            if step[0] == "word":
+                return out
+        return out | {(self.first, None)}
+
     def run(self, words: list[str], start: int) -> tuple[bool, int]:
         """Whether the template matches from ``start``, and how many mandatory words matched at most."""
         states, best, seen = [(0, start, 0)], 0, set()
@@ -108,15 +127,37 @@ def scan_words(words: list[str], automata: list[Automaton]) -> tuple[int, int |
     return len(places), min(places, default=None), max(places, default=None), labels, accepted, score
 
 
+def _hash(words: list[str]) -> np.ndarray:
+    return Words(pa.array(words), alnum=True).hashes()
+
+
+class _Begins:
+    """Finds the rows in which some phrase or template may match in more than its first word: by hashes of words and of pairs of words."""
+
+    def __init__(self, automata: list[Automaton]) -> None:
+        pairs = set().union(*(a.begins() for a in automata)) | {((p := phrase.split())[0], p[1] if len(p) > 1 else None) for phrase in PHRASES}
+        self.alone = np.unique(_hash(sorted({a for a, b in pairs if b is None})))
+        both = sorted((a, b) for a, b in pairs if b is not None)
+        self.pairs = np.unique(_hash([a for a, _ in both]) * C1 + _hash([b for _, b in both])) if both else np.zeros(0, np.uint64)
+
+    def rows(self, words: Words) -> list[int]:
+        h = words.hashes()
+        found = np.isin(h, self.alone) if len(self.alone) else np.zeros(len(h), bool)
+        if len(h) > 1 and len(self.pairs):
+            found[:-1] |= np.isin(h[:-1] * C1 + h[1:], self.pairs)
+        return np.unique(words.row[found]).tolist()
+
+
 def _scan(templates: list[tuple[str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = [Automaton(*t) for t in templates]
+        begins = _Begins(automata)
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 words = Words(batch.column("text").slice(a, b - a), alnum=True)
                 data = words.data.tobytes()
                 rows = [(0, None, None, "", "", 0.0)] * (b - a)
-                for i in np.unique(np.searchsorted(words.offsets, [m.start() for m in _HINT.finditer(data)], side="right") - 1).tolist():
+                for i in begins.rows(words):
                     first, n = int(words.first[i]), int(words.counts[i])
                     spans = zip(words.start[first : first + n].tolist(), words.end[first : first + n].tolist(), strict=True)
                     places, lo, hi, base, accepted, score = scan_words([data[s:e].decode() for s, e in spans], automata)
@@ -134,7 +175,7 @@ def license_scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = N
 
     ``n_base`` counts all places of the phrases; ``labels`` adds those of accepted templates; ``score`` is 1 if a
     phrase or a template matched whole, else the largest share of a template's mandatory words that did, from its
-    first word on. Null text is empty. Null ids and repeated rows are scanned row by row; extra columns are
+    first word on and more than that one. Null text is empty. Null ids and repeated rows are scanned row by row; extra columns are
     ignored; no rows give no rows.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
