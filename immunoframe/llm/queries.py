@@ -37,7 +37,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path="source")
     return found.select("row.doc_id", F.col("word").cast("long").alias("word"), F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("digest"), F.round("score", 6).alias("score"), "secret")
 
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Scratch:
@@ -18,8 +19,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:  # local mode only: tests and single-machine use
-            root = f"file://{tempfile.gettempdir()}/immunoframe"
+        if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = f"file://{tempfile.gettempdir()}/immunoframe"  # one machine: tests and single-machine use
         self.spark = spark
         self.base = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
@@ -32,9 +35,20 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables whose readers have all been written."""
-        jvm = self.spark._jvm
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def close(self) -> None:
+        """Deletes all tables of this scratch: whatever reads them must have been written."""
+        self._delete(self.base)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` in one struct, so that no name can clash with a working column."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
