@@ -1,6 +1,7 @@
 """Sharding by sampled splitters.
 
-Records are ordered by a key (a hash of the text, then one of the id), so copies stand together. A sample of the
+Records are ordered by a key (a hash of the text, then one of the id, then one of the row as written), so copies stand
+together, and even equal rows can be told apart. A sample of the
 keys, drawn with a chance in proportion to record sizes, gives quantile boundaries of many fine ranges. The
 exact bytes of all ranges are then counted; ranges that came out overfull (a large group of copies, an
 unlucky sample) are subdivided by new splitters until none is. Prefix sums over ranges and within them
@@ -53,7 +54,7 @@ def shard(docs: DataFrame, *, shards: int = 40, seed: int = 5, text: str = "text
     given = F.col(text).cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(given), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(given, F.lit(""))).alias("text_crc32"), F.concat(_hex(F.xxhash64(F.lit(seed), given)), _hex(F.xxhash64(F.lit(seed), "doc_id"))).alias("key"),
+        F.crc32(F.coalesce(given, F.lit(""))).alias("text_crc32"), F.concat(_hex(F.xxhash64(F.lit(seed), given)), _hex(F.xxhash64(F.lit(seed), "doc_id")), _hex(F.xxhash64(F.monotonically_increasing_id()))).alias("key"),
     )
     rows = scratch.cut(rows)
     total = rows.agg(F.sum("size")).first()[0] or 0
