@@ -242,7 +242,7 @@ def _assign(places: tuple[np.ndarray, ...]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, *, size: int = 4096, end: int = 1, text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, size: int = 4096, end: int = 1, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: one row for each piece of each row.
 
     ``tokenizer``: path of a word-level tokenizer file that every executor can read. A document is its ids and
@@ -250,15 +250,15 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 4096, end: int = 1, tex
     ``size``. Null ids and repeated rows are packed as they come, each row by itself; extra columns are
     ignored; no rows give no rows.
     """
-    scratch = Scratch(docs.sparkSession, "packing")
+    scratch = scratch or Scratch(docs.sparkSession, "packing")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pieces = scratch.cut(given.mapInArrow(_pieces(tokenizer, size, end), "doc_id long, piece long, start long, length long, ids_crc32 long"))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    pieces = scratch.cut(given.mapInArrow(_pieces(tokenizer, size, end), "doc_id long, piece long, start long, length long, ids_crc32 long").withColumn("row", F.monotonically_increasing_id()))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.pmod("row", F.lit(64))), F.lit(SALTS)))
     counts = scratch.cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")
     ranked = salted.withColumn("place", F.row_number().over(within)).join(bases, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place") - 1).alias("rank"))
     out = "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long"
