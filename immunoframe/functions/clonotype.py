@@ -76,7 +76,9 @@ def resolve_gene(calls: Column) -> Column:
 
 
 def isotype(c: Column) -> Column:
-    return F.upper(F.regexp_replace(c, r"(?i)^(IGH[MDGAE]).*$", "$1"))
+    """The heavy-chain class: the first four letters where they name one; other calls in capitals."""
+    head = F.substring(c, 1, 4)
+    return F.when(head.isin(*(f"IGH{x}" for x in "MDGAE")), head).otherwise(F.upper(c))
 
 
 def size_class(count: Column) -> Column:
@@ -89,7 +91,7 @@ def poisson_capture(freq: Column, depth: Column | float) -> Column:
 
 def to_bool(c: Column) -> Column:
     t = F.lower(F.trim(c.cast("string")))
-    return F.when(t.isin("+", "1", "true", "t", "yes", "y", "pos", "positive", "case"), True).when(t.isin("-", "0", "false", "f", "no", "n", "neg", "negative", "control"), False)
+    return F.when(t.isin("+", "1", "true", "yes", "y", "pos", "positive"), True).when(t.isin("-", "0", "false", "no", "n", "neg", "negative"), False)
 
 
 def truthy(c: Column) -> Column:
@@ -135,12 +137,12 @@ def translate(nt: Column) -> Column:
 
 
 def translate_junction(nt: Column) -> Column:
-    """In frame as :func:`translate`; out of frame from both ends inward, the odd bases kept as ``_`` between."""
-    third = F.floor(F.length(nt) / 3).cast("int")
-    left = F.floor((third + 1) / 2).cast("int")
-    head = F.substring(nt, F.lit(1), left * 3)
-    tail = F.when(third > left, F.substring(nt, -(third - left) * 3, (third - left) * 3)).otherwise(F.lit(""))
-    return F.when(F.length(nt) % 3 == 0, translate(nt)).otherwise(F.concat(translate(head), F.lit("_"), translate(tail)))
+    """In frame as :func:`translate`; out of frame each half from its own end inward, what is left between as ``_``."""
+    n = F.length(nt)
+    middle = F.floor(n / 2).cast("int")
+    left, right = F.floor(middle / 3).cast("int"), F.floor((n - middle) / 3).cast("int")
+    head, tail = F.substring(nt, F.lit(1), left * 3), F.substring(nt, n - right * 3 + 1, right * 3)
+    return F.when(n % 3 == 0, translate(nt)).otherwise(F.concat(translate(head), F.lit("_"), translate(tail)))
 
 
 def log10_floor(x: Column) -> Column:

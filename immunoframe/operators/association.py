@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.clonotype import SAMPLE, strip_allele, to_bool
+from .neighbours import near_pairs
 
 KEY = ("junction_aa", "v_call", "j_call")
 
@@ -165,3 +166,116 @@ def cmh(tables: DataFrame, by: list[str]) -> DataFrame:
     off = F.greatest(F.abs(F.col("_obs") - F.col("_exp")) - 0.5, F.lit(0.0))
     out = sums.select(*by, ratio.alias("or_mh"), F.when(F.col("_var") > 0, F.try_divide(off * off, F.col("_var"))).otherwise(0.0).alias("chi2"))
     return out.withColumn("p_value", chi2_sf1("chi2"))
+
+
+def stratified(meta: DataFrame, phenotype: str, stratum: str, *, sample: str = SAMPLE) -> DataFrame:
+    """A binary design with the stratum of each sample."""
+    return binary(meta, phenotype, sample=sample).join(meta.select(sample, F.col(stratum).alias("stratum")).dropna().dropDuplicates([sample]), sample)
+
+
+def chi2_p(a: Column, b: Column, c: Column, d: Column, yates: bool = True) -> Column:
+    return chi2_sf1(chi2_stat(a, b, c, d, yates))
+
+
+@pandas_udf(T.DoubleType())
+def normal_cdf(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))
+
+
+def bayes_logodds(a: Column, b: Column, c: Column, d: Column, alpha: float = 0.5) -> dict[str, Column]:
+    """Normal posterior of the log odds ratio: mean, deviation, 95 percent interval, chance of a ratio above one."""
+    cells = [x.cast("double") + alpha for x in (a, b, c, d)]
+    mean = F.log(cells[0] * cells[3] / (cells[1] * cells[2]))
+    se = F.sqrt(sum((1 / x for x in cells), F.lit(0.0)))
+    z = 1.959963984540054  # two-sided 95 percent
+    return {"logor": mean, "se": se, "ci_lo": mean - z * se, "ci_hi": mean + z * se, "p_or_gt1": normal_cdf(mean / se)}
+
+
+def bayes_bf(a: Column, b: Column, c: Column, d: Column, alpha: float = 1.0, beta: float = 1.0) -> Column:
+    """Log Bayes factor of two rates against one, with Beta priors."""
+
+    @pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        log_beta = lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+        none = log_beta(alpha, beta)
+        return pd.Series([log_beta(p + alpha, r + beta) + log_beta(q + alpha, s + beta) - none - log_beta(p + q + alpha, r + s + beta) for p, q, r, s in zip(a, b, c, d, strict=True)], dtype="float64")
+
+    return run(a, b, c, d)
+
+
+def permutation_p(incidence: DataFrame, design: DataFrame, key: tuple[str, ...] = KEY, *, n_perm: int = 1000, seed: int = 0, alternative: str = "greater", sample: str = SAMPLE) -> DataFrame:
+    """``key, level, a, p_value``: how often permuted labels give a feature at least (at most) its positive samples, add-one.
+
+    Labels are permuted within a level by ranking its samples by a hash of permutation and sample. Each sample's labels in
+    all permutations are one array of bits, so a feature adds up arrays of its samples and no permutation is a pass of its own.
+    """
+    if alternative not in ("greater", "less"):
+        raise ValueError("alternative must be greater or less")
+    draws = design.select(sample, "level", "positive", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_i"))
+    order = Window.partitionBy("level", "_i").orderBy(F.xxhash64(F.lit(seed), "_i", "level", sample), sample)
+    n = F.count_if("positive").over(Window.partitionBy("level", "_i"))
+    draws = draws.withColumn("_x", (F.row_number().over(order) <= n).cast("int"))
+    labels = draws.groupBy(sample, "level").agg(F.first("positive").alias("positive"), F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"]).alias("_labels"))
+    held = incidence.select(sample, *key).distinct().join(labels, sample)
+    each = held.select(*key, "level", "positive", F.posexplode("_labels").alias("_i", "_x")).groupBy(*key, "level", "_i").agg(F.sum("_x").alias("_n"), F.count_if("positive").alias("a"))
+    hit = (F.col("_n") >= F.col("a")) if alternative == "greater" else (F.col("_n") <= F.col("a"))
+    return each.groupBy(*key, "level").agg(F.first("a").alias("a"), ((1.0 + F.count_if(hit)) / (1.0 + n_perm)).alias("p_value"))
+
+
+def fuzzy_features(df: DataFrame, key: tuple[str, ...] = KEY, *, candidates: DataFrame | None = None, scope: str = "1,0,0,1", sample: str = SAMPLE, **options) -> DataFrame:
+    """Incidence of candidate keys (by default all) in the samples that hold one of their neighbours: junction within ``scope``, the other columns equal."""
+    if "junction_aa" not in key:
+        raise ValueError("fuzzy features need junction_aa in the key")
+    held = features(df, key, sample=sample, **options)
+    rest = [c for c in key if c != "junction_aa"]
+    wanted = held.select(*key).distinct() if candidates is None else candidates.select(*key).distinct()
+    pairs = near_pairs(wanted, held, keys=rest, scope=scope)
+    near = held.withColumnRenamed("junction_aa", "seq_b").join(pairs, [*rest, "seq_b"])
+    return near.select(sample, F.col("seq_a").alias("junction_aa"), *rest).distinct().select(sample, *key)
+
+
+def cooccurrence(
+    df: DataFrame, *, chain_a: str = "TRA", chain_b: str = "TRB", key: tuple[str, ...] = KEY, min_incidence: int = 2, min_cooccurrence: int = 2, test: str = "fisher", alternative: str = "greater",
+    depth_strata: int = 0, min_stratum: int = 20, sample: str = SAMPLE, **options,
+) -> DataFrame:
+    """Pairs of features of two chains that stand in one sample together: ``n, n_a, n_b, n_ab, theta, odds_ratio, log2_or, p_value, q_value``.
+
+    Samples that hold both chains are counted. Pairs meet by sample, each feature's samples at most once, and no feature is
+    left out for being many. ``depth_strata``: with more than 1, samples are cut into as many strata of equal numbers by
+    how many features they hold (at least ``min_stratum`` samples each) and p is that of the stratified test; else the pooled test.
+    """
+    named = lambda chain, x: features(df.where(F.substring("v_call", 1, 3) == chain), key, sample=sample, **options).select(sample, F.struct(*key).alias(x))
+    a, b = named(chain_a, "a"), named(chain_b, "b")
+    both = a.select(sample).distinct().join(b.select(sample).distinct(), sample)
+    common = lambda x, c: x.join(x.groupBy(c).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_incidence).select(c), c).join(both, sample)
+    depth = a.unionByName(b.withColumnRenamed("b", "a")) if chain_a != chain_b else a
+    depth = depth.join(both, sample).groupBy(sample).agg(F.count("*").alias("_depth"))
+    sizes = depth.agg(F.count("*").alias("n"), (F.stddev_samp("_depth") / F.avg("_depth")).alias("_cv"))  # one row
+    k = F.when((F.coalesce("_cv", F.lit(0.0)) >= 0.45) & (F.col("n") >= 2 * min_stratum), F.least(F.lit(depth_strata), F.floor(F.col("n") / min_stratum))).otherwise(1)
+    place = depth.withColumn("_at", F.percent_rank().over(Window.orderBy("_depth"))) if depth_strata > 1 else depth.withColumn("_at", F.lit(0.0))  # one row for each sample
+    place = place.crossJoin(sizes).select(sample, "n", F.least(F.floor(F.col("_at") * k), k - 1).alias("stratum"))
+    left, right = common(a, "a").join(place, sample), common(b, "b").join(place.drop("n"), sample)
+    met = left.join(right, [sample, "stratum"])
+    if chain_a == chain_b:
+        met = met.where("a < b")
+    cells = met.groupBy("a", "b", "stratum", "n").agg(F.count("*").alias("ab"))
+    ok = cells.groupBy("a", "b").agg(F.sum("ab").alias("n_ab")).where(F.col("n_ab") >= min_cooccurrence)
+    of_a, of_b = left.groupBy("a", "stratum").agg(F.count("*").alias("sa")), right.groupBy("b", "stratum").agg(F.count("*").alias("sb"))
+    out = ok.join(of_a.groupBy("a").agg(F.sum("sa").alias("n_a")), "a").join(of_b.groupBy("b").agg(F.sum("sb").alias("n_b")), "b").crossJoin(sizes.select("n"))
+    ab, na, nb, n = (F.col(c) for c in ("n_ab", "n_a", "n_b", "n"))
+    cell = [ab, na - ab, nb - ab, n - na - nb + ab]
+    out = out.withColumns({"theta": n * ab / (na * nb), "odds_ratio": odds_ratio(*cell), "log2_or": F.log2(odds_ratio(*cell))})
+    if depth_strata > 1:
+        of = place.groupBy("stratum").agg(F.count("*").alias("sn"))
+        full = ok.select("a", "b").crossJoin(F.broadcast(of)).join(of_a, ["a", "stratum"], "left").join(of_b, ["b", "stratum"], "left").join(cells.select("a", "b", "stratum", "ab"), ["a", "b", "stratum"], "left").fillna(0, ["sa", "sb", "ab"])
+        tables = full.select(F.struct("a", "b").alias("pair"), F.col("ab").alias("a"), (F.col("sa") - F.col("ab")).alias("b"), (F.col("sb") - F.col("ab")).alias("c"), (F.col("sn") - F.col("sa") - F.col("sb") + F.col("ab")).alias("d"))
+        mh = cmh(tables, ["pair"]).select("pair.*", "or_mh", "chi2", "p_value")
+        half = F.col("p_value") / 2
+        above = F.col("or_mh") > 1
+        one = {"greater": F.when(above, half).otherwise(1 - half), "less": F.when(above, 1 - half).otherwise(half)}.get(alternative, F.col("p_value"))
+        out = out.join(mh.withColumn("p_value", one), ["a", "b"])
+    else:
+        out = out.withColumn("p_value", fisher_p(*cell, alternative) if test == "fisher" else chi2_p(*cell))
+    out = fdr_bh(out)
+    named = [F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in key]
+    return out.select(*named, *(c for c in out.columns if c not in ("a", "b")))

@@ -84,7 +84,7 @@ def decontaminate(df: DataFrame, *, ratio: float = 20.0, measure: str = "freq",
     top = ranked.groupBy(*key).agg(F.max(F.when(F.col("_r") == 1, F.col("_own"))).alias("_m1"), F.max(F.when(F.col("_r") == 1, F.col(sample))).alias("_s1"), F.max(F.when(F.col("_r") == 2, F.col("_own"))).alias("_m2"))
     joined = df.join(top, list(key), "left")
     others = F.when(F.col(sample) == F.col("_s1"), F.col("_m2")).otherwise(F.col("_m1"))
-    return joined.where(others.isNull() | (others < ratio * value)).select(*df.columns)
+    return recompute_frequency(joined.where(others.isNull() | (others < ratio * value)).select(*df.columns), (sample,))
 
 
 def unparsable(df: DataFrame) -> DataFrame:

@@ -32,7 +32,9 @@ def pool_samples(df: DataFrame, key: str = "aa", sample: str = SAMPLE) -> DataFr
         F.sum("duplicate_count").alias("duplicate_count"), F.countDistinct(sample).alias("incidence"), F.count("*").alias("occurrences"),
         F.countDistinct(F.struct("junction_nt", "v_call", "j_call")).alias("convergence"), best,
     )
-    return out.select(*columns, *(F.col(f"_b.{c}").alias(c) for c in rest), "duplicate_count", "incidence", "occurrences", "convergence")
+    total = df.agg(F.sum("duplicate_count").alias("_all"))  # one row
+    frequency = F.try_divide(F.col("duplicate_count").cast("double"), F.col("_all")).alias("frequency")
+    return out.crossJoin(F.broadcast(total)).select(*columns, *(F.col(f"_b.{c}").alias(c) for c in rest), "duplicate_count", frequency, "incidence", "occurrences", "convergence")
 
 
 def join_samples(df: DataFrame, key: str = "aa", min_samples: int = 2, sample: str = SAMPLE, n_samples: int | None = None) -> DataFrame:
@@ -43,9 +45,12 @@ def join_samples(df: DataFrame, key: str = "aa", min_samples: int = 2, sample: s
     """
     columns = list(resolve_key(key))
     jitter = 1e-9
-    n = F.lit(n_samples) if n_samples else F.lit(df.select(sample).distinct().count())
     per = df.groupBy(*columns, sample).agg(F.sum("frequency").alias("f"))
     joint = per.groupBy(*columns).agg(F.count("*").alias("incidence"), F.sum(F.log(F.col("f") + jitter)).alias("_l"))
+    if n_samples:
+        joint, n = joint.withColumn("_n", F.lit(n_samples)), F.col("_n")
+    else:
+        joint, n = joint.crossJoin(F.broadcast(df.agg(F.countDistinct(sample).alias("_n")))), F.col("_n")  # one row
     joint = joint.where(F.col("incidence") >= min_samples).withColumn("_g", F.exp((F.col("_l") + (n - F.col("incidence")) * math.log(jitter)) / n))
     totals = joint.agg(F.sum("_g").alias("_t"), F.min("_g").alias("_m"))  # one row
     out = joint.crossJoin(F.broadcast(totals))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clonotype import SAMPLE, recompute_frequency
 from .neighbours import substitution_pairs
@@ -17,24 +18,41 @@ def select_top(df: DataFrame, n: int, renormalise: bool = True, *, by: tuple[str
     return recompute_frequency(out, by) if renormalise else out
 
 
-def downsample(df: DataFrame, size: int, measure: str = "reads", seed: int = 0, *, by: tuple[str, ...] = (SAMPLE,)) -> DataFrame:
+#: Clonotypes of a sample that one draw sees.
+PART = 100_000
+
+
+def _drawn(rng: np.random.Generator, counts: np.ndarray, size: int) -> np.ndarray:
+    return rng.multivariate_hypergeometric(counts, size, method="marginals") if counts.sum() > size else counts
+
+
+def downsample(df: DataFrame, size: int, measure: str = "reads", seed: int = 0, *, by: tuple[str, ...] = (SAMPLE,), part: int = PART) -> DataFrame:
     """``size`` reads (multivariate hypergeometric) or clonotypes of each sample, without replacement; smaller samples stay.
 
-    Reads: a sample is one task's group, as the draw needs all of its counts (up to millions of clonotypes).
+    Reads: a sample is dealt by hash to parts of about ``part`` clonotypes; how many reads each part gives is drawn from the parts'
+    totals, and each part then draws its own, so no task sees a whole sample.
     """
     if measure == "clones":
         w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), "ord"), "ord")
         return recompute_frequency(df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r"), by)
+    parts = df.groupBy(*by).agg(F.ceil(F.count("*") / part).alias("_parts"))
+    dealt = df.join(parts, list(by)).withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), "ord"), "_parts")).drop("_parts")
+    totals = dealt.groupBy(*by, "_part").agg(F.sum(F.greatest(F.col("duplicate_count"), F.lit(0))).alias("_total"))
+
+    def share(group: pd.DataFrame) -> pd.DataFrame:  # a row for each part of a sample
+        group = group.sort_values("_part")
+        return group.assign(_quota=_drawn(np.random.default_rng([seed, 0]), group["_total"].to_numpy(np.int64), size))
+
+    names = df.columns
 
     def draw(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ord", kind="stable")
-        counts = group["duplicate_count"].to_numpy(np.int64)
-        if counts.sum() > size:
-            rng = np.random.default_rng(seed)
-            group = group.assign(duplicate_count=rng.multivariate_hypergeometric(counts, size, method="marginals"))
-        return group[group["duplicate_count"] > 0]
+        rng = np.random.default_rng([seed, 1 + int(group["_part"].iloc[0])])
+        group = group.assign(duplicate_count=_drawn(rng, group["duplicate_count"].to_numpy(np.int64).clip(0), int(group["_quota"].iloc[0])))
+        return group.loc[group["duplicate_count"] > 0, names]
 
-    return recompute_frequency(df.groupBy(*by).applyInPandas(draw, df.schema), by)
+    quotas = totals.groupBy(*by).applyInPandas(share, T.StructType([*totals.schema.fields, T.StructField("_quota", T.LongType())])).drop("_total")
+    return recompute_frequency(dealt.join(quotas, [*by, "_part"]).groupBy(*by, "_part").applyInPandas(draw, df.schema), by)
 
 
 def correct(df: DataFrame, max_mismatches: int = 2, ratio: float = 0.05, same_vj: bool = False, *, by: tuple[str, ...] = (SAMPLE,)) -> DataFrame:

@@ -52,6 +52,10 @@ select concat('cell', cast(user_id as string)) as cell_id, concat('contig', cast
 from events
 """
 
+#: A nucleotide junction with a substitution in some rows, and a junction cut short, so that near matches occur.
+MUTATED = "case when ord % 7 = 0 then concat('A', substr(junction_nt, 2)) when ord % 11 = 0 then concat(substr(junction_nt, 1, 9), 'CC', substr(junction_nt, 12)) else junction_nt end"
+SHORT = "concat('CASS', substr(junction_aa, 5, 5))"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

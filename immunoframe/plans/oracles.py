@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from ..functions.clonotype import CODONS
+from ..operators.diversity import thisted_coefficients
 from ..operators.features import HYDROPATHY
-from .adapter import oracle
+from .adapter import MUTATED, SHORT, oracle
 
 STRIP = r"array_to_string(list_sort(list_distinct(list_transform(string_split({c}, ','), lambda x: regexp_replace(trim(x), '\*.*$', '')))), ',')"
 V, J, CC = (STRIP.format(c=c) for c in ("v_call", "j_call", "c_call"))
@@ -14,7 +16,6 @@ W = "cast(sum(duplicate_count) as bigint) as weight"
 KMER = "unnest(list_transform(range(1, length({c}) - {k} + 2), lambda i: substr({c}, cast(i as int), {k})))"
 AGG = "agg as (select sample_id, {k}, sum(duplicate_count) as count from clonotypes group by all), per as (select *, count / sum(count) over (partition by sample_id) as freq from agg)"
 SPEC = "sp as (select sample_id, duplicate_count as c, count(*) as m from clonotypes group by all)"
-YES = "('+', '1', 'true', 't', 'yes', 'y', 'pos', 'positive', 'case')"
 DESIGN = "design as (select sample_id, batch, cmv = '+' as positive from samples where cmv is not null)"
 FEAT = "feat as (select distinct sample_id, junction_aa from clonotypes where not regexp_matches(junction_aa, '[*_]'))"
 LF = "lgamma({} + 1)"
@@ -24,16 +25,45 @@ LIGHT = "r as (select *, case when locus in ('TRB', 'TRD', 'IGH') then 'heavy' e
     "k as (select *, row_number() over w as rn, first_value(duplicate_count) over w as d1, first_value(umi_count) over w as u1 from r window w as (partition by cell_id, role order by duplicate_count desc, umi_count desc, ord)), " \
     "res as (select * from k where rn = 1 or (role = 'light' and rn = 2 and duplicate_count / d1 > 0.1 and umi_count / u1 > 0.1 and umi_count >= 2 and duplicate_count >= 5))"
 
+TABLES = f"{FEAT}, z as (select count(*) filter (positive) as p, count(*) filter (not positive) as q from design), t as (select distinct a, b, p - a as c, q - b as d from (select junction_aa, count(*) filter (positive) as a, count(*) filter (not positive) as b from feat join design using (sample_id) group by all), z)"
+NS = f"{SPEC}, n0 as (select sample_id, cast(sum(c * m) as double) as n, cast(sum(m) as double) as s, cast(coalesce(sum(m) filter (c = 1), 0) as double) as f1, cast(coalesce(sum(m) filter (c = 2), 0) as double) as f2 from sp group by all), " \
+    "n1 as (select *, (n - 1) / n * case when f2 > 0 then f1 * f1 / 2 / f2 else f1 * (f1 - 1) / 2 end as f0 from n0), ns as (select *, case when f1 > 0 then n * f0 / (n * f0 + f1) else 1 end as hidden from n1)"
+_TR = "coalesce(list_aggregate(list_transform(range(0, length({x}) // 3), lambda i: " + "map {" + ", ".join(f"'{k}': '{v}'" for k, v in CODONS.items()).replace("{", "{{") + "}[substr({x}, cast(3 * i + 1 as int), 3)]), 'string_agg', ''), '')"
+_TR = _TR.replace("map {", "map {{").replace("'}[", "'}}[")
+_THISTED = ", ".join(f"({depth}, {x}, {h:.25f}::double)" for depth in range(1, 21) for x, h in enumerate(thisted_coefficients(depth), 1))
+PAIR = "j0 as (select v_call, j_call, coalesce(sum(duplicate_count) filter (sample_id = 'S01'), 0) as ca, coalesce(sum(duplicate_count) filter (sample_id = 'S02'), 0) as cb from clonotypes where sample_id in ('S01', 'S02') group by all), " \
+    "j as (select v_call, j_call, cast(ca as bigint) as ca, cast(cb as bigint) as cb, cast(ca as double) / sum(ca) over () as fa, cast(cb as double) / sum(cb) over () as fb from j0)"
+GRID = f"r as (select sample_id, batch, {V} as v, {J} as j, duplicate_count from clonotypes join samples using (sample_id)), u as (select sample_id, batch, substr(v, 1, 3) as locus, v, j, {{count}} as n from r group by all), " \
+    "g as (select * from (select distinct sample_id, batch, locus from u) join (select distinct locus, v, j from u) using (locus)), p0 as (select g.*, coalesce(n, 0) as n from g left join u using (sample_id, batch, locus, v, j)), p as (select *, (n + 1e0) / sum(n + 1e0) over (partition by sample_id, locus) as p, ln((n + 1e0) / sum(n + 1e0) over (partition by sample_id, locus)) as l from p0)"
+
+
+def significant(sql: str) -> str:
+    """``round(x, 6)`` in ``sql`` as nine significant digits of x."""
+    at = 0
+    while (at := sql.find("round(", at)) >= 0:
+        if at and (sql[at - 1].isalnum() or sql[at - 1] == "_"):
+            at += 6
+            continue
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        if sql[:end].endswith(", 6)"):
+            inner = sql[at + 6 : end - 4]
+            sql = f"{sql[:at]}case when abs({inner}) < 1e-12 then 0 else cast(printf('%.8e', cast({inner} as double)) as double) end{sql[end:]}"
+        at += 6
+    return sql
+
 
 def _pool(key: str, rest: str) -> str:
     best = ", ".join(f"arg_max(coalesce({c}, chr(1)), duplicate_count * 1000000000000 - ord) as {c}_" for c in rest.split(", "))
     names = ", ".join(f"nullif({c}_, chr(1)) as {c}" for c in rest.split(", "))
-    return f"select {key}, {names}, duplicate_count, incidence, occurrences, convergence from (select {key}, {best}, cast(sum(duplicate_count) as bigint) as duplicate_count, count(distinct sample_id) as incidence, count(*) as occurrences, count(distinct (junction_nt, v_call, j_call)) as convergence from clonotypes group by {key})"
+    return f"select {key}, {names}, duplicate_count, round(cast(duplicate_count as double) / sum(duplicate_count) over (), 6) as frequency, incidence, occurrences, convergence from (select {key}, {best}, cast(sum(duplicate_count) as bigint) as duplicate_count, count(distinct sample_id) as incidence, count(*) as occurrences, count(distinct (junction_nt, v_call, j_call)) as convergence from clonotypes group by {key})"
 
 
 _H = "map {" + ", ".join(f"'{k}': {v}e0" for k, v in HYDROPATHY.items()) + "}"
 
-ORACLE_SQL: dict[str, str] = {name: oracle(sql) for name, sql in {
+ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "schema_normalize": f"select sample_id, ord, v_call, cast(null as varchar) as d_call, junction_aa, duplicate_count, {RF} from clonotypes",
     "scalar_expressions": rf"""select ord, case when length(v_call) >= 3 then substr(v_call, 1, 3) end as locus, {V} as genes, regexp_replace(trim(string_split(v_call, ',')[1]), '\*.*$', '') as gene,
         upper(regexp_replace(c_call, '^(IGH[MDGAE]).*$', '\1')) as isotype, case duplicate_count when 1 then 'singleton' when 2 then 'doubleton' when 3 then 'tripleton' else 'large' end as size_class,
@@ -45,17 +75,17 @@ ORACLE_SQL: dict[str, str] = {name: oracle(sql) for name, sql in {
     "filter_unproductive": f"{RAW} clonotypes where regexp_matches(junction_aa, '[*atgc#~_?]')",
     "filter_functional_genes": rf"{ROWS} clonotypes where regexp_replace(trim(v_call), '\*.*$', '') not in (select 'TRBV' || (4 * i) from range(1, 5) t(i))",
     "filter_length": f"{ROWS} clonotypes where length(junction_aa) between 11 and 13",
-    "filter_frequency": f"{ROWS} clonotypes where frequency >= 1e-5",
+    "filter_frequency": f", w as (select *, sum(frequency) over (partition by sample_id order by duplicate_count desc, ord rows unbounded preceding) as cum from clonotypes where frequency >= 3e-4), k as (select * from w where cum <= 0.8 + 1e-12) {ROWS} k",
     "filter_segment": rf"{ROWS} clonotypes where regexp_matches(v_call, '(^|,)\s*(TRBV1|TRBV2)') and regexp_matches(j_call, '(^|,)\s*(TRBJ1)')",
     "filter_by_sample": f"{ROWS} clonotypes where sample_id != 'S00' and (junction_aa, v_call, j_call) in (select (junction_aa, v_call, j_call) from clonotypes where sample_id = 'S00')",
-    "decontaminate": f", s as (select sample_id, junction_aa, j_call, sum(duplicate_count) as own from clonotypes group by all) {RAW} clonotypes c where not exists (select 1 from s where s.junction_aa = c.junction_aa and s.j_call = c.j_call and s.sample_id != c.sample_id and s.own >= 3 * c.duplicate_count)",
+    "decontaminate": f", s as (select sample_id, junction_aa, j_call, sum(duplicate_count) as own from clonotypes group by all) , k as (select * from clonotypes c where not exists (select 1 from s where s.junction_aa = c.junction_aa and s.j_call = c.j_call and s.sample_id != c.sample_id and s.own >= 3 * c.duplicate_count)) {ROWS} k",
     "sanitise_dropped": "select sample_id, round(sum(case when regexp_matches(junction_aa, '^C[ACDEFGHIKLMNPQRSTVWY]*[FW]$') then 0 else duplicate_count end) / sum(duplicate_count), 6) as dropped from clonotypes group by sample_id",
     "select_top": f"{ROWS} (select *, row_number() over (partition by sample_id order by duplicate_count desc, ord) as r from clonotypes) where r <= 25",
-    "downsample_reads": "select sample_id, cast(least(500, sum(duplicate_count)) as bigint) as reads from clonotypes group by sample_id",
+    "downsample_reads": "select sample_id, cast(least(500, sum(duplicate_count)) as bigint) as reads, cast(0 as bigint) as overdrawn from clonotypes group by sample_id",
     "downsample_clones": "select sample_id, cast(least(40, count(*)) as bigint) as clones from clonotypes group by sample_id",
     "pool_aa": _pool("junction_aa", "v_call, d_call, j_call, junction_nt"),
     "pool_strict": _pool("junction_nt, junction_aa, v_call, j_call", "d_call"),
-    "join_samples": "select junction_aa, v_call, j_call, count(distinct sample_id) as incidence from clonotypes group by all having count(distinct sample_id) >= 3",
+    "join_samples": ", f as (select junction_aa, v_call, j_call, sample_id, sum(frequency) as f from clonotypes group by all), n as (select count(distinct sample_id) as n from clonotypes), g as (select junction_aa, v_call, j_call, count(*) as incidence, exp((sum(ln(f + 1e-9)) + (n - count(*)) * ln(1e-9)) / n) as g from f, n group by junction_aa, v_call, j_call, n having count(*) >= 3) select junction_aa, v_call, j_call, incidence, round(g / sum(g) over (), 6) as frequency, cast(floor(g / min(g) over () + 1e-9) as bigint) as duplicate_count from g",
     "track_clonotypes": "select junction_aa, " + ", ".join(f"round(coalesce(sum(frequency) filter (sample_id = '{s}'), 0), 6) as {s}" for s in ("S01", "S02", "S03")) + ", round(sum(frequency), 6) as freq_sum from clonotypes where sample_id in ('S01', 'S02', 'S03') group by junction_aa",
     "diversity_stats": f""", {SPEC}, n as (select sample_id, sum(c * m) as n, sum(m) as s, coalesce(sum(m) filter (c = 1), 0) as f1, coalesce(sum(m) filter (c = 2), 0) as f2 from sp group by all),
         e as (select sample_id, sum(-m * (c / n) * ln(c / n)) as h, sum(m * (c / n) * (c / n)) as d from sp join n using (sample_id) group by all),
@@ -86,6 +116,32 @@ ORACLE_SQL: dict[str, str] = {name: oracle(sql) for name, sql in {
     "pairwise_distances": ", " + AGG.format(k="junction_aa, j_call") + ", m as (select a.sample_id as sample_a, b.sample_id as sample_b, sqrt(sum(a.freq * b.freq)) as f from per a join per b using (junction_aa, j_call) where a.sample_id != b.sample_id group by all), s as (select distinct sample_id from clonotypes) select x.sample_id as sample_a, y.sample_id as sample_b, round(case when x.sample_id = y.sample_id then 0 else -log10(coalesce(f, 0) + 1e-9) end, 6) as distance from s x cross join s y left join m on sample_a = x.sample_id and sample_b = y.sample_id",
     "fuzzy_overlap": ", x as (select junction_aa, sum(frequency) as f from clonotypes where sample_id = 'S01' group by all), y as (select junction_aa, sum(frequency) as f from clonotypes where sample_id = 'S02' group by all) select x.junction_aa as seq_a, y.junction_aa as seq_b, cast(levenshtein(x.junction_aa, y.junction_aa) as int) as distance, round(x.f, 6) as freq_a, round(y.f, 6) as freq_b from x, y where levenshtein(x.junction_aa, y.junction_aa) <= 1",
     "fuzzy_overlap_metrics": ", x as (select junction_aa as j, sum(frequency) as f from clonotypes where sample_id = 'S01' group by all), y as (select junction_aa as j, sum(frequency) as f from clonotypes where sample_id = 'S02' group by all), p as (select x.j as a, y.j as b, x.f as fa, y.f as fb from x, y where length(x.j) = length(y.j) and hamming(x.j, y.j) <= 1), q as (select (select count(*) from p) as pairs, (select count(distinct a) from p) / (select count(*) from x) as matched_a, (select coalesce(sum(fa), 0) from (select distinct a, fa from p)) as freq_a, (select count(distinct b) from p) / (select count(*) from y) as matched_b, (select coalesce(sum(fb), 0) from (select distinct b, fb from p)) as freq_b) select pairs, round(matched_a, 6) as matched_a, round(freq_a, 6) as freq_a, round(matched_b, 6) as matched_b, round(freq_b, 6) as freq_b, round(sqrt(freq_a * freq_b), 6) as \"fuzzy_F\" from q",
+    "metaclonotypes": ", n as (select distinct junction_aa as s, v_call, j_call from clonotypes where not regexp_matches(junction_aa, '[*_]')), e as (select a.v_call, a.j_call, a.s as x, b.s as y from n a join n b on a.v_call = b.v_call and a.j_call = b.j_call and length(a.s) = length(b.s) and a.s != b.s where hamming(a.s, b.s) = 1), r as (with recursive r as (select v_call, j_call, s, s as root from n union select r.v_call, r.j_call, e.y, r.root from r join e on r.v_call = e.v_call and r.j_call = e.j_call and r.s = e.x) select * from r) select s as junction_aa, v_call, j_call, v_call || '|' || j_call || '|' || min(root) as meta from r group by s, v_call, j_call",
+    "near_pairs_two": f", x as (select distinct {SHORT} as s from clonotypes where sample_id = 'S01'), y as (select distinct {SHORT} as s from clonotypes where sample_id = 'S02') select x.s as seq_a, y.s as seq_b, cast(hamming(x.s, y.s) as int) as distance from x, y where length(x.s) = length(y.s) and hamming(x.s, y.s) <= 2",
+    "translate_junction": f", n as (select distinct unnest([junction_nt, substr(junction_nt, 1, length(junction_nt) - 1), substr(junction_nt, 3), substr(junction_nt, 1, length(junction_nt) - 7)]) as s from reads), h as (select s, length(s) // 2 as mid from n), p as (select s, case when length(s) % 3 = 0 then s else substr(s, 1, 3 * (mid // 3)) end as l, case when length(s) % 3 = 0 then '' else substr(s, length(s) - 3 * ((length(s) - mid) // 3) + 1) end as r from h) select s as junction_nt, {_TR.format(x='l')} || case when length(s) % 3 = 0 then '' else '_' end || {_TR.format(x='r')} as junction_aa from p",
+    "correct_errors": f", c as (select * replace ({MUTATED} as junction_nt) from clonotypes), d as (select distinct junction_nt as s from c), h as (select x.s as sa, y.s as sb, hamming(x.s, y.s) as m from d x, d y where length(x.s) = length(y.s) and x.s != y.s and hamming(x.s, y.s) <= 2), q as (select a.sample_id, a.ord, a.duplicate_count as na, b.duplicate_count as nb, m from c a join h on a.junction_nt = h.sa join c b on b.sample_id = a.sample_id and b.junction_nt = h.sb), v as (select sample_id, ord, bool_or(log10(nb / na) - m * -log10(0.2e0) > 0) as gone, sum(case when log10(na / nb) - m * -log10(0.2e0) > 0 then nb else 0 end) as more from q group by all), o as (select c.sample_id, c.ord, cast(c.duplicate_count + coalesce(more, 0) as bigint) as duplicate_count from c left join v using (sample_id, ord) where not coalesce(gone, false)) {ROWS} o",
+    "efron_thisted": f", {SPEC}, s as (select sample_id, cast(sum(m) as double) as s from sp group by all), k(depth, x, h) as (values {_THISTED}), g as (select sample_id, s, depth from s, (select distinct depth from k)), e as (select g.sample_id, g.depth, any_value(s) + coalesce(sum(h * m), 0) as est, sqrt(coalesce(sum(h * h * m), 0)) as dev from g left join k using (depth) left join sp on sp.sample_id = g.sample_id and sp.c = k.x group by all) select sample_id, round(coalesce(arg_min(est, depth) filter (dev / est >= 0.05), max(est) filter (depth = 20)), 6) as efron_thisted from e group by sample_id",
+    "sample_coverage": f", {NS}, z as (select unnest([100, 1000, 2500, 2501]) as m), i as (select sample_id, z.m, 1 - sum(sp.m * c / n * case when n - c >= z.m then exp(lgamma(n - c + 1) - lgamma(n - c - z.m + 1) - lgamma(n) + lgamma(n - z.m)) else 0 end) as v from sp join ns using (sample_id), z group by sample_id, z.m, n) select sample_id, cast(m as double) as m, round(v, 6) as sample_coverage from i where m in (100, 1000) union all select sample_id, 2500.5, round(sum(v) / 2, 6) from i where m > 2000 group by sample_id union all select sample_id, 1e6, round(1 - f1 / n * pow(hidden, 1e6 - n + 1), 6) from ns",
+    "asymptotic_diversity": f", {NS}, t as (select sample_id, sum(-m * (c / n) * ln(c / n)) as h, sum(m * (c / n) * (c / n)) as d, sum(cast(m as double) * c * (c - 1)) / (n * (n - 1)) as u from sp join ns using (sample_id) group by sample_id, n), hm as (select r, sum(1e0 / r) over (order by r) as h from range(1, 400000) g(r)), w as (select sample_id, sum(m * c / n * (x.h - coalesce(y.h, 0))) as first from sp join ns using (sample_id) join hm x on x.r = n - 1 left join hm y on y.r = c - 1 group by all), b as (select sample_id, n, f1, case when f2 > 0 then 2 * f2 / ((n - 1) * f1 + 2 * f2) when f1 > 0 then 2 / ((n - 1) * (f1 - 1) + 2) else 1 end as a from ns), l as (select sample_id, case when f1 = 0 or a = 1 then 0 else f1 / n * pow(1 - a, 1 - n) * (-ln(a) - list_sum(list_transform(range(1, cast(n as bigint)), lambda r: pow(1 - a, r) / r))) end as second from b) select sample_id, 0 as order_q, round(s, 6) as observed, round(s + f0, 6) as estimator from ns union all select sample_id, 1, round(exp(h), 6), round(exp(first + second), 6) from t join w using (sample_id) join l using (sample_id) union all select sample_id, 2, round(1 / d, 6), round(1 / u, 6) from t",
+    "inext": f", {NS}, z as (select unnest([50, 700]) as m), v as (select sample_id, z.m, n, s, 1 - sum(sp.m * c / n * case when n - c >= z.m then exp(lgamma(n - c + 1) - lgamma(n - c - z.m + 1) - lgamma(n) + lgamma(n - z.m)) else 0 end) as cov, s - sum(sp.m * case when n - c >= z.m then exp(lgamma(n - c + 1) - lgamma(n - c - z.m + 1) - lgamma(n + 1) + lgamma(n - z.m + 1)) else 0 end) as d0, 1 / (1e0 / z.m + (z.m - 1e0) / z.m * sum(cast(sp.m as double) * c * (c - 1)) / (n * (n - 1))) as d2 from sp join ns using (sample_id), z group by sample_id, z.m, n, s), k as (select sample_id, m, exp(sum(f * -(k / m) * ln(k / m) * exp(lgamma(c + 1) - lgamma(k + 1) - lgamma(c - k + 1) + lgamma(n - c + 1) - lgamma(m - k + 1) - lgamma(n - c - m + k + 1) - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1)))) as d1 from (select sp.sample_id, z.m, n, c, sp.m as f, unnest(range(1, cast(least(c, z.m) as bigint) + 1)) as k from sp join ns using (sample_id), z) group by all), o as (select sample_id, m, 0 as order_q, cov, d0 as d from v union all select sample_id, m, 1, cov, d1 from v join k using (sample_id, m) union all select sample_id, m, 2, cov, d2 from v) select sample_id, order_q, cast(m as double) as m, 'rarefaction' as method, round(cov, 6) as sample_coverage, round(d, 6) as \"qD\" from o",
+    "estimate_d": f", {NS}, u as (select sample_id, sum(cast(m as double) * c * (c - 1)) / (n * (n - 1)) as u from sp join ns using (sample_id) group by sample_id, n), v as (select sample_id, n, round(1 - f1 / n * pow(hidden, 1e6 - n + 1), 6) as cov, s + f0 * (1 - pow(1 - (f1 / n) / (f0 + f1 / n), 1e6 - n)) as d0, 1 / (1 / 1e6 + (1e6 - 1) / 1e6 * u) as d2 from ns join u using (sample_id)) select sample_id, 0 as order_q, 1e6 as m, 'extrapolation' as method, cov as sample_coverage, round(d0, 6) as \"qD\" from v union all select sample_id, 2, 1e6, 'extrapolation', cov, round(d2, 6) from v",
+    "inext_coverage": "select distinct sample_id, order_q, cov as sample_coverage from clonotypes, (select unnest([0, 2]) as order_q), (select unnest([0.3e0, 0.999e0]) as cov)",
+    "fisher_minlike": f", {DESIGN}, {TABLES}, u as (select *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda k: {PMF}) as q, a - greatest(0, a - d) + 1 as i from t) select a, b, c, d, round(least(1, list_sum(list_filter(q, lambda x: x <= q[i] * (1 + 1e-7)))), 6) as p_value from u",
+    "fisher_two_sided": f", {DESIGN}, {TABLES}, u as (select *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda k: {PMF}) as q, a - greatest(0, a - d) + 1 as i from t) select a, b, c, d, round(least(1, 2 * least(list_sum(q[:i]), list_sum(q[i:]))), 6) as p_value from u",
+    "bayes_tables": f", {DESIGN}, {TABLES}, u as (select *, ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))) as l, sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (c + 0.5) + 1 / (d + 0.5)) as e, a + b + c + d as n from t) select a, b, c, d, round(l, 6) as logor, round(e, 6) as se, round(l - 1.959963984540054e0 * e, 6) as ci_lo, round(l + 1.959963984540054e0 * e, 6) as ci_hi, round(lgamma(a + 1) + lgamma(c + 1) - lgamma(a + c + 2) + lgamma(b + 1) + lgamma(d + 1) - lgamma(b + d + 2) - lgamma(a + b + 1) - lgamma(c + d + 1) + lgamma(n + 2), 6) as bf, round(coalesce(n * pow(greatest(abs(cast(a as double) * d - b * c) - n / 2, 0), 2) / nullif(cast(a + b as double) * (c + d) * (a + c) * (b + d), 0), 0), 6) as chi2 from u",
+    "permutation_test": f", {DESIGN} select v_call, 'cmv' as level, count(*) filter (positive) as a, true as in_range from (select distinct sample_id, {V} as v_call from clonotypes) join design using (sample_id) group by all",
+    "fuzzy_features": f", f as (select distinct sample_id, junction_aa, {J} as j_call from clonotypes where not regexp_matches(junction_aa, '[*_]')), k as (select distinct junction_aa, j_call from f) select k.junction_aa, k.j_call, count(distinct sample_id) as incidence from k join f on f.j_call = k.j_call and length(f.junction_aa) = length(k.junction_aa) and hamming(f.junction_aa, k.junction_aa) <= 1 group by all",
+    "cooccurrence": f", f as (select distinct sample_id, substr(v_call, 1, 3) as chain, {V} as v from clonotypes where not regexp_matches(junction_aa, '[*_]')), g as (select sample_id from f where chain in ('TRB', 'IGH') group by sample_id having count(distinct chain) = 2), i as (select chain, v from f group by all having count(*) >= 2), h as (select f.* from f join i using (chain, v) join g using (sample_id)), n as (select count(*) as n from g), s as (select chain, v, count(*) as k from h group by all), p as (select x.v as v1, y.v as v2, count(*) as ab from h x join h y using (sample_id) where x.chain = 'TRB' and y.chain = 'IGH' group by all having count(*) >= 2), t as (select v1, v2, ab, n, sx.k as na, sy.k as nb, ab as a, sx.k - ab as b, sy.k - ab as c, n - sx.k - sy.k + ab as d from p join s sx on sx.chain = 'TRB' and sx.v = v1 join s sy on sy.chain = 'IGH' and sy.v = v2, n), u as (select *, least(1, list_sum(list_transform(range(a, least(a + b, a + c) + 1), lambda k: {PMF}))) as p, (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)) as o from t), w as (select *, round(p, 12) as pr from u), x as (select *, count(*) over (order by pr) as r, count(*) over () as m from w) select v1 as a_v_call, v2 as b_v_call, n, na as n_a, nb as n_b, ab as n_ab, round(n * ab / (na * nb), 6) as theta, round(o, 6) as odds_ratio, round(log2(o), 6) as log2_or, round(p, 6) as p_value, round(least(1, min(p * m / r) over (order by pr range between current row and unbounded following)), 6) as q_value from x",
+    "stratified_design": "select sample_id, 'cmv' as level, cmv = '+' as positive, batch as stratum from samples where cmv is not null",
+    "pair_dynamics": f", {PAIR}, z as (select v_call, j_call, fa, fb, cast(round_even(fa * 3000, 0) as bigint) as x, cast(round_even(fb * 3000, 0) as bigint) as y from j), s as (select sum(x) as ra, sum(y) as rb from z), t as (select v_call, j_call, fa, fb, x as a, y as b, cast(ra - x as bigint) as c, cast(rb - y as bigint) as d, ra, rb from z, s), u as (select *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda k: {PMF}) as q, a - greatest(0, a - d) + 1 as i from t where a + b >= 6), w as (select v_call, j_call, least(1, list_sum(list_filter(q, lambda x: x <= q[i] * (1 + 1e-7)))) as p from u), r as (select *, round(p, 12) as pr from w), m as (select *, count(*) over (order by pr) as k, count(*) over () as m from r), e as (select v_call, j_call, p, least(1, min(p * m / k) over (order by pr range between current row and unbounded following)) as q from m) select t.v_call, t.j_call, a as count_a, b as count_b, round(fa, 6) as f_a, round(fb, 6) as f_b, round(coalesce(p, 1), 6) as p_value, round(coalesce(q, 1), 6) as q_value, case when p is null then 'untested' when q < 0.2 and a = 0 then 'emergent' when q < 0.2 and b = 0 then 'vanishing' when q < 0.2 and b / rb > a / ra then 'expanded' when q < 0.2 then 'contracted' else 'persistent' end as dynamics from t left join e on e.v_call = t.v_call and e.j_call = t.j_call",
+    "expansion": f", {PAIR}, n as (select cast(sum(ca) as double) as na, cast(sum(cb) as double) as nb from j), p as (select log2(cb / nb) - log2(ca / na) as m, (log2(cb / nb) + log2(ca / na)) / 2 as s, (nb - cb) / (nb * cb) + (na - ca) / (na * ca) as v from j, n where ca > 0 and cb > 0), e as (select quantile_cont(m, 0.3) as m1, quantile_cont(m, 0.7) as m2, quantile_cont(s, 0.05) as s1, quantile_cont(s, 0.95) as s2 from p), f as (select sqrt(pow(2, sum(m / v) / sum(1 / v))) as f from p, e where m between m1 and m2 and s between s1 and s2), y as (select v_call, j_call, ca, cb, ca * (sqrt(nb / na) * f) as qa, cb * (sqrt(na / nb) / f) as qb from j, n, f), t as (select *, cast(round_even(qa, 0) as bigint) as y, cast(round_even(qa, 0) + round_even(qb, 0) as bigint) as t, log2((qb + 0.5) / (qa + 0.5)) as l from y), u as (select *, list_transform(range(0, t + 1), lambda k: exp(lgamma(t + 1) - lgamma(k + 1) - lgamma(t - k + 1) + lgamma(k + 5e0) + lgamma(t - k + 5e0) - lgamma(t + 1e1) + lgamma(1e1) - 2 * lgamma(5e0))) as q from t where t >= 6), w as (select v_call, j_call, least(1, list_sum(list_filter(q, lambda x: x <= q[y + 1] * (1 + 1e-9)))) as p from u), r as (select *, round(p, 12) as pr from w), m as (select *, count(*) over (order by pr) as k, count(*) over () as m from r), g as (select v_call, j_call, p, least(1, min(p * m / k) over (order by pr range between current row and unbounded following)) as q from m) select t.v_call, t.j_call, ca as count_a, cb as count_b, round(qa, 6) as q_a, round(qb, 6) as q_b, round(l, 6) as log2fc, round(coalesce(p, 1), 6) as p_value, round(coalesce(q, 1), 6) as q_value, 0.2e0 as dispersion, case when p is null then 'untested' when q < 0.5 and l >= 1 then 'expanded' when q < 0.5 and l <= -1 then 'contracted' else 'unchanged' end as call from t left join g on g.v_call = t.v_call and g.j_call = t.j_call",
+    "expansion_dispersion": "select v_call, cast(coalesce(sum(duplicate_count) filter (sample_id = 'S01'), 0) as bigint) as count_a, cast(coalesce(sum(duplicate_count) filter (sample_id = 'S02'), 0) as bigint) as count_b, true as fitted from clonotypes where sample_id in ('S01', 'S02') group by v_call",
+    "effective_size": "select true as positive",
+    "capture_rates": "select j_call as group, size_class, n_captured, n_total, round((n_captured + 1) / (n_total + 2), 6) as capture_rate from (select j_call, case n when 1 then 'singleton' when 2 then 'doubleton' when 3 then 'tripleton' else 'large' end as size_class, count(*) filter (junction_aa in (select junction_aa from clonotypes where sample_id = 'S02')) as n_captured, count(*) as n_total from (select junction_aa, j_call, sum(duplicate_count) as n from clonotypes where sample_id = 'S01' group by all) group by all)",
+    "capture_paired": ", c as (select *, cast(substr(sample_id, 2) as int) // 2 as donor, cast(substr(sample_id, 2) as int) % 2 as late, case when ord % 2 = 0 then 'x' else 'y' end as g from clonotypes), p as (select donor, junction_aa, g, sum(duplicate_count) as n from c where late = 0 group by all), q as (select distinct donor, junction_aa, 1 as met from c where late = 1), r as (select donor, g, case n when 1 then 'singleton' when 2 then 'doubleton' when 3 then 'tripleton' else 'large' end as size_class, ln((count(met) + 1) / (count(*) + 2)) as l from p left join q using (donor, junction_aa) group by all), w as (select donor, size_class, max(l) filter (g = 'x') - max(l) filter (g = 'y') as off from r group by all) select size_class, count(off) as n_pairs, round(case when count(off) >= 2 then avg(off) / (stddev_samp(off) / sqrt(count(off))) end, 6) as t from w group by all",
+    "vj_correction_location": f", {GRID.format(count='sum(duplicate_count)')}, m as (select *, l - avg(l) over (partition by locus, v, j, batch) + avg(l) over (partition by locus, v, j) as x from p) select sample_id, batch, locus, v as v_call, j as j_call, cast(n as bigint) as count, round(p, 6) as p, round(exp(x) / sum(exp(x)) over (partition by sample_id, locus), 6) as p_corrected from m",
+    "vj_correction_sigmoid": f", {GRID.format(count='count(*)')}, a as (select locus, v, j, sum(n) / sum(sum(n)) over (partition by locus) as a from p group by locus, v, j), m as (select *, avg(l) over w as mu, stddev_samp(l) over w as sd from p window w as (partition by locus, v, j, batch)), x as (select m.*, 2 * a / (1 + exp(-greatest(least(case when sd > 0 then (l - mu) / sd else 0 end, 6), -6))) as x from m join a using (locus, v, j)) select sample_id, batch, locus, v as v_call, j as j_call, cast(n as bigint) as count, round(p, 6) as p, round(x / sum(x) over (partition by sample_id, locus), 6) as p_corrected from x",
+    "vj_correction_applied": "select sample_id, cast(sum(duplicate_count) as bigint) as reads, 1e0 as frequency from clonotypes group by all",
     "design_binary": "select sample_id, 'cmv' as level, cmv = '+' as positive from samples where cmv is not null",
     "design_categorical": ", l as (select batch as level from samples group by all having count(*) >= 2) select sample_id, level, batch = level as positive from samples, l",
     "design_hla": ", t as (select distinct sample_id, string_split(a, ':')[1] as level from (select sample_id, unnest([hla_1, hla_2]) as a from samples) where a is not null) select s.sample_id, l.level, exists (select 1 from t where t.sample_id = s.sample_id and t.level = l.level) as positive from (select distinct sample_id from t) s, (select distinct level from t) l",

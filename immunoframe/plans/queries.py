@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions import clonotype as C
 from ..operators import association as assoc
-from ..operators import diversity, features, filters, neighbours, overlap, pooling, sampling, singlecell, usage
+from ..operators import batch, diversity, dynamics, features, filters, neighbours, overlap, pooling, rarefaction, sampling, singlecell, usage
 from . import adapter as A
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: Rounding of floats, so that engines that sum in another order agree.
-DIGITS = 6
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Floats with nine significant digits, so that engines that sum in another order agree; what is below 1e-12 is 0."""
+    digits = lambda c: F.when(F.abs(c) < 1e-12, 0.0).when(F.col(c).isNotNull(), F.format_string("%.8e", c).cast("double")).alias(c)
+    return df.select(*(digits(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def query(f: Query) -> Query:
@@ -50,7 +50,8 @@ def scalar_expressions(s, d):
 
 @query
 def translate_junction(s, d):
-    return A.reads(s, d).select("junction_nt").distinct().select("junction_nt", C.translate_junction(F.col("junction_nt")).alias("junction_aa"))
+    nt = A.reads(s, d).select(F.explode(F.array("junction_nt", F.expr("substr(junction_nt, 1, length(junction_nt) - 1)"), F.expr("substr(junction_nt, 3)"), F.expr("substr(junction_nt, 1, length(junction_nt) - 7)"))).alias("junction_nt"))
+    return nt.distinct().select("junction_nt", C.translate_junction(F.col("junction_nt")).alias("junction_aa"))
 
 
 @query
@@ -87,7 +88,7 @@ def filter_length(s, d):
 
 @query
 def filter_frequency(s, d):
-    return _rows(filters.filter_frequency(A.clonotypes(s, d), min_freq=1e-5))
+    return _rows(filters.filter_frequency(A.clonotypes(s, d), min_freq=3e-4, top=0.8))
 
 
 @query
@@ -118,7 +119,8 @@ def select_top(s, d):
 
 @query
 def downsample_reads(s, d):
-    return sampling.downsample(A.clonotypes(s, d), 500).groupBy("sample_id").agg(F.sum("duplicate_count").alias("reads"))
+    drawn = sampling.downsample(A.clonotypes(s, d).withColumn("all", F.col("duplicate_count")), 500, part=200)
+    return drawn.groupBy("sample_id").agg(F.sum("duplicate_count").alias("reads"), F.count_if(F.col("duplicate_count") > F.col("all")).alias("overdrawn"))
 
 
 @query
@@ -128,7 +130,7 @@ def downsample_clones(s, d):
 
 @query
 def correct_errors(s, d):
-    return _rows(sampling.correct(A.clonotypes(s, d), 2, 0.2))
+    return _rows(sampling.correct(A.clonotypes(s, d).withColumn("junction_nt", F.expr(A.MUTATED)), 2, 0.2))
 
 
 @query
@@ -143,7 +145,7 @@ def pool_strict(s, d):
 
 @query
 def join_samples(s, d):
-    return pooling.join_samples(A.clonotypes(s, d), "aaVJ", 3).select("junction_aa", "v_call", "j_call", "incidence")
+    return pooling.join_samples(A.clonotypes(s, d), "aaVJ", 3)
 
 
 @query
@@ -261,9 +263,14 @@ def fuzzy_overlap_metrics(s, d):
 
 @query
 def metaclonotypes(s, d):
-    c = A.clonotypes(s, d).where("not junction_aa rlike '[*_]'")
-    pairs = neighbours.near_pairs(c, c).select(F.col("seq_a").alias("a"), F.col("seq_b").alias("b"))
-    return neighbours.components(pairs, c.select(F.col("junction_aa").alias("node")))
+    return neighbours.metaclonotypes(A.clonotypes(s, d).where("not junction_aa rlike '[*_]'"))
+
+
+@query
+def near_pairs_two(s, d):
+    c = A.clonotypes(s, d)
+    x, y = (A.one(c, n).withColumn("junction_aa", F.expr(A.SHORT)) for n in ("S01", "S02"))
+    return neighbours.near_pairs(x, y, scope="2,0,0,2")
 
 
 @query
@@ -322,3 +329,145 @@ def chain_multiplicity(s, d):
 def cluster_eval(s, d):
     e = A.table(s, d, "embeddings")
     return singlecell.cluster_eval(e.select(F.col("label").alias("label_true"), (F.col("vec_id") % 7).alias("label_pred")))
+
+
+@query
+def sample_coverage(s, d):
+    return rarefaction.sample_coverage(A.clonotypes(s, d), [100, 1000, 2500.5, 10**6])
+
+
+@query
+def asymptotic_diversity(s, d):
+    return rarefaction.asymptotic_diversity(A.clonotypes(s, d), se=False).drop("se", "lo", "hi")
+
+
+@query
+def inext(s, d):
+    return rarefaction.inext(A.clonotypes(s, d), sizes=[50, 700], se=False).drop("qD_lo", "qD_hi")
+
+
+@query
+def estimate_d(s, d):
+    return rarefaction.estimate_d(A.clonotypes(s, d), "size", 10.0**6, (0, 2), se=False).drop("qD_lo", "qD_hi")
+
+
+@query
+def inext_coverage(s, d):
+    return rarefaction.inext_coverage(A.clonotypes(s, d), (0, 2), coverages=[0.3, 0.999], nboot=5).where("qD between qD_lo and qD_hi").select("sample_id", "order_q", "sample_coverage")
+
+
+def _tables(s, d):
+    return assoc.contingency(A.clonotypes(s, d), assoc.binary(A.samples(s, d), "cmv"), ("junction_aa",)).select(*"abcd").distinct()
+
+
+@query
+def fisher_minlike(s, d):
+    return _tables(s, d).withColumn("p_value", assoc.fisher_p(*(F.col(c) for c in "abcd"), "minlike"))
+
+
+@query
+def fisher_two_sided(s, d):
+    return _tables(s, d).withColumn("p_value", assoc.fisher_p(*(F.col(c) for c in "abcd"), "two-sided"))
+
+
+@query
+def bayes_tables(s, d):
+    cells = [F.col(c) for c in "abcd"]
+    post = assoc.bayes_logodds(*cells)
+    return _tables(s, d).select(*cells, *(post[c].alias(c) for c in ("logor", "se", "ci_lo", "ci_hi")), assoc.bayes_bf(*cells).alias("bf"), assoc.chi2_stat(*cells).alias("chi2"))
+
+
+@query
+def permutation_test(s, d):
+    design = assoc.binary(A.samples(s, d), "cmv")
+    held = assoc.features(A.clonotypes(s, d), ("v_call",), productive=False)
+    p = assoc.permutation_p(held, design, ("v_call",), n_perm=200)
+    return p.select("v_call", "level", "a", F.col("p_value").between(1 / 201, 1).alias("in_range"))
+
+
+@query
+def fuzzy_features(s, d):
+    return assoc.fuzzy_features(A.clonotypes(s, d), ("junction_aa", "j_call")).groupBy("junction_aa", "j_call").agg(F.count("*").alias("incidence"))
+
+
+@query
+def cooccurrence(s, d):
+    return assoc.cooccurrence(A.clonotypes(s, d), chain_a="TRB", chain_b="IGH", key=("v_call",))
+
+
+@query
+def stratified_design(s, d):
+    return assoc.stratified(A.samples(s, d), "cmv", "batch")
+
+
+def _two(s, d):
+    c = A.clonotypes(s, d)
+    return A.one(c, "S01"), A.one(c, "S02")
+
+
+@query
+def pair_dynamics(s, d):
+    return dynamics.test_pair(*_two(s, d), key=("v_call", "j_call"), neff=3000.0, alpha=0.2)
+
+
+@query
+def expansion(s, d):
+    return dynamics.expansion_test(*_two(s, d), key=("v_call", "j_call"), dispersion=0.2, alpha=0.5)
+
+
+@query
+def expansion_dispersion(s, d):
+    return dynamics.expansion_test(*_two(s, d), key=("v_call",)).select("v_call", "count_a", "count_b", (F.col("dispersion") > 0).alias("fitted"))
+
+
+@query
+def effective_size(s, d):
+    a, b = _two(s, d)
+    return s.createDataFrame([(dynamics.estimate_neff(a, b, key=("junction_aa",), bins=6, min_bin=5) > 0,)], "positive boolean")
+
+
+@query
+def metaclonotype_dynamics(s, d):
+    return dynamics.test_metaclonotypes(*_two(s, d), neff=3000.0).select("meta", "count_a", "count_b")
+
+
+@query
+def capture_rates(s, d):
+    return dynamics.capture_rates(*_two(s, d), key=("junction_aa",), group="j_call").drop("ci_lo", "ci_hi")
+
+
+def _donors(s, d):
+    c = A.clonotypes(s, d).withColumn("donor", F.expr("cast(substr(sample_id, 2) as int) div 2")).withColumn("g", F.expr("case when ord % 2 = 0 then 'x' else 'y' end"))
+    first = F.expr("cast(substr(sample_id, 2) as int) % 2 = 0")
+    return dynamics.capture_rates(c.where(first), c.where(~first), key=("junction_aa",), group="g", donor="donor")
+
+
+@query
+def capture_paired(s, d):
+    return dynamics.capture_paired_test(_donors(s, d)).drop("p_value")
+
+
+@query
+def capture_model(s, d):
+    return dynamics.capture_test(_donors(s, d)).select("term", (F.col("p_value") <= 1).alias("tested"))
+
+
+def _with_batch(s, d):
+    return A.clonotypes(s, d).join(A.samples(s, d).select("sample_id", "batch"), "sample_id")
+
+
+@query
+def vj_correction_location(s, d):
+    return batch.correct_vj_usage(_with_batch(s, d))
+
+
+@query
+def vj_correction_sigmoid(s, d):
+    return batch.correct_vj_usage(_with_batch(s, d), weighted=False, transform="sigmoid")
+
+
+@query
+def vj_correction_applied(s, d):
+    c = A.clonotypes(s, d)
+    out = batch.apply_vj_correction(c, batch.correct_vj_usage(_with_batch(s, d)), scope="v")
+    return out.groupBy("sample_id").agg(F.sum("duplicate_count").alias("reads"), F.sum("frequency").alias("frequency"))

@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events embeddings
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
-    plain = lambda x: None if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x) else float(f"{x:.5g}") if isinstance(x, float) else x
+    plain = lambda x: None if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x) else float(f"{x:.8g}") if isinstance(x, float) else x
     return sorted((tuple(plain(x) for x in row) for row in frame.astype(object).itertuples(index=False)), key=str)
 
 
