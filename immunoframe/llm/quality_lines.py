@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -81,31 +81,42 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 copies.append(c)
                 whole.append(of)
                 lines.append([{"line": h, "n": v[0], "at": v[1:]} for h, v in found.items()])
-            columns = [batch.column("row").slice(a, rows), batch.column("doc_id").slice(a, rows), batch.column("host").slice(a, rows)]
+            columns = [batch.column(c).slice(a, rows) for c in ("row", "doc_id", "host", "of")]
             columns += [pa.array(x, pa.int64()) for x in (whole, words.counts, chars, symbols, copies, repeated)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, kind)], ["row", "doc_id", "host", "whole", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, kind)], ["row", "doc_id", "host", "of", "whole", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
 
-_MEASURED = "row long, doc_id long, host long, whole long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line: long, n: long, at: array<int>>>"
+_MEASURED = "row long, doc_id long, host long, of struct<a: long, b: long>, whole long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line: long, n: long, at: array<int>>>"
+
+
+def _host(host: Column) -> Column:
+    return F.xxhash64(F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit("")))
+
+
+def row_key(host: Column, text: Column) -> Column:
+    """Two hashes of a row's host and text: rows that agree in it have one verdict."""
+    return F.struct(F.xxhash64(_host(host), text.cast("string")).alias("a"), F.xxhash64(text.cast("string"), _host(host), F.lit(3)).alias("b"))
 
 
 def quality_rules(
-    docs: DataFrame, *, host: str = "source", text: str = "text", least_documents: int = 20, share: float = 0.01, least_words: int = 5, least_left: float = 0.2, with_lines: bool = False
+    docs: DataFrame, *, host: str = "source", text: str = "text", least_documents: int = 20, share: float = 0.01, least_words: int = 5, least_left: float = 0.2, with_lines: bool = False,
+    with_keys: bool = False, scratch: Scratch | None = None,
 ) -> DataFrame:
     """The base counts, ``base_failed``, ``n_left`` (words outside removed lines) and ``kept``, for every row.
 
     A line is removed if more than ``max(least_documents, share * distinct documents of the host)`` distinct
     documents of its host hold it. A document is rejected if the base rules fail, or if removal leaves fewer than
     ``least_words`` words or less than ``least_left`` of its words. ``with_lines`` adds ``removed``, the
-    numbers of the removed lines, for :func:`without_lines`.
+    numbers of the removed lines, for :func:`without_lines`; ``with_keys`` adds ``of``, :func:`row_key` of the row, as a row's
+    verdict depends on its host and text alone.
 
     Null text has no words (so the base rules fail); a null host is a host of its own; null or repeated ids
     are judged row by row; repeated rows count as one document; extra columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "quality-rules")
+    scratch = scratch or Scratch(docs.sparkSession, "quality-rules")
     given = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))).alias("host"), F.col(text).cast("string").alias("text"),
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _host(F.col(host)).alias("host"),
+        row_key(F.col(host), F.col(text)).alias("of"), F.col(text).cast("string").alias("text"),
     )
     table = scratch.cut(given.mapInArrow(_measure, _MEASURED))
     lines = table.select("row", "host", "whole", F.explode("lines").alias("x")).select("row", "host", "whole", "x.*")
@@ -119,7 +130,7 @@ def quality_rules(
     depleted = F.col("gone").isNotNull() & ((F.col("n_left") < least_words) | (F.col("n_left") < F.col("n_words") * least_left))
     kept = ~F.col("base_failed") & ~depleted
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(*names, kept.alias("kept"), "n_left", *(["row", "removed"] if with_lines else []))
+    return out.select(*names, kept.alias("kept"), "n_left", *(["row", "removed"] if with_lines else []), *(["of"] if with_keys else []))
 
 
 def without_lines(text, removed):

@@ -29,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -121,7 +121,8 @@ def _sketch(k: int, column: str, size: int):
                     sizes.append(len(s))
                     keys.append(set_key(s))
                     sketches.append(registers(s, size).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n", "key", "sketch"])
+                given = [batch.column(c).slice(a, b - a) for c in ("doc_id", "of")]
+                yield pa.RecordBatch.from_arrays([*given, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "of", "n", "key", "sketch"])
 
     return run
 
@@ -269,12 +270,12 @@ class _Join:
             least = active.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("size")).where("size > 1").select("bucket", "least")
             partner = f"greatest(least, ({p} * n + 99) div 100)"
             alive = cut(active.join(cut(least), "bucket").where(f"{100 + p} * (n - at + 1) >= {p} * (n + {partner})").drop("least"))
-            of = F.when(F.col("index") & F.col("apart"), F.struct("score", "key"))
+            of = F.when(F.col("apart"), F.struct("index", "score", "key"))
             counts = (F.count_if("index").alias("indexed"), F.count_if("apart").alias("outside"), F.max(of).alias("top"))
             sizes = cut(alive.groupBy("bucket").agg(F.count("*").alias("size"), *counts).where("size > 1 and indexed > 0 and outside > 0"))
             # Few on one side: every pair of two components, in proportion to the other side.
-            few = alive.join(sizes.where(f"top is null or indexed <= {SMALL} or outside <= {SMALL}").select("bucket"), "bucket")
-            many = sizes.where(f"top is not null and indexed > {SMALL} and outside > {SMALL}")
+            few = alive.join(sizes.where(f"indexed <= {SMALL} or outside <= {SMALL}").select("bucket"), "bucket")
+            many = sizes.where(f"indexed > {SMALL} and outside > {SMALL}")
             if first:
                 star = cut(alive.join(many.select("bucket", F.col("top.key").alias("c")), "bucket"))
             else:  # up to SMALL centres in each bucket
@@ -298,18 +299,23 @@ class _Join:
             active, extra, first = cut(active), None, False
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, text: str = "text") -> DataFrame:
+def text_key(text: Column) -> Column:
+    """Two hashes of a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(5), text).alias("b"))
+
+
+def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, text: str = "text", with_keys: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``.
 
     Documents are linked if their ``k``-word shingle sets have ``100 * intersection >= percent * union``.
     Null or wordless text has the empty set and is linked with nothing. A null ``doc_id`` is linked with
     nothing, has a null component and is kept. Rows that repeat a ``doc_id`` are one document if their texts
-    agree, and otherwise several texts under one id. Extra columns are ignored; no rows give no rows.
+    agree, and otherwise several texts under one id. Extra columns are ignored; no rows give no rows. ``with_keys`` adds
+    ``of``, :func:`text_key` of the row.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-duplicates")
+    scratch = scratch or Scratch(docs.sparkSession, "near-duplicates")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = scratch.cut(docs.mapInArrow(_sketch(k, "text", math.prod(banding(percent))), "doc_id long, n long, key binary, sketch binary"))
+    table = scratch.cut(docs.withColumn("of", text_key(F.col("text"))).mapInArrow(_sketch(k, "text", math.prod(banding(percent))), "doc_id long, of struct<a: long, b: long>, n long, key binary, sketch binary"))
     classes = scratch.cut(
         table.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("m")).select("key", "m.*")
     )
@@ -319,11 +325,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, text: str
         join.compare(pairs)
     else:
         join.by_prefixes(many, pairs)
-    named = table.select("doc_id", "n", "key")
+    named = table.select("doc_id", "of", "n", "key")
     reps = classes.select("key", F.col("doc_id").alias("rep"))
     rooted = scratch.cut(reps.join(join.labels.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root")))
     least = scratch.cut(rooted.groupBy("root").agg(F.min("rep").alias("least")))
     reps = scratch.cut(rooted.join(least, "root").select("key", F.col("least").alias("rep")))
     out = named.join(reps, "key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *(["of"] if with_keys else []))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

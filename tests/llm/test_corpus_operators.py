@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from immunoframe.llm.components import connected_components
@@ -105,6 +106,56 @@ def test_near_dedup_stage(spark, sf):
         assert {r.doc_id for r in near_dedup(spark, spark.createDataFrame(given, "doc_id long, text string"), "").collect()} == want
 
 
+def test_pipeline_stages_go_by_rows(spark):
+    """Null and repeated ids: a rejected row goes and takes no other row of its id with it; of equal rows one stays."""
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    prose = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d = (prose() for _ in range(4))
+    rows = [(1, a), (1, "too short"), (None, "short too"), (2, a + " x"), (None, a), (None, b), (None, b), (3, c), (3, c), (3, d), (4, d + " tail"), (None, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s" if n % 2 else None, 0, "g") for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, given string")
+    kept = p.quality(spark, docs, "rows")
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns and left == sorted((x for x in rows if x[1] and len(x[1]) > 20), key=str)
+    once = p.near_dedup(spark, kept, "rows")
+    assert sorted(((r.doc_id, r.text) for r in once.collect()), key=str) == sorted([(1, a), (None, b), (3, c), (3, d)], key=str)
+    docs = once
+    for name, stage in p.STAGES[2:4]:
+        docs = Scratch(spark, "t").cut(stage(spark, docs, "rows"))
+        assert docs.columns == kept.columns and docs.schema["n_chars"].dataType.simpleString() == "int", name
+    assert {r.text for r in docs.collect()} <= {a, b, c, d} and all(r.n_chars == len(r.text) for r in docs.collect())
+    assert p.packing(spark, docs, "rows").count() == docs.count()
+    empty = p.STAGES[-1][1](spark, p.secrets(spark, p.near_dedup(spark, p.quality(spark, kept.limit(0), "e"), "e"), "e"), "e")
+    assert empty.collect() == []
+
+
+def test_pipeline_against_plain_stages(spark, sf):
+    """The whole pipeline on the table: what stays is what plain versions of the first two stages keep, mixed within bounds, and packed whole."""
+    import corpus_pipeline as p
+    from immunoframe.llm.quality_lines import quality_rules
+
+    docs, rows = documents(spark, sf)
+    good = {r.doc_id for r in quality_rules(docs).where("kept").collect()}
+    once = {i for i, (_, root) in brute_components([(i, t) for i, t, _ in rows if i in good], 5, 80).items() if i == root}
+    pieces = p.run(spark, sf).collect()
+    taken = defaultdict(int)
+    for r in pieces:
+        taken[r.doc_id] += r.piece == 0
+    assert set(taken) <= once and max(taken.values()) <= 3
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t, _ in rows}
+    of, size, got = {i: s for i, _, s in rows}, defaultdict(int), defaultdict(int)
+    for i in once:
+        size[of[i]] += words[i]
+        got[of[i]] += taken[i] * words[i]
+    want = brute_targets(dict(size))
+    assert all(abs(got[s] - want[s]) <= max(words[i] for i in once if of[i] == s) for s in want)
+    by = defaultdict(int)
+    for r in pieces:
+        by[r.sequence_id] += r.length
+    assert max(by.values()) <= 4096
+
+
 def test_bands_fit_the_threshold():
     assert banding(85) == (36, 7)
     for percent in range(5, 101):
@@ -147,6 +198,39 @@ def test_nearest(spark, sf):
     assert hit / total >= 0.9 and set(got) == {i for i, _ in rows if i % 20 == 0}
 
 
+def test_nearest_at_size(spark):
+    """20,000 vectors without structure, where the radius binds: recall, few pairs for a query, and a vector that a third of the rows repeat."""
+    from immunoframe.llm import mih
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 32))
+    x[rng.random(len(x)) < 0.3] = x[7]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    seen, pairs = [], mih._Index.pairs
+
+    def counted(self, asked, s, radius):
+        out = pairs(self, asked, s, radius)
+        seen.append((s, self.rows, radius, asked.count(), out.count()))
+        return out
+
+    mih._Index.pairs = counted
+    try:
+        got = nearest(df).toPandas()
+    finally:
+        mih._Index.pairs = pairs
+    s, rows, radius, asked, found = seen[0]
+    assert s < 8 and radius < mih.WHOLE // 2 and found < 0.05 * rows * asked
+    lists = got.sort_values("rank").groupby("query_id").vec_id.apply(list)
+    assert len(lists) == 1000 and lists.apply(len).eq(20).all()
+    hit = total = 0
+    for i in range(0, len(x), 400):
+        score = x @ x[i]
+        order = [j for j in np.lexsort((np.arange(len(x)), -score)) if j != i][:20]
+        hit += len(set(order) & set(lists[i]))
+        total += 20
+    assert hit / total >= 0.9
+
+
 def test_nearest_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (40, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, [])]
     got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
@@ -154,6 +238,13 @@ def test_nearest_odd_rows(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_nearest_repeated_rows_and_lengths(spark):
+    """A row repeated 50 times takes one place; vectors of another length have neighbours of their own."""
+    rows = [(20, [1.0, 0.0])] + [(1, [0.9, 0.1])] * 50 + [(i, [0.5, i / 100]) for i in range(2, 15)] + [(40, [1.0, 0.0, 0.0]), (41, [0.0, 1.0, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
+    assert [(r.query_id, r.vec_id) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == [(20, 1), (20, 2), (20, 3), (20, 4), (20, 5), (40, 41)]
+
+
 def test_shard(spark, sf):
     docs, rows = documents(spark, sf)
     got = shard(docs, shards=10).collect()
@@ -199,7 +290,7 @@ def brute_targets(sizes, weights=(1, 2, 3), most=3):
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, None: 5}, {"a": 1}, {"a": 0, "b": 7}, {"a": 100, "b": 1, "c": 3, "d": 50, "é": 20, "Z": 9}])
 def test_mix_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
-    got = {r.source: r.target for r in targets(df).collect()}
+    got = {r.source: r.target for r in targets(Scratch(spark, "t"), df).collect()}
     assert got == pytest.approx(brute_targets(sizes))
 
 

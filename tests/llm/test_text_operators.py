@@ -1,6 +1,8 @@
 """Operators that read texts row by row or by line, against plain versions."""
 
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from immunoframe.llm.html_crf import blocks, default_field, extract, main_text, sample_pages
-from immunoframe.llm.licenses import Automaton, license_scan
+from immunoframe.llm.licenses import TEMPLATES, Automaton, license_scan
 from immunoframe.llm.packing import WordTokenizer, pack, plan
 from immunoframe.llm.quality_lines import quality_rules, without_lines
 from immunoframe.llm.secret_forest import labelled_findings, redact, scan, train, with_features
@@ -64,6 +66,13 @@ def test_html_odd_rows(spark):
     assert main_text(None, default_field()) == ""
 
 
+@pytest.mark.parametrize("raw", ["<svg/>", "<object data=x>", "<select>", "<iframe src='a' />", "<svg><path d='x'></svg>", "<script>if (a < b) { '</p>' }</script>", "<style>p {}</style>", "<iframe>", "<noscript><p>no</p></noscript>", '<script src="a.js"/>'])
+def test_html_raw_elements_end(raw):
+    page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>One title here</h1><p>First text of the article, long enough to be read.</p>{raw}<p>Second text of the article, long enough to be read.</p></article><footer>&copy; foot</footer></body></html>"
+    assert [b[0] for b in blocks(page)][1:-1] == ["One title here", "First text of the article, long enough to be read.", "Second text of the article, long enough to be read."]
+    assert main_text(page, default_field()).endswith("Second text of the article, long enough to be read.")
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", "", None
@@ -145,6 +154,53 @@ def test_license_automata(spark):
     assert (got[1000].n_words, got[1000].labels, got[1001].score, got[1000].first_word) == (0, "", 0.0, None)
 
 
+def plain_match(markup, words):
+    """Whether a template matches somewhere: all ways of its optional words and gaps, one by one."""
+    steps = re.findall(r"\[([^\]]+)\]|<(\d+)-(\d+)>|(\S+)", markup)
+    while not steps[0][3]:
+        steps.pop(0)
+
+    def rest(i, at):
+        if i == len(steps):
+            return True
+        opt, lo, hi, word = steps[i]
+        if word:
+            return at < len(words) and words[at] == word and rest(i + 1, at + 1)
+        if opt:
+            own = opt.split()
+            return rest(i + 1, at) or words[at : at + len(own)] == own and rest(i + 1, at + len(own))
+        return any(rest(i + 1, at + n) for n in range(int(lo), int(hi) + 1) if at + n <= len(words))
+
+    return any(rest(0, i) for i in range(len(words)))
+
+
+def test_license_labels_against_plain_matching(spark, sf):
+    """Labels of all texts, and of made ones that drop, add and repeat words of the templates."""
+    rng = random.Random(3)
+    texts = [t for _, t, _ in documents(spark, sf)[1]]
+    for _, markup in TEMPLATES:
+        for _ in range(6):
+            words = []
+            for opt, lo, hi, word in re.findall(r"\[([^\]]+)\]|<(\d+)-(\d+)>|(\S+)", markup):
+                words += opt.split() * rng.randint(0, 1) if opt else [rng.choice(["foo", "mit", "the"]) for _ in range(rng.randint(int(lo), int(hi)))] if hi else [word]
+            if rng.random() < 0.5:
+                words.insert(rng.randrange(len(words)), "foo") if rng.random() < 0.5 else words.pop(rng.randrange(len(words)))
+            texts.append("Intro, text; " + " ".join(words).title() + ". End.")
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        want = {label for label, markup in TEMPLATES if plain_match(markup, words)} | {p for p in got[i].base_labels.split(",") if p}
+        assert set(filter(None, got[i].labels.split(","))) == want and got[i].n_words == len(words)
+        assert (got[i].score == 1.0) == bool(want)
+
+
+def test_license_templates_without_common_words(spark):
+    docs = spark.createDataFrame([(0, "you may do whatever you like with it"), (1, "released under the terms of the foo"), (2, "do what")], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan(docs, templates=[("wtf", "do whatever you like"), ("x", "do <0-2> it all")]).collect()}
+    assert got == {0: ("wtf", 1.0), 1: ("", 0.0), 2: ("", 0.0)}
+    assert license_scan(docs.where("doc_id = 1")).first().score == 0.6
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -267,6 +323,30 @@ def test_secret_redaction(spark, forest):
     assert by[1000] is None and by[1001] == "" and got.count() == docs.count()
 
 
+def test_secret_forms(spark, forest):
+    """Short passwords, names in the run itself, marks, words on both sides, columns that clash, and a name with a dot."""
+    key = "9b0b3c6a43eb78aa99cbd7049c572391524f3e01"
+    texts = [
+        'password = "hunter2pass"', "db_password: tr0ub4dor!x", f"export API_TOKEN={key} now", f"see commit {key} for the checksum", "password: required and kept",
+        "the call at +49-170-5551234567 was 3141592653589793", f'api_key="{key}",', "Author: Smith wrote it", "secret " * 4 + "of the old town",
+    ]
+    docs = odd_docs(spark, *texts).withColumn("_row", F.lit("keepme")).withColumn("_found", F.lit("x")).withColumn("a.b", F.lit("y"))
+    got = defaultdict(set)
+    for r in scan(docs, model=forest).where("secret").select("row.doc_id", "candidate").collect():
+        got[r.doc_id].add(r.candidate)
+    assert got == {0: {"hunter2pass"}, 1: {"tr0ub4dor!x"}, 2: {key}, 6: {key}}
+    clean = redact(docs, model=forest).where("doc_id = 2").first()
+    assert clean.text == "export API_TOKEN=[secret] now" and clean["_row"] == "keepme" and clean["_found"] == "x" and clean["a.b"] == "y"
+
+
+def test_secret_scan_is_linear(spark, forest):
+    """A text of a million letters in one run, with and without a digit, and one of many runs."""
+    docs = odd_docs(spark, "x" * 1_000_000, "y" * 1_000_000 + "1", "secret" * 160_000, ("abcdefghij0123456789!" * 20_000))
+    began = time.time()
+    assert scan(docs, model=forest).count() == 20_001
+    assert time.time() - began < 60
+
+
 def test_packing(spark, sf):
     import public_tokenizers
     from tokenizers import Tokenizer
