@@ -139,9 +139,11 @@ def _assemble(findings: DataFrame, words: DataFrame | None) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(findings, words))
 
 
-def train(findings: DataFrame, seed: int = 9, words: DataFrame | None = None) -> RandomForestClassificationModel:
-    """The forest on labelled findings (``candidate, before, after, path, label``)."""
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(_assemble(findings, words).select("features", "label"))
+def train(findings: DataFrame, seed: int = 9, words: DataFrame | None = None, scratch: Scratch | None = None) -> RandomForestClassificationModel:
+    """The forest on labelled findings (``candidate, before, after, path, label``), whose features are written once, as fitting reads them often."""
+    scratch = scratch or Scratch(findings.sparkSession, "forest")
+    rows = scratch.cut(_assemble(findings, words).select("features", "label", F.xxhash64("candidate", "before", "after").alias("at")).coalesce(2).sortWithinPartitions("at"))
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(rows)
 
 
 def candidates(docs: DataFrame, *, text: str = "text", path: str | None = None) -> DataFrame:
@@ -183,8 +185,8 @@ def scan(
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "secrets")
-    known = dictionary(spark, words)
-    model = model or train(labelled_findings(spark), words=known)
+    known = scratch.cut(dictionary(spark, words).coalesce(1))
+    model = model or train(labelled_findings(spark), words=known, scratch=scratch)
     found = scratch.cut(candidates(docs, text=text, path=path))
     score = vector_to_array("probability")[1]
     return model.transform(_assemble(found, known)).select("row", "of", "word", "candidate", score.alias("score"), (score >= threshold).alias("secret"))
