@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from immunoframe.sources import readers
 
 
@@ -27,18 +29,68 @@ def test_airr(spark, tmp_path):
     path = write(tmp_path / "a.tsv", "sequence_id\tv_call\tj_call\tjunction\tjunction_aa\tduplicate_count\tproductive", "1\tTRBV1*01\tTRBJ1\tTGTTTT\tCF\t2\tT", "2\tTRBV2\t\tTGT\tC\t\tF")
     rows = readers.read_airr(spark, path).orderBy("v_call").collect()
     assert [(r.sample_id, r.duplicate_count, r.productive, r.j_call) for r in rows] == [("a", 2, True, "TRBJ1"), ("a", 1, False, None)]
+    path = write(tmp_path / "b.tsv", "v_call\tj_call\tcdr3_aa\tcdr3_nt\tcount\tfrequency\tv_identity\td_call", "V1\tJ1\tCF\tTGT\t5000.0\t0.5\t0.9\t", "V1\tJ1\tCF\tTGT\t2\t0.1\t0.8\tD2", "V2\tJ1\tCF\tTGT\tx\t0.4\t1.0\t")
+    rows = readers.read_airr(spark, path, keep=("v_identity",), recompute=False).orderBy("v_call").collect()
+    assert [(r.v_call, r.duplicate_count, round(r.frequency, 6), round(r.v_identity, 6), r.d_call, r.locus) for r in rows] == [("V1", 5002, 0.6, 0.85, "D2", "V1"), ("V2", 1, 0.4, 1.0, None, "V2")]
+    assert readers.read_airr(spark, path, collapsed=False).count() == 3
+    with pytest.raises(ValueError, match="v_call"):
+        readers.read_airr(spark, write(tmp_path / "c.tsv", "junction_aa\tj_call", "CF\tJ1"))
 
 
 def test_clone_exports(spark, tmp_path):
-    path = write(tmp_path / "m.txt", "cloneId\tcloneCount\tallVHitsWithScore\tallDHitsWithScore\tallJHitsWithScore\tnSeqCDR3\taaSeqCDR3", "0\t12.0\tTRBV5*00(100),TRBV6*00(9)\t\tTRBJ1*00(1)\tTGTGC\tC_~F")
-    r = readers.read_mixcr(spark, path).first()
-    assert (r.v_call, r.d_call, r.j_call, r.junction_aa, r.duplicate_count) == ("TRBV5*01", None, "TRBJ1*01", "C_F", 12)
-    path = write(tmp_path / "i.tsv", "rearrangement\tamino_acid\tv_gene\td_gene\tj_gene\ttemplates\treads", "ACGT\tCAF\tTCRBV05-01\tunresolved\tTCRBJ02-03\t\t7")
-    r = readers.read_immunoseq(spark, path).first()
-    assert (r.v_call, r.d_call, r.j_call, r.duplicate_count) == ("TRBV5-1", None, "TRBJ2-3", 7)
-    clone = {"sequence": "AATGTTTTCC", "reads": [5], "seg": {"5": {"name": "V"}, "3": {"name": "J"}, "junction": {"start": 3, "stop": 8, "aa": "CF"}}}
-    r = readers.read_vidjil(spark, write(tmp_path / "v.json", json.dumps({"clones": [clone]}))).first()
-    assert (r.sample_id, r.junction_nt, r.duplicate_count, r.v_call, r.d_call) == ("v", "TGTTTT", 5, "V", None)
+    one = lambda df: (lambda r: (r.v_call, r.d_call, r.j_call, r.junction_aa, r.junction_nt, r.duplicate_count))(df.first())
+    path = write(tmp_path / "m.txt", "cloneId\tcloneCount\tallVHitsWithScore\tallDHitsWithScore\tallJHitsWithScore\tallCHitsWithScore\tnSeqCDR3\taaSeqCDR3", "0\t12.0\tTRBV5*00(100),TRBV6*00(9)\t\tTRBJ1*00(1)\t\ttgtgc\tC_~F", "1\t1\t\t\tTRBJ1*00(1)\t\tTGT\tC")
+    assert one(readers.read(spark, path)) == ("TRBV5", None, "TRBJ1", "C_~F", "TGTGC", 12) and readers.read(spark, path).count() == 1
+    path = write(tmp_path / "g.txt", "Count\tCDR3 nucleotide sequence\tCDR3 amino acid sequence\tV segments\tJ segments\tD segments", "3\tTGTTT\tCtttF\tTRBV1*01\tTRBJ1*01,TRBJ2\t.")
+    assert readers.sniff_format(spark, path) == "migec" and one(readers.read(spark, path)) == ("TRBV1", None, "TRBJ1", "C_F", "TGTTT", 3)
+    path = write(tmp_path / "t.txt", "Read.count\tCDR3.nucleotide.sequence\tCDR3.amino.acid.sequence\tV.gene\tJ.gene\tD.gene", "3\tTGTTTT\tCF\tTRBV1\tTRBJ1\tTRBD1, TRBD2", "2\tTGTTTT\tCF\tTRBV1\tTRBJ1\t")
+    assert one(readers.read(spark, path)) == ("TRBV1", "TRBD1", "TRBJ1", "CF", "TGTTTT", 5)
+    path = write(tmp_path / "r.txt", "Number of reads\tV gene\tJ gene\tJunction nucleotide sequence", "4\tTRBV1*01\tTRBJ1*01\tTGTAAATTTC")
+    assert one(readers.read(spark, path)) == ("TRBV1", None, "TRBJ1", "C_F", "TGTAAATTTC", 4)
+    path = write(tmp_path / "h.txt", "Sequence\tV-GENE and allele\tJ-GENE and allele\tD-GENE and allele\tJUNCTION", "x\tHomsap IGHV2-26*01 F\tHomsap IGHJ4*02 F\t\ttgttgg", "y\tHomsap IGHV2-26*02 F\tHomsap IGHJ4*02 F\t\ttgttgg", "z\tHomsap IGHV1*02 F\tHomsap IGHJ4*02 F\t\ttgnnnn")
+    assert one(readers.read(spark, path)) == ("IGHV2-26", None, "IGHJ4", "CW", "TGTTGG", 2)
+    path = write(tmp_path / "u.tsv", "#count\tfrequency\tCDR3nt\tCDR3aa\tV\tD\tJ\tC\tcid\tcid_full_length", "6\t0.5\tTGTTGG\tC?W\tIGHV1*01\t*\tIGHJ1*01\tIGHM\ta\t1", "6\t0.5\tpartial\tC\tIGHV1\t*\tIGHJ1\tIGHM\ta\t1")
+    assert one(readers.read(spark, path)) == ("IGHV1", None, "IGHJ1", "C_W", "TGTTGG", 6)
+    path = write(tmp_path / "i.tsv", "rearrangement\tamino_acid\tframe_type\tv_index\tcdr3_length\tv_gene\tv_family\td_gene\tj_gene\ttemplates\treads", "AATGTTTTCC\tCF\tIn\t2\t6\tunresolved\tTCRBV05\tunresolved\tTCRBJ02-03\tnull\t7")
+    assert one(readers.read(spark, path)) == ("TRBV5", None, "TRBJ2-3", "CF", "TGTTTT", 7)
+    names = spark.createDataFrame([("TCRBV05", "TRBV5-1")], "token string, gene string")
+    assert readers.read_immunoseq(spark, path, names=names).first().v_call == "TRBV5-1"
+    clone = {"sequence": "AATGTTTTCC", "reads": [5, 8], "seg": {"5": {"name": "V*01"}, "3": "J", "junction": {"start": 3, "stop": 8, "aa": "CF"}}}
+    path = write(tmp_path / "v.vidjil", json.dumps({"clones": [clone, {"sequence": "A", "reads": [1, 1]}]}))
+    assert one(readers.read(spark, path)) == ("V", None, "J", "CF", "TGTTTT", 5) and readers.read_vidjil(spark, path, sample_id=1).first().duplicate_count == 8
+    with pytest.raises(Exception, match="out of range"):
+        readers.read_vidjil(spark, path, sample_id=2).collect()
+    with pytest.raises(ValueError, match="unknown kind"):
+        readers.read(spark, write(tmp_path / "x.txt", "a\tb", "1\t2"))
+
+
+def test_parquet_and_samples(spark, tmp_path):
+    rows = [("IGHV3-23*01,IGHV3-23D*01", "IGHJ1", "CW", "TGTTGG", 3, 0.75)]
+    spark.createDataFrame(rows, "v_call string, j_gene string, junction_aa string, cdr3_nt string, count long, freq double").write.parquet(str(tmp_path / "p.parquet"))
+    r = readers.read(spark, str(tmp_path / "p.parquet"), recompute=False).first()
+    assert (r.v_call, r.j_call, r.duplicate_count, r.frequency, r.locus) == ("IGHV3-23*01,IGHV3-23D*01", "IGHJ1", 3, 0.75, "IGH")
+    head = "count\tfreq\tcdr3nt\tcdr3aa\tv\td\tj"
+    for s, v in (("a", "TRBV1, TRBV2"), ("b", "TRBV3")):
+        write(tmp_path / f"{s}.tsv", head, f"3\t0.75\tTGT\tCAS\t{v}\t.\tTRBJ1")
+    meta = spark.createDataFrame([("a", "x"), ("b", "y")], "sample_name string, group string")
+    got = readers.read_samples(spark, meta, str(tmp_path), sample="sample_name", template="{sample}.tsv")
+    assert sorted((r.sample_id, r.v_call, r.file_name, r.group) for r in got.collect()) == [("a", "TRBV1", "a.tsv", "x"), ("b", "TRBV3", "b.tsv", "y")]
+    assert sorted(r[0] for r in readers.map_samples(got, lambda x: x[["sample_id"]], "sample_id string").collect()) == ["a", "b"]
+
+
+def test_cells_round_trip(spark, tmp_path):
+    path = write(tmp_path / "cells.tsv", "cell_id\tsequence_id\tv_call\tj_call\tjunction\tjunction_aa\tconsensus_count\tumi_count\tproductive", "c1\tc1_1\tTRAV1\tTRAJ1\tTGT\tC\t9\t2\tT", "c1\t\tTRBV1\tTRBJ1\tTGC\tC\t5\t1\tF")
+    with pytest.raises(ValueError, match="cell_id"):
+        readers.read(spark, path)
+    cells = readers.read_airr_cell(spark, path)
+    assert sorted((r.cell_id, r.locus, r.duplicate_count, r.umi_count, r.productive) for r in cells.collect()) == [("c1", "TRA", 9, 2, True), ("c1", "TRB", 5, 1, False)]
+    readers.write_cells(cells, str(tmp_path / "airr"))
+    back = readers.read_airr_cell(spark, str(tmp_path / "airr"))
+    assert sorted((r.cell_id, r.v_call, r.junction_nt, r.duplicate_count) for r in back.collect()) == [("c1", "TRAV1", "TGT", 9), ("c1", "TRBV1", "TGC", 5)]
+    readers.write_cells(cells, str(tmp_path / "contigs"), fmt="10x")
+    assert readers.read_contigs(spark, str(tmp_path / "contigs")).count() == 2
+    fasta = readers.read_fasta(spark, write(tmp_path / "s.fa", ">one two", "ACG", "TT", ">b", "GG")).collect()
+    assert sorted((r.header, r.sequence) for r in fasta) == [("b", "GG"), ("one two", "ACGTT")]
 
 
 def test_contigs_and_metadata(spark, tmp_path):
