@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 HEAVY, LIGHT = ("TRB", "TRD", "IGH"), ("TRA", "TRG", "IGK", "IGL")
 
 
@@ -53,16 +55,62 @@ def chain_multiplicity(contigs: DataFrame, pair: str = "TRA_TRB") -> DataFrame:
     return cells.groupBy("n_light", "n_heavy").agg(F.count("*").alias("cells"))
 
 
-def cluster_eval(labels: DataFrame, true: str = "label_true", predicted: str = "label_pred") -> DataFrame:
-    """Purity, inverse purity, homogeneity and completeness of a clustering, from its contingency table."""
-    cells = labels.groupBy(F.col(true).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    own_t, own_p, every = Window.partitionBy("t"), Window.partitionBy("p"), Window.partitionBy()  # the table has a row for each pair of labels
-    x = cells.withColumn("nt", F.sum("n").over(own_t)).withColumn("np", F.sum("n").over(own_p)).withColumn("total", F.sum("n").over(every))
-    x = x.withColumn("mt", F.row_number().over(own_t.orderBy(F.desc("n"), "p")) == 1).withColumn("mp", F.row_number().over(own_p.orderBy(F.desc("n"), "t")) == 1)
-    share = lambda of: -F.col("n") / F.col("total") * F.log(F.col("n") / F.col(of))
-    one = x.agg(
-        (F.sum(F.when(F.col("mp"), F.col("n"))) / F.max("total")).alias("purity"), (F.sum(F.when(F.col("mt"), F.col("n"))) / F.max("total")).alias("inverse_purity"),
-        F.sum(share("np")).alias("tp"), F.sum(share("nt")).alias("pt"), F.sum(-F.col("n") / F.col("total") * F.log(F.col("nt") / F.col("total"))).alias("ht"), F.sum(-F.col("n") / F.col("total") * F.log(F.col("np") / F.col("total"))).alias("hp"),
+def flag_mispairing(paired: DataFrame, *, max_slaves_per_master: int | None = None, drop: bool = False) -> DataFrame:
+    """``mispairing_flag`` and ``mispairing_reason`` of paired chains: ``ok``, ``noncanonical_alpha`` or ``ambient_master``.
+
+    The canonical light chain of a heavy one is that of most cells (then of most support, then the first). Another one is
+    flagged, unless its cell holds the canonical one too. ``max_slaves_per_master``: a heavy chain with more light ones is ambient.
+    """
+    if max_slaves_per_master is not None and max_slaves_per_master <= 0:
+        raise ValueError("max_slaves_per_master must be positive")
+    key = lambda x: F.concat(f"{x}_v_call", F.lit("|"), f"{x}_j_call", F.lit("|"), f"{x}_junction_aa")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    work = paired.withColumns({"_m": key("beta"), "_s": key("alpha"), "_w": count("alpha_duplicate_count") + count("alpha_umi_count")})
+    edges = work.groupBy("_m", "_s").agg(F.count("*").alias("_n"), F.sum("_w").alias("_w"))
+    best = F.row_number().over(Window.partitionBy("_m").orderBy(F.desc("_n"), F.desc("_w"), "_s"))
+    of = edges.withColumn("_at", best).groupBy("_m").agg(F.max(F.when(F.col("_at") == 1, F.col("_s"))).alias("_canon"), F.count("_s").alias("_degree"))
+    work = work.drop("_w").join(of, "_m", "left")
+    held = F.max(F.col("_s") == F.col("_canon")).over(Window.partitionBy("cell_id", "_m"))
+    ambient = F.col("_degree") > max_slaves_per_master if max_slaves_per_master is not None else F.lit(False)
+    other = (F.col("_s") != F.col("_canon")) & ~held
+    work = work.withColumn("mispairing_reason", F.when(ambient, "ambient_master").when(other, "noncanonical_alpha").otherwise("ok"))
+    work = work.withColumn("mispairing_flag", F.col("mispairing_reason") != "ok")
+    out = work.select(*paired.columns, "mispairing_flag", "mispairing_reason")
+    return out.where("not mispairing_flag").select(*paired.columns) if drop else out
+
+
+def assign_singleton_ids(df: DataFrame, column: str, *, sentinel: int | None = None, order: str = "ord") -> DataFrame:
+    """``column`` with each unclustered row (null, or ``sentinel``) in a cluster of its own, of a negative number.
+
+    Rows are numbered by ranges of ``order``, so that no task sees them all.
+    """
+    alone = F.col(column).isNull() | ((F.col(column) == sentinel) if sentinel is not None else F.lit(False))
+    scratch = Scratch(df.sparkSession, "singletons")
+    few = scratch.cut(df.where(alone).repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    starts = few.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # one row for each range
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_start")
+    numbered = few.join(starts, "_part").withColumn(column, (-nth).cast("long")).select(*df.columns)
+    return df.where(~alone).withColumn(column, F.col(column).cast("long")).unionByName(numbered)
+
+
+def cluster_eval(labels: DataFrame, true: str = "label_true", predicted: str = "label_pred", *, beta: float = 1.0) -> DataFrame:
+    """Purities, raw and scaled from their floors, homogeneity, parsimony and their weighted harmonic mean, from the contingency table.
+
+    Margins and joint counts are aggregates; one row each meets in the end.
+    """
+    cells = labels.groupBy(F.col(true).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").cast("double").alias("n"))
+    of = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n"), F.max("n").alias("m"))
+    entropy = lambda: F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
+    t = of("t").agg(F.sum("n").alias("total"), F.sum("m").alias("mt"), F.max("n").alias("largest"), F.count("*").alias("classes"), entropy().alias("hc"))
+    p = of("p").agg(F.sum("m").alias("mp"), entropy().alias("hk"))
+    one = t.crossJoin(p).crossJoin(cells.agg(entropy().alias("hck")))  # single rows
+    n, hc = F.col("total"), F.col("hc")
+    scaled = lambda x, least: F.when(least >= 1, 1.0).otherwise(F.try_divide(x - least, 1 - least))
+    zero = F.lit(0.0)
+    one = one.select(
+        (F.col("mp") / n).alias("purity"), scaled(F.col("mp") / n, F.col("largest") / n).alias("normalized_purity"), (F.col("mt") / n).alias("inverse_purity"), scaled(F.col("mt") / n, F.col("classes") / n).alias("normalized_inverse_purity"),
+        F.when(hc <= 1e-15, 1.0).otherwise(1 - F.greatest(zero, F.col("hck") - F.col("hk")) / hc).alias("homogeneity"),
+        F.when(F.log(n) - hc <= 1e-15, 1.0).otherwise(1 - F.try_divide(F.greatest(zero, F.col("hck") - hc), F.log(n) - hc)).alias("parsimony"),
     )
-    rest = lambda a, b: 1 - F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return one.select("purity", "inverse_purity", rest("tp", "ht").alias("homogeneity"), rest("pt", "hp").alias("completeness"))
+    h, s = F.col("homogeneity"), F.col("parsimony")
+    return one.withColumn("q_measure", F.when((h <= 0) | (s <= 0), 0.0).otherwise(F.try_divide((1 + beta) * h * s, beta * h + s)))

@@ -36,6 +36,12 @@ PAIR = "j0 as (select v_call, j_call, coalesce(sum(duplicate_count) filter (samp
 GRID = f"r as (select sample_id, batch, {V} as v, {J} as j, duplicate_count from clonotypes join samples using (sample_id)), u as (select sample_id, batch, substr(v, 1, 3) as locus, v, j, {{count}} as n from r group by all), " \
     "g as (select * from (select distinct sample_id, batch, locus from u) join (select distinct locus, v, j from u) using (locus)), p0 as (select g.*, coalesce(n, 0) as n from g left join u using (sample_id, batch, locus, v, j)), p as (select *, (n + 1e0) / sum(n + 1e0) over (partition by sample_id, locus) as p, ln((n + 1e0) / sum(n + 1e0) over (partition by sample_id, locus)) as l from p0)"
 
+KERNEL = "x as (select junction_aa as s, sum(frequency) as p from clonotypes where sample_id = 'S01' group by all), y as (select junction_aa as s, sum(frequency) as p from clonotypes where sample_id = 'S02' group by all), " \
+    + ", ".join("k{a}{b} as (select sum(a.p * b.p * exp(-hamming(a.s, b.s) / {{tau}})) as {a}{b} from {x} a join {y} b on length(a.s) = length(b.s) and hamming(a.s, b.s) <= 1)".format(a=a, b=b, x=x, y=y) for a, b, x, y in (("a", "b", "x", "y"), ("a", "a", "x", "x"), ("b", "b", "y", "y"))) \
+    + ", k as (select * from kab, kaa, kbb)"
+SIG = f"rw as (select sample_id, substr(v_call, 1, 3) as locus, junction_aa as s, duplicate_count as n, v_identity as i, {CC} as c from clonotypes), wk as (select *, log2(1 + n) / sum(log2(1 + n)) over (partition by sample_id, locus) as w from rw where regexp_matches(s, '^[ACDEFGHIKLMNPQRSTVWY]+$')), " \
+    "st as (select sample_id, locus, sum(n) as reads, cast(count(*) as double) as rich, cast(count(*) filter (n = 1) as double) as f1, cast(count(*) filter (n = 2) as double) as f2, max(n) / sum(n) as top from wk group by all)"
+
 
 def significant(sql: str) -> str:
     """``round(x, 6)`` in ``sql`` as nine significant digits of x."""
@@ -159,8 +165,31 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "resolve_chains": f", {LIGHT} select cell_id, sequence_id, locus, duplicate_count, umi_count from res",
     "pair_chains": f", {LIGHT}, p as (select a.cell_id, a.v_call as alpha_v_call, a.j_call as alpha_j_call, a.junction_aa as alpha_junction_aa, a.umi_count as alpha_umi_count, a.duplicate_count as alpha_duplicate_count, b.v_call as beta_v_call, b.j_call as beta_j_call, b.junction_aa as beta_junction_aa, b.umi_count as beta_umi_count, b.duplicate_count as beta_duplicate_count, row_number() over (partition by a.cell_id order by b.ord, a.ord) as i, count(*) over (partition by a.cell_id) as n from res a join res b using (cell_id) where a.locus = 'TRA' and b.locus = 'TRB') select * exclude (i, n), case when n = 1 then cell_id else cell_id || '_' || i end as pair_id from p",
     "chain_multiplicity": ", c as (select cell_id, cast(sum(cast(locus = 'TRA' as int)) as bigint) as n_light, cast(sum(cast(locus = 'TRB' as int)) as bigint) as n_heavy from cells where locus in ('TRA', 'TRB') group by all) select n_light, n_heavy, count(*) as cells from c group by all",
-    "cluster_eval": """, c as (select label as t, vec_id % 7 as p, count(*) as n from embeddings group by all), x as (select *, sum(n) over (partition by t) as nt, sum(n) over (partition by p) as np, sum(n) over () as total from c),
-        t as (select t, sum(n) as nt, max(n) as mt from c group by all), p as (select p, sum(n) as np, max(n) as mp from c group by all), z as (select sum(n) as total from c)
-        select round((select sum(mp) from p) / any_value(total), 6) as purity, round((select sum(mt) from t) / any_value(total), 6) as inverse_purity,
-        round(1 - sum(-n / total * ln(n / np)) / (select sum(-nt / total * ln(nt / total)) from t, z), 6) as homogeneity, round(1 - sum(-n / total * ln(n / nt)) / (select sum(-np / total * ln(np / total)) from p, z), 6) as completeness from x""",
+    "cluster_eval": """, c as (select label as t, vec_id % 7 as p, cast(count(*) as double) as n from embeddings group by all), t as (select t, sum(n) as n, max(n) as m from c group by all), p as (select p, sum(n) as n, max(n) as m from c group by all),
+        z as (select sum(n) as total, sum(m) as mt, max(n) as big, count(*) as k, ln(sum(n)) - sum(n * ln(n)) / sum(n) as hc from t), y as (select sum(m) as mp, ln(sum(n)) - sum(n * ln(n)) / sum(n) as hk from p), x as (select ln(sum(n)) - sum(n * ln(n)) / sum(n) as hck from c),
+        r as (select mp / total as pu, (mp / total - big / total) / (1 - big / total) as npu, mt / total as ip, (mt / total - k / total) / (1 - k / total) as nip, 1 - greatest(0, hck - hk) / hc as h, 1 - greatest(0, hck - hc) / (ln(total) - hc) as s from z, y, x)
+        select round(pu, 6) as purity, round(npu, 6) as normalized_purity, round(ip, 6) as inverse_purity, round(nip, 6) as normalized_inverse_purity, round(h, 6) as homogeneity, round(s, 6) as parsimony, round(2 * h * s / (h + s), 6) as q_measure from r""",
+    "neighbour_enrichment": f""", r as (select sample_id, {SHORT} as s, substr(v_call, 1, 3) as locus, v_call, j_call, duplicate_count as n, ord from clonotypes where sample_id in ('S01', 'S02')), o as (select locus, s, arg_max(v_call, n * 1000000000000 - ord) as v_call, arg_max(j_call, n * 1000000000000 - ord) as j_call, sum(n) as n from r where sample_id = 'S01' group by all),
+        k as (select distinct s from r where sample_id = 'S02'), d as (select a.locus, a.s, count(*) - 1 as d from o a join o b on a.locus = b.locus and length(a.s) = length(b.s) and hamming(a.s, b.s) <= 1 group by all), c as (select a.locus, a.s, count(*) as c from o a join k on length(a.s) = length(k.s) and hamming(a.s, k.s) <= 1 group by all),
+        z as (select locus, count(*) as z from o group by all), m as (select count(*) as m from k), e as (select o.*, d.d, coalesce(c.c, 0) as c, z / m * coalesce(c.c, 0) as e from o join d using (locus, s) left join c using (locus, s) join z using (locus), m),
+        p as (select *, case when d <= 0 then 1 when e <= 0 then 0 else least(1, list_sum(list_transform(range(d, d + 150), lambda i: exp(i * ln(e) - e - lgamma(i + 1))))) end as p from e), w as (select *, round(p, 12) as pr from p), x as (select *, count(*) over (order by pr) as r, count(*) over () as m from w)
+        select 'S01' as sample_id, s as junction_aa, v_call, j_call, cast(n as bigint) as duplicate_count, d as n_neighbors, c as n_control, round(e, 6) as "E", round(p, 6) as p_enrichment, round(least(1, min(p * m / r) over (order by pr range between current row and unbounded following)), 6) as q_value, locus from x""",
+    "neighbour_enrichment_model": f""", r as (select sample_id, {SHORT} as s, substr(v_call, 1, 4) as v, substr(j_call, 1, 4) as j, duplicate_count as n from clonotypes where duplicate_count >= 2), g as (select sample_id, v, j, count(*) as g from r group by all), h as (select sample_id, v, j, s, count(*) as k, sum(n) as n from r group by all),
+        d as (select a.sample_id, a.v, a.j, a.s, a.n, sum(b.k) as d from h a join h b on a.sample_id = b.sample_id and a.v = b.v and a.j = b.j and length(a.s) = length(b.s) and hamming(a.s, b.s) <= 1 group by all), e as (select d.*, g, 1e-3 * length(s) as q, g * 9.41e0 * 1e-3 * length(s) as e from d join g using (sample_id, v, j) where d >= 2)
+        select sample_id, s as junction_aa, v as v_call, j as j_call, cast(n as bigint) as duplicate_count, cast(d as bigint) as n_neighbors, g as n_group, round(q, 6) as pgen_ball, round(e, 6) as "E", round(case when d > e then list_sum(list_transform(range(cast(d as bigint), cast(d as bigint) + 200), lambda i: exp(i * ln(e) - e - lgamma(i + 1)))) else 1 - list_sum(list_transform(range(0, cast(d as bigint)), lambda i: exp(i * ln(e) - e - lgamma(i + 1)))) end, 6) as p_enrichment, substr(v, 1, 3) as locus from e""",
+    "similarity_overlap": f", {KERNEL.format(tau='1e0')} select round(ab / sqrt(aa * bb), 6) as similarity from k",
+    "similarity_overlap_morisita": f", {KERNEL.format(tau='2e0')} select round(2 * ab / (aa + bb), 6) as similarity from k",
+    "functional_diversity": ", p as (select sample_id, junction_aa as s, sum(frequency) / sum(sum(frequency)) over (partition by sample_id) as p from clonotypes group by sample_id, junction_aa), z as (select a.sample_id, a.s, any_value(a.p) as p, sum(b.p * exp(-cast(hamming(a.s, b.s) as double))) as z from p a join p b on a.sample_id = b.sample_id and length(a.s) = length(b.s) and hamming(a.s, b.s) <= 1 group by all), r as (select sample_id, 1 - sum(p * z) as rao, sum(p / z) as d0, exp(-sum(p * ln(z))) as d1, 1 / sum(p * z) as d2 from z group by all), o as (select sample_id, rao, 0 as order_q, d0 as d from r union all select sample_id, rao, 1, d1 from r union all select sample_id, rao, 2, d2 from r) select sample_id, round(rao, 6) as rao, order_q, round(d, 6) as diversity from o",
+    "flag_mispairing": f", {LIGHT}, p as (select a.cell_id, a.v_call as alpha_v_call, a.j_call as alpha_j_call, a.junction_aa as alpha_junction_aa, a.umi_count as alpha_umi_count, a.duplicate_count as alpha_duplicate_count, b.v_call as beta_v_call, b.j_call as beta_j_call, b.junction_aa as beta_junction_aa, b.umi_count as beta_umi_count, b.duplicate_count as beta_duplicate_count, row_number() over (partition by a.cell_id order by b.ord, a.ord) as i, count(*) over (partition by a.cell_id) as n from res a join res b using (cell_id) where a.locus = 'TRA' and b.locus = 'TRB'), q as (select * exclude (i, n), case when n = 1 then cell_id else cell_id || '_' || i end as pair_id, beta_v_call || '|' || beta_j_call || '|' || beta_junction_aa as m, alpha_v_call || '|' || alpha_j_call || '|' || alpha_junction_aa as s, alpha_duplicate_count + alpha_umi_count as w from p), e as (select m, s, count(*) as n, sum(w) as w from q group by all), c as (select m, first(s order by n desc, w desc, s) as c, count(*) as k from e group by all), f as (select q.*, c, k, bool_or(s = c) over (partition by cell_id, m) as h from q join c using (m)), g as (select *, case when k > 4 then 'ambient_master' when s != c and not h then 'noncanonical_alpha' else 'ok' end as mispairing_reason from f) select * exclude (m, s, w, c, k, h), mispairing_reason != 'ok' as mispairing_flag from g",
+    "singleton_ids": ", e as (select event_id, case when event_id % 3 = 0 then null when event_id % 7 = 0 then -1 else event_id % 5 end as c from events) select event_id, cast(-row_number() over (order by event_id) as bigint) as cluster from e where c is null or c = -1 union all select event_id, cast(c as bigint) from e where c != -1",
+    "signature_depth": f", {SIG}, f as (select *, case when f2 > 0 then f1 * f1 / (2 * f2) else f1 * (f1 - 1) / 2 end as u from st) select sample_id, locus, 'depth' as block, f.feature, round(case f.feature when 'reads' then log10(reads) when 'richness' then log10(rich) else ln(1 + u) end, 6) as value from f, (select unnest(['reads', 'richness', 'S_unseen']) as feature) f(feature)".replace("from f, (select", "from f g, (select"),
+    "signature_clones": f", {SIG}, p as (select *, [f1 / rich, f2 / rich, (rich - f1 - f2) / rich] as p from st), z as (select *, len(list_filter(p, lambda x: x = 0)) as z, list_min(list_filter(p, lambda x: x > 0)) as lo from p), q as (select *, case when z > 0 then least(0.5 / rich, 0.5 * lo / z) else 0 end as d from z), l as (select *, list_transform(p, lambda x: ln(case when x = 0 then d else x * (1 - d * z) end)) as l from q) select sample_id, locus, 'clon' as block, feature, round(case feature when 'f1' then l[1] - list_avg(l) when 'f2' then l[2] - list_avg(l) else ln((top * reads + 0.5) / ((1 - top) * reads + 0.5)) end, 6) as value from l, (select unnest(['f1', 'f2', 'top']) as feature)",
+    "signature_lengths": f", {SIG}, m as (select sample_id, locus, sum(w * length(s)) as m from wk group by all), v as (select sample_id, locus, any_value(m) as m, sqrt(sum(w * pow(length(s) - m, 2))) as sd, sum(w * pow(length(s) - m, 3)) as t from wk join m using (sample_id, locus) group by all) select sample_id, locus, 'len' as block, feature, round(case feature when 'mean' then m when 'sd' then sd else coalesce(t / nullif(sd * sd * sd, 0), 0) end, 6) as value from v, (select unnest(['mean', 'sd', 'skew']) as feature)",
+    "signature_isotypes": f", {SIG}, p as (select sample_id, locus, count(*) as n, [coalesce(sum(w) filter (c = 'IGHM'), 0), coalesce(sum(w) filter (c = 'IGHD'), 0), coalesce(sum(w) filter (c in ('IGHG1', 'IGHG2', 'IGHG3', 'IGHG4')), 0), coalesce(sum(w) filter (c in ('IGHA1', 'IGHA2')), 0), coalesce(sum(w) filter (c = 'IGHE'), 0)] as q from wk where locus = 'IGH' group by all), r as (select *, list_append(q, case when 1 - list_sum(q) > 1e-12 then 1 - list_sum(q) else 0 end) as r from p), p2 as (select *, list_transform(r, lambda x: x / list_sum(r)) as p from r), z as (select *, len(list_filter(p, lambda x: x = 0)) as z, list_min(list_filter(p, lambda x: x > 0)) as lo from p2), y as (select *, case when z > 0 then least(0.5 / n, 0.5 * lo / z) else 0 end as d from z), l as (select *, list_transform(p, lambda x: ln(case when x = 0 then d else x * (1 - d * z) end)) as l from y) select sample_id, locus, 'iso' as block, ['IgM', 'IgD', 'IgG', 'IgA', 'IgE'][i] as feature, round(l[i] - list_avg(l), 6) as value from l, (select unnest([1, 2, 3, 4, 5]) as i)",
+    "signature_mutation": f", {SIG}, m as (select sample_id, locus, sum(w * i) filter (i is not null) / sum(w) filter (i is not null) as x, count(i) as n from wk group by all) select sample_id, locus, 'shm' as block, 'mean_v_identity' as feature, round(ln((least(greatest(x, 0), 1) * n + 0.5) / ((1 - least(greatest(x, 0), 1)) * n + 0.5)), 6) as value from m",
+    "signature_pairs": f", {SIG}, r as (select sample_id, coalesce(sum(reads) filter (locus = 'TRB'), 0) as b, coalesce(sum(reads) filter (locus = 'IGH'), 0) as h from st group by all) select sample_id, 'all' as locus, 'pair' as block, feature, round(case feature when 'log_IGK_IGL' then 0 when 'log_IGH_TRB' then log10((h + 1) / (b + 1)) else log10(1 / (b + 1)) end, 6) as value from r, (select unnest(['log_TRA_TRB', 'log_TRG_TRB', 'log_TRD_TRB', 'log_IGK_IGL', 'log_IGH_TRB']) as feature)",
+    "signature_residues": f", {SIG}, g as (select sample_id, locus, sum(length(s)) as m, sum(length(s) * w) as t from wk group by all), x as (select sample_id, locus, r, sum(w * (length(s) - length(replace(s, r, '')))) as x from wk, (select unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) as r) group by all) select sample_id, locus, 'aa' as block, r as feature, round(asin(sqrt((x / t * m + 0.375) / (m + 0.75))), 6) as value from x join g using (sample_id, locus)",
+    "signature_quality": f", {SIG}, a as (select sample_id, locus, count(*) as n, sum(n) as a from rw group by all), b as (select sample_id, locus, sum(n) as b from wk group by all), q as (select *, 1 - coalesce(b, 0) / a as x from a left join b using (sample_id, locus)) select sample_id, locus, 'qc' as block, 'nonstd_aa_frac' as feature, round(ln((x * n + 0.5) / ((1 - x) * n + 0.5)), 6) as value from q",
+    "signature_properties": f", {SIG}, v as (select sample_id, locus, w, list_filter(list_transform(string_split(s, ''), lambda r: {_H}[r]), lambda x: x is not null) as v from wk) select sample_id, locus, 'pchem' as block, 'all_hydropathy' as feature, round(sum(list_avg(v) * w) / sum(w), 6) as value from v where len(v) > 0 group by all",
+    "signature_wide": f", {SIG}, t as (select sample_id, log10(reads) as r from st where locus = 'TRB'), p as (select sample_id, log10((sum(reads) filter (locus = 'IGH') + 1) / (sum(reads) filter (locus = 'TRB') + 1)) as q from st group by all), l as (select sample_id, sum(w * length(s)) as m from wk where locus = 'TRB' group by all) select sample_id, round(r, 6) as reads, round(q, 6) as ratio, round(m, 6) as length from t join p using (sample_id) join l using (sample_id)",
 }.items()}

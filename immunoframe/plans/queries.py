@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clonotype as C
 from ..operators import association as assoc
-from ..operators import batch, diversity, dynamics, features, filters, neighbours, overlap, pooling, rarefaction, sampling, singlecell, usage
+from ..operators import batch, diversity, dynamics, enrichment, features, filters, neighbours, overlap, pooling, rarefaction, sampling, signature, singlecell, usage
 from . import adapter as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -471,3 +471,70 @@ def vj_correction_applied(s, d):
     c = A.clonotypes(s, d)
     out = batch.apply_vj_correction(c, batch.correct_vj_usage(_with_batch(s, d)), scope="v")
     return out.groupBy("sample_id").agg(F.sum("duplicate_count").alias("reads"), F.sum("frequency").alias("frequency"))
+
+
+@query
+def neighbour_enrichment(s, d):
+    c = A.clonotypes(s, d).withColumn("junction_aa", F.expr(A.SHORT))
+    return enrichment.tcrnet(A.one(c, "S01"), A.one(c, "S02").select("junction_aa"))
+
+
+@query
+def neighbour_enrichment_model(s, d):
+    c = A.clonotypes(s, d).withColumn("junction_aa", F.expr(A.SHORT)).withColumn("v_call", F.expr("substr(v_call, 1, 4)")).withColumn("j_call", F.expr("substr(j_call, 1, 4)"))
+    balls = c.select("junction_aa", "v_call", "j_call").distinct().withColumn("pgen_ball", F.expr("1e-3 * length(junction_aa)"))
+    return enrichment.alice(c, balls, min_degree=2).drop("q_value")
+
+
+@query
+def similarity_overlap(s, d):
+    return enrichment.similarity_overlap(*_two(s, d))
+
+
+@query
+def similarity_overlap_morisita(s, d):
+    return enrichment.similarity_overlap(*_two(s, d), metric="morisita", tau=2.0)
+
+
+@query
+def functional_diversity(s, d):
+    return enrichment.functional_diversity(A.clonotypes(s, d))
+
+
+@query
+def flag_mispairing(s, d):
+    return singlecell.flag_mispairing(singlecell.pair_chains(A.cells(s, d)), max_slaves_per_master=4)
+
+
+@query
+def singleton_ids(s, d):
+    e = A.table(s, d, "events").select("event_id", F.expr("case when event_id % 3 = 0 then null when event_id % 7 = 0 then -1 else event_id % 5 end").alias("cluster"))
+    return singlecell.assign_singleton_ids(e, "cluster", sentinel=-1, order="event_id")
+
+
+def _signature(*blocks):
+    def run(s, d):
+        return signature.features(A.clonotypes(s, d), tier="full").where(F.col("block").isin(*blocks))
+
+    return run
+
+
+for _name, _blocks in {"depth": ("depth",), "clones": ("clon",), "lengths": ("len",), "isotypes": ("iso",), "mutation": ("shm",), "pairs": ("pair",), "residues": ("aa",), "quality": ("qc",)}.items():
+    _f = _signature(*_blocks)
+    _f.__name__ = f"signature_{_name}"
+    query(_f)
+
+
+@query
+def signature_properties(s, d):
+    return signature.features(A.clonotypes(s, d), tier="full").where("block = 'pchem' and feature = 'all_hydropathy'")
+
+
+@query
+def signature_mask(s, d):
+    return signature.features(A.clonotypes(s, d)).where("block = 'mask'")
+
+
+@query
+def signature_wide(s, d):
+    return signature.vsig_cohort(A.clonotypes(s, d), tier="core", loci=("TRB",)).select("sample_id", F.col("`vsig:depth:TRB:reads`").alias("reads"), F.col("`vsig:pair:all:log_IGH_TRB`").alias("ratio"), F.col("`vsig:len:TRB:mean`").alias("length"))
