@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.clonotype import CODONS
 from ..operators.diversity import thisted_coefficients
 from ..operators.features import HYDROPATHY
+from . import toy
 from .adapter import MUTATED, SHORT, oracle
 
 STRIP = r"array_to_string(list_sort(list_distinct(list_transform(string_split({c}, ','), lambda x: regexp_replace(trim(x), '\*.*$', '')))), ',')"
@@ -42,6 +43,8 @@ KERNEL = "x as (select junction_aa as s, sum(frequency) as p from clonotypes whe
 SIG = f"rw as (select sample_id, substr(v_call, 1, 3) as locus, junction_aa as s, duplicate_count as n, v_identity as i, {CC} as c from clonotypes), wk as (select *, log2(1 + n) / sum(log2(1 + n)) over (partition by sample_id, locus) as w from rw where regexp_matches(s, '^[ACDEFGHIKLMNPQRSTVWY]+$')), " \
     "st as (select sample_id, locus, sum(n) as reads, cast(count(*) as double) as rich, cast(count(*) filter (n = 1) as double) as f1, cast(count(*) filter (n = 2) as double) as f2, max(n) / sum(n) as top from wk group by all)"
 
+RESIDUE = f"x as (select distinct a as junction_aa from (select {_TR.format(x='junction_nt')} as a from ({toy.JUNCTIONS.strip()}) where length(junction_nt) % 3 = 0) where not contains(a, '*')), g as (select a, sum(p) as p from (select {_TR.format(x='s')} as a, p from space where length(s) % 3 = 0) group by a)"
+
 
 def significant(sql: str) -> str:
     """``round(x, 6)`` in ``sql`` as nine significant digits of x."""
@@ -165,6 +168,21 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "resolve_chains": f", {LIGHT} select cell_id, sequence_id, locus, duplicate_count, umi_count from res",
     "pair_chains": f", {LIGHT}, p as (select a.cell_id, a.v_call as alpha_v_call, a.j_call as alpha_j_call, a.junction_aa as alpha_junction_aa, a.umi_count as alpha_umi_count, a.duplicate_count as alpha_duplicate_count, b.v_call as beta_v_call, b.j_call as beta_j_call, b.junction_aa as beta_junction_aa, b.umi_count as beta_umi_count, b.duplicate_count as beta_duplicate_count, row_number() over (partition by a.cell_id order by b.ord, a.ord) as i, count(*) over (partition by a.cell_id) as n from res a join res b using (cell_id) where a.locus = 'TRA' and b.locus = 'TRB') select * exclude (i, n), case when n = 1 then cell_id else cell_id || '_' || i end as pair_id from p",
     "chain_multiplicity": ", c as (select cell_id, cast(sum(cast(locus = 'TRA' as int)) as bigint) as n_light, cast(sum(cast(locus = 'TRB' as int)) as bigint) as n_heavy from cells where locus in ('TRA', 'TRB') group by all) select n_light, n_heavy, count(*) as cells from c group by all",
+    "pgen_nt_vj": f", {toy.space(toy.VJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select s, sum(p) as p from space group by s) select junction_nt, round(coalesce(p, 0), 6) as pgen from x left join g on s = junction_nt",
+    "pgen_nt_vdj": f", {toy.space(toy.VDJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select s, sum(p) as p from space group by s) select junction_nt, round(coalesce(p, 0), 6) as pgen from x left join g on s = junction_nt",
+    "pgen_nt_genes": f", {toy.space(toy.VDJ)}, x as (select junction_nt, case when junction_nt like 'TGT%' then 'V1' else 'V2*01' end as v_call, case when junction_nt like '%TTTC' then 'J1*01' else 'J2' end as j_call from ({toy.JUNCTIONS.strip()})), g as (select s, v, j, sum(p) as p from space group by all) select junction_nt, v_call, j_call, round(coalesce(p, 0), 6) as pgen from x left join g on s = junction_nt and starts_with(v, v_call) and starts_with(j, j_call)",
+    "pgen_aa_vj": f", {toy.space(toy.VJ)}, {RESIDUE} select junction_aa, round(coalesce(p, 0), 6) as pgen from x left join g on a = junction_aa",
+    "pgen_aa_vdj": f", {toy.space(toy.VDJ)}, {RESIDUE} select junction_aa, round(coalesce(p, 0), 6) as pgen from x left join g on a = junction_aa",
+    "pgen_ball": f", {toy.space(toy.VDJ)}, {RESIDUE} select junction_aa, round(coalesce(sum(p), 0), 6) as pgen_ball from x left join g on length(a) = length(junction_aa) and not contains(a, '*') and hamming(case when length(a) = length(junction_aa) then a else junction_aa end, junction_aa) <= 1 group by junction_aa",
+    "pgen_fit": f", {toy.space(toy.VJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select s, sum(p) as p from space group by s), y as (select coalesce(p, 0) as p from x left join g on s = junction_nt) select count(*) as n, count(*) filter (p <= 0) as zero, round(avg(log10(p)) filter (p > 0), 6) as log_likelihood from (select p, case when p > 0 then p else 1 end as q from y) where true".replace("avg(log10(p))", "avg(log10(q))"),
+    "pgen_histogram": f", {toy.space(toy.VDJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select s, sum(p) as p from space group by s) select floor(log10(p)) as low, count(*) as n from x join g on s = junction_nt where p > 0 group by all",
+    "generated": f", {toy.space(toy.VDJ)} select distinct v as v_call, j as j_call, true as drawn from space",
+    "model_genes": f", {toy.marginals(toy.VJ, 'm')} select value, round(sum(weight * p), 6) as p from m where event = 'j' group by all",
+    "model_entropy": f", {toy.marginals(toy.VDJ, 'm')} select event, round(sum(case when p > 0 then -weight * p * log2(p) else 0 end), 6) as entropy from m group by all",
+    "model_total_entropy": f", {toy.marginals(toy.VDJ, 'm')}, e as (select event, sum(case when p > 0 then -weight * p * log2(p) else 0 end) as h from m group by all), n as (select event || '_step' as event, sum(p * cast(value as double)) as n from m where event in ('vd_ins', 'dj_ins') group by event) select round(sum(h * coalesce(n, 1)), 6) as entropy from e left join n using (event)",
+    "model_information": f", {toy.marginals(toy.VJ, 'm')}, q as (select event, value, sum(weight * p) as q from m group by all) select event, round(sum(weight * p * log2(p / q)), 6) as information from m join q using (event, value) where weight * p > 0 group by all",
+    "model_distance": f", {toy.marginals(toy.VJ, 'a')}, {toy.marginals(toy.VDJ, 'b')}, u as (select coalesce(a.event, b.event) as event, coalesce(a.parent, b.parent) as parent, coalesce(a.p, 0) as p, coalesce(b.p, 0) as q, max(coalesce(a.weight, 0)) over w as wa, max(coalesce(b.weight, 0)) over w as wb from a full join b on a.event = b.event and a.parent = b.parent and a.value = b.value window w as (partition by coalesce(a.event, b.event), coalesce(a.parent, b.parent))), h as (select event, parent, sum(case when p > 0 then 0.5 * p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then 0.5 * q * log2(2 * q / (p + q)) else 0 end) as js, sum(abs(p - q)) / 2 as tv, (max(wa) + max(wb)) / 2 as w from u group by all) select event, round(sum(w * js) / sum(w), 6) as js, round(sum(w * tv) / sum(w), 6) as tv from h group by all",
+    "model_usage": ", v as (select count(*) filter (v_call like 'TRB%') as a, count(*) filter (v_call not like 'TRB%') as b from clonotypes) select 'V1*01' as value, round((a + b / 2) / (a + b), 6) as p from v union all select 'V2*01', round((b / 2) / (a + b), 6) from v",
     "cluster_eval": """, c as (select label as t, vec_id % 7 as p, cast(count(*) as double) as n from embeddings group by all), t as (select t, sum(n) as n, max(n) as m from c group by all), p as (select p, sum(n) as n, max(n) as m from c group by all),
         z as (select sum(n) as total, sum(m) as mt, max(n) as big, count(*) as k, ln(sum(n)) - sum(n * ln(n)) / sum(n) as hc from t), y as (select sum(m) as mp, ln(sum(n)) - sum(n * ln(n)) / sum(n) as hk from p), x as (select ln(sum(n)) - sum(n * ln(n)) / sum(n) as hck from c),
         r as (select mp / total as pu, (mp / total - big / total) / (1 - big / total) as npu, mt / total as ip, (mt / total - k / total) / (1 - k / total) as nip, 1 - greatest(0, hck - hk) / hc as h, 1 - greatest(0, hck - hc) / (ln(total) - hc) as s from z, y, x)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import clonotype as C
 from ..operators import association as assoc
-from ..operators import batch, diversity, dynamics, enrichment, features, filters, neighbours, overlap, pooling, rarefaction, sampling, signature, singlecell, usage
+from ..operators import batch, diversity, dynamics, enrichment, features, filters, neighbours, overlap, pooling, rarefaction, recombination, sampling, signature, singlecell, usage
 from . import adapter as A
+from . import toy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -538,3 +539,89 @@ def signature_mask(s, d):
 @query
 def signature_wide(s, d):
     return signature.vsig_cohort(A.clonotypes(s, d), tier="core", loci=("TRB",)).select("sample_id", F.col("`vsig:depth:TRB:reads`").alias("reads"), F.col("`vsig:pair:all:log_IGH_TRB`").alias("ratio"), F.col("`vsig:len:TRB:mean`").alias("length"))
+
+
+def _junctions(s, d):
+    return A._select(A.table(s, d, "lineitem"), "lineitem", toy.JUNCTIONS)
+
+
+def _residues(s, d):
+    x = _junctions(s, d).where("length(junction_nt) % 3 = 0").select(C.translate(F.col("junction_nt")).alias("junction_aa"))
+    return x.where("not contains(junction_aa, '*')").distinct()
+
+
+@query
+def pgen_nt_vj(s, d):
+    return recombination.pgen_nt(_junctions(s, d), toy.VJ)
+
+
+@query
+def pgen_nt_vdj(s, d):
+    return recombination.pgen_nt(_junctions(s, d), toy.VDJ)
+
+
+@query
+def pgen_nt_genes(s, d):
+    x = _junctions(s, d).withColumns({"v_call": F.expr("case when junction_nt like 'TGT%' then 'V1' else 'V2*01' end"), "j_call": F.expr("case when junction_nt like '%TTTC' then 'J1*01' else 'J2' end")})
+    return recombination.pgen_nt(x, toy.VDJ, v="v_call", j="j_call")
+
+
+@query
+def pgen_aa_vj(s, d):
+    return recombination.pgen_aa(_residues(s, d), toy.VJ)
+
+
+@query
+def pgen_aa_vdj(s, d):
+    return recombination.pgen_aa(_residues(s, d), toy.VDJ)
+
+
+@query
+def pgen_ball(s, d):
+    return recombination.pgen_ball(_residues(s, d), toy.VDJ)
+
+
+@query
+def pgen_fit(s, d):
+    return recombination.model_fit(recombination.pgen_nt(_junctions(s, d), toy.VJ))
+
+
+@query
+def pgen_histogram(s, d):
+    return recombination.pgen_spectrum(recombination.pgen_nt(_junctions(s, d), toy.VDJ), width=1.0)
+
+
+@query
+def generated(s, d):
+    return recombination.generate(s, toy.VDJ, 2500, seed=3).groupBy("v_call", "j_call").agg((F.count("*") > 0).alias("drawn"))
+
+
+@query
+def model_genes(s, d):
+    return recombination.gene_marginal(recombination.marginals_frame(s, toy.VJ), "j")
+
+
+@query
+def model_entropy(s, d):
+    return recombination.entropy_table(recombination.marginals_frame(s, toy.VDJ))
+
+
+@query
+def model_total_entropy(s, d):
+    return recombination.total_entropy(recombination.marginals_frame(s, toy.VDJ))
+
+
+@query
+def model_information(s, d):
+    return recombination.mutual_information(recombination.marginals_frame(s, toy.VJ))
+
+
+@query
+def model_distance(s, d):
+    return recombination.compare_models(recombination.marginals_frame(s, toy.VJ), recombination.marginals_frame(s, toy.VDJ))
+
+
+@query
+def model_usage(s, d):
+    c = A.clonotypes(s, d).select(F.expr("case when v_call like 'TRB%' then 'V1*01' else 'V1, V2*02' end").alias("v_call"), F.expr("case when j_call like 'TRB%' then 'J2' end").alias("j_call"))
+    return recombination.gene_marginal(recombination.marginals_frame(s, recombination.usage_rescaled(toy.VDJ, c)), "v")
