@@ -12,6 +12,7 @@ from .html_crf import extract
 from .licenses import license_scan
 from .mih import nearest
 from .mixing import mix
+from .oracles import ORACLE_SQL
 from .packing import pack
 from .quality_lines import quality_rules
 from .secret_forest import scan
@@ -65,6 +66,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_license_scan, op4_secret_scan, op5_nearest_neighbours, op6_sampled_splitters, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing)}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2, what the rules say: the columns that SQL can express."""
+    out = url_filter(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op3, the base."""
+    return license_scan(_table(spark, sf_dir, "documents")).drop("labels", "score")
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op6, the sizes."""
+    return shard(_table(spark, sf_dir, "documents")).select("doc_id", "size", "law")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10, the targets."""
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_license_scan, op4_secret_scan, op5_nearest_neighbours, op6_sampled_splitters, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing, url_rules, license_base, shard_sizes, mixing_targets)}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
