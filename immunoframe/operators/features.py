@@ -44,6 +44,13 @@ VOLUME = {"A": 88.6, "R": 173.4, "N": 114.1, "D": 111.1, "C": 108.5, "Q": 143.8,
 PROPERTIES: dict[str, dict[str, float]] = {"hydropathy": HYDROPATHY, "charge": {r: CHARGE.get(r, 0.0) for r in HYDROPATHY}, "volume": VOLUME}
 
 
+def load_property_table(spark, path: str) -> dict[str, dict[str, float]]:
+    """Scales by name from a table (tab-separated) with a row for each residue in its first column; lines with ``##`` are notes."""
+    text = spark.read.text(path, wholetext=True).first()[0]  # some twenty rows
+    lines = [x.split("\t") for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip() and not x.startswith("##")]
+    return {name: {row[0].strip(): float(row[i]) for row in lines[1:] if row[i].strip()} for i, name in enumerate(lines[0]) if i}
+
+
 def region(text: Column, name: str) -> Column:
     """``all``; ``trimmed``: without three residues at either end; ``center``: the middle five. Null where too short."""
     n = F.length(text)

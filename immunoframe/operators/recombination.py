@@ -87,6 +87,18 @@ def masks(text: str, residues: bool, wild: str = "") -> list[np.ndarray]:
     return out
 
 
+def degenerate_masks(pattern: str) -> list[np.ndarray]:
+    """Masks of a residue pattern: letters, ``X`` for any residue, and sets in brackets."""
+    import re
+
+    out = []
+    for one in re.findall(r"\[([A-Z*]+)\]|([A-Z*])", pattern):
+        allowed = set(one[0] or one[1])
+        ok = (_CODE != "*") if allowed == {"X"} else np.isin(_CODE, sorted(allowed))
+        out += [np.ones((4, 4, 4)), np.ones((4, 4, 4)), ok.astype(float)]
+    return out
+
+
 def _forward(model: Model, ok: list[np.ndarray], vs: list[int], js: list[int]) -> float:
     n = len(ok)
     if not n:
@@ -222,6 +234,11 @@ def pgen_aa(df: DataFrame, model: Model, column: str = "junction_aa", out: str =
     return _scored(df, column, out, lambda t, a, b: pgen_of(model, t, True, a, b), v, j)
 
 
+def pgen_degenerate(df: DataFrame, model: Model, column: str = "pattern", out: str = "pgen", *, v: str | None = None, j: str | None = None) -> DataFrame:
+    """``df`` with the probability of all junctions that fit a residue pattern (see :func:`degenerate_masks`)."""
+    return _scored(df, column, out, lambda t, a, b: float(_forward(model, degenerate_masks(t), _named(model.v, a), _named(model.j, b))), v, j)
+
+
 def pgen_ball(df: DataFrame, model: Model, column: str = "junction_aa", out: str = "pgen_ball", *, v: str | None = None, j: str | None = None) -> DataFrame:
     """``df`` with the probability of each junction and its neighbours by one residue."""
     return _scored(df, column, out, lambda t, a, b: ball_of(model, t, a, b), v, j)
@@ -373,6 +390,37 @@ def usage_rescaled(model: Model, df: DataFrame) -> Model:
     return Model(model.v, model.j, p_v, p_j, model.ins, model.step, model.d, model.p_d)
 
 
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """The model as Parquet: its marginals, and the segments' sequences."""
+    marginals_frame(spark, model).coalesce(1).write.parquet(f"{path}/marginals")
+    rows = [(kind, i, s.name, s.cut) for kind, segments in (("v", model.v), ("d", model.d), ("j", model.j)) for i, s in enumerate(segments)]
+    spark.createDataFrame(rows, "kind string, at int, name string, cut string").coalesce(1).write.parquet(f"{path}/segments")
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    """A saved model; its tables are small and are read on the driver."""
+    cuts: dict[str, list] = {"v": [], "d": [], "j": []}
+    for r in spark.read.parquet(f"{path}/segments").orderBy("kind", "at").collect():
+        cuts[r["kind"]].append((r["name"], r["cut"]))
+    p = {(r["event"], r["parent"], r["value"]): r["p"] for r in spark.read.parquet(f"{path}/marginals").collect()}
+    listed = lambda event, parent: np.array([x for _, x in sorted((int(k[2]), x) for k, x in p.items() if k[0] == event and k[1] == parent)])
+
+    def joint(name: str) -> np.ndarray:
+        cells = [(tuple(map(int, k[2].split(","))), x) for k, x in p.items() if k[0] == "d_trim" and k[1] == name]
+        out = np.zeros(tuple(np.max([c for c, _ in cells], axis=0) + 1))
+        for c, x in cells:
+            out[c] = x
+        return out
+
+    v, j = ([Segment(n, c, listed(f"{s}_trim", n)) for n, c in cuts[s]] for s in "vj")
+    d = [Segment(n, c, joint(n)) for n, c in cuts["d"]]
+    p_v = np.array([p["v", "", s.name] for s in v])
+    p_j = np.array([p["j", "", t.name] for t in j]) if d or ("j", "", j[0].name) in p else np.array([[p["j", s.name, t.name] for t in j] for s in v])
+    names = ("vd_ins", "dj_ins") if d else ("vj_ins",)
+    step = [np.array([[p[f"{n}_step", a, b] for b in BASES] for a in BASES]) for n in names]
+    return Model(v, j, p_v, p_j, [listed(n, "") for n in names], step, d, np.array([[p["d", t.name, s.name] for s in d] for t in j]) if d else None)
+
+
 def check_model(model: Model) -> list[str]:
     """What is wrong with a model: probabilities that don't sum to 1, trims beyond a segment."""
     out = [f"p_v sums to {model.p_v.sum():.6f}"] if abs(model.p_v.sum() - 1) > 1e-6 else []

@@ -65,3 +65,10 @@ def shm_summary(df: DataFrame, kind: str = "freq", *, mutated_below: float = 0.9
     entropy = bins.groupBy(*by).agg(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log("p"))).alias("entropy"))
     out = base.join(entropy, list(by), "left").withColumn("entropy", F.coalesce("entropy", nan))
     return out.withColumn("sd_identity", F.sqrt(F.greatest(F.col("_m2") - F.col("mean_identity") * F.col("mean_identity"), F.lit(0.0)))).drop("_m2")
+
+
+def shm_entropy(df: DataFrame, kind: str = "freq", bins: int = 20, *, by: tuple[str, ...] = (SAMPLE,)) -> DataFrame:
+    """``entropy`` (natural) of the weighted identities in equal bins from 0 to 1; 1 is in the last one."""
+    of = df.where("v_identity is not null").groupBy(*by, F.least(F.floor(F.col("v_identity") * bins), F.lit(bins - 1)).alias("_bin")).agg(F.sum(weight(kind)).cast("double").alias("_w"))
+    p = F.col("_w") / F.sum("_w").over(Window.partitionBy(*by))
+    return of.withColumn("_p", p).where("_p > 0").groupBy(*by).agg(F.sum(-F.col("_p") * F.log("_p")).alias("entropy"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.clonotype import CODONS
 from ..operators.diversity import thisted_coefficients
 from ..operators.features import HYDROPATHY
+from ..operators.kmer_space import reduced_alphabet
 from . import toy
 from .adapter import MUTATED, SHORT, oracle
 
@@ -183,6 +184,10 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "model_information": f", {toy.marginals(toy.VJ, 'm')}, q as (select event, value, sum(weight * p) as q from m group by all) select event, round(sum(weight * p * log2(p / q)), 6) as information from m join q using (event, value) where weight * p > 0 group by all",
     "model_distance": f", {toy.marginals(toy.VJ, 'a')}, {toy.marginals(toy.VDJ, 'b')}, u as (select coalesce(a.event, b.event) as event, coalesce(a.parent, b.parent) as parent, coalesce(a.p, 0) as p, coalesce(b.p, 0) as q, max(coalesce(a.weight, 0)) over w as wa, max(coalesce(b.weight, 0)) over w as wb from a full join b on a.event = b.event and a.parent = b.parent and a.value = b.value window w as (partition by coalesce(a.event, b.event), coalesce(a.parent, b.parent))), h as (select event, parent, sum(case when p > 0 then 0.5 * p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then 0.5 * q * log2(2 * q / (p + q)) else 0 end) as js, sum(abs(p - q)) / 2 as tv, (max(wa) + max(wb)) / 2 as w from u group by all) select event, round(sum(w * js) / sum(w), 6) as js, round(sum(w * tv) / sum(w), 6) as tv from h group by all",
     "model_usage": ", v as (select count(*) filter (v_call like 'TRB%') as a, count(*) filter (v_call not like 'TRB%') as b from clonotypes) select 'V1*01' as value, round((a + b / 2) / (a + b), 6) as p from v union all select 'V2*01', round((b / 2) / (a + b), 6) from v",
+    "kmer_vocabulary": f", r as (select sample_id, {V} as v, translate(junction_aa, '{''.join(reduced_alphabet(8))}', '{''.join(reduced_alphabet(8).values())}') as a from clonotypes where regexp_matches(junction_aa, '^[ACDEFGHIKLMNPQRSTVWY]+$')), k as (select sample_id, v || ':' || substr(c, cast(i as int), 2) || substr(c, cast(i + 3 as int), 1) as kmer from (select sample_id, v, substr(a, 3, length(a) - 4) as c, unnest(range(1, length(a) - 4 - 4 + 2)) as i from r)), n as (select count(distinct sample_id) as n from clonotypes) select kmer, count(distinct sample_id) as df, round(ln((1 + n) / (1 + count(distinct sample_id))) + 1, 6) as idf from k, n group by kmer, n having count(distinct sample_id) between 0.1 * n and 0.9 * n",
+    "kmer_projection": "select distinct sample_id, 1e0 as length from clonotypes",
+    "shm_entropy": ", b as (select sample_id, least(floor(v_identity * 20), 19) as b, sum(frequency) as w from clonotypes where v_identity is not null group by all), p as (select *, w / sum(w) over (partition by sample_id) as p from b) select sample_id, round(sum(-p * ln(p)), 6) as entropy from p group by all",
+    "pgen_pattern": f", {toy.space(toy.VDJ)}, {RESIDUE}, y as (select distinct 'CX' || substr(junction_aa, 3) as pattern from x where length(junction_aa) > 2) select pattern, round(coalesce(sum(p), 0), 6) as pgen from y left join g on a[1] = 'C' and length(a) = length(pattern) and substr(a, 3) = substr(pattern, 3) and a[2] != '*' group by pattern",
     "cluster_eval": """, c as (select label as t, vec_id % 7 as p, cast(count(*) as double) as n from embeddings group by all), t as (select t, sum(n) as n, max(n) as m from c group by all), p as (select p, sum(n) as n, max(n) as m from c group by all),
         z as (select sum(n) as total, sum(m) as mt, max(n) as big, count(*) as k, ln(sum(n)) - sum(n * ln(n)) / sum(n) as hc from t), y as (select sum(m) as mp, ln(sum(n)) - sum(n * ln(n)) / sum(n) as hk from p), x as (select ln(sum(n)) - sum(n * ln(n)) / sum(n) as hck from c),
         r as (select mp / total as pu, (mp / total - big / total) / (1 - big / total) as npu, mt / total as ip, (mt / total - k / total) / (1 - k / total) as nip, 1 - greatest(0, hck - hk) / hc as h, 1 - greatest(0, hck - hc) / (ln(total) - hc) as s from z, y, x)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clonotype as C
 from ..operators import association as assoc
-from ..operators import batch, diversity, dynamics, enrichment, features, filters, neighbours, overlap, pooling, rarefaction, recombination, sampling, signature, singlecell, usage
+from ..operators import batch, diversity, dynamics, enrichment, features, filters, kmer_space, neighbours, overlap, pooling, rarefaction, recombination, sampling, signature, singlecell, usage
 from . import adapter as A
 from . import toy
 
@@ -625,3 +625,27 @@ def model_distance(s, d):
 def model_usage(s, d):
     c = A.clonotypes(s, d).select(F.expr("case when v_call like 'TRB%' then 'V1*01' else 'V1, V2*02' end").alias("v_call"), F.expr("case when j_call like 'TRB%' then 'J2' end").alias("j_call"))
     return recombination.gene_marginal(recombination.marginals_frame(s, recombination.usage_rescaled(toy.VDJ, c)), "v")
+
+
+@query
+def kmer_vocabulary(s, d):
+    return kmer_space.vocabulary(A.clonotypes(s, d), "xx.x", 8, 2, min_df=0.1, max_df=0.9).drop("at")
+
+
+@query
+def kmer_projection(s, d):
+    c = A.clonotypes(s, d)
+    space = kmer_space.fit_kmer_space(c, pattern="xxx", min_df=0.1, max_df=0.9, components=4)
+    got = space.transform(c)
+    return got.groupBy("sample_id").agg(F.sum(F.col("value") * F.col("value")).alias("length"))
+
+
+@query
+def shm_entropy(s, d):
+    return usage.shm_entropy(A.clonotypes(s, d))
+
+
+@query
+def pgen_pattern(s, d):
+    x = _residues(s, d).select(F.concat(F.lit("C"), F.lit("X"), F.expr("substr(junction_aa, 3)")).alias("pattern")).where("length(pattern) > 2").distinct()
+    return recombination.pgen_degenerate(x, toy.VDJ)

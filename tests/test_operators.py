@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from immunoframe.operators import association as assoc
-from immunoframe.operators import dynamics, enrichment, neighbours, recombination, sampling, signature, singlecell
+from immunoframe.operators import dynamics, enrichment, kmer_space, neighbours, recombination, sampling, signature, singlecell
 from immunoframe.operators.rarefaction import Spectrum
 from immunoframe.plans import toy
 from immunoframe.streaming import arrivals
@@ -161,6 +161,30 @@ def test_model_text(tmp_path):
     assert [s.name for s in recombination.read_model(str(tmp_path), ("F",)).v] == ["V1*01"]
 
 
+def test_saved_models(spark, tmp_path):
+    for name, m in (("vj", toy.VJ), ("vdj", toy.VDJ)):
+        recombination.save_model(spark, m, str(tmp_path / name))
+        back = recombination.load_model(spark, str(tmp_path / name))
+        assert all(recombination.pgen_of(back, t, False) == pytest.approx(recombination.pgen_of(m, t, False)) for t in ("TGTGCCTTTC", "TGTGCGGATTTC", "TGCAGGTTC"))
+
+
+def test_kmer_space(spark, tmp_path):
+    """The basis spans what a plain decomposition gives, and a saved space gives the same values."""
+    rng = random.Random(1)
+    rows = [(f"s{i % 6}", f"V{i % 2}", "CASS" + "".join(rng.choice("ADKFG") for _ in range(6)) + "QYFF", 1 / 50) for i in range(300)]
+    df = spark.createDataFrame(rows, "sample_id string, v_call string, junction_aa string, frequency double")
+    space = kmer_space.fit_kmer_space(df, pattern="x.x", min_df=0.0, max_df=1.0, components=3)
+    x = space.weighted(df).toPandas().pivot_table(index="sample_id", columns="at", values="x", fill_value=0.0).to_numpy()
+    left, sizes, right = np.linalg.svd(x, full_matrices=False)
+    got = space.transform(df).where("component >= 0").toPandas().pivot_table(index="sample_id", columns="component", values="value").to_numpy()
+    assert np.abs(got) == pytest.approx(np.abs(left[:, :3] * sizes[:3]), abs=1e-6)
+    kmer_space.save_kmer_space(space, str(tmp_path / "space"))
+    again = kmer_space.load_kmer_space(spark, str(tmp_path / "space")).transform(df).orderBy("sample_id", "component").toPandas()
+    assert again.value.to_numpy() == pytest.approx(space.transform(df).orderBy("sample_id", "component").toPandas().value.to_numpy())
+    with pytest.raises(ValueError, match="both ends"):
+        kmer_space.pattern_of(".xx")
+
+
 def test_cluster_scores_and_singletons(spark):
     df = spark.createDataFrame([(0, 5), (1, None), (2, 5), (3, None)], "ord long, c long")
     got = {r.ord: r.c for r in singlecell.assign_singleton_ids(df, "c").collect()}
