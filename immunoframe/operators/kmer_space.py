@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clonotype import RESIDUES, SAMPLE, strip_allele
+from ..sources.scratch import Scratch
 
 #: Residue groups of reduced alphabets by their size (Murphy, Wallqvist and Levy, 2000); fixed values.
 ALPHABETS = {
@@ -92,13 +93,15 @@ def fit_kmer_space(
 ) -> KmerSpace:
     """The space of a cohort. Signs are fixed so that each component's largest loading is positive."""
     spark = df.sparkSession
-    words = vocabulary(df, pattern, groups, flank, min_df=min_df, max_df=max_df, max_columns=max_columns, sample=sample).drop("df").persist()
+    words = vocabulary(df, pattern, groups, flank, min_df=min_df, max_df=max_df, max_columns=max_columns, sample=sample).drop("df")
+    words = Scratch(spark, "vocabulary").cut(words)
     size = words.count()
     empty = spark.createDataFrame([], "at int, component int, loading double")
     space = KmerSpace(words, empty, pattern, groups, flank, sublinear)
     if not size:
         return space
-    rows = space.weighted(df, kind, sample).groupBy(sample).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v"))  # at most the vocabulary
+    scratch = Scratch(spark, "kmer-space")
+    rows = scratch.cut(space.weighted(df, kind, sample).groupBy(sample).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")))  # at most the vocabulary; read often
     matrix = RowMatrix(rows.select("v").rdd.map(lambda r: Vectors.sparse(size, [x["at"] for x in r["v"]], [x["x"] for x in r["v"]])), numCols=size)
     v = matrix.computeSVD(min(components, size, rows.count()), computeU=False).V.toArray()
     v = v * [1.0 if c[abs(c).argmax()] >= 0 else -1.0 for c in v.T]

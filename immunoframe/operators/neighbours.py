@@ -26,7 +26,7 @@ def hamming(a: Column, b: Column) -> Column:
 def _masked(seq: Column) -> Column:
     """The sequence with each letter masked in turn."""
     n = F.length(seq)
-    cut = lambda i: F.concat(F.substring(seq, F.lit(1), i - 1), F.lit("."), F.substring(seq, i + 1, n))
+    cut = lambda i: F.concat(F.substring(seq, F.lit(1), i - 1), F.lit("\x01"), F.substring(seq, i + 1, n))
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), cut)).otherwise(F.array().cast("array<string>"))
 
 
@@ -41,26 +41,29 @@ def _rare_pieces(items: DataFrame, seq: str, k: int, keys: list[str]) -> DataFra
     return cut.join(held, [*keys, "_key"]).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k + 1).drop("_held", "_nth")
 
 
-def _substituted(x: DataFrame, y: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """``seq_a, seq_b, distance``: distinct sequences of ``x`` (``seq_a``) and ``y`` (``seq_b``) within ``keys`` with 1 to ``k`` substitutions."""
-    if k <= 0:
-        return x.join(y, list(keys)).withColumn("distance", F.lit(0)).where(F.lit(False)) if keys else x.crossJoin(y.limit(0)).withColumn("distance", F.lit(0))
-    if k == 1:
-        pairs = x.withColumn("_key", F.explode(_masked(F.col("seq_a")))).join(y.withColumn("_key", F.explode(_masked(F.col("seq_b")))), [*keys, "_key"])
-        return pairs.where("seq_a != seq_b").select(*keys, "seq_a", "seq_b", F.lit(1).alias("distance"))
+def _substituted(x: DataFrame, y: DataFrame, k: int, keys: list[str], equal: bool) -> DataFrame:
+    """``seq_a, seq_b, distance``: distinct sequences of ``x`` (``seq_a``) and ``y`` (``seq_b``) within ``keys`` with 1 to ``k`` substitutions, and equal ones if asked for."""
+    if k <= 1:
+        # A sequence as it is meets itself alone, one with a masked letter what differs there.
+        whole = lambda c: F.array(F.col(c)) if equal else F.array().cast("array<string>")
+        cut = lambda c: F.explode(F.concat(whole(c), _masked(F.col(c))) if k else whole(c))
+        pairs = x.withColumn("_key", cut("seq_a")).join(y.withColumn("_key", cut("seq_b")), [*keys, "_key"])
+        same, own = F.col("seq_a") == F.col("seq_b"), F.col("_key") == F.col("seq_a")
+        return pairs.where(~same | own).select(*keys, "seq_a", "seq_b", F.when(same, 0).otherwise(1).alias("distance"))
     # Both sides rank pieces alike: counted over both.
-    both = x.withColumnRenamed("seq_a", "_seq").unionByName(y.withColumnRenamed("seq_b", "_seq")).distinct()
+    both = x.withColumnRenamed("seq_a", "_seq").unionByName(y.withColumnRenamed("seq_b", "_seq")).repartition(*keys, "_seq").distinct()
     rare = _rare_pieces(both, "_seq", k, keys)
     left = x.join(rare.withColumnRenamed("_seq", "seq_a"), [*keys, "seq_a"])
     right = y.join(rare.withColumnRenamed("_seq", "seq_b"), [*keys, "seq_b"])
-    pairs = left.join(right, [*keys, "_key"]).where("seq_a != seq_b").withColumn("distance", hamming(F.col("seq_a"), F.col("seq_b"))).where(F.col("distance") <= k)
+    least = 0 if equal else 1
+    pairs = left.join(right, [*keys, "_key"]).withColumn("distance", hamming(F.col("seq_a"), F.col("seq_b"))).where(F.col("distance").between(least, k))
     return pairs.select(*keys, "seq_a", "seq_b", "distance").distinct()
 
 
 def substitution_pairs(items: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """Both directions of all pairs of ``id, seq, n`` within ``keys`` with 1 to ``k`` substitutions: ``id_a, id_b, n_a, n_b, m``."""
     distinct = items.select(*keys, "seq").where("seq is not null").distinct()
-    pairs = _substituted(distinct.withColumnRenamed("seq", "seq_a"), distinct.withColumnRenamed("seq", "seq_b"), k, keys)
+    pairs = _substituted(distinct.withColumnRenamed("seq", "seq_a"), distinct.withColumnRenamed("seq", "seq_b"), k, keys, False)
     side = lambda x: items.select(*keys, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "seq", "n")))
     found = pairs.join(side("a"), [*keys, "seq_a"]).join(side("b"), [*keys, "seq_b"])
     return found.select(*keys, "id_a", "id_b", "n_a", "n_b", F.col("distance").alias("m"))
@@ -129,13 +132,11 @@ def near_pairs(a: DataFrame, b: DataFrame, *, keys: list[str] = (), scope: str =
     subs, gaps, keys = min(subs, total), min(ins + dels, total), list(keys)
     x = a.select(*keys, F.col(columns[0]).alias("seq_a")).where("seq_a is not null").distinct()
     y = b.select(*keys, F.col(columns[1]).alias("seq_b")).where("seq_b is not null").distinct()
-    equal = x.withColumn("seq_b", F.col("seq_a")).join(y, [*keys, "seq_b"]).select(*keys, "seq_a", "seq_b", F.lit(0).alias("distance"))
     if gaps == 0:
-        return equal.unionByName(_substituted(x, y, subs, keys)) if subs else equal
+        return _substituted(x, y, subs, keys, True)
     x, y = (d.withColumn("_k", F.explode(_without(F.col(s), total))) for d, s in ((x, "seq_a"), (y, "seq_b")))
-    close = F.levenshtein("seq_a", "seq_b") <= total
-    pairs = x.join(y, [*keys, "_k"]).where("seq_a != seq_b").where(close).select(*keys, "seq_a", "seq_b").distinct()
-    return equal.unionByName(pairs.withColumn("distance", _edits(subs, ins, dels, total)("seq_a", "seq_b")).where("distance is not null"))
+    pairs = x.join(y, [*keys, "_k"]).where(F.levenshtein("seq_a", "seq_b") <= total).select(*keys, "seq_a", "seq_b").distinct()
+    return pairs.withColumn("distance", _edits(subs, ins, dels, total)("seq_a", "seq_b")).where("distance is not null")
 
 
 def components(edges: DataFrame, nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -119,7 +119,7 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "kmer_profile": f", k as (select sample_id, substr(v_call, 1, 3) as locus, duplicate_count, {KMER.format(c='junction_aa', k=3)} as kmer from clonotypes) select sample_id, locus, kmer, {W} from k group by all",
     "v_kmer_c_profile": f", k as (select substr(v_call, 1, 3) as locus, {V} as v, {CC} as c, duplicate_count, {KMER.format(c='junction_aa', k=4)} as kmer from clonotypes) select locus, v as v_call, c as c_call, kmer, {W} from k group by all",
     "kmer_cohort": f", t as (select sample_id, {V} as v_call, substr(junction_aa, 4, length(junction_aa) - 6) as core from clonotypes where length(junction_aa) > 6) select distinct sample_id, v_call, {KMER.format(c='core', k=3)} as kmer from t",
-    "physchem_profile": f", t as (select sample_id, j_call, duplicate_count as w, list_filter(list_transform(string_split(substr(junction_aa, cast(length(junction_aa) // 2 - 1 as int), 5), ''), lambda r: {_H}[r]), lambda x: x is not null) as v from clonotypes where length(junction_aa) >= 5) select sample_id, j_call, 'hydropathy' as property, round(sum(list_avg(v) * w) / sum(w), 6) as value from t where len(v) > 0 group by all",
+    "physchem_profile": f", t as (select sample_id, j_call, duplicate_count as w, list_filter(list_transform(string_split(substr(junction_aa, cast(length(junction_aa) // 2 - 1 as int), 5), ''), lambda r: {_H}[r]), lambda x: x is not null) as v from clonotypes where length(junction_aa) >= 5) select sample_id, j_call, 'hydropathy' as property, round(ROUND(sum(list_avg(v) * w) / sum(w), 6), 6) as value from t where len(v) > 0 group by all",
     "overlap_pair": ", " + AGG.format(k="junction_aa") + " select junction_aa, cast(a.count as bigint) as count_a, round(a.freq, 6) as freq_a, cast(b.count as bigint) as count_b, round(b.freq, 6) as freq_b from per a join per b using (junction_aa) where a.sample_id = 'S01' and b.sample_id = 'S02'",
     "overlap_cohort": ", " + AGG.format(k="junction_aa") + """, n as (select sample_id, count(*) as n from per group by all), m as (select a.sample_id as sample_a, b.sample_id as sample_b, count(*) as shared, sum(a.freq * b.freq) as ab, sum(sqrt(a.freq * b.freq)) as f2, case when count(*) > 2 then corr(a.freq, b.freq) end as r from per a join per b using (junction_aa) where a.sample_id < b.sample_id group by all)
         select sample_a, sample_b, x.n as n_a, y.n as n_b, shared, round(shared / (x.n * y.n), 6) as "D", round(sqrt(ab), 6) as "F", round(f2, 6) as "F2", round(r, 6) as "R", round(shared / (x.n + y.n - shared), 6) as jaccard from m join n x on x.sample_id = sample_a join n y on y.sample_id = sample_b""",
@@ -131,9 +131,9 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "translate_junction": f", n as (select distinct unnest([junction_nt, substr(junction_nt, 1, length(junction_nt) - 1), substr(junction_nt, 3), substr(junction_nt, 1, length(junction_nt) - 7)]) as s from reads), h as (select s, length(s) // 2 as mid from n), p as (select s, case when length(s) % 3 = 0 then s else substr(s, 1, 3 * (mid // 3)) end as l, case when length(s) % 3 = 0 then '' else substr(s, length(s) - 3 * ((length(s) - mid) // 3) + 1) end as r from h) select s as junction_nt, {_TR.format(x='l')} || case when length(s) % 3 = 0 then '' else '_' end || {_TR.format(x='r')} as junction_aa from p",
     "correct_errors": f", c as (select * replace ({MUTATED} as junction_nt) from clonotypes), d as (select distinct junction_nt as s from c), h as (select x.s as sa, y.s as sb, hamming(x.s, y.s) as m from d x, d y where length(x.s) = length(y.s) and x.s != y.s and hamming(x.s, y.s) <= 2), q as (select a.sample_id, a.ord, a.duplicate_count as na, b.duplicate_count as nb, m from c a join h on a.junction_nt = h.sa join c b on b.sample_id = a.sample_id and b.junction_nt = h.sb), v as (select sample_id, ord, bool_or(log10(nb / na) - m * -log10(0.2e0) > 0) as gone, sum(case when log10(na / nb) - m * -log10(0.2e0) > 0 then nb else 0 end) as more from q group by all), o as (select c.sample_id, c.ord, cast(c.duplicate_count + coalesce(more, 0) as bigint) as duplicate_count from c left join v using (sample_id, ord) where not coalesce(gone, false)) {ROWS} o",
     "efron_thisted": f", {SPEC}, s as (select sample_id, cast(sum(m) as double) as s from sp group by all), k(depth, x, h) as (values {_THISTED}), g as (select sample_id, s, depth from s, (select distinct depth from k)), e as (select g.sample_id, g.depth, any_value(s) + coalesce(sum(h * m), 0) as est, sqrt(coalesce(sum(h * h * m), 0)) as dev from g left join k using (depth) left join sp on sp.sample_id = g.sample_id and sp.c = k.x group by all) select sample_id, round(coalesce(arg_min(est, depth) filter (dev / est >= 0.05), max(est) filter (depth = 20)), 6) as efron_thisted from e group by sample_id",
-    "sample_coverage": f", {NS}, z as (select unnest([100, 1000, 2500, 2501]) as m), i as (select sample_id, z.m, 1 - sum(sp.m * c / n * case when n - c >= z.m then exp(lgamma(n - c + 1) - lgamma(n - c - z.m + 1) - lgamma(n) + lgamma(n - z.m)) else 0 end) as v from sp join ns using (sample_id), z group by sample_id, z.m, n) select sample_id, cast(m as double) as m, round(v, 6) as sample_coverage from i where m in (100, 1000) union all select sample_id, 2500.5, round(sum(v) / 2, 6) from i where m > 2000 group by sample_id union all select sample_id, 1e6, round(1 - f1 / n * pow(hidden, 1e6 - n + 1), 6) from ns",
+    "sample_coverage": f", {NS}, z as (select unnest([100, 1000, 2500, 2501]) as m), i as (select sample_id, z.m, 1 - sum(sp.m * c / n * case when n - c >= z.m then exp(lgamma(n - c + 1) - lgamma(n - c - z.m + 1) - lgamma(n) + lgamma(n - z.m)) else 0 end) as v from sp join ns using (sample_id), z group by sample_id, z.m, n) select sample_id, cast(m as double) as m, round(ROUND(v, 5), 6) as sample_coverage from i where m in (100, 1000) union all select sample_id, 2500.5, round(ROUND(sum(v) / 2, 5), 6) from i where m > 2000 group by sample_id union all select sample_id, 1e6, round(ROUND(1 - f1 / n * pow(hidden, 1e6 - n + 1), 5), 6) from ns",
     "asymptotic_diversity": f", {NS}, t as (select sample_id, sum(-m * (c / n) * ln(c / n)) as h, sum(m * (c / n) * (c / n)) as d, sum(cast(m as double) * c * (c - 1)) / (n * (n - 1)) as u from sp join ns using (sample_id) group by sample_id, n), hm as (select r, sum(1e0 / r) over (order by r) as h from range(1, 400000) g(r)), w as (select sample_id, sum(m * c / n * (x.h - coalesce(y.h, 0))) as first from sp join ns using (sample_id) join hm x on x.r = n - 1 left join hm y on y.r = c - 1 group by all), b as (select sample_id, n, f1, case when f2 > 0 then 2 * f2 / ((n - 1) * f1 + 2 * f2) when f1 > 0 then 2 / ((n - 1) * (f1 - 1) + 2) else 1 end as a from ns), l as (select sample_id, case when f1 = 0 or a = 1 then 0 else f1 / n * pow(1 - a, 1 - n) * (-ln(a) - list_sum(list_transform(range(1, cast(n as bigint)), lambda r: pow(1 - a, r) / r))) end as second from b) select sample_id, 0 as order_q, round(s, 6) as observed, round(s + f0, 6) as estimator from ns union all select sample_id, 1, round(exp(h), 6), round(exp(first + second), 6) from t join w using (sample_id) join l using (sample_id) union all select sample_id, 2, round(1 / d, 6), round(1 / u, 6) from t",
-    "inext": f", {NS}, z as (select unnest([50, 700]) as m), v as (select sample_id, z.m, n, s, 1 - sum(sp.m * c / n * case when n - c >= z.m then exp(lgamma(n - c + 1) - lgamma(n - c - z.m + 1) - lgamma(n) + lgamma(n - z.m)) else 0 end) as cov, s - sum(sp.m * case when n - c >= z.m then exp(lgamma(n - c + 1) - lgamma(n - c - z.m + 1) - lgamma(n + 1) + lgamma(n - z.m + 1)) else 0 end) as d0, 1 / (1e0 / z.m + (z.m - 1e0) / z.m * sum(cast(sp.m as double) * c * (c - 1)) / (n * (n - 1))) as d2 from sp join ns using (sample_id), z group by sample_id, z.m, n, s), k as (select sample_id, m, exp(sum(f * -(k / m) * ln(k / m) * exp(lgamma(c + 1) - lgamma(k + 1) - lgamma(c - k + 1) + lgamma(n - c + 1) - lgamma(m - k + 1) - lgamma(n - c - m + k + 1) - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1)))) as d1 from (select sp.sample_id, z.m, n, c, sp.m as f, unnest(range(1, cast(least(c, z.m) as bigint) + 1)) as k from sp join ns using (sample_id), z) group by all), o as (select sample_id, m, 0 as order_q, cov, d0 as d from v union all select sample_id, m, 1, cov, d1 from v join k using (sample_id, m) union all select sample_id, m, 2, cov, d2 from v) select sample_id, order_q, cast(m as double) as m, 'rarefaction' as method, round(cov, 6) as sample_coverage, round(d, 6) as \"qD\" from o",
+    "inext": f", {NS}, z as (select unnest([50, 700]) as m), v as (select sample_id, z.m, n, s, 1 - sum(sp.m * c / n * case when n - c >= z.m then exp(lgamma(n - c + 1) - lgamma(n - c - z.m + 1) - lgamma(n) + lgamma(n - z.m)) else 0 end) as cov, s - sum(sp.m * case when n - c >= z.m then exp(lgamma(n - c + 1) - lgamma(n - c - z.m + 1) - lgamma(n + 1) + lgamma(n - z.m + 1)) else 0 end) as d0, 1 / (1e0 / z.m + (z.m - 1e0) / z.m * sum(cast(sp.m as double) * c * (c - 1)) / (n * (n - 1))) as d2 from sp join ns using (sample_id), z group by sample_id, z.m, n, s), k as (select sample_id, m, exp(sum(f * -(k / m) * ln(k / m) * exp(lgamma(c + 1) - lgamma(k + 1) - lgamma(c - k + 1) + lgamma(n - c + 1) - lgamma(m - k + 1) - lgamma(n - c - m + k + 1) - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1)))) as d1 from (select sp.sample_id, z.m, n, c, sp.m as f, unnest(range(1, cast(least(c, z.m) as bigint) + 1)) as k from sp join ns using (sample_id), z) group by all), o as (select sample_id, m, 0 as order_q, cov, d0 as d from v union all select sample_id, m, 1, cov, d1 from v join k using (sample_id, m) union all select sample_id, m, 2, cov, d2 from v) select sample_id, order_q, cast(m as double) as m, 'rarefaction' as method, round(ROUND(cov, 5), 6) as sample_coverage, round(ROUND(d, 4), 6) as \"qD\" from o",
     "estimate_d": f", {NS}, u as (select sample_id, sum(cast(m as double) * c * (c - 1)) / (n * (n - 1)) as u from sp join ns using (sample_id) group by sample_id, n), v as (select sample_id, n, round(1 - f1 / n * pow(hidden, 1e6 - n + 1), 6) as cov, s + f0 * (1 - pow(1 - (f1 / n) / (f0 + f1 / n), 1e6 - n)) as d0, 1 / (1 / 1e6 + (1e6 - 1) / 1e6 * u) as d2 from ns join u using (sample_id)) select sample_id, 0 as order_q, 1e6 as m, 'extrapolation' as method, cov as sample_coverage, round(d0, 6) as \"qD\" from v union all select sample_id, 2, 1e6, 'extrapolation', cov, round(d2, 6) from v",
     "inext_coverage": "select distinct sample_id, order_q, cov as sample_coverage from clonotypes, (select unnest([0, 2]) as order_q), (select unnest([0.3e0, 0.999e0]) as cov)",
     "fisher_minlike": f", {DESIGN}, {TABLES}, u as (select *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda k: {PMF}) as q, a - greatest(0, a - d) + 1 as i from t) select a, b, c, d, round(least(1, list_sum(list_filter(q, lambda x: x <= q[i] * (1 + 1e-7)))), 6) as p_value from u",
@@ -143,7 +143,7 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "fuzzy_features": f", f as (select distinct sample_id, junction_aa, {J} as j_call from clonotypes where not regexp_matches(junction_aa, '[*_]')), k as (select distinct junction_aa, j_call from f) select k.junction_aa, k.j_call, count(distinct sample_id) as incidence from k join f on f.j_call = k.j_call and length(f.junction_aa) = length(k.junction_aa) and hamming(f.junction_aa, k.junction_aa) <= 1 group by all",
     "cooccurrence": f", f as (select distinct sample_id, substr(v_call, 1, 3) as chain, {V} as v from clonotypes where not regexp_matches(junction_aa, '[*_]')), g as (select sample_id from f where chain in ('TRB', 'IGH') group by sample_id having count(distinct chain) = 2), i as (select chain, v from f group by all having count(*) >= 2), h as (select f.* from f join i using (chain, v) join g using (sample_id)), n as (select count(*) as n from g), s as (select chain, v, count(*) as k from h group by all), p as (select x.v as v1, y.v as v2, count(*) as ab from h x join h y using (sample_id) where x.chain = 'TRB' and y.chain = 'IGH' group by all having count(*) >= 2), t as (select v1, v2, ab, n, sx.k as na, sy.k as nb, ab as a, sx.k - ab as b, sy.k - ab as c, n - sx.k - sy.k + ab as d from p join s sx on sx.chain = 'TRB' and sx.v = v1 join s sy on sy.chain = 'IGH' and sy.v = v2, n), u as (select *, least(1, list_sum(list_transform(range(a, least(a + b, a + c) + 1), lambda k: {PMF}))) as p, (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)) as o from t), w as (select *, round(p, 12) as pr from u), x as (select *, count(*) over (order by pr) as r, count(*) over () as m from w) select v1 as a_v_call, v2 as b_v_call, n, na as n_a, nb as n_b, ab as n_ab, round(n * ab / (na * nb), 6) as theta, round(o, 6) as odds_ratio, round(log2(o), 6) as log2_or, round(p, 6) as p_value, round(least(1, min(p * m / r) over (order by pr range between current row and unbounded following)), 6) as q_value from x",
     "stratified_design": "select sample_id, 'cmv' as level, cmv = '+' as positive, batch as stratum from samples where cmv is not null",
-    "pair_dynamics": f", {PAIR}, z as (select v_call, j_call, fa, fb, cast(round_even(fa * 3000, 0) as bigint) as x, cast(round_even(fb * 3000, 0) as bigint) as y from j), s as (select sum(x) as ra, sum(y) as rb from z), t as (select v_call, j_call, fa, fb, x as a, y as b, cast(ra - x as bigint) as c, cast(rb - y as bigint) as d, ra, rb from z, s), u as (select *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda k: {PMF}) as q, a - greatest(0, a - d) + 1 as i from t where a + b >= 6), w as (select v_call, j_call, least(1, list_sum(list_filter(q, lambda x: x <= q[i] * (1 + 1e-7)))) as p from u), r as (select *, round(p, 12) as pr from w), m as (select *, count(*) over (order by pr) as k, count(*) over () as m from r), e as (select v_call, j_call, p, least(1, min(p * m / k) over (order by pr range between current row and unbounded following)) as q from m) select t.v_call, t.j_call, a as count_a, b as count_b, round(fa, 6) as f_a, round(fb, 6) as f_b, round(coalesce(p, 1), 6) as p_value, round(coalesce(q, 1), 6) as q_value, case when p is null then 'untested' when q < 0.2 and a = 0 then 'emergent' when q < 0.2 and b = 0 then 'vanishing' when q < 0.2 and b / rb > a / ra then 'expanded' when q < 0.2 then 'contracted' else 'persistent' end as dynamics from t left join e on e.v_call = t.v_call and e.j_call = t.j_call",
+    "pair_dynamics": f", {PAIR}, z as (select v_call, j_call, fa, fb, cast(round_even(fa * 3000, 0) as bigint) as x, cast(round_even(fb * 3000, 0) as bigint) as y from j), s as (select sum(x) as ra, sum(y) as rb from z), t as (select v_call, j_call, fa, fb, x as a, y as b, cast(ra - x as bigint) as c, cast(rb - y as bigint) as d, ra, rb from z, s), u as (select *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda k: {PMF}) as q, a - greatest(0, a - d) + 1 as i from t where a + b >= 6), w as (select v_call, j_call, least(1, list_sum(list_filter(q, lambda x: x <= q[i] * (1 + 1e-7)))) as p from u), r as (select *, round(p, 12) as pr from w), m as (select *, count(*) over (order by pr) as k, count(*) over () as m from r), e as (select v_call, j_call, p, least(1, min(p * m / k) over (order by pr range between current row and unbounded following)) as q from m) select t.v_call, t.j_call, a as count_a, b as count_b, round(fa, 6) as f_a, round(fb, 6) as f_b, round(ROUND(coalesce(p, 1), 6), 6) as p_value, round(ROUND(coalesce(q, 1), 6), 6) as q_value, case when p is null then 'untested' when q < 0.2 and a = 0 then 'emergent' when q < 0.2 and b = 0 then 'vanishing' when q < 0.2 and b / rb > a / ra then 'expanded' when q < 0.2 then 'contracted' else 'persistent' end as dynamics from t left join e on e.v_call = t.v_call and e.j_call = t.j_call",
     "expansion": f", {PAIR}, n as (select cast(sum(ca) as double) as na, cast(sum(cb) as double) as nb from j), p as (select log2(cb / nb) - log2(ca / na) as m, (log2(cb / nb) + log2(ca / na)) / 2 as s, (nb - cb) / (nb * cb) + (na - ca) / (na * ca) as v from j, n where ca > 0 and cb > 0), e as (select quantile_cont(m, 0.3) as m1, quantile_cont(m, 0.7) as m2, quantile_cont(s, 0.05) as s1, quantile_cont(s, 0.95) as s2 from p), f as (select sqrt(pow(2, sum(m / v) / sum(1 / v))) as f from p, e where m between m1 and m2 and s between s1 and s2), y as (select v_call, j_call, ca, cb, ca * (sqrt(nb / na) * f) as qa, cb * (sqrt(na / nb) / f) as qb from j, n, f), t as (select *, cast(round_even(qa, 0) as bigint) as y, cast(round_even(qa, 0) + round_even(qb, 0) as bigint) as t, log2((qb + 0.5) / (qa + 0.5)) as l from y), u as (select *, list_transform(range(0, t + 1), lambda k: exp(lgamma(t + 1) - lgamma(k + 1) - lgamma(t - k + 1) + lgamma(k + 5e0) + lgamma(t - k + 5e0) - lgamma(t + 1e1) + lgamma(1e1) - 2 * lgamma(5e0))) as q from t where t >= 6), w as (select v_call, j_call, least(1, list_sum(list_filter(q, lambda x: x <= q[y + 1] * (1 + 1e-9)))) as p from u), r as (select *, round(p, 12) as pr from w), m as (select *, count(*) over (order by pr) as k, count(*) over () as m from r), g as (select v_call, j_call, p, least(1, min(p * m / k) over (order by pr range between current row and unbounded following)) as q from m) select t.v_call, t.j_call, ca as count_a, cb as count_b, round(qa, 6) as q_a, round(qb, 6) as q_b, round(l, 6) as log2fc, round(coalesce(p, 1), 6) as p_value, round(coalesce(q, 1), 6) as q_value, 0.2e0 as dispersion, case when p is null then 'untested' when q < 0.5 and l >= 1 then 'expanded' when q < 0.5 and l <= -1 then 'contracted' else 'unchanged' end as call from t left join g on g.v_call = t.v_call and g.j_call = t.j_call",
     "expansion_dispersion": "select v_call, cast(coalesce(sum(duplicate_count) filter (sample_id = 'S01'), 0) as bigint) as count_a, cast(coalesce(sum(duplicate_count) filter (sample_id = 'S02'), 0) as bigint) as count_b, true as fitted from clonotypes where sample_id in ('S01', 'S02') group by v_call",
     "effective_size": "select true as positive",

@@ -23,6 +23,11 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(digits(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def _decimals(df: DataFrame, **digits: int) -> DataFrame:
+    """Columns whose last digits depend on how logarithms of factorials are computed, to fewer decimals."""
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 def query(f: Query) -> Query:
     QUERIES[f.__name__] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
     return f
@@ -231,7 +236,7 @@ def kmer_cohort(s, d):
 
 @query
 def physchem_profile(s, d):
-    return features.physchem_profile(A.clonotypes(s, d), ("j_call",), "center", properties={"hydropathy": features.HYDROPATHY})
+    return _decimals(features.physchem_profile(A.clonotypes(s, d), ("j_call",), "center", properties={"hydropathy": features.HYDROPATHY}), value=6)
 
 
 @query
@@ -334,7 +339,7 @@ def cluster_eval(s, d):
 
 @query
 def sample_coverage(s, d):
-    return rarefaction.sample_coverage(A.clonotypes(s, d), [100, 1000, 2500.5, 10**6])
+    return _decimals(rarefaction.sample_coverage(A.clonotypes(s, d), [100, 1000, 2500.5, 10**6]), sample_coverage=5)
 
 
 @query
@@ -344,7 +349,7 @@ def asymptotic_diversity(s, d):
 
 @query
 def inext(s, d):
-    return rarefaction.inext(A.clonotypes(s, d), sizes=[50, 700], se=False).drop("qD_lo", "qD_hi")
+    return _decimals(rarefaction.inext(A.clonotypes(s, d), sizes=[50, 700], se=False).drop("qD_lo", "qD_hi"), sample_coverage=5, qD=4)
 
 
 @query
@@ -408,7 +413,7 @@ def _two(s, d):
 
 @query
 def pair_dynamics(s, d):
-    return dynamics.test_pair(*_two(s, d), key=("v_call", "j_call"), neff=3000.0, alpha=0.2)
+    return _decimals(dynamics.test_pair(*_two(s, d), key=("v_call", "j_call"), neff=3000.0, alpha=0.2), p_value=6, q_value=6)
 
 
 @query
@@ -635,7 +640,7 @@ def kmer_vocabulary(s, d):
 @query
 def kmer_projection(s, d):
     c = A.clonotypes(s, d)
-    space = kmer_space.fit_kmer_space(c, pattern="xxx", min_df=0.1, max_df=0.9, components=4)
+    space = kmer_space.fit_kmer_space(c, pattern="xx", groups=4, min_df=0.2, max_df=0.9, components=3)
     got = space.transform(c)
     return got.groupBy("sample_id").agg(F.sum(F.col("value") * F.col("value")).alias("length"))
 
