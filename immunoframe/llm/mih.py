@@ -219,12 +219,15 @@ class _Index:
             return codes.select("id", "code", F.posexplode(F.slice("values", 1, m)).alias("part", "value")).withColumn("lead", F.shiftright("value", low))
 
         entries = parts(self.coded)
-        sizes = self.scratch.cut(entries.groupBy("part", "lead").agg(F.greatest(F.lit(1), F.floor(F.count("*") / (2 * BLOCK)).cast("int")).alias("salts")))
-        entries = entries.join(sizes, ["part", "lead"]).withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).drop("salts").withColumn("ask", F.lit(False))
+        sizes = entries.groupBy("part", "lead").agg(F.floor(F.count("*") / (2 * BLOCK)).cast("int").alias("salts"))
+        over = self.scratch.cut(sizes.where("salts > 1"))  # parts of the table that are split
+        split = not over.isEmpty()
+        salts = (lambda df: df.join(over, ["part", "lead"], "left").fillna(1, ["salts"])) if split else (lambda df: df.withColumn("salts", F.lit(1)))
+        entries = salts(entries).withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).drop("salts").withColumn("ask", F.lit(False))
         asks = parts(asked)
         flips = F.array(*(F.lit(int(x)) for x in _masks(lead, s)))
         asks = asks.withColumn("lead", F.explode(F.transform(flips, lambda x: F.col("lead").bitwiseXOR(x))))
-        asks = asks.join(sizes, ["part", "lead"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumn("ask", F.lit(True))
+        asks = salts(asks).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)) if split else F.lit(0)).drop("salts").withColumn("ask", F.lit(True))
         both = entries.unionByName(asks)
         dealt = both.repartition("part", "lead", "salt").sortWithinPartitions("part", "lead", "salt", "ask")
         return dealt.mapInArrow(_probe(self.width, lead, s, radius), "q long, id long").distinct()
