@@ -439,7 +439,7 @@ def read_model(folder: str, functions: tuple[str, ...] | None = None) -> Model:
     """A model in the common text form: ``model_params.txt``, ``model_marginals.txt`` and the anchors of V and J genes (CSV), on the driver: some ten thousand numbers.
 
     Trims are listed from the longest palindrome (negative numbers of deletions) on; realisations stand in the order of their index.
-    ``functions``: only genes whose anchors have one of these functional classes.
+    ``functions``: only genes whose anchors have one of these functional classes; what the others had is not shared out.
     """
     import csv
     import os
@@ -511,10 +511,10 @@ def read_model(folder: str, functions: tuple[str, ...] | None = None) -> Model:
     p_j = p_j[np.ix_(keep_v, keep_j)] if p_j.ndim == 2 else p_j[keep_j]
     steps = lambda k: normal(values[k].reshape(4, 4))
     if pick("GeneChoice", "D_gene") is None:
-        return Model(v, j, normal(p_v), normal(p_j), [normal(values["vj_ins"])], [steps("vj_dinucl")])
+        return Model(v, j, p_v, p_j, [normal(values["vj_ins"])], [steps("vj_dinucl")])
     (lp, lo), (rp, ro) = trims("Deletion", "D_gene", "Five_prime"), trims("Deletion", "D_gene", "Three_prime")
     d = []
     for i, (gene, full) in enumerate(pick("GeneChoice", "D_gene")):
         joint = values["d_5_del"][i][lo][:, None] * values["d_3_del"][i][np.ix_(lo, ro)]
         d.append(Segment(gene, palindrome(full, lp, rp), joint / joint.sum()))
-    return Model(v, j, normal(p_v), normal(p_j), [normal(values["vd_ins"]), normal(values["dj_ins"])], [steps("vd_dinucl"), steps("dj_dinucl")], d, normal(values["d_gene"][keep_j]))
+    return Model(v, j, p_v, p_j, [normal(values["vd_ins"]), normal(values["dj_ins"])], [steps("vd_dinucl"), steps("dj_dinucl")], d, normal(values["d_gene"][keep_j]))
