@@ -44,6 +44,14 @@ class Scratch:
         for df in tables:
             self._delete(df._scratch_path)
 
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` as a written table, after which all other tables of this scratch are deleted."""
+        done = self.n
+        out = self.cut(df)
+        for i in range(1, done + 1):
+            self._delete(f"{self.base}/{i}")
+        return out
+
     def close(self) -> None:
         """Deletes all tables of this scratch: whatever reads them must have been written."""
         self._delete(self.base)
