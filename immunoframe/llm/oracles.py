@@ -21,6 +21,15 @@ _FOUND = ", ".join(f"{_places(p)} as p{k}" for k, p in enumerate(PHRASES))
 _ALL = "list_concat(list_concat(p0, p1), p2)"
 _LABELS = ", ".join(f"case when len(p{k}) > 0 then '{v}' end" for k, v in enumerate(PHRASES.values()))
 
+def _crc(i: int) -> int:
+    for _ in range(8):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+#: crc32 of a string of which ``x`` is the hexadecimal UTF-8.
+_CRC = f"xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: cast('0x' || substr(x, 2 * i + 1, 2) as bigint))), lambda c, b: xor({[_crc(i) for i in range(256)]}[1 + (xor(c, b) & 255)], c >> 8)), 4294967295)"
+
 ORACLE_SQL: dict[str, str] = {
     "url_rules": f"""with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages), h as (select page_id, rest, coalesce(regexp_extract(rest, '^[^/?#]*'), '') as h from u),
         p as (select page_id, translate(h, '{_UPPER}', '{_LOWER}') as host, coalesce(regexp_extract(substr(rest, length(h) + 1), '^[^?#]*'), '') as path from h), r(rule, site, start, verdict) as (values {_RULES}),
@@ -45,4 +54,10 @@ ORACLE_SQL: dict[str, str] = {
         q as (select doc_id, sum(n) as gone from z join c using (source, plain) group by doc_id), b as (select t.doc_id, len(w) as n, list_sum(list_transform(w, lambda x: length(x))) as chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as sym, coalesce(dup, 0) as dup, coalesce(k.n, 0) as rep, gone from t left join u using (doc_id) left join k using (doc_id) left join q using (doc_id)),
         f as (select *, n < 10 or 100 * rep > 20 * n as failed, greatest(0, n - coalesce(gone, 0)) as rest from b)
         select doc_id, n as n_words, cast(coalesce(chars, 0) as bigint) as word_chars, sym as n_symbols, dup as n_dup_lines, rep as n_repeat_words, failed as base_failed, not failed and not (gone is not null and (rest < 5 or rest < n * 0.2)) as kept, cast(rest as bigint) as n_left from f""",
+    "op13_spelling_variants": rf"""with recursive r as (select coalesce(cast(doc_id as varchar), '') as d, unnest(regexp_extract_all({_TEXT}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents), g as (select d, run, count(*) as k from r where length(run) >= 7 group by all), x as (select *, hex(encode(d || ':' || run)) as x from g),
+        h as (select *, {_CRC} as h from x), t as (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, 2 + h % length(run)) else run end as word, k from h), w as (select word, cast(sum(k) as bigint) as n from t where length(word) >= 7 group by word having sum(k) >= 2),
+        d as (select word, i, substr(word, 1, i) || substr(word, i + 2) as cut from (select word, unnest(range(0, length(word))) as i from w)), p as (select a.word, b.word as near from d a join d b on a.i = b.i and a.cut = b.cut and a.word <> b.word union select d.word, w.word from d join w on cut = w.word union select w.word, d.word from d join w on cut = w.word),
+        b as (select p.word, count(*) as n_near, max(w.n) as m, (list(near order by w.n desc, encode(near)))[1] as near from p join w on w.word = near group by p.word), f as (select w.word, case when m >= 10 * n then near end as form, n, coalesce(n_near, 0) as n_near, case when m >= 10 * n then m end as form_n from w left join b on b.word = w.word),
+        e as (select word, word as at from f where form is null union all select f.word, e.at from f join e on f.form = e.word)
+        select f.word, form, e.at as root, n, n_near, form_n from f join e on e.word = f.word""",
 }

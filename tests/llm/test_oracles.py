@@ -10,7 +10,7 @@ from immunoframe.llm.queries import ORACLE_SQL, QUERIES
 def test_query(spark, sf, name):
     got = QUERIES[name](spark, sf).toPandas()
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
