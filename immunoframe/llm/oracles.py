@@ -54,6 +54,11 @@ ORACLE_SQL: dict[str, str] = {
         q as (select doc_id, sum(n) as gone from z join c using (source, plain) group by doc_id), b as (select t.doc_id, len(w) as n, list_sum(list_transform(w, lambda x: length(x))) as chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as sym, coalesce(dup, 0) as dup, coalesce(k.n, 0) as rep, gone from t left join u using (doc_id) left join k using (doc_id) left join q using (doc_id)),
         f as (select *, n < 10 or 100 * rep > 20 * n as failed, greatest(0, n - coalesce(gone, 0)) as rest from b)
         select doc_id, n as n_words, cast(coalesce(chars, 0) as bigint) as word_chars, sym as n_symbols, dup as n_dup_lines, rep as n_repeat_words, failed as base_failed, not failed and not (gone is not null and (rest < 5 or rest < n * 0.2)) as kept, cast(rest as bigint) as n_left from f""",
+    "op11_hard_negatives": """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256e0 * x)) as v from embeddings where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as s from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+        p as (select a, b as positive_id, s as p from (select *, row_number() over (partition by a order by s desc, b) as r from s where same) where r <= 5),
+        n as (select p.*, b, s, row_number() over (partition by p.a, positive_id order by s desc, b) as rank from p join s on p.a = s.a and not same and 30 * p <= 100 * s and 100 * s <= 90 * p)
+        select a as anchor_id, positive_id, cast(rank as integer) as rank, b as negative_id, p as positive_score, s as negative_score from n where rank <= 10""",
     "op13_spelling_variants": rf"""with recursive r as (select coalesce(cast(doc_id as varchar), '') as d, unnest(regexp_extract_all({_TEXT}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents), g as (select d, run, count(*) as k from r where length(run) >= 7 group by all), x as (select *, hex(encode(d || ':' || run)) as x from g),
         h as (select *, {_CRC} as h from x), t as (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, 2 + h % length(run)) else run end as word, k from h), w as (select word, cast(sum(k) as bigint) as n from t where length(word) >= 7 group by word having sum(k) >= 2),
         d as (select word, i, substr(word, 1, i) || substr(word, i + 2) as cut from (select word, unnest(range(0, length(word))) as i from w)), p as (select a.word, b.word as near from d a join d b on a.i = b.i and a.cut = b.cut and a.word <> b.word union select d.word, w.word from d join w on cut = w.word union select w.word, d.word from d join w on cut = w.word),

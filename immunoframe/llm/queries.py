@@ -20,6 +20,7 @@ from .setsketch import near_duplicates
 from .sharding import shard
 from .spelling import group_variants, word_counts
 from .url_templates import url_filter
+from .va_file import hard_negatives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(word_counts(_table(spark, sf_dir, "documents"), typo_every=31))
 
@@ -92,6 +98,6 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_license_scan, op4_secret_scan, op5_nearest_neighbours, op6_sampled_splitters, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing, op13_spelling_variants, url_rules, license_base, shard_sizes, mixing_targets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_license_scan, op4_secret_scan, op5_nearest_neighbours, op6_sampled_splitters, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing, op11_hard_negatives, op13_spelling_variants, url_rules, license_base, shard_sizes, mixing_targets)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

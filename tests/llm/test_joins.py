@@ -1,12 +1,16 @@
 """Operators on pairs that came last (spelling variants, hard negatives, heavy-light join), against brute force."""
 
+import math
 import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from immunoframe.llm.spelling import RUN, Shard, group_variants, one_edit, word_counts
+from immunoframe.llm.va_file import bounds, cells, hard_negatives
 
 WORDS = "word string, n long, near string, size long"
 
@@ -81,3 +85,69 @@ def test_word_counts(spark):
                 run = run[: h % len(run)] + run[h % len(run) + 1 :]
             want[run] += len(run) >= 7
     assert {tuple(r) for r in word_counts(docs, typo_every=31).collect()} == {(w, n) for w, n in want.items() if n >= 2}
+
+
+VECTORS = "vec_id long, label int, embedding array<float>, node long, ids string, a int"
+
+
+def brute_negatives(rows, positives=5, negatives=10):
+    held = {}
+    for i, label, v in rows:
+        if i is not None and label is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            held[i] = max(held.get(i, (label, [])), (label, [math.floor(256 * x) for x in v]))
+    out = set()
+    for a, (label, v) in held.items():
+        if a % 100:
+            continue
+        score = {i: sum(x * y for x, y in zip(v, w, strict=True)) for i, (_, w) in held.items() if i != a and len(w) == len(v)}
+        ranked = sorted(score, key=lambda i: (-score[i], i))
+        for p in [i for i in ranked if held[i][0] == label][:positives]:
+            fit = [i for i in ranked if held[i][0] != label and 30 * score[p] <= 100 * score[i] <= 90 * score[p]]
+            out |= {(a, p, r, i, score[p], score[i]) for r, i in enumerate(fit[:negatives], 1)}
+    return out
+
+
+def negatives_of(spark, rows):
+    df = spark.createDataFrame([(i, label, v, 0, "x", 1) for i, label, v in rows], VECTORS)
+    return hard_negatives(df, F.col("vec_id") % 100 == 0).collect()
+
+
+def test_hard_negatives_against_brute_force(spark, monkeypatch):
+    """Several blocks and parts, a third of the rows with one vector, ties, vectors of other lengths, rows that take no part."""
+    from immunoframe.llm import va_file
+
+    monkeypatch.setattr(va_file, "ROWS", 1000)
+    monkeypatch.setattr(va_file, "ASKED", 60)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 6)).astype(np.float32)
+    x[rng.random(900) < 0.33] = x[0]
+    x[rng.random(900) < 0.1] = np.round(x[1] * 2) / 2
+    rows = [(i, int(rng.integers(0, 3)), [float(c) for c in v]) for i, v in enumerate(x)]
+    rows += [(1000 + 10 * i, i % 2, [float(i % 7), 1.0]) for i in range(60)] + [(5000, 1, [0.0] * 6), (5001, 1, [0.5] * 6), (6000, 9, [0.5] * 6)]
+    rows += [(7000, None, [1.0] * 6), (7100, 1, None), (7200, 1, []), (7300, 1, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (7400, 1, [math.nan] * 6), (7500, 1, [math.inf] * 6), (None, 1, [1.0] * 6)]
+    rows += [(100, 0, [9.0] * 6), (100, 0, [9.0] * 6)]
+    got = negatives_of(spark, rows)
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == brute_negatives(rows)
+
+
+def test_hard_negatives_odd_rows(spark):
+    """No rows, one row, and components whose products doubles don't hold."""
+    assert negatives_of(spark, []) == [] and negatives_of(spark, [(0, 1, [1.0])]) == []
+    rng = np.random.default_rng(6)
+    rows = [(50 * i, i % 2, [float(np.float32(c)) for c in rng.normal(size=3) * 3e6]) for i in range(40)]
+    assert {tuple(r) for r in negatives_of(spark, rows)} == brute_negatives(rows)
+    rows = [(0, 1, [3e30, 1.0]), (1, 1, [3e30, 2.0]), (2, 2, [-3e30, 1.0]), (3, 2, [1.0, 1.0])]
+    assert {tuple(r)[:4] for r in negatives_of(spark, rows)} <= {(0, 1, 1, 3)}
+
+
+def test_approximations_bound_scores():
+    rng = np.random.default_rng(2)
+    x, q = np.floor(rng.normal(size=(700, 9)) * 300), np.floor(rng.normal(size=(20, 9)) * 300)
+    codes, low, high = cells(x)
+    below, above = bounds(q, codes, low, high)
+    exact = q @ x.T
+    assert (below <= exact).all() and (exact <= above).all() and codes.max() == 63
+    table = np.minimum(q[:, None] * low, q[:, None] * high)  # anchor, cell, dimension: the lookup tables themselves
+    assert np.allclose(below, table[:, codes, np.arange(9)].sum(axis=2))
+    codes, low, high = cells(x[:3])
+    assert (low[codes, np.arange(9)] == x[:3]).all() and (high[codes, np.arange(9)] == x[:3]).all()
