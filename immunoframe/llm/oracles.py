@@ -21,6 +21,13 @@ _FOUND = ", ".join(f"{_places(p)} as p{k}" for k, p in enumerate(PHRASES))
 _ALL = "list_concat(list_concat(p0, p1), p2)"
 _LABELS = ", ".join(f"case when len(p{k}) > 0 then '{v}' end" for k, v in enumerate(PHRASES.values()))
 
+def _linked(percent: int) -> str:
+    """Documents ``t``, their set sizes ``n``, and the components ``c`` of those whose three-word shingles have that similarity."""
+    return rf"""with recursive t as (select doc_id, regexp_extract_all({_TEXT}, '{_WORDS}') as w from documents), s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as x from t),
+        n as (select doc_id, count(*) as n from s group by doc_id), p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by all), l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= {percent} * (x.n + y.n - k)),
+        e as (select a, b from l union all select b, a from l), r as (select doc_id as node, doc_id as root from t union select e.b, r.root from r join e on r.node = e.a), c as (select node, min(root) as root from r group by node)"""
+
+
 def _crc(i: int) -> int:
     for _ in range(8):
         i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
@@ -42,10 +49,7 @@ ORACLE_SQL: dict[str, str] = {
         w as (select source, cast(n as double) as n, [1, 2, 3][1 + k % 3] as w, 3e0 * n as l from s), o as (select *, l / w as fill, sum(n) over () - coalesce(sum(l) over b, 0) as rest, sum(w) over () - coalesce(sum(w) over b, 0) as ws from w window b as (order by l / w, source nulls last rows between unbounded preceding and 1 preceding)),
         g as (select min(rest / ws) filter (rest / ws <= fill) as low, arg_min(rest / ws, fill) filter (rest / ws <= fill) as level from o), t as (select source, cast(n as bigint) as source_size, least(l, w * coalesce(level, fill)) as target from o, g)
         select doc_id, size, source_size, round(target, 4) as target from d join t on d.source is not distinct from t.source""",
-    "op8_minhash_near_dedup": rf"""with recursive t as (select doc_id, regexp_extract_all({_TEXT}, '{_WORDS}') as w from documents), s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as x from t),
-        n as (select doc_id, count(*) as n from s group by doc_id), p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by all), l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
-        e as (select a, b from l union all select b, a from l), r as (select doc_id as node, doc_id as root from t union select e.b, r.root from r join e on r.node = e.a), c as (select node, min(root) as root from r group by node)
-        select t.doc_id, coalesce(n.n, 0) as n_shingles, root as component_id, t.doc_id = root as kept from t left join n using (doc_id) join c on node = t.doc_id""",
+    "op8_minhash_near_dedup": _linked(85) + " select t.doc_id, coalesce(n.n, 0) as n_shingles, root as component_id, t.doc_id = root as kept from t left join n using (doc_id) join c on node = t.doc_id",
     "op9_quality_rules": rf"""with t as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') as w from documents), g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] as x from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from t)),
         k as (select doc_id, count(distinct i + o) as n from (select doc_id, i from (select *, count(*) over (partition by doc_id, x) as c from g) where c > 1), range(5) r(o) group by doc_id),
         y as (select doc_id, source, unnest(string_split(text, chr(10))) as line from t), z as (select doc_id, source, line, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) as plain, len(regexp_extract_all(line, '{_WORDS}')) as n from y where regexp_matches(line, '[^\x20\x09-\x0D]')),
@@ -59,6 +63,7 @@ ORACLE_SQL: dict[str, str] = {
         p as (select a, b as positive_id, s as p from (select *, row_number() over (partition by a order by s desc, b) as r from s where same) where r <= 5),
         n as (select p.*, b, s, row_number() over (partition by p.a, positive_id order by s desc, b) as rank from p join s on p.a = s.a and not same and 30 * p <= 100 * s and 100 * s <= 90 * p)
         select a as anchor_id, positive_id, cast(rank as integer) as rank, b as negative_id, p as positive_score, s as negative_score from n where rank <= 10""",
+    "op12_ngram_join": _linked(90) + " select t.doc_id, coalesce(n.n, 0) as n_shingles, root as component_id from t left join n using (doc_id) join c on node = t.doc_id",
     "op13_spelling_variants": rf"""with recursive r as (select coalesce(cast(doc_id as varchar), '') as d, unnest(regexp_extract_all({_TEXT}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents), g as (select d, run, count(*) as k from r where length(run) >= 7 group by all), x as (select *, hex(encode(d || ':' || run)) as x from g),
         h as (select *, {_CRC} as h from x), t as (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, 2 + h % length(run)) else run end as word, k from h), w as (select word, cast(sum(k) as bigint) as n from t where length(word) >= 7 group by word having sum(k) >= 2),
         d as (select word, i, substr(word, 1, i) || substr(word, i + 2) as cut from (select word, unnest(range(0, length(word))) as i from w)), p as (select a.word, b.word as near from d a join d b on a.i = b.i and a.cut = b.cut and a.word <> b.word union select d.word, w.word from d join w on cut = w.word union select w.word, d.word from d join w on cut = w.word),

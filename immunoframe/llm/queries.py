@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .heavy_light import ngram_join
 from .html_crf import extract
 from .licenses import license_scan
 from .mih import nearest
@@ -73,6 +74,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(word_counts(_table(spark, sf_dir, "documents"), typo_every=31))
 
@@ -98,6 +103,6 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_license_scan, op4_secret_scan, op5_nearest_neighbours, op6_sampled_splitters, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing, op11_hard_negatives, op13_spelling_variants, url_rules, license_base, shard_sizes, mixing_targets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_license_scan, op4_secret_scan, op5_nearest_neighbours, op6_sampled_splitters, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing, op11_hard_negatives, op12_ngram_join, op13_spelling_variants, url_rules, license_base, shard_sizes, mixing_targets)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

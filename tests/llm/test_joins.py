@@ -1,7 +1,9 @@
 """Operators on pairs that came last (spelling variants, hard negatives, heavy-light join), against brute force."""
 
+import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -9,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from immunoframe.llm.heavy_light import LIMIT, boundary, least_heavy, light_keys, ngram_join, part_keys, subset_keys
 from immunoframe.llm.spelling import RUN, Shard, group_variants, one_edit, word_counts
 from immunoframe.llm.va_file import bounds, cells, hard_negatives
 
@@ -151,3 +154,90 @@ def test_approximations_bound_scores():
     assert np.allclose(below, table[:, codes, np.arange(9)].sum(axis=2))
     codes, low, high = cells(x[:3])
     assert (low[codes, np.arange(9)] == x[:3]).all() and (high[codes, np.arange(9)] == x[:3]).all()
+
+
+JOINED = "doc_id long, text string, n long, key string, kid int"
+
+
+def brute_join(rows, percent=90):
+    sets = []
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append((i, frozenset(tuple(words[a : a + 3]) for a in range(max(len(words) - 2, min(len(words), 1))))))
+    root = list(range(len(rows)))
+
+    def top(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        (i, s), (j, t) = sets[a], sets[b]
+        if None not in (i, j) and s and t and 100 * len(s & t) >= percent * len(s | t):
+            root[top(a)] = top(b)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        least[top(a)] = min(i, least.get(top(a), i)) if i is not None else None
+    return sorted(((i, len(s), least[top(a)]) for a, (i, s) in enumerate(sets)), key=str)
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        at, how = rng.randrange(len(words)), rng.random()
+        if how < 0.4:
+            words[at] = f"new{rng.randrange(10**6)}"
+        elif how < 0.7:
+            del words[-1]
+        else:
+            words.append(f"more{rng.randrange(10**6)}")
+    return words
+
+
+def test_join_against_brute_force(spark):
+    """Sets of 1 to 400 elements near the threshold, a passage that many share, a group that most rows belong to, and odd rows."""
+    rng = random.Random(12)
+    texts = []
+    for size in [*range(1, 48), 56, 57, 75, 76, 95, 120, 200, 400]:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(size + 2)]
+        texts += [" ".join(edited(rng, words, e)) for e in (0, 0, 1, 1, 2, 3) if e < size]
+        texts.append(" ".join(["passage"] * 2 + [f"p{i}" for i in range(30)] + words[:20]))
+    hot = [f"h{i}" for i in range(150)]
+    texts += [" ".join(edited(rng, hot, rng.randint(1, 4))) for _ in range(120)] + [" ".join(hot)] * 20
+    texts += ["", None, " \t\n", "one", "ONE", "two words", "Two  Words", "a a a a a a", "a a a"]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    rows = [*zip(ids, texts, strict=True), (None, "one"), (None, None), (7, "seven of nine and ten"), (7, "seven of nine and ten"), (7, "another text of seven")]
+    got = ngram_join(spark.createDataFrame([(i, t, 1, "k", 2) for i, t in rows], JOINED)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_join(rows)
+
+
+def test_join_odd_tables(spark):
+    assert ngram_join(spark.createDataFrame([], JOINED)).collect() == []
+    assert [tuple(r) for r in ngram_join(spark.createDataFrame([(5, None, 1, "k", 2)], JOINED)).collect()] == [(5, 0, 5)]
+    long = " ".join(f"w{i % 30011}" for i in range(120_000))
+    got = ngram_join(spark.createDataFrame([(2, long, 1, "k", 2), (1, long + " end", 1, "k", 2)], JOINED)).collect()
+    assert sorted(map(tuple, got)) == [(1, 30012, 1), (2, 30011, 1)]
+
+
+def test_light_and_heavy_keys_meet():
+    """Similar sets share a subset key with opposite sides or a part key, whatever the boundary."""
+    rng = np.random.default_rng(9)
+    for _ in range(3000):
+        n, x = int(rng.integers(1, 60)), int(rng.integers(0, 26))
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        t = np.unique(np.concatenate([s[rng.permutation(n)[: n - int(rng.integers(0, 1 + n // 15))]], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 15))).astype(np.uint64)]))
+        both, union = len(np.intersect1d(s, t)), len(np.union1d(s, t))
+        if both == union or 100 * both < 90 * union:
+            continue
+        if max(len(s), len(t)) <= x:
+            sides = [dict(zip(*(a.tolist() for a in subset_keys(e, 90, x)), strict=True)) for e in (s, t)]
+            assert any({sides[0][key], sides[1][key]} in ({0, 1}, {2}) for key in sides[0].keys() & sides[1].keys())
+        else:
+            assert min(len(s), len(t)) >= least_heavy(x, 90)
+            assert len(np.intersect1d(*(part_keys(e, 90, least_heavy(x, 90)) for e in (s, t))))
+
+
+def test_boundary_by_cost():
+    few, many = boundary({12: 100, 40: 100}, 90), boundary({12: 100}, 90)
+    assert 12 <= few < 40 and many >= 12 and light_keys(40, 90, 40) > 10_000
