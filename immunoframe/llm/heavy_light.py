@@ -47,9 +47,9 @@ def partners(n: int, percent: int, most: int) -> list[int]:
 
 
 @lru_cache(65536)
-def levels(percent: int, least: int, n: int) -> tuple[tuple[int, int], ...]:
-    """The schemes of a heavy set of size ``n``: number, and parts. Scheme i is for pairs whose smaller set is of level i."""
-    out, level, low = [], 0, least
+def levels(percent: int, n: int) -> tuple[tuple[int, int], ...]:
+    """The schemes of a set of size ``n``: number, and parts. Scheme i is for pairs whose smaller set is of level i."""
+    out, level, low = [], 0, 1
     while True:
         high = 100 * low // percent
         parts = (high + 100 * high // percent) * (100 - percent) // (100 + percent) + 1
@@ -72,8 +72,7 @@ def boundary(counts: dict[int, int], percent: int) -> int:
     """The size up to which sets are light, from the number of sets of each size up to ``LIMIT``."""
 
     def cost(x: int) -> int:
-        low = least_heavy(x, percent)
-        heavy = sum(c * (HEAVY + sum(p for _, p in levels(percent, low, n))) for n, c in counts.items() if n >= low)
+        heavy = sum(c * (HEAVY + sum(p for _, p in levels(percent, n))) for n, c in counts.items() if n >= least_heavy(x, percent))
         return heavy + sum(c * light_keys(n, percent, x) for n, c in counts.items() if n <= x)
 
     return min(range(LIMIT + 1), key=cost)
@@ -83,10 +82,12 @@ def parities(elements: np.ndarray) -> bytes:
     return np.packbits(np.bincount((elements >> np.uint64(64 - 11)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
 
 
-def part_keys(elements: np.ndarray, percent: int, least: int) -> np.ndarray:
-    """A key for each part of each scheme of a heavy set."""
+def part_keys(elements: np.ndarray, percent: int) -> np.ndarray:
+    """A key for each part of each scheme of a set."""
+    if not len(elements):
+        return elements
     out, dealt, values = [], mix64(elements ^ C4), mix64(elements + C3)
-    for level, parts in levels(percent, least, len(elements)):
+    for level, parts in levels(percent, len(elements)):
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, (dealt % np.uint64(parts)).astype(np.int64), values)
         out.append(mix64(sums * C1 + mix64(np.arange(parts, dtype=np.uint64) + np.uint64(level << 32))))
@@ -110,7 +111,7 @@ def subset_keys(elements: np.ndarray, percent: int, x: int) -> tuple[np.ndarray,
     return np.concatenate(keys), np.concatenate(sides)
 
 
-def _describe(k: int):
+def _describe(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
@@ -119,21 +120,10 @@ def _describe(k: int):
                 keys = [set_key(s) for s in sets]
                 columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in keys], pa.int64())]
                 columns += [pa.array([parities(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) if len(s) <= LIMIT else None for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], ["doc_id", "n", "key", "kid", "sketch", "few"])
-
-    return run
-
-
-def _parts(k: int, percent: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column("text")
-            for a, b in slices(text):
-                heavy = [s for s in shingle_sets(text.slice(a, b - a), k) if len(s) >= least]
-                if heavy:
-                    keys = [part_keys(s, percent, least) for s in heavy]
-                    kids = np.repeat([np.frombuffer(set_key(s)[:8], np.int64)[0] for s in heavy], [len(x) for x in keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(kids)], ["part", "kid"])
+                parts = [part_keys(s, percent) for s in sets]
+                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64))))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], ["doc_id", "n", "key", "kid", "sketch", "few", "parts"])
 
     return run
 
@@ -212,17 +202,16 @@ def ngram_join(docs: DataFrame, *, k: int = 3, percent: int = 90, text: str = "t
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = scratch.cut(docs.mapInArrow(_describe(k), "doc_id long, n long, key binary, kid long, sketch binary, few array<long>"))
+    table = scratch.cut(docs.mapInArrow(_describe(k, percent), "doc_id long, n long, key binary, kid long, sketch binary, few array<long>, parts array<long>"))
     classes = table.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "kid", "sketch", "few")).alias("m"))
     classes = scratch.cut(classes.select("key", "m.*"))
     counts = {r["n"]: r["size"] for r in classes.where(f"n <= {LIMIT}").groupBy("n").agg(F.count("*").alias("size")).collect()}
     x = boundary(counts, percent)
     light = _light_pairs(scratch, classes, percent, x)
 
-    least = least_heavy(x, percent)
-    parts = docs.where("doc_id is not null").select("text").mapInArrow(_parts(k, percent, least), "part long, kid long")
+    parts = table.where(f"n >= {least_heavy(x, percent)} and doc_id is not null").select(F.explode("parts").alias("part"), "kid")
     shared = scratch.cut(parts.groupBy("part").agg(F.min("kid").alias("a"), F.max("kid").alias("b")).where("a != b").select("part"))
-    kids = scratch.cut(parts.join(shared, "part").select("kid").distinct())
+    kids = scratch.cut(parts.join(shared.hint("shuffle_hash"), "part").select("kid").distinct())
     heavy = scratch.cut(classes.join(kids, "kid", "left_semi").select("key"))
 
     join = _Exact(scratch, docs, classes.select("key", "doc_id", "n", "sketch"), k, percent)
