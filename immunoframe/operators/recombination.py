@@ -51,9 +51,12 @@ class Model:
     step: list[np.ndarray]
     d: list[Segment] = field(default_factory=list)
     p_d: np.ndarray | None = None
+    #: Of each insert, the probabilities of its first letter; those that the transitions lead to, if not given.
+    first: list[np.ndarray] | None = None
 
     def __post_init__(self) -> None:
-        self.first = [self._stationary(r) for r in self.step]
+        if self.first is None:
+            self.first = [self._stationary(r) for r in self.step]
 
     @staticmethod
     def _stationary(r: np.ndarray) -> np.ndarray:
@@ -226,7 +229,9 @@ def _scored(df: DataFrame, column: str, out: str, score, v: str | None, j: str |
 
 def pgen_nt(df: DataFrame, model: Model, column: str = "junction_nt", out: str = "pgen", *, v: str | None = None, j: str | None = None) -> DataFrame:
     """``df`` with the generation probability of nucleotide junctions, of all genes or of those named in columns ``v``, ``j``. Null junctions or calls have none."""
-    return _scored(df, column, out, lambda t, a, b: pgen_of(model, t, False, a, b), v, j)
+    from .scenarios import scenario_sums  # it is built on the model of this module
+
+    return scenario_sums(df, model, column, out, v=v, j=j)
 
 
 def pgen_aa(df: DataFrame, model: Model, column: str = "junction_aa", out: str = "pgen", *, v: str | None = None, j: str | None = None) -> DataFrame:
@@ -387,7 +392,7 @@ def usage_rescaled(model: Model, df: DataFrame) -> Model:
         p_j = spread(model.j, model.p_j, votes["j"])
     else:
         p_j = np.array([spread(model.j, row, votes["j"]) for row in model.p_j])
-    return Model(model.v, model.j, p_v, p_j, model.ins, model.step, model.d, model.p_d)
+    return Model(model.v, model.j, p_v, p_j, model.ins, model.step, model.d, model.p_d, model.first)
 
 
 def save_model(spark: SparkSession, model: Model, path: str) -> None:
@@ -402,7 +407,9 @@ def load_model(spark: SparkSession, path: str) -> Model:
     cuts: dict[str, list] = {"v": [], "d": [], "j": []}
     for r in spark.read.parquet(f"{path}/segments").orderBy("kind", "at").collect():
         cuts[r["kind"]].append((r["name"], r["cut"]))
-    p = {(r["event"], r["parent"], r["value"]): r["p"] for r in spark.read.parquet(f"{path}/marginals").collect()}
+    rows = spark.read.parquet(f"{path}/marginals").collect()
+    p = {(r["event"], r["parent"], r["value"]): r["p"] for r in rows}
+    weight = {(r["event"], r["parent"]): r["weight"] for r in rows}
     listed = lambda event, parent: np.array([x for _, x in sorted((int(k[2]), x) for k, x in p.items() if k[0] == event and k[1] == parent)])
 
     def joint(name: str) -> np.ndarray:
@@ -418,7 +425,8 @@ def load_model(spark: SparkSession, path: str) -> Model:
     p_j = np.array([p["j", "", t.name] for t in j]) if d or ("j", "", j[0].name) in p else np.array([[p["j", s.name, t.name] for t in j] for s in v])
     names = ("vd_ins", "dj_ins") if d else ("vj_ins",)
     step = [np.array([[p[f"{n}_step", a, b] for b in BASES] for a in BASES]) for n in names]
-    return Model(v, j, p_v, p_j, [listed(n, "") for n in names], step, d, np.array([[p["d", t.name, s.name] for s in d] for t in j]) if d else None)
+    first = [np.array([weight[f"{n}_step", a] for a in BASES]) for n in names]
+    return Model(v, j, p_v, p_j, [listed(n, "") for n in names], step, d, np.array([[p["d", t.name, s.name] for s in d] for t in j]) if d else None, first)
 
 
 def check_model(model: Model) -> list[str]:

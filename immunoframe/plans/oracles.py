@@ -171,6 +171,12 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "chain_multiplicity": ", c as (select cell_id, cast(sum(cast(locus = 'TRA' as int)) as bigint) as n_light, cast(sum(cast(locus = 'TRB' as int)) as bigint) as n_heavy from cells where locus in ('TRA', 'TRB') group by all) select n_light, n_heavy, count(*) as cells from c group by all",
     "pgen_nt_vj": f", {toy.space(toy.VJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select s, sum(p) as p from space group by s) select junction_nt, round(coalesce(p, 0), 6) as pgen from x left join g on s = junction_nt",
     "pgen_nt_vdj": f", {toy.space(toy.VDJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select s, sum(p) as p from space group by s) select junction_nt, round(coalesce(p, 0), 6) as pgen from x left join g on s = junction_nt",
+    "best_scenario_vj": f", {toy.space(toy.VJ)}, x as ({toy.JUNCTIONS.strip()}) select junction_nt, round(max(p), 6) as p from x join space on s = junction_nt group by junction_nt",
+    "best_scenario_vdj": f", {toy.space(toy.VDJ)}, x as ({toy.JUNCTIONS.strip()}) select junction_nt, round(max(p), 6) as p from x join space on s = junction_nt group by junction_nt",
+    "scenario_counts": f", {toy.space(toy.VDJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select la, lb, p / sum(p) over (partition by s) as p from x join space on s = junction_nt) select 'len0' as kind, cast(la as varchar) as piece, round(sum(p), 6) as x from g group by la union all select 'len1', cast(lb as varchar), round(sum(p), 6) from g group by lb",
+    "scenario_fit": f", {toy.space(toy.VJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select sum(p) as p from x join space on s = junction_nt group by s) select 'n' as piece, round(cast(count(*) as double), 6) as x from g union all select 'log', round(sum(ln(p)), 6) from g",
+    "inferred_genes": f", {toy.space(toy.VDJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select v, j, p / sum(p) over (partition by s) as p from x join space on s = junction_nt) select 'v' as event, v as value, round(sum(p) / (select sum(p) from g), 6) as p from g group by v union all select 'j', j, round(sum(p) / (select sum(p) from g), 6) from g group by j",
+    "inferred_joint": f", {toy.space(toy.VJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select v, j, p / sum(p) over (partition by s) as p from x join space on s = junction_nt), h as (select v, j, sum(p) as p from g group by all) select v as parent, j as value, round(p / sum(p) over (partition by v), 6) as p from h",
     "pgen_nt_genes": f", {toy.space(toy.VDJ)}, x as (select junction_nt, case when junction_nt like 'TGT%' then 'V1' else 'V2*01' end as v_call, case when junction_nt like '%TTTC' then 'J1*01' else 'J2' end as j_call from ({toy.JUNCTIONS.strip()})), g as (select s, v, j, sum(p) as p from space group by all) select junction_nt, v_call, j_call, round(coalesce(p, 0), 6) as pgen from x left join g on s = junction_nt and starts_with(v, v_call) and starts_with(j, j_call)",
     "pgen_aa_vj": f", {toy.space(toy.VJ)}, {RESIDUE} select junction_aa, round(coalesce(p, 0), 6) as pgen from x left join g on a = junction_aa",
     "pgen_aa_vdj": f", {toy.space(toy.VDJ)}, {RESIDUE} select junction_aa, round(coalesce(p, 0), 6) as pgen from x left join g on a = junction_aa",

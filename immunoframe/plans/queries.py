@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clonotype as C
 from ..operators import association as assoc
-from ..operators import batch, diversity, dynamics, enrichment, features, filters, kmer_space, neighbours, overlap, pooling, rarefaction, recombination, sampling, signature, singlecell, usage
+from ..operators import batch, diversity, dynamics, enrichment, features, filters, kmer_space, neighbours, overlap, pooling, rarefaction, recombination, sampling, scenarios, signature, singlecell, usage
 from . import adapter as A
 from . import toy
 
@@ -654,3 +654,36 @@ def shm_entropy(s, d):
 def pgen_pattern(s, d):
     x = _residues(s, d).select(F.concat(F.lit("C"), F.lit("X"), F.expr("substr(junction_aa, 3)")).alias("pattern")).where("length(pattern) > 2").distinct()
     return recombination.pgen_degenerate(x, toy.VDJ)
+
+
+@query
+def best_scenario_vj(s, d):
+    return scenarios.best_scenarios(_junctions(s, d), toy.VJ).select(F.col("s").alias("junction_nt"), "p")
+
+
+@query
+def best_scenario_vdj(s, d):
+    return scenarios.best_scenarios(_junctions(s, d), toy.VDJ).select(F.col("s").alias("junction_nt"), "p")
+
+
+@query
+def scenario_counts(s, d):
+    return scenarios.expected_counts(_junctions(s, d), toy.VDJ).where("kind in ('len0', 'len1')").select("kind", "piece", "x")
+
+
+@query
+def scenario_fit(s, d):
+    return scenarios.expected_counts(_junctions(s, d), toy.VJ).where("kind = 'fit'").select("piece", "x")
+
+
+@query
+def inferred_genes(s, d):
+    fitted, _ = scenarios.infer(_junctions(s, d), toy.VDJ, rounds=1)
+    table = recombination.marginals_frame(s, fitted)
+    return table.where("event in ('v', 'j')").select("event", "value", "p")
+
+
+@query
+def inferred_joint(s, d):
+    fitted, _ = scenarios.infer(_junctions(s, d), toy.VJ, rounds=1)
+    return recombination.marginals_frame(s, fitted).where("event = 'j'").select("parent", "value", "p")

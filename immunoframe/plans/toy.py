@@ -45,7 +45,7 @@ def _inserts(model: Model, k: int, backward: bool) -> list[tuple]:
 
 
 def space(model: Model) -> str:
-    """CTEs that end in ``space(v, j, s, p)``: every recombination's genes, sequence and probability."""
+    """CTEs that end in ``space(v, j, s, la, lb, p)``: every recombination's genes, sequence, lengths of inserts, and probability."""
     tables = [
         _values("vs", "v, cut, k, p", [(s.name, s.cut, k, float(a * p)) for s, a in zip(model.v, model.p_v, strict=True) for k, p in enumerate(s.trim)]), _values("js", "j, cut, k, p", [(s.name, s.cut, k, float(p)) for s in model.j for k, p in enumerate(s.trim)]),
         _values("ia", "s, p", _inserts(model, 0, False)),
@@ -53,12 +53,12 @@ def space(model: Model) -> str:
     left, right = "substr(vs.cut, 1, length(vs.cut) - vs.k)", "substr(js.cut, js.k + 1)"
     if not model.d:
         tables.append(_values("vj", "v, j, p", [(a.name, b.name, float(model.p_j[i, k])) for i, a in enumerate(model.v) for k, b in enumerate(model.j)]))
-        tables.append(f"space as (select vs.v, js.j, {left} || ia.s || {right} as s, vs.p * vj.p * js.p * ia.p as p from vs join vj using (v) join js using (j), ia)")
+        tables.append(f"space as (select vs.v, js.j, {left} || ia.s || {right} as s, length(ia.s) as la, vs.p * vj.p * js.p * ia.p as p from vs join vj using (v) join js using (j), ia)")
         return ", ".join(tables)
     tables.append(_values("pj", "j, p", [(s.name, float(p)) for s, p in zip(model.j, model.p_j, strict=True)]))
     tables.append(_values("ds", "j, s, p", [(t.name, s.cut[a : len(s.cut) - b], float(model.p_d[i, k] * s.trim[a, b])) for i, t in enumerate(model.j) for k, s in enumerate(model.d) for a in range(s.trim.shape[0]) for b in range(s.trim.shape[1]) if s.trim[a, b]]))
     tables.append(_values("ib", "s, p", _inserts(model, 1, True)))
-    tables.append(f"space as (select vs.v, js.j, {left} || ia.s || ds.s || ib.s || {right} as s, vs.p * pj.p * js.p * ia.p * ds.p * ib.p as p from vs, js join pj using (j) join ds using (j), ia, ib)")
+    tables.append(f"space as (select vs.v, js.j, {left} || ia.s || ds.s || ib.s || {right} as s, length(ia.s) as la, length(ib.s) as lb, vs.p * pj.p * js.p * ia.p * ds.p * ib.p as p from vs, js join pj using (j) join ds using (j), ia, ib)")
     return ", ".join(tables)
 
 
