@@ -171,6 +171,8 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "chain_multiplicity": ", c as (select cell_id, cast(sum(cast(locus = 'TRA' as int)) as bigint) as n_light, cast(sum(cast(locus = 'TRB' as int)) as bigint) as n_heavy from cells where locus in ('TRA', 'TRB') group by all) select n_light, n_heavy, count(*) as cells from c group by all",
     "pgen_nt_vj": f", {toy.space(toy.VJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select s, sum(p) as p from space group by s) select junction_nt, round(coalesce(p, 0), 6) as pgen from x left join g on s = junction_nt",
     "pgen_nt_vdj": f", {toy.space(toy.VDJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select s, sum(p) as p from space group by s) select junction_nt, round(coalesce(p, 0), 6) as pgen from x left join g on s = junction_nt",
+    "read_other_orders": """select sample_id, v_call, count(*) as n, cast(sum(duplicate_count) as bigint) as reads, count(distinct (junction_nt, junction_aa, j_call)) as junctions, count(*) filter (ord % 10 = 4) as notes
+        from clonotypes where junction_aa not like '%*%' and not contains(junction_aa, '_') group by all""",
     "best_scenario_vj": f", {toy.space(toy.VJ)}, x as ({toy.JUNCTIONS.strip()}) select junction_nt, round(max(p), 6) as p from x join space on s = junction_nt group by junction_nt",
     "best_scenario_vdj": f", {toy.space(toy.VDJ)}, x as ({toy.JUNCTIONS.strip()}) select junction_nt, round(max(p), 6) as p from x join space on s = junction_nt group by junction_nt",
     "scenario_counts": f", {toy.space(toy.VDJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select la, lb, p / sum(p) over (partition by s) as p from x join space on s = junction_nt) select 'len0' as kind, cast(la as varchar) as piece, round(sum(p), 6) as x from g group by la union all select 'len1', cast(lb as varchar), round(sum(p), 6) from g group by lb",

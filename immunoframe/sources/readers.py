@@ -6,6 +6,9 @@ Without a ``sample_id`` of its own a row belongs to the sample named by its file
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +36,52 @@ EXPORTS = {
 }
 
 
+#: Files whose first lines are read at a time.
+AT_ONCE = 32
+
+
+def _files(spark: SparkSession, paths: Paths) -> list[str]:
+    return sorted(spark.read.text(paths).inputFiles())
+
+
+def first_line(spark: SparkSession, file: str) -> str | None:
+    """The first line of a text file, compressed or not, in any store that Spark reads; nothing else of it is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        text = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def by_header(spark: SparkSession, paths: Paths) -> list[list[str]]:
+    """The files, those of one header together; empty files are left out. The driver holds the names of files and different headers."""
+    files = _files(spark, paths)
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        lines = pool.map(lambda f: first_line(spark, f), files)
+    groups: dict[str, list[str]] = {}
+    for file, line in zip(files, lines, strict=True):
+        if line is not None:
+            groups.setdefault(line.lstrip("\ufeff").rstrip("\r"), []).append(file)
+    return list(groups.values())
+
+
 def _table(spark: SparkSession, paths: Paths, sep: str = "\t", quote: str = "", limit: int | None = None) -> DataFrame:
-    """All columns as text, the header in lower case without a leading ``#``; an empty cell or a dot is null."""
-    df = spark.read.csv(paths, sep=sep, header=True, inferSchema=False, nullValue="", quote=quote, escape=quote or "\\")
-    df = df.select(*(F.col(f"`{c}`").alias(c.lstrip("#").strip().lower()) for c in df.columns), _sample_of_file().alias("_file"))
-    df = df.select(*(F.when(F.col(f"`{c}`") != ".", F.col(f"`{c}`")).alias(c) for c in df.columns))
+    """All columns as text, the header in lower case without a leading ``#``; an empty cell or a dot is null.
+
+    Every file is read by its own header: files of one header are one scan, columns that a file lacks are null.
+    """
+    read = lambda files: spark.read.csv(files, sep=sep, header=True, inferSchema=False, enforceSchema=False, nullValue="", quote=quote, escape=quote or "\\")
+    parts = []
+    for files in by_header(spark, paths) or [paths]:
+        df = read(files)
+        names = [c.lstrip("#").strip().lower() for c in df.columns]
+        df = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)), _sample_of_file().alias("_file"))
+        parts.append(df.select(*(F.when(F.col(f"`{c}`") != ".", F.col(f"`{c}`")).alias(c) for c in df.columns)))
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return df.limit(limit) if limit is not None else df
 
 
@@ -90,13 +134,12 @@ def read_native(spark: SparkSession, paths: Paths, *, keep: tuple[str, ...] = ()
 
 
 def _aliased(df: DataFrame, keep: tuple[str, ...], numbers: bool) -> DataFrame:
-    """The standard columns by their aliases; kept columns of text as numbers where they all read as such."""
+    """The standard columns by their aliases; kept columns of text as numbers where every value of all rows reads as such."""
     named = [_column(df, *names).alias(c) for c, names in ALIASES.items() if any(n in df.columns for n in names)]
     count = [] if any(n in df.columns for n in ALIASES["duplicate_count"]) else [F.lit("1").alias("duplicate_count")]
     extra = [c for c in keep if c in df.columns]
     if numbers and extra:
-        few = df.select(*extra).limit(100)
-        bad = few.agg(*(F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in extra)).first()
+        bad = df.agg(*(F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in extra)).first()
         kept = [F.col(c).try_cast("double").alias(c) if not bad[c] else F.col(c) for c in extra]
     else:
         kept = [F.col(c) for c in extra]

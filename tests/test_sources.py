@@ -100,3 +100,23 @@ def test_contigs_and_metadata(spark, tmp_path):
     assert [(r.cell_id, r.umi_count, r.duplicate_count, r.productive) for r in rows] == [("b1", 3, 9, True)]
     rows = readers.read_metadata(spark, write(tmp_path / "meta.txt", "#sample_name\tage", "s1\tnan", "s2\t4")).orderBy("sample_id").collect()
     assert [(r.sample_id, r.age) for r in rows] == [("s1", None), ("s2", "4")]
+
+
+def test_files_of_other_headers(spark, tmp_path):
+    """Every file is read by its own header: other order, other columns, compressed, empty; late text in a kept column stays."""
+    import gzip
+
+    head = ["count", "freq", "cdr3nt", "cdr3aa", "v", "d", "j"]
+    row = {"count": "7", "freq": "0.5", "cdr3nt": "TGTTTT", "cdr3aa": "CF", "v": "TRBV1*01", "d": ".", "j": "TRBJ1-1*01"}
+    orders = {"a": head, "b": head[::-1], "c": ["v", "j", "cdr3aa", "cdr3nt", "count"]}
+    for name, order in orders.items():
+        text = "\t".join(order) + "\n" + "\t".join(row[c] for c in order) + "\n"
+        (tmp_path / f"{name}.tsv.gz").write_bytes(gzip.compress(text.encode())) if name == "b" else (tmp_path / f"{name}.tsv").write_text(text)
+    (tmp_path / "empty.tsv").write_text("")
+    got = {r.sample_id: (r.v_call, r.j_call, r.junction_nt, r.junction_aa, r.duplicate_count) for r in readers.read_native(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "b", "c"} and set(got.values()) == {("TRBV1*01", "TRBJ1-1*01", "TGTTTT", "CF", 7)}
+    notes = ["" if i < 150 else "late" if i < 200 else "1" for i in range(300)]
+    lines = ["v_call\tj_call\tjunction\tjunction_aa\tduplicate_count\tnote"] + [f"TRBV1\tTRBJ1\tTGT{i}\tC{i}\t1\t{n}" for i, n in enumerate(notes)]
+    (tmp_path / "airr").mkdir()
+    (tmp_path / "airr" / "x.tsv").write_text("\n".join(lines))
+    assert readers.read_airr(spark, str(tmp_path / "airr"), collapsed=False, keep=("note",)).where("note = 'late'").count() == 50
