@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,23 +205,71 @@ def bayes_bf(a: Column, b: Column, c: Column, d: Column, alpha: float = 1.0, bet
     return run(a, b, c, d)
 
 
+#: Samples of a feature whose permuted labels are added up in one row; features of more are added up in parts.
+TOGETHER = 256
+
+
+def permuted_labels(design: DataFrame, n_perm: int, seed: int = 0, sample: str = SAMPLE) -> DataFrame:
+    """``sample, level, positive, labels``: each sample's labels in all permutations as bits, eight to a byte, the first highest.
+
+    Permutation i of a level marks as many samples as are positive, those of least md5 of ``<seed>:<i>:<level>:<sample>``.
+    """
+    draws = design.select(sample, "level", "positive", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_i"))
+    order = Window.partitionBy("level", "_i").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "_i", "level", sample)), sample)
+    marked = F.row_number().over(order) <= F.count_if("positive").over(Window.partitionBy("level", "_i"))
+    eighth = draws.withColumn("_x", F.when(marked, F.expr("shiftleft(1, 7 - _i % 8)")).otherwise(0)).groupBy(sample, "level", "positive", F.expr("_i div 8").alias("_at")).agg(F.sum("_x").cast("int").alias("_x"))
+    bytes_ = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_x"))), lambda x: F.lpad(F.hex(x["_x"]), 2, "0"))
+    return eighth.groupBy(sample, "level", "positive").agg(F.unhex(F.concat_ws("", bytes_)).alias("labels"))
+
+
+def _added_labels(n_perm: int):
+    """``a`` and ``counts``: the positive samples among those of a row, and by permutation how many are marked (32-bit numbers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [c for c in batch.schema.names if c not in ("labels", "of")]
+            counts = [np.unpackbits(np.frombuffer(b"".join(x.as_py()), np.uint8).reshape(len(x), -1), axis=1, count=n_perm).sum(axis=0, dtype=np.uint32).tobytes() for x in batch.column("labels")]
+            a = [sum(x.as_py()) for x in batch.column("of")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(a, pa.int64()), pa.array(counts, pa.binary())], [*kept, "a", "counts"])
+
+    return run
+
+
+def _as_extreme(greater: bool):
+    """``a`` and ``hits`` of features whose parts ``of`` and ``counts`` are lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, got = [c for c in batch.schema.names if c not in ("counts", "of")], []
+            for of, counts in zip(batch.column("of"), batch.column("counts"), strict=True):
+                a, total = sum(of.as_py()), np.frombuffer(b"".join(counts.as_py()), np.uint32).reshape(len(counts), -1).sum(axis=0, dtype=np.int64)
+                got.append((a, int((total >= a).sum() if greater else (total <= a).sum())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([x[i] for x in got], pa.int64()) for i in (0, 1))], [*kept, "a", "hits"])
+
+    return run
+
+
 def permutation_p(incidence: DataFrame, design: DataFrame, key: tuple[str, ...] = KEY, *, n_perm: int = 1000, seed: int = 0, alternative: str = "greater", sample: str = SAMPLE) -> DataFrame:
     """``key, level, a, p_value``: how often permuted labels give a feature at least (at most) its positive samples, add-one.
 
-    Labels are permuted within a level by ranking its samples by a hash of permutation and sample. Each sample's labels in
-    all permutations are one array of bits, so a feature adds up arrays of its samples and no permutation is a pass of its own.
+    A sample's labels in all permutations are bits of one binary (:func:`permuted_labels`), so what is shuffled and counted is one row for each
+    incidence, whatever ``n_perm``. A feature of more than ``TOGETHER`` samples is added up in parts of about so many. A feature and
+    level without any labelled sample has no row; samples without labels, and null keys, don't count.
     """
     if alternative not in ("greater", "less"):
         raise ValueError("alternative must be greater or less")
-    draws = design.select(sample, "level", "positive", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_i"))
-    order = Window.partitionBy("level", "_i").orderBy(F.xxhash64(F.lit(seed), "_i", "level", sample), sample)
-    n = F.count_if("positive").over(Window.partitionBy("level", "_i"))
-    draws = draws.withColumn("_x", (F.row_number().over(order) <= n).cast("int"))
-    labels = draws.groupBy(sample, "level").agg(F.first("positive").alias("positive"), F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"]).alias("_labels"))
-    held = incidence.select(sample, *key).distinct().join(labels, sample)
-    each = held.select(*key, "level", "positive", F.posexplode("_labels").alias("_i", "_x")).groupBy(*key, "level", "_i").agg(F.sum("_x").alias("_n"), F.count_if("positive").alias("a"))
-    hit = (F.col("_n") >= F.col("a")) if alternative == "greater" else (F.col("_n") <= F.col("a"))
-    return each.groupBy(*key, "level").agg(F.first("a").alias("a"), ((1.0 + F.count_if(hit)) / (1.0 + n_perm)).alias("p_value"))
+    held = incidence.select(sample, *key).distinct()
+    sizes = held.groupBy(*key).agg(F.ceil(F.count("*") / TOGETHER).alias("_parts"))
+    held = held.join(sizes, list(key)).withColumn("_part", F.pmod(F.xxhash64(sample), F.col("_parts"))).join(permuted_labels(design, n_perm, seed, sample), sample)
+    types = {**dict(held.dtypes), "a": "bigint", "hits": "bigint", "counts": "binary"}
+    schema = lambda *columns: ", ".join(f"`{c}` {types[c]}" for c in columns)
+    parts = held.groupBy(*key, "level", "_parts", "_part").agg(F.collect_list("labels").alias("labels"), F.collect_list("positive").alias("of"))
+    added = parts.mapInArrow(_added_labels(n_perm), schema(*key, "level", "_parts", "_part", "a", "counts"))
+    one = added.where("_parts = 1").select(*key, "level", F.array("a").alias("of"), F.array("counts").alias("counts"))
+    many = added.where("_parts > 1").groupBy(*key, "level").agg(F.collect_list("a").alias("of"), F.collect_list("counts").alias("counts"))
+    hits = [x.mapInArrow(_as_extreme(alternative == "greater"), schema(*key, "level", "a", "hits")) for x in (one, many)]
+    counted = hits[0].unionByName(hits[1])
+    return counted.select(*key, "level", "a", ((1.0 + F.col("hits")) / (1.0 + n_perm)).alias("p_value"))
 
 
 def fuzzy_features(df: DataFrame, key: tuple[str, ...] = KEY, *, candidates: DataFrame | None = None, scope: str = "1,0,0,1", sample: str = SAMPLE, **options) -> DataFrame:

@@ -139,7 +139,9 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "fisher_minlike": f", {DESIGN}, {TABLES}, u as (select *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda k: {PMF}) as q, a - greatest(0, a - d) + 1 as i from t) select a, b, c, d, round(least(1, list_sum(list_filter(q, lambda x: x <= q[i] * (1 + 1e-7)))), 6) as p_value from u",
     "fisher_two_sided": f", {DESIGN}, {TABLES}, u as (select *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda k: {PMF}) as q, a - greatest(0, a - d) + 1 as i from t) select a, b, c, d, round(least(1, 2 * least(list_sum(q[:i]), list_sum(q[i:]))), 6) as p_value from u",
     "bayes_tables": f", {DESIGN}, {TABLES}, u as (select *, ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))) as l, sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (c + 0.5) + 1 / (d + 0.5)) as e, a + b + c + d as n from t) select a, b, c, d, round(l, 6) as logor, round(e, 6) as se, round(l - 1.959963984540054e0 * e, 6) as ci_lo, round(l + 1.959963984540054e0 * e, 6) as ci_hi, round(lgamma(a + 1) + lgamma(c + 1) - lgamma(a + c + 2) + lgamma(b + 1) + lgamma(d + 1) - lgamma(b + d + 2) - lgamma(a + b + 1) - lgamma(c + d + 1) + lgamma(n + 2), 6) as bf, round(coalesce(n * pow(greatest(abs(cast(a as double) * d - b * c) - n / 2, 0), 2) / nullif(cast(a + b as double) * (c + d) * (a + c) * (b + d), 0), 0), 6) as chi2 from u",
-    "permutation_test": f", {DESIGN} select v_call, 'cmv' as level, count(*) filter (positive) as a, true as in_range from (select distinct sample_id, {V} as v_call from clonotypes) join design using (sample_id) group by all",
+    "permutation_test": f""", {DESIGN}, k as (select count(*) filter (positive) as m from design), o as (select i, sample_id, row_number() over (partition by i order by md5('0:' || i || ':cmv:' || sample_id), sample_id) <= m as marked from design, k, range(200) r(i)),
+        f as (select distinct sample_id, {V} as v_call from clonotypes), a as (select v_call, count(*) filter (positive) as a from f join design using (sample_id) group by all), n as (select v_call, i, count(*) filter (marked) as n from f join o using (sample_id) group by all)
+        select v_call, 'cmv' as level, a, round((1 + count(*) filter (n >= a)) / 201e0, 6) as p_value from a join n using (v_call) group by all""",
     "fuzzy_features": f", f as (select distinct sample_id, junction_aa, {J} as j_call from clonotypes where not regexp_matches(junction_aa, '[*_]')), k as (select distinct junction_aa, j_call from f) select k.junction_aa, k.j_call, count(distinct sample_id) as incidence from k join f on f.j_call = k.j_call and length(f.junction_aa) = length(k.junction_aa) and hamming(f.junction_aa, k.junction_aa) <= 1 group by all",
     "cooccurrence": f", f as (select distinct sample_id, substr(v_call, 1, 3) as chain, {V} as v from clonotypes where not regexp_matches(junction_aa, '[*_]')), g as (select sample_id from f where chain in ('TRB', 'IGH') group by sample_id having count(distinct chain) = 2), i as (select chain, v from f group by all having count(*) >= 2), h as (select f.* from f join i using (chain, v) join g using (sample_id)), n as (select count(*) as n from g), s as (select chain, v, count(*) as k from h group by all), p as (select x.v as v1, y.v as v2, count(*) as ab from h x join h y using (sample_id) where x.chain = 'TRB' and y.chain = 'IGH' group by all having count(*) >= 2), t as (select v1, v2, ab, n, sx.k as na, sy.k as nb, ab as a, sx.k - ab as b, sy.k - ab as c, n - sx.k - sy.k + ab as d from p join s sx on sx.chain = 'TRB' and sx.v = v1 join s sy on sy.chain = 'IGH' and sy.v = v2, n), u as (select *, least(1, list_sum(list_transform(range(a, least(a + b, a + c) + 1), lambda k: {PMF}))) as p, (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)) as o from t), w as (select *, round(p, 12) as pr from u), x as (select *, count(*) over (order by pr) as r, count(*) over () as m from w) select v1 as a_v_call, v2 as b_v_call, n, na as n_a, nb as n_b, ab as n_ab, round(n * ab / (na * nb), 6) as theta, round(o, 6) as odds_ratio, round(log2(o), 6) as log2_or, round(p, 6) as p_value, round(least(1, min(p * m / r) over (order by pr range between current row and unbounded following)), 6) as q_value from x",
     "stratified_design": "select sample_id, 'cmv' as level, cmv = '+' as positive, batch as stratum from samples where cmv is not null",

@@ -390,7 +390,7 @@ def permutation_test(s, d):
     design = assoc.binary(A.samples(s, d), "cmv")
     held = assoc.features(A.clonotypes(s, d), ("v_call",), productive=False)
     p = assoc.permutation_p(held, design, ("v_call",), n_perm=200)
-    return p.select("v_call", "level", "a", F.col("p_value").between(1 / 201, 1).alias("in_range"))
+    return p.select("v_call", "level", "a", "p_value")
 
 
 @query

@@ -69,18 +69,19 @@ def by_header(spark: SparkSession, paths: Paths) -> list[list[str]]:
     return list(groups.values())
 
 
-def _table(spark: SparkSession, paths: Paths, sep: str = "\t", quote: str = "", limit: int | None = None) -> DataFrame:
+def _table(spark: SparkSession, paths: Paths, sep: str = "\t", quote: str = "", limit: int | None = None, names: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """All columns as text, the header in lower case without a leading ``#``; an empty cell or a dot is null.
 
-    Every file is read by its own header: files of one header are one scan, columns that a file lacks are null.
+    Every file is read by its own header: files of one header are one scan, columns that a file lacks are null. ``names``: adds what
+    each file has under the first of several names (see :func:`_named`).
     """
     read = lambda files: spark.read.csv(files, sep=sep, header=True, inferSchema=False, enforceSchema=False, nullValue="", quote=quote, escape=quote or "\\")
     parts = []
     for files in by_header(spark, paths) or [paths]:
         df = read(files)
-        names = [c.lstrip("#").strip().lower() for c in df.columns]
-        df = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)), _sample_of_file().alias("_file"))
-        parts.append(df.select(*(F.when(F.col(f"`{c}`") != ".", F.col(f"`{c}`")).alias(c) for c in df.columns)))
+        df = df.select(*(F.col(f"`{c}`").alias(c.lstrip("#").strip().lower()) for c in df.columns), _sample_of_file().alias("_file"))
+        df = df.select(*(F.when(F.col(f"`{c}`") != ".", F.col(f"`{c}`")).alias(c) for c in df.columns))
+        parts.append(df.withColumns({f"_as {c}": _column(df, *given) for c, given in (names or {}).items()}))
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return df.limit(limit) if limit is not None else df
 
@@ -95,6 +96,11 @@ def _column(df: DataFrame, *names: str) -> Column:
     return next((F.col(f"`{n}`") for n in names if n in df.columns), F.lit(None).cast("string"))
 
 
+def _named(df: DataFrame, c: str, names: tuple[str, ...]) -> Column:
+    """The first of several columns that there is, in each file if files differ."""
+    return F.col(f"`_as {c}`") if f"_as {c}" in df.columns else _column(df, *names)
+
+
 def _needed(df: DataFrame, names: dict[str, tuple[str, ...]], needed: tuple[str, ...], kind: str) -> None:
     missing = [c for c in needed if not any(n in df.columns for n in names[c])]
     if missing:
@@ -135,7 +141,7 @@ def read_native(spark: SparkSession, paths: Paths, *, keep: tuple[str, ...] = ()
 
 def _aliased(df: DataFrame, keep: tuple[str, ...], numbers: bool) -> DataFrame:
     """The standard columns by their aliases; kept columns of text as numbers where every value of all rows reads as such."""
-    named = [_column(df, *names).alias(c) for c, names in ALIASES.items() if any(n in df.columns for n in names)]
+    named = [_named(df, c, names).alias(c) for c, names in ALIASES.items() if any(n in df.columns for n in names)]
     count = [] if any(n in df.columns for n in ALIASES["duplicate_count"]) else [F.lit("1").alias("duplicate_count")]
     extra = [c for c in keep if c in df.columns]
     if numbers and extra:
@@ -149,7 +155,7 @@ def _aliased(df: DataFrame, keep: tuple[str, ...], numbers: bool) -> DataFrame:
 
 def read_airr(spark: SparkSession, paths: Paths, *, collapsed: bool = True, keep: tuple[str, ...] = (), recompute: bool = True, limit: int | None = None) -> DataFrame:
     """Rearrangement tables; a row without a readable count is one read. ``collapsed``: one row for each clonotype."""
-    df = _table(spark, paths, limit=limit)
+    df = _table(spark, paths, limit=limit, names=ALIASES)
     _needed(df, ALIASES, ("junction_aa", "v_call", "j_call"), "airr")
     out = _aliased(df, keep, numbers=True)
     out = out.withColumn("duplicate_count", F.coalesce(count_of(F.col("duplicate_count")), F.lit(1)))
@@ -170,12 +176,13 @@ def read_parquet(spark: SparkSession, paths: Paths, *, keep: tuple[str, ...] = (
 
 def _export(spark: SparkSession, paths: Paths, kind: str, limit: int | None) -> DataFrame:
     """A tool's table under the standard names: the first call of each list without its allele, junctions in capitals, whole counts."""
-    df, names = _table(spark, paths, limit=limit), EXPORTS[kind]
+    names = EXPORTS[kind]
+    df = _table(spark, paths, limit=limit, names=names)
     _needed(df, names, tuple(c for c in names if c not in ("d_call", "c_call")), kind)
-    calls = [extract_vdj(_column(df, *names.get(c, ()))).alias(c) for c in ("v_call", "d_call", "j_call", "c_call")]
-    nt = F.upper(_column(df, *names["junction_nt"]))
-    aa = _column(df, *names["junction_aa"]) if "junction_aa" in names else unified_cdr3aa(translate_junction(nt))
-    count = to_int(_column(df, *names["duplicate_count"])) if "duplicate_count" in names else F.lit(1).cast("long")
+    calls = [extract_vdj(_named(df, c, names.get(c, ()))).alias(c) for c in ("v_call", "d_call", "j_call", "c_call")]
+    nt = F.upper(_named(df, "junction_nt", names["junction_nt"]))
+    aa = _named(df, "junction_aa", names["junction_aa"]) if "junction_aa" in names else unified_cdr3aa(translate_junction(nt))
+    count = to_int(_named(df, "duplicate_count", names["duplicate_count"])) if "duplicate_count" in names else F.lit(1).cast("long")
     return df.select(F.col("_file").alias(SAMPLE), *calls, nt.alias("junction_nt"), aa.alias("junction_aa"), count.alias("duplicate_count"))
 
 

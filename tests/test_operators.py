@@ -108,6 +108,28 @@ def test_poisson_tail(spark):
     assert [r.p for r in df.collect()] == pytest.approx([1.0, 0.0, 1 - 2.5 * math.exp(-1), 1 - 51 * math.exp(-50), sum(math.exp(k * math.log(50) - 50 - math.lgamma(k + 1)) for k in range(60, 300))])
 
 
+@pytest.mark.parametrize("alternative", ["greater", "less"])
+def test_permutations_against_plain_counts(spark, monkeypatch, alternative):
+    """Features of one sample, of some, and of all of them, which are added up in parts."""
+    import hashlib
+
+    monkeypatch.setattr(assoc, "TOGETHER", 4)
+    samples = [f"s{i}" for i in range(23)]
+    positive = {x: i % 3 == 0 for i, x in enumerate(samples)}
+    held = {"all": samples, "one": samples[:1], "some": samples[::3] + samples[1:4], "none": ["unlabelled"]}
+    design = spark.createDataFrame([(x, "cmv", p) for x, p in positive.items()], "sample_id string, level string, positive boolean")
+    rows = [(x, f) for f, xs in held.items() for x in xs] * 2
+    got = {r.f: (r.a, r.p_value) for r in assoc.permutation_p(spark.createDataFrame(rows, "sample_id string, f string"), design, ("f",), n_perm=51, seed=3, alternative=alternative).collect()}
+    m, want = sum(positive.values()), {}
+    marked = [set(sorted(samples, key=lambda x: (hashlib.md5(f"3:{i}:cmv:{x}".encode()).hexdigest(), x))[:m]) for i in range(51)]
+    for f, xs in held.items():
+        a = sum(positive.get(x, False) for x in xs)
+        counts = [len(marks.intersection(xs)) for marks in marked]
+        want[f] = (a, (1 + sum(c >= a if alternative == "greater" else c <= a for c in counts)) / 52)
+    want.pop("none")
+    assert {f: (a, pytest.approx(p)) for f, (a, p) in want.items()} == got
+
+
 def test_bayes_and_permutation(spark):
     t = spark.createDataFrame([(8, 1, 2, 9), (5, 5, 5, 5)], "a long, b long, c long, d long")
     cells = [F.col(c) for c in "abcd"]
