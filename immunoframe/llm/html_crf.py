@@ -11,6 +11,7 @@ Labelled pages are HTML whose elements carry ``data-label="content"`` or ``"othe
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import random
@@ -36,43 +37,125 @@ _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data",
 #: Open elements that a start tag ends.
 _ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "table", "body", "html", "div", "article", "section", "main", "aside", "nav", "footer", "header", "form", "dl", "blockquote"}
+_PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+_END_TAG = re.compile(r"</(?=([a-zA-Z][^\s/>]{0,64}))")
+_ASCII_NAME = re.compile(r"[a-zA-Z0-9]+")
 _ASCII_WORD = re.compile(r"[a-z]+")
 
 
-def _raw_end(page: str, at: int, name: str, stack: list[tuple[str, str, str]]) -> int:
-    """Where an element ends whose content is not text of the page, its start tag ending at ``at``.
-
-    Code and plain text end at their end tag, or without one at that of the element around them. Others without an end
-    tag within the element around them are read as empty, so that nothing after them is lost.
+class _Open:
+    """The open elements of a page: where each name stands, and the weight of the path's features, kept up as elements open and close."""
+
+    def __init__(self, page: str, emit: dict[str, tuple[float, float]] | None) -> None:
+        self.page, self.emit = page, emit
+        self.items: list[tuple[str, str, str]] = []
+        self.path: list[tuple[str, str, str]] = []  # without inline elements
+        self.where: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.regions: list[str] = []  # names of the path but for paragraphs
+        self.held: dict[str, int] = {}
+        self.weight = [0.0, 0.0]
+        self.ends: dict[str, list[int]] | None = None
+
+    def push(self, name: str, words: str, label: str) -> None:
+        self.where.setdefault(name, []).append(len(self.items))
+        if name in _SCOPE:
+            self.scopes.append(len(self.items))
+        self.items.append((name, words, label))
+        if name not in _INLINE:
+            self.path.append((name, words, label))
+            if name != "p":
+                self.regions.append(name)
+            self._count(name, words, 1)
+
+    def cut(self, start: int) -> None:
+        """Closes all elements from ``start`` on."""
+        while len(self.items) > start:
+            name, words, _ = self.items.pop()
+            self.where[name].pop()
+            if name in _SCOPE:
+                self.scopes.pop()
+            if name not in _INLINE:
+                self.path.pop()
+                if name != "p":
+                    self.regions.pop()
+                self._count(name, words, -1)
+
+    def _count(self, name: str, words: str, by: int) -> None:
+        if self.emit is None:
+            return
+        for f in _element_features(name, words):
+            before = self.held.get(f, 0)
+            self.held[f] = before + by
+            if 0 in (before, before + by) and f in self.emit:
+                for k in (0, 1):
+                    self.weight[k] += by * self.emit[f][k]
+
+    def close(self, name: str) -> None:
+        if self.where.get(name):
+            self.cut(self.where[name][-1])
+
+    def close_before(self, names: set[str]) -> None:
+        """Closes the innermost element of these names within the innermost region."""
+        last = max((self.where[n][-1] for n in names if self.where.get(n)), default=-1)
+        if last > (self.scopes[-1] if self.scopes else -1):
+            self.cut(last)
+
+    def snapshot(self) -> tuple:
+        """The path, or with weights: the weight of its features."""
+        if self.emit is None:
+            return tuple(self.path)
+        leaf = self.emit.get(f"leaf:{self.path[-1][0] if self.path else ''}", (0.0, 0.0))
+        return self.weight[0] + leaf[0], self.weight[1] + leaf[1]
+
+    def _end(self, name: str, at: int) -> int | None:
+        """Where the first end tag of this name from ``at`` on starts; all end tags of the page are looked for once."""
+        if self.ends is None:
+            self.ends = {}
+            for found in _END_TAG.finditer(self.page):
+                for key in {found[1].lower(), _ASCII_NAME.match(found[1])[0].lower()}:
+                    self.ends.setdefault(key, []).append(found.start())
+        places = self.ends.get(name, [])
+        i = bisect.bisect_left(places, at)
+        return places[i] if i < len(places) else None
+
+    def raw_end(self, at: int, name: str) -> int:
+        """Where an element ends whose content is not text of the page, its start tag ending at ``at``.
+
+        Code and plain text end at their end tag, or without one at that of the element around them. Others without an end
+        tag within the element around them are read as empty, so that nothing after them is lost.
+        """
+        around = self.regions[-1] if self.regions else "body"
+        own, outer = self._end(name, at), self._end(around, at)
+        after = lambda start: (self.page.find(">", start) + 1) or len(self.page)
+        if name in _CODE:
+            return after(own) if own is not None else outer if outer is not None else len(self.page)
+        return after(own) if own is not None and name != around and (outer is None or own < outer) else at
+
+
+def blocks(page: str | None, emit: dict[str, tuple[float, float]] | None = None) -> list[tuple[str, tuple, float]]:
+    """The leaf blocks of a page: text, open elements as (tag, words of class, id and role, label), link share.
+
+    With the weights ``emit`` of features, the weight of the open elements' features stands in their place: pages of any depth are read in one linear pass.
     """
-    around = next((s[0] for s in reversed(stack) if s[0] not in _INLINE and s[0] != "p"), "body")
-    end = re.compile(rf"</(?:{re.escape(name)}|{re.escape(around)})(?![a-zA-Z0-9])[^>]*(?:>|\Z)", re.I)
-    found = end.search(page, at)
-    if name in _CODE:
-        own = re.compile(rf"</{re.escape(name)}(?![a-zA-Z0-9])[^>]*(?:>|\Z)", re.I).search(page, at)
-        return own.end() if own else found.start() if found else len(page)
-    return found.end() if found and found[0][2 : 2 + len(name)].lower() == name and name != around else at
-
-
-def blocks(page: str | None) -> list[tuple[str, tuple, float]]:
-    """The leaf blocks of a page: text, open elements as (tag, words of class, id and role, label), link share."""
     out: list[tuple[str, tuple, float]] = []
-    stack: list[tuple[str, str, str]] = []
+    page = page or ""
+    stack = _Open(page, emit)
     run: list[str] = []
-    linked, page = 0, page or ""
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(run)).split())
         if text:
-            out.append((text, tuple(s for s in stack if s[0] not in _INLINE), linked / max(1, len(text))))
+            out.append((text, stack.snapshot(), linked / max(1, len(text))))
         run.clear()
         linked = 0
 
     def text(piece: str) -> None:
         nonlocal linked
         run.append(piece)
-        if any(s[0] == "a" for s in stack):
+        if stack.where.get("a"):
             linked += len(piece)
 
     at, token = 0, _TOKEN.search(page)
@@ -87,20 +170,12 @@ def blocks(page: str | None) -> list[tuple[str, tuple, float]]:
             elif name == "br":
                 run.append(" ")
             if closing:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if depth is not None:
-                    del stack[depth:]
+                stack.close(name)
             elif name in _RAW:
                 if not _SELF_CLOSED.search(token[3] or ""):
-                    at = _raw_end(page, at, name, stack)
+                    at = stack.raw_end(at, name)
             elif name not in _VOID:
-                ends = _ENDS.get(name) or (set() if name in _INLINE else {"p", "h1", "h2", "h3", "h4", "h5", "h6"})
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _SCOPE:
-                        break
+                stack.close_before(_ENDS.get(name) or (set() if name in _INLINE else _PARAGRAPHS))
                 words, label = "", ""
                 if token[3] and not token[3].isspace():
                     for key, *value in _ATTRIBUTE.findall(token[3]):
@@ -109,7 +184,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple, float]]:
                             label = value
                         else:
                             words += " " + value.lower()
-                stack.append((name, words, label))
+                stack.push(name, words, label)
         token = _TOKEN.search(page, at)
     if at < len(page):
         text(page[at:])
@@ -117,15 +192,17 @@ def blocks(page: str | None) -> list[tuple[str, tuple, float]]:
     return out
 
 
-@functools.lru_cache(maxsize=65536)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    out = {f"in:{tag}" for tag, _, _ in path}
-    out.add(f"leaf:{path[-1][0] if path else ''}")
-    for _, words, _ in path:
-        for w in _ASCII_WORD.findall(words):
-            out.add(f"word:{w}")
-            out |= {f"part:{s}" for s in _STEMS if s in w}
-    return tuple(out)
+@functools.lru_cache(maxsize=4096)
+def _element_features(tag: str, words: str) -> frozenset[str]:
+    out = {f"in:{tag}"}
+    for w in _ASCII_WORD.findall(words):
+        out.add(f"word:{w}")
+        out |= {f"part:{s}" for s in _STEMS if s in w}
+    return frozenset(out)
+
+
+def _path_features(path: tuple) -> set[str]:
+    return {f"leaf:{path[-1][0] if path else ''}"}.union(*(_element_features(tag, words) for tag, words, _ in path))
 
 
 #: Parts of class and id words that names of page regions share.
@@ -133,9 +210,11 @@ _STEMS = ("nav", "menu", "foot", "head", "side", "widget", "comment", "reply", "
 
 
 def features(block: tuple[str, tuple, float], place: float) -> Iterable[str]:
+    """The features of a block; those of its path only if it has one and not their weight already."""
     text, path, linked = block
     n = text.count(" ") + 1
-    yield from _path_features(path)
+    if not path or isinstance(path[0], tuple):
+        yield from sorted(_path_features(path))
     yield f"words:{min(n.bit_length(), 7)}"
     yield f"link:{0 if linked == 0 else 1 if linked < 0.5 else 2}"
     yield f"end:{text[-1] if text[-1] in '.!?:;,' else 'other'}"
@@ -157,6 +236,8 @@ class Field:
                 w = self.emit.get(f)
                 if w is not None:
                     out[i] += w
+            if b[1] and not isinstance(b[1][0], tuple):
+                out[i] += b[1]
         return out
 
     def decode(self, page: list) -> list[int]:
@@ -324,7 +405,7 @@ def default_field() -> Field:
 
 def main_text(page: str | None, field: Field) -> str:
     """The content blocks of a page in page order, joined by one line end."""
-    found = blocks(page)
+    found = blocks(page, field.emit)
     return "\n".join(b[0] for b, label in zip(found, field.decode(found), strict=True) if label)
 
 

@@ -6,6 +6,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,30 @@ def test_html_held_out_accuracy():
     assert right / total > 0.95
 
 
+def test_html_pages_are_read_in_linear_time():
+    """Deep nesting, unclosed elements, stray end tags and unclosed drawings: ten times the page takes far less than a hundred times as long."""
+    field = default_field()
+    makers = [
+        lambda n: "".join(f"<div class=c{i}>t{i} " for i in range(n)), lambda n: "<p>" + "<b>x " * n + "<div>y " * n, lambda n: "<div>" * n + "text </span></i>" * n,
+        lambda n: "<div><svg>" * n + "<p>end of it", lambda n: "<p><span>" * n + "<svg>t<p>" * n, lambda n: "</a-" * n + "<svg>" * n, lambda n: "<my-tag><a><i>t " * n + "</my-tag>" * n,
+    ]
+    for make in makers:
+        took = []
+        for n in (2000, 20_000):
+            began = time.thread_time()
+            main_text(make(n), field)
+            took.append(time.thread_time() - began)
+        assert took[1] < 40 * max(took[0], 0.02), (make(2), took)
+
+
+def test_html_weights_of_paths_are_those_of_their_features():
+    field = default_field()
+    for page in sample_pages(60, seed=5) + ["<svg><p>x", "<ul><li>a<li>b<p>c<div>d</ul><script>if (a < b) {}</script>e</div>f<textarea>g"]:
+        plain, weighed = blocks(page), blocks(page, field.emit)
+        assert [(b[0], b[2]) for b in plain] == [(b[0], b[2]) for b in weighed]
+        assert np.allclose(field.scores(plain), field.scores(weighed)) and field.decode(plain) == field.decode(weighed)
+
+
 def test_html_odd_rows(spark):
     rows = [(1, "u", None, 3), (None, None, "", 3), (2, "u", "<p", 3), (2, "u", "<article><p>A &amp;\n b</p>" + "<p>Words of one text.</p>" * 5000, 3)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
