@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clonotype import size_class
+from ..sources.scratch import Scratch
 from .association import fdr_bh, fisher_p
 from .neighbours import metaclonotypes
+from .ranks import quantiles
 
 KEY = ("junction_aa", "v_call", "j_call")
 
@@ -123,9 +125,15 @@ def tmm_factor(pairs: DataFrame, *, log_ratio_trim: float = 0.3, sum_trim: float
     totals = pairs.agg(F.sum("count_a").cast("double").alias("_na"), F.sum("count_b").cast("double").alias("_nb"))  # one row
     p = pairs.where("count_a > 0 and count_b > 0").crossJoin(F.broadcast(totals))
     p = p.select(F.expr("log2(count_b / _nb) - log2(count_a / _na)").alias("m"), F.expr("(log2(count_b / _nb) + log2(count_a / _na)) / 2").alias("s"), F.expr("(_nb - count_b) / (_nb * count_b) + (_na - count_a) / (_na * count_a)").alias("v"))
-    cut = lambda c, t: F.percentile(c, F.array(F.lit(t), F.lit(1 - t)))
-    ends = p.agg(F.count("*").alias("_n"), cut("m", log_ratio_trim).alias("_m"), cut("s", sum_trim).alias("_s"))  # one row
-    r = p.crossJoin(F.broadcast(ends)).where("_n >= 2 and m between _m[0] and _m[1] and s between _s[0] and _s[1]").agg(F.sum(F.col("m") / F.col("v")).alias("x"), F.sum(1 / F.col("v")).alias("w"), F.sum("v").alias("v")).first()
+    scratch = Scratch(pairs.sparkSession, "tmm")
+    p = scratch.cut(p)
+    if p.limit(2).count() < 2:
+        scratch.close()
+        return 1.0
+    ends = [quantiles(scratch, p, c, [t, 1 - t]) for c, t in (("m", log_ratio_trim), ("s", sum_trim))]
+    inside = [F.col(c).between(*e) for c, e in zip("ms", ends, strict=True)]
+    r = p.where(inside[0] & inside[1]).agg(F.sum(F.col("m") / F.col("v")).alias("x"), F.sum(1 / F.col("v")).alias("w"), F.sum("v").alias("v")).first()
+    scratch.close()
     return 2.0 ** (r["x"] / r["w"]) if r["v"] else 1.0
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clonotype import CODONS, RESIDUES, translate
+from ..sources.scratch import Scratch
+from .ranks import kolmogorov_smirnov, quantiles, spearman
 
 BASES = "ACGT"
 _AT = {b: i for i, b in enumerate(BASES)}
@@ -370,6 +372,36 @@ def pgen_spectrum(df: DataFrame, pgen: str = "pgen", width: float = 0.5) -> Data
     return df.where(p > 0).groupBy((F.floor(F.log10(p) / width) * width).alias("low")).agg(F.count("*").alias("n"))
 
 
+def compare_pgen(df: DataFrame, a: Model, b: Model, column: str = "junction_nt", *, labels: tuple[str, str] = ("a", "b"), residues: bool = False, v: str | None = None, j: str | None = None) -> DataFrame:
+    """``df`` scored under two models: ``pgen_<a>, pgen_<b>``, ``log10_<a>, log10_<b>`` (null where a model gives no probability) and ``delta_log10``."""
+    if labels[0] == labels[1]:
+        raise ValueError(f"labels must differ, got {labels}")
+    for model, x in zip((a, b), labels, strict=True):
+        df = (pgen_aa if residues else pgen_nt)(df, model, column, f"pgen_{x}", v=v, j=j)
+        p = F.col(f"pgen_{x}")
+        df = df.withColumn(f"log10_{x}", F.when(p > 0, F.log10(F.when(p > 0, p))))
+    return df.withColumn("delta_log10", F.col(f"log10_{labels[0]}") - F.col(f"log10_{labels[1]}"))
+
+
+def pgen_summary(compared: DataFrame, *, labels: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """One row about a table of :func:`compare_pgen`: how many rows each model and both can score, means, medians and quantiles of the logarithms and their
+    difference, correlations, and the distance of the two distributions (its chance is asymptotic, and too small for paired scores). Null where there is nothing to measure."""
+    scratch = Scratch(compared.sparkSession, "pgen-summary")
+    x = scratch.cut(compared.select(*(F.col(f"log10_{c}").alias(k) for k, c in zip("ab", labels, strict=True)), F.col("delta_log10").alias("d")))
+    ok = {k: F.col(k).isNotNull() for k in "ab"}
+    both, first = ok["a"] & ok["b"], [F.count("*").alias("n"), *(F.count_if(ok[k]).alias(f"n_scoreable_{k}") for k in "ab")]
+    means = [*(F.avg(k).alias(f"mean_log10_{k}") for k in "ab"), F.avg("d").alias("mean_delta"), F.stddev_samp("d").alias("sd_delta"), F.corr(F.when(both, F.col("a")), F.when(both, F.col("b"))).alias("pearson_log10")]
+    row = x.agg(*first, F.count_if(both).alias("n_scoreable_both"), F.count_if(ok["a"] & ~ok["b"]).alias("only_a_scoreable"), F.count_if(ok["b"] & ~ok["a"]).alias("only_b_scoreable"), *means).first().asDict()
+    for k in "ab":
+        row[f"median_log10_{k}"] = (quantiles(scratch, x, k, [0.5]) or [None])[0]
+    row["q05_delta"], row["median_delta"], row["q95_delta"] = quantiles(scratch, x, "d", [0.05, 0.5, 0.95]) or [None] * 3
+    row["spearman_log10"] = spearman(scratch, x, "a", "b")
+    row["ks_stat"], row["ks_p"] = kolmogorov_smirnov(scratch, x, "a", "b")
+    scratch.close()
+    kinds = ", ".join(f"{c} {'long' if c.startswith(('n', 'only')) else 'double'}" for c in row)
+    return compared.sparkSession.createDataFrame([tuple(row.values())], kinds)
+
+
 def usage_rescaled(model: Model, df: DataFrame) -> Model:
     """The model with the V and J usage of clonotypes: each votes once, an ambiguous call in equal parts among its genes; alleles share as before."""
     votes = {}

@@ -175,6 +175,16 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "pgen_nt_vdj": f", {toy.space(toy.VDJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select s, sum(p) as p from space group by s) select junction_nt, round(coalesce(p, 0), 6) as pgen from x left join g on s = junction_nt",
     "read_other_orders": """select sample_id, v_call, count(*) as n, cast(sum(duplicate_count) as bigint) as reads, count(distinct (junction_nt, junction_aa, j_call)) as junctions, count(*) filter (ord % 10 = 4) as notes
         from clonotypes where junction_aa not like '%*%' and not contains(junction_aa, '_') group by all""",
+    "exact_quantiles": """, s as (select [0.0e0, 0.05e0, 0.5e0, 0.777e0, 1.0e0] as shares), q as (select 'frequency' as field, quantile_cont(frequency, [0.0, 0.05, 0.5, 0.777, 1.0]) as v from clonotypes union all select 'duplicate_count', quantile_cont(cast(duplicate_count as double), [0.0, 0.05, 0.5, 0.777, 1.0]) from clonotypes),
+        u as (select field, unnest(shares) as share, unnest(v) as value from q, s) select field, share, round(value, 6) as value from u""",
+    "pgen_summary": f""", x as ({toy.JUNCTIONS.strip()}), ga as (with {toy.space(toy.VJ)} select s, sum(p) as p from space group by s), gb as (with {toy.space(toy.VDJ)} select s, sum(p) as p from space group by s),
+        l as (select case when ga.p > 0 then round(log10(ga.p), 9) end as a, case when gb.p > 0 then round(log10(gb.p), 9) end as b from x left join ga on ga.s = junction_nt left join gb on gb.s = junction_nt), m as (select a, b, round(a - b, 9) as d from l),
+        r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2e0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2e0 as rb from m where a is not null and b is not null),
+        v as (select a as v, 1 as na, 0 as nb from m where a is not null union all select b, 0, 1 from m where b is not null), c as (select v, sum(sum(na)) over (order by v) as ca, sum(sum(nb)) over (order by v) as cb, sum(sum(na)) over () as ta, sum(sum(nb)) over () as tb from v group by v),
+        k as (select max(abs(ca / ta::double - cb / tb::double)) as d, sqrt(any_value(ta::double * tb / (ta + tb))) as e from c), t as (select count(*) as n, count(a) as n_scoreable_a, count(b) as n_scoreable_b, count(d) as n_scoreable_both, count(*) filter (a is not null and b is null) as only_a_scoreable, count(*) filter (b is not null and a is null) as only_b_scoreable,
+        avg(a) as ma, avg(b) as mb, avg(d) as md, stddev_samp(d) as sd, corr(a, b) as pc, median(a) as qa, median(b) as qb, quantile_cont(d, 0.05) as q1, median(d) as q2, quantile_cont(d, 0.95) as q3 from m)
+        select n, n_scoreable_a, n_scoreable_b, n_scoreable_both, only_a_scoreable, only_b_scoreable, round(ma, 6) as mean_log10_a, round(mb, 6) as mean_log10_b, round(md, 6) as mean_delta, round(sd, 6) as sd_delta, round(pc, 6) as pearson_log10, round(qa, 6) as median_log10_a, round(qb, 6) as median_log10_b,
+        round(q1, 6) as q05_delta, round(q2, 6) as median_delta, round(q3, 6) as q95_delta, round((select corr(ra, rb) from r), 6) as spearman_log10, round(k.d, 6) as ks_stat, round(case when k.d * e < 0.2 then 1 else least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda i: (case when i % 2 = 1 then 1e0 else -1e0 end) * exp(-2 * i * i * k.d * k.d * e * e))))) end, 6) as ks_p from t, k""",
     "best_scenario_vj": f", {toy.space(toy.VJ)}, x as ({toy.JUNCTIONS.strip()}) select junction_nt, round(max(p), 6) as p from x join space on s = junction_nt group by junction_nt",
     "best_scenario_vdj": f", {toy.space(toy.VDJ)}, x as ({toy.JUNCTIONS.strip()}) select junction_nt, round(max(p), 6) as p from x join space on s = junction_nt group by junction_nt",
     "scenario_counts": f", {toy.space(toy.VDJ)}, x as ({toy.JUNCTIONS.strip()}), g as (select la, lb, p / sum(p) over (partition by s) as p from x join space on s = junction_nt) select 'len0' as kind, cast(la as varchar) as piece, round(sum(p), 6) as x from g group by la union all select 'len1', cast(lb as varchar), round(sum(p), 6) from g group by lb",

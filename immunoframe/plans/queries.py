@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clonotype as C
 from ..operators import association as assoc
-from ..operators import batch, diversity, dynamics, enrichment, features, filters, kmer_space, neighbours, overlap, pooling, rarefaction, recombination, sampling, scenarios, signature, singlecell, usage
+from ..operators import batch, diversity, dynamics, enrichment, features, filters, kmer_space, neighbours, overlap, pooling, ranks, rarefaction, recombination, sampling, scenarios, signature, singlecell, usage
 from ..sources import readers
 from ..sources.scratch import Scratch
 from . import adapter as A
@@ -702,3 +702,18 @@ def read_other_orders(s, d):
         df.write.csv(f"{scratch.base}/{name}", sep="\t", header=True, compression="gzip" if name == "two" else "none")
     back = readers.read_airr(s, [f"{scratch.base}/one", f"{scratch.base}/two"], collapsed=False, keep=("note",))
     return back.groupBy("sample_id", "v_call").agg(F.count("*").alias("n"), F.sum("duplicate_count").alias("reads"), F.countDistinct("junction_nt", "junction_aa", "j_call").alias("junctions"), F.count_if(F.col("note") == "n/a").alias("notes"))
+
+
+@query
+def pgen_summary(s, d):
+    compared = recombination.compare_pgen(_junctions(s, d), toy.VJ, toy.VDJ)
+    return recombination.pgen_summary(compared.withColumns({c: F.round(c, 9) for c in ("log10_a", "log10_b", "delta_log10")}))  # so that ties are ties in both engines
+
+
+@query
+def exact_quantiles(s, d):
+    scratch, shares = Scratch(s, "quantiles"), [0.0, 0.05, 0.5, 0.777, 1.0]
+    c = A.clonotypes(s, d)
+    rows = [(column, share, float(x)) for column in ("frequency", "duplicate_count") for share, x in zip(shares, ranks.quantiles(scratch, c, column, shares), strict=True)]
+    scratch.close()
+    return s.createDataFrame(rows, "field string, share double, value double")
