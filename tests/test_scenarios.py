@@ -40,7 +40,11 @@ def space(model):
                         yield left + s + middle + t + right, (v.name, d.name, j.name, len(left), at, at + len(middle), at + len(middle + t)), w * model.p_d[b, c] * z * p * q
 
 
-@pytest.mark.parametrize("model", [toy.VJ, toy.VDJ], ids=["vj", "vdj"])
+#: J doesn't depend on V.
+APART = Model(toy.VJ.v, toy.VJ.j, toy.VJ.p_v, np.array([0.35, 0.65]), toy.VJ.ins, toy.VJ.step)
+
+
+@pytest.mark.parametrize("model", [toy.VJ, APART, toy.VDJ], ids=["vj", "apart", "vdj"])
 def test_sums_and_best_scenarios(spark, model):
     """Sums and maxima equal those of all recombinations; the scenario that is named has the probability that is returned."""
     total, ways = {}, {}
