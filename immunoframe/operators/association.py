@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.clonotype import SAMPLE, strip_allele, to_bool
 from .neighbours import near_pairs
+from .pairs import TILE, pairs_between
 
 KEY = ("junction_aa", "v_call", "j_call")
 
@@ -286,11 +287,11 @@ def fuzzy_features(df: DataFrame, key: tuple[str, ...] = KEY, *, candidates: Dat
 
 def cooccurrence(
     df: DataFrame, *, chain_a: str = "TRA", chain_b: str = "TRB", key: tuple[str, ...] = KEY, min_incidence: int = 2, min_cooccurrence: int = 2, test: str = "fisher", alternative: str = "greater",
-    depth_strata: int = 0, min_stratum: int = 20, sample: str = SAMPLE, **options,
+    depth_strata: int = 0, min_stratum: int = 20, sample: str = SAMPLE, tile: int = TILE, **options,
 ) -> DataFrame:
     """Pairs of features of two chains that stand in one sample together: ``n, n_a, n_b, n_ab, theta, odds_ratio, log2_or, p_value, q_value``.
 
-    Samples that hold both chains are counted. Pairs meet by sample, each feature's samples at most once, and no feature is
+    Samples that hold both chains are counted. Pairs meet by sample, block by block in samples of very many features, and no feature is
     left out for being many. ``depth_strata``: with more than 1, samples are cut into as many strata of equal numbers by
     how many features they hold (at least ``min_stratum`` samples each) and p is that of the stratified test; else the pooled test.
     """
@@ -305,7 +306,7 @@ def cooccurrence(
     place = depth.withColumn("_at", F.percent_rank().over(Window.orderBy("_depth"))) if depth_strata > 1 else depth.withColumn("_at", F.lit(0.0))  # one row for each sample
     place = place.crossJoin(sizes).select(sample, "n", F.least(F.floor(F.col("_at") * k), k - 1).alias("stratum"))
     left, right = common(a, "a").join(place, sample), common(b, "b").join(place.drop("n"), sample)
-    met = left.join(right, [sample, "stratum"])
+    met = pairs_between(left, right.drop("stratum"), [sample], "a", "b", tile)
     if chain_a == chain_b:
         met = met.where("a < b")
     cells = met.groupBy("a", "b", "stratum", "n").agg(F.count("*").alias("ab"))

@@ -124,6 +124,12 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "overlap_cohort": ", " + AGG.format(k="junction_aa") + """, n as (select sample_id, count(*) as n from per group by all), m as (select a.sample_id as sample_a, b.sample_id as sample_b, count(*) as shared, sum(a.freq * b.freq) as ab, sum(sqrt(a.freq * b.freq)) as f2, case when count(*) > 2 then corr(a.freq, b.freq) end as r from per a join per b using (junction_aa) where a.sample_id < b.sample_id group by all)
         select sample_a, sample_b, x.n as n_a, y.n as n_b, shared, round(shared / (x.n * y.n), 6) as "D", round(sqrt(ab), 6) as "F", round(f2, 6) as "F2", round(r, 6) as "R", round(shared / (x.n + y.n - shared), 6) as jaccard from m join n x on x.sample_id = sample_a join n y on y.sample_id = sample_b""",
     "pairwise_distances": ", " + AGG.format(k="junction_aa, j_call") + ", m as (select a.sample_id as sample_a, b.sample_id as sample_b, sqrt(sum(a.freq * b.freq)) as f from per a join per b using (junction_aa, j_call) where a.sample_id != b.sample_id group by all), s as (select distinct sample_id from clonotypes) select x.sample_id as sample_a, y.sample_id as sample_b, round(case when x.sample_id = y.sample_id then 0 else -log10(coalesce(f, 0) + 1e-9) end, 6) as distance from s x cross join s y left join m on sample_a = x.sample_id and sample_b = y.sample_id",
+    "pairwise_distances_fuzzy": ", x as (select sample_id, junction_aa as j, sum(duplicate_count) / any_value(n) as f from clonotypes join (select sample_id, sum(duplicate_count) as n from clonotypes group by all) using (sample_id) group by all), w as (select distinct j from x), l as (select a.j as ja, b.j as jb from w a join w b on length(a.j) = length(b.j) and hamming(a.j, b.j) <= 1), "
+        "r as (select distinct l.ja as j, x.sample_id as other from l join x on x.j = l.jb), m as (select sample_id as sample_a, other as sample_b, sum(f) as f from x join r using (j) where sample_id <> other group by all), b as (select a.sample_a, a.sample_b, sqrt(a.f * b.f) as f from m a join m b on a.sample_a = b.sample_b and a.sample_b = b.sample_a), "
+        "s as (select distinct sample_id from clonotypes) select x.sample_id as sample_a, y.sample_id as sample_b, case when x.sample_id = y.sample_id then 0 else -log10(coalesce(f, 0) + 1e-9) end as distance from s x cross join s y left join b on sample_a = x.sample_id and sample_b = y.sample_id",
+    "sample_layout": ", at as (select sample_id, avg(length(junction_aa)) as x, avg(ln(duplicate_count)) as y from clonotypes group by all) select a.sample_id as sample_a, b.sample_id as sample_b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) as distance from at a, at b",
+    "sample_groups": ", m as (select sample_id, min(sample_id) over (partition by batch) as b, min(sample_id) over (partition by batch, hla_1) as h from samples) select sample_id as sample, dense_rank() over (order by b) as cluster, row_number() over (order by b, h, sample_id) - 1 as leaf_order from m",
+    "sample_linkage": ", " + AGG.format(k="junction_aa, j_call") + ", m as (select a.sample_id as cluster_a, b.sample_id as cluster_b, -log10(sqrt(sum(a.freq * b.freq)) + 1e-9) as height from per a join per b using (junction_aa, j_call) where a.sample_id < b.sample_id group by all) select cluster_a, cluster_b, round(height, 6) as height, cast(1 as bigint) as size_a, cast(1 as bigint) as size_b from m order by m.height, 1, 2 limit 1",
     "fuzzy_overlap": ", x as (select junction_aa, sum(frequency) as f from clonotypes where sample_id = 'S01' group by all), y as (select junction_aa, sum(frequency) as f from clonotypes where sample_id = 'S02' group by all) select x.junction_aa as seq_a, y.junction_aa as seq_b, cast(levenshtein(x.junction_aa, y.junction_aa) as int) as distance, round(x.f, 6) as freq_a, round(y.f, 6) as freq_b from x, y where levenshtein(x.junction_aa, y.junction_aa) <= 1",
     "fuzzy_overlap_metrics": ", x as (select junction_aa as j, sum(frequency) as f from clonotypes where sample_id = 'S01' group by all), y as (select junction_aa as j, sum(frequency) as f from clonotypes where sample_id = 'S02' group by all), p as (select x.j as a, y.j as b, x.f as fa, y.f as fb from x, y where length(x.j) = length(y.j) and hamming(x.j, y.j) <= 1), q as (select (select count(*) from p) as pairs, (select count(distinct a) from p) / (select count(*) from x) as matched_a, (select coalesce(sum(fa), 0) from (select distinct a, fa from p)) as freq_a, (select count(distinct b) from p) / (select count(*) from y) as matched_b, (select coalesce(sum(fb), 0) from (select distinct b, fb from p)) as freq_b) select pairs, round(matched_a, 6) as matched_a, round(freq_a, 6) as freq_a, round(matched_b, 6) as matched_b, round(freq_b, 6) as freq_b, round(sqrt(freq_a * freq_b), 6) as \"fuzzy_F\" from q",
     "metaclonotypes": ", n as (select distinct junction_aa as s, v_call, j_call from clonotypes where not regexp_matches(junction_aa, '[*_]')), e as (select a.v_call, a.j_call, a.s as x, b.s as y from n a join n b on a.v_call = b.v_call and a.j_call = b.j_call and length(a.s) = length(b.s) and a.s != b.s where hamming(a.s, b.s) = 1), r as (with recursive r as (select v_call, j_call, s, s as root from n union select r.v_call, r.j_call, e.y, r.root from r join e on r.v_call = e.v_call and r.j_call = e.j_call and r.s = e.x) select * from r) select s as junction_aa, v_call, j_call, v_call || '|' || j_call || '|' || min(root) as meta from r group by s, v_call, j_call",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clonotype as C
 from ..operators import association as assoc
-from ..operators import batch, diversity, dynamics, enrichment, features, filters, kmer_space, neighbours, overlap, pooling, ranks, rarefaction, recombination, sampling, scenarios, signature, singlecell, usage
+from ..operators import batch, cluster, diversity, dynamics, enrichment, features, filters, kmer_space, neighbours, overlap, pooling, ranks, rarefaction, recombination, sampling, scenarios, signature, singlecell, usage
 from ..sources import readers
 from ..sources.scratch import Scratch
 from . import adapter as A
@@ -257,6 +257,40 @@ def pairwise_distances(s, d):
     return overlap.pairwise_distances(A.clonotypes(s, d), "F", ("junction_aa", "j_call"))
 
 
+@query
+def pairwise_distances_fuzzy(s, d):
+    return overlap.pairwise_distances(A.clonotypes(s, d), scope="1,0,0,1")
+
+
+@query
+def sample_layout(s, d):
+    """Distances of the laid out samples, whose given distances are those of points in a plane."""
+    at = A.clonotypes(s, d).groupBy("sample_id").agg(F.avg(F.length("junction_aa")).alias("x"), F.avg(F.log("duplicate_count")).alias("y"))
+    grid = at.select(*(F.col(c).alias(c + "a") for c in at.columns)).crossJoin(at.select(*(F.col(c).alias(c + "b") for c in at.columns)))  # a row for each distance
+    dist = grid.select(F.col("sample_ida").alias("sample_a"), F.col("sample_idb").alias("sample_b"), F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")).alias("distance"))
+    out = cluster.layout(Scratch(s, "layout"), dist)
+    x, y = (out.select(*(F.col(c).alias(f"{c}_{k}") for c in out.columns)) for k in "ab")
+    far = F.hypot(F.col("mds1_a") - F.col("mds1_b"), F.col("mds2_a") - F.col("mds2_b"))
+    return x.crossJoin(y).select("sample_a", "sample_b", F.round(far, 6).alias("distance"))
+
+
+@query
+def sample_groups(s, d):
+    """Average linkage of distances that are those of a tree: batch, then allele."""
+    at = A.samples(s, d).select("sample_id", "batch", "hla_1")
+    grid = at.select(*(F.col(c).alias(c + "a") for c in at.columns)).crossJoin(at.select(*(F.col(c).alias(c + "b") for c in at.columns)))  # a row for each distance
+    far = F.when(F.col("batcha") != F.col("batchb"), 1.0).when(F.col("hla_1a") != F.col("hla_1b"), 0.5).when(F.col("sample_ida") != F.col("sample_idb"), 0.25).otherwise(0.0)
+    dist = grid.select(F.col("sample_ida").alias("sample_a"), F.col("sample_idb").alias("sample_b"), far.alias("distance"))
+    return cluster.groups(Scratch(s, "groups"), dist, 4, small=8)
+
+
+@query
+def sample_linkage(s, d):
+    """The nearest two samples, the first merge of the average linkage of their distances."""
+    merges = cluster.linkage(Scratch(s, "linkage"), overlap.pairwise_distances(A.clonotypes(s, d), "F", ("junction_aa", "j_call")), small=8)
+    return merges.orderBy("height", "cluster_a", "cluster_b").limit(1).select("cluster_a", "cluster_b", F.round("height", 6).alias("height"), "size_a", "size_b")
+
+
 @query
 def fuzzy_overlap(s, d):
     c = A.clonotypes(s, d)
