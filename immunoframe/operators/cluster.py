@@ -185,7 +185,7 @@ def linkage(scratch: Scratch, dist: DataFrame, *, small: int = SMALL) -> DataFra
         before, links = links, scratch.cut(moved.groupBy("a", "b", "na", "nb").agg(F.sum("s").cast("decimal(38,0)").alias("s")))
         scratch.drop(before)
     if left > 1:
-        merges.append(scratch.cut(links.groupBy(F.lit(0)).applyInPandas(_merged_plainly, rows)))
+        merges.append(scratch.cut(links.groupBy().applyInPandas(_merged_plainly, rows)))
     every = merges[0]
     for x in merges[1:]:
         every = every.unionByName(x)

@@ -271,7 +271,7 @@ def sample_layout(s, d):
     out = cluster.layout(Scratch(s, "layout"), dist)
     x, y = (out.select(*(F.col(c).alias(f"{c}_{k}") for c in out.columns)) for k in "ab")
     far = F.hypot(F.col("mds1_a") - F.col("mds1_b"), F.col("mds2_a") - F.col("mds2_b"))
-    return x.crossJoin(y).select("sample_a", "sample_b", F.round(far, 6).alias("distance"))
+    return x.crossJoin(y).select("sample_a", "sample_b", F.round(far, 5).alias("distance"))
 
 
 @query
@@ -288,7 +288,7 @@ def sample_groups(s, d):
 def sample_linkage(s, d):
     """The nearest two samples, the first merge of the average linkage of their distances."""
     merges = cluster.linkage(Scratch(s, "linkage"), overlap.pairwise_distances(A.clonotypes(s, d), "F", ("junction_aa", "j_call")), small=8)
-    return merges.orderBy("height", "cluster_a", "cluster_b").limit(1).select("cluster_a", "cluster_b", F.round("height", 6).alias("height"), "size_a", "size_b")
+    return merges.orderBy("height", "cluster_a", "cluster_b").limit(1).select("cluster_a", "cluster_b", "height", "size_a", "size_b")
 
 
 @query
