@@ -52,6 +52,14 @@ select concat('cell', cast(user_id as string)) as cell_id, concat('contig', cast
 from events
 """
 
+#: A germline library with faults: parts are alleles.
+GERMLINE = """
+select case when p_partkey % 50 = 0 then null else concat('TRB', substr('VDJ', cast(1 + p_partkey % 3 as int), 1), cast(p_partkey % 150 as string), case when p_partkey % 7 = 0 then '' else '*01' end) end as allele,
+  case when p_partkey % 17 = 0 then 'Q' else substr('VDJ', cast(1 + p_partkey % 3 as int), 1) end as segment,
+  case p_partkey % 13 when 0 then null when 1 then 'TGTNNN' when 2 then 'TGTGCCTTT' else substr(translate(md5(cast(p_partkey as string)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 12) end as sequence
+from part
+"""
+
 #: A nucleotide junction with a substitution in some rows, and a junction cut short, so that near matches occur.
 MUTATED = "case when ord % 7 = 0 then concat('A', substr(junction_nt, 2)) when ord % 11 = 0 then concat(substr(junction_nt, 1, 9), 'CC', substr(junction_nt, 12)) else junction_nt end"
 SHORT = "concat('CASS', substr(junction_aa, 5, 5))"
@@ -81,13 +89,17 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(table(spark, sf_dir, "events"), "events", CELLS)
 
 
+def germline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(table(spark, sf_dir, "part"), "part", GERMLINE)
+
+
 def one(df: DataFrame, sample: str) -> DataFrame:
     return df.where(F.col("sample_id") == sample)
 
 
 def oracle(body: str) -> str:
     """A DuckDB query over the views that ``body`` names."""
-    views = (("reads", READS), ("clonotypes", CLONOTYPES), ("samples", SAMPLES), ("cells", CELLS))
+    views = (("reads", READS), ("clonotypes", CLONOTYPES), ("samples", SAMPLES), ("cells", CELLS), ("germline", GERMLINE))
     head = "with " + ", ".join(f"{n} as ({s.strip()})" for n, s in views)
     body = body.strip()
     return head + ("" if body.startswith(",") else " ") + body

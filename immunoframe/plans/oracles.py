@@ -130,6 +130,11 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "sample_layout": ", pt as (select sample_id, avg(length(junction_aa)) as x, avg(ln(duplicate_count)) as y from clonotypes group by all) select a.sample_id as sample_a, b.sample_id as sample_b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 5) as distance from pt a, pt b",
     "sample_groups": ", m as (select sample_id, min(sample_id) over (partition by batch) as b, min(sample_id) over (partition by batch, hla_1) as h from samples) select sample_id as sample, dense_rank() over (order by b) as cluster, row_number() over (order by b, h, sample_id) - 1 as leaf_order from m",
     "sample_linkage": ", " + AGG.format(k="junction_aa, j_call") + ", m as (select a.sample_id as cluster_a, b.sample_id as cluster_b, -log10(sqrt(sum(a.freq * b.freq)) + 1e-9) as height from per a join per b using (junction_aa, j_call) where a.sample_id < b.sample_id group by all) select cluster_a, cluster_b, round(height, 6) as height, cast(1 as bigint) as size_a, cast(1 as bigint) as size_b from m order by m.height, 1, 2 limit 1",
+    "germline_audit": ", g as (select coalesce(allele, '') as allele, segment, coalesce(sequence, '') as sequence, regexp_matches(coalesce(sequence, ''), '^[ACGT]+$') as plain from germline), i as (select 'error' as severity, 'segment' as check, segment, allele from g where segment not in ('V', 'D', 'J') union all select 'error', 'empty_allele', segment, allele from g where allele = '' "
+        "union all select 'warn', 'gene_level_name', segment, allele from g where allele <> '' and not contains(allele, '*') union all select 'error', 'empty_sequence', segment, allele from g where allele <> '' and sequence = '' union all select 'warn', 'ambiguous', segment, allele from g where allele <> '' and sequence <> '' and not plain "
+        "union all select 'warn', 'anchor_frame', segment, allele from g where allele <> '' and plain and ((segment = 'V' and left(sequence, 3) not in ('TGT', 'TGC')) or (segment = 'J' and right(sequence, 3) not in ('TTT', 'TTC', 'TGG')))) "
+        "select *, count(*) as n from i group by all union all select 'error', 'duplicate_allele', min(segment), allele, count(*) from g where allele <> '' group by allele having count(*) > 1",
+    "germline_joints": ", g as (select distinct allele, segment, cast(regexp_extract(allele, '^TRB[DJ]([0-9]+)', 1) as bigint) as k from germline where allele is not null and segment in ('D', 'J')) select d.allele as d_allele, count(*) as n from g d join g j on d.segment = 'D' and j.segment = 'J' and j.k < d.k group by all",
     "fuzzy_overlap": ", x as (select junction_aa, sum(frequency) as f from clonotypes where sample_id = 'S01' group by all), y as (select junction_aa, sum(frequency) as f from clonotypes where sample_id = 'S02' group by all) select x.junction_aa as seq_a, y.junction_aa as seq_b, cast(levenshtein(x.junction_aa, y.junction_aa) as int) as distance, round(x.f, 6) as freq_a, round(y.f, 6) as freq_b from x, y where levenshtein(x.junction_aa, y.junction_aa) <= 1",
     "fuzzy_overlap_metrics": ", x as (select junction_aa as j, sum(frequency) as f from clonotypes where sample_id = 'S01' group by all), y as (select junction_aa as j, sum(frequency) as f from clonotypes where sample_id = 'S02' group by all), p as (select x.j as a, y.j as b, x.f as fa, y.f as fb from x, y where length(x.j) = length(y.j) and hamming(x.j, y.j) <= 1), q as (select (select count(*) from p) as pairs, (select count(distinct a) from p) / (select count(*) from x) as matched_a, (select coalesce(sum(fa), 0) from (select distinct a, fa from p)) as freq_a, (select count(distinct b) from p) / (select count(*) from y) as matched_b, (select coalesce(sum(fb), 0) from (select distinct b, fb from p)) as freq_b) select pairs, round(matched_a, 6) as matched_a, round(freq_a, 6) as freq_a, round(matched_b, 6) as matched_b, round(freq_b, 6) as freq_b, round(sqrt(freq_a * freq_b), 6) as \"fuzzy_F\" from q",
     "metaclonotypes": ", n as (select distinct junction_aa as s, v_call, j_call from clonotypes where not regexp_matches(junction_aa, '[*_]')), e as (select a.v_call, a.j_call, a.s as x, b.s as y from n a join n b on a.v_call = b.v_call and a.j_call = b.j_call and length(a.s) = length(b.s) and a.s != b.s where hamming(a.s, b.s) = 1), r as (with recursive r as (select v_call, j_call, s, s as root from n union select r.v_call, r.j_call, e.y, r.root from r join e on r.v_call = e.v_call and r.j_call = e.j_call and r.s = e.x) select * from r) select s as junction_aa, v_call, j_call, v_call || '|' || j_call || '|' || min(root) as meta from r group by s, v_call, j_call",

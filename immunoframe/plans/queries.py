@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clonotype as C
 from ..operators import association as assoc
-from ..operators import batch, cluster, diversity, dynamics, enrichment, features, filters, kmer_space, neighbours, overlap, pooling, ranks, rarefaction, recombination, sampling, scenarios, signature, singlecell, usage
+from ..operators import batch, cluster, diversity, dynamics, enrichment, features, filters, germline, kmer_space, neighbours, overlap, pooling, ranks, rarefaction, recombination, sampling, scenarios, signature, singlecell, usage
 from ..sources import readers
 from ..sources.scratch import Scratch
 from . import adapter as A
@@ -291,6 +291,17 @@ def sample_linkage(s, d):
     return merges.orderBy("height", "cluster_a", "cluster_b").limit(1).select("cluster_a", "cluster_b", "height", "size_a", "size_b")
 
 
+@query
+def germline_audit(s, d):
+    return germline.validate_germline(A.germline(s, d))
+
+
+@query
+def germline_joints(s, d):
+    """How many J alleles each D can't be joined with."""
+    return germline.forbidden_dj_pairs(A.germline(s, d)).groupBy("d_allele").agg(F.count("*").alias("n"))
+
+
 @query
 def fuzzy_overlap(s, d):
     c = A.clonotypes(s, d)
