@@ -304,9 +304,9 @@ def cooccurrence(
     sizes = depth.agg(F.count("*").alias("n"), (F.stddev_samp("_depth") / F.avg("_depth")).alias("_cv"))  # one row
     k = F.when((F.coalesce("_cv", F.lit(0.0)) >= 0.45) & (F.col("n") >= 2 * min_stratum), F.least(F.lit(depth_strata), F.floor(F.col("n") / min_stratum))).otherwise(1)
     place = depth.withColumn("_at", F.percent_rank().over(Window.orderBy("_depth"))) if depth_strata > 1 else depth.withColumn("_at", F.lit(0.0))  # one row for each sample
-    place = place.crossJoin(sizes).select(sample, "n", F.least(F.floor(F.col("_at") * k), k - 1).alias("stratum"))
+    place = place.crossJoin(sizes).select(sample, "n", F.ceil(F.col("_depth") / tile).cast("int").alias("_blocks"), F.least(F.floor(F.col("_at") * k), k - 1).alias("stratum"))
     left, right = common(a, "a").join(place, sample), common(b, "b").join(place.drop("n"), sample)
-    met = pairs_between(left, right.drop("stratum"), [sample], "a", "b", tile)
+    met = pairs_between(left, right.drop("stratum"), [sample], "a", "b")
     if chain_a == chain_b:
         met = met.where("a < b")
     cells = met.groupBy("a", "b", "stratum", "n").agg(F.count("*").alias("ab"))

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: About how many rows of a key stand in one block.
 TILE = 1000
 
 
-def blocks(rows: DataFrame, key: list[str], who: Column, tile: int = TILE) -> DataFrame:
-    """``rows`` with ``_blocks`` (one for each ``tile`` rows of the key) and ``_block``, a row's own by the hash of ``who``. Rows with null keys are left out."""
-    sizes = rows.groupBy(*key).agg(F.ceil(F.count("*") / tile).cast("int").alias("_blocks"))
-    return rows.join(sizes, key).withColumn("_block", F.pmod(F.xxhash64(who), F.col("_blocks")).cast("int"))
-
-
 def pairs_within(rows: DataFrame, key: list[str], who: str, kept: list[str], tile: int = TILE) -> DataFrame:
     """``<who>_a < <who>_b`` of rows that agree in ``key``, with ``<column>_a`` and ``<column>_b`` for each of ``kept``; ``who`` is unique in a key.
 
@@ -33,10 +27,11 @@ def pairs_within(rows: DataFrame, key: list[str], who: str, kept: list[str], til
     return met.select(*key, *(pick(c, *of).alias(f"{c}_{s}") for c in (who, *kept) for s, of in (("a", "xy"), ("b", "yx"))))
 
 
-def pairs_between(left: DataFrame, right: DataFrame, key: list[str], a: str, b: str, tile: int = TILE) -> DataFrame:
-    """The join of two tables by ``key``, block by block: a key of n and m rows is n / tile times m / tile joins. ``a`` and ``b`` deal the rows to blocks."""
-    x, y = blocks(left, key, F.col(a), tile), blocks(right, key, F.col(b), tile)
-    across = [y.select(*key, F.col("_blocks").alias("_of")).distinct(), x.select(*key, F.col("_blocks").alias("_of")).distinct()]
-    x = x.join(across[0], key).withColumns({"_lo": F.col("_block"), "_hi": F.explode(F.sequence(F.lit(0), F.col("_of") - 1))})
-    y = y.join(across[1], key).withColumns({"_hi": F.col("_block"), "_lo": F.explode(F.sequence(F.lit(0), F.col("_of") - 1))})
-    return x.drop("_blocks", "_block", "_of").join(y.drop("_blocks", "_block", "_of"), [*key, "_lo", "_hi"]).drop("_lo", "_hi")
+def pairs_between(left: DataFrame, right: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
+    """The join of two tables by ``key``, block by block; ``a`` and ``b`` deal the rows to blocks.
+
+    Both tables say in ``_blocks``, the same for all rows of a key, into how many blocks its rows of each side are to go.
+    """
+    side = lambda rows, who, lo, hi: rows.withColumns({lo: F.pmod(F.xxhash64(who), F.col("_blocks")).cast("int"), hi: F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))})
+    x, y = side(left, a, "_lo", "_hi").drop("_blocks"), side(right, b, "_hi", "_lo").drop("_blocks")
+    return x.join(y, [*key, "_lo", "_hi"]).drop("_lo", "_hi")

@@ -126,7 +126,7 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
     "pairwise_distances": ", " + AGG.format(k="junction_aa, j_call") + ", m as (select a.sample_id as sample_a, b.sample_id as sample_b, sqrt(sum(a.freq * b.freq)) as f from per a join per b using (junction_aa, j_call) where a.sample_id != b.sample_id group by all), s as (select distinct sample_id from clonotypes) select x.sample_id as sample_a, y.sample_id as sample_b, round(case when x.sample_id = y.sample_id then 0 else -log10(coalesce(f, 0) + 1e-9) end, 6) as distance from s x cross join s y left join m on sample_a = x.sample_id and sample_b = y.sample_id",
     "pairwise_distances_fuzzy": ", x as (select sample_id, junction_aa as j, sum(duplicate_count) / any_value(n) as f from clonotypes join (select sample_id, sum(duplicate_count) as n from clonotypes group by all) using (sample_id) group by all), w as (select distinct j from x), l as (select a.j as ja, b.j as jb from w a join w b on length(a.j) = length(b.j) and hamming(a.j, b.j) <= 1), "
         "r as (select distinct l.ja as j, x.sample_id as other from l join x on x.j = l.jb), m as (select sample_id as sample_a, other as sample_b, sum(f) as f from x join r using (j) where sample_id <> other group by all), b as (select a.sample_a, a.sample_b, sqrt(a.f * b.f) as f from m a join m b on a.sample_a = b.sample_b and a.sample_b = b.sample_a), "
-        "s as (select distinct sample_id from clonotypes) select x.sample_id as sample_a, y.sample_id as sample_b, case when x.sample_id = y.sample_id then 0 else -log10(coalesce(f, 0) + 1e-9) end as distance from s x cross join s y left join b on sample_a = x.sample_id and sample_b = y.sample_id",
+        "s as (select distinct sample_id from clonotypes) select x.sample_id as sample_a, y.sample_id as sample_b, round(case when x.sample_id = y.sample_id then 0 else -log10(coalesce(f, 0) + 1e-9) end, 5) + 0e0 as distance from s x cross join s y left join b on sample_a = x.sample_id and sample_b = y.sample_id",
     "sample_layout": ", pt as (select sample_id, avg(length(junction_aa)) as x, avg(ln(duplicate_count)) as y from clonotypes group by all) select a.sample_id as sample_a, b.sample_id as sample_b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 5) as distance from pt a, pt b",
     "sample_groups": ", m as (select sample_id, min(sample_id) over (partition by batch) as b, min(sample_id) over (partition by batch, hla_1) as h from samples) select sample_id as sample, dense_rank() over (order by b) as cluster, row_number() over (order by b, h, sample_id) - 1 as leaf_order from m",
     "sample_linkage": ", " + AGG.format(k="junction_aa, j_call") + ", m as (select a.sample_id as cluster_a, b.sample_id as cluster_b, -log10(sqrt(sum(a.freq * b.freq)) + 1e-9) as height from per a join per b using (junction_aa, j_call) where a.sample_id < b.sample_id group by all) select cluster_a, cluster_b, round(height, 6) as height, cast(1 as bigint) as size_a, cast(1 as bigint) as size_b from m order by m.height, 1, 2 limit 1",

@@ -259,7 +259,7 @@ def pairwise_distances(s, d):
 
 @query
 def pairwise_distances_fuzzy(s, d):
-    return overlap.pairwise_distances(A.clonotypes(s, d), scope="1,0,0,1")
+    return _decimals(overlap.pairwise_distances(A.clonotypes(s, d), scope="1,0,0,1"), distance=5)
 
 
 @query

@@ -122,8 +122,9 @@ def test_pairs_in_blocks(spark):
     df = spark.createDataFrame(rows, "key string, who string, n long")
     got = sorted(map(tuple, pairs_within(df, ["key"], "who", ["n"], tile=7).select("key", "who_a", "who_b", "n_a", "n_b").collect()))
     assert got == sorted((k, a, b, x, y) for (k, a, x), (c, b, y) in itertools.permutations(rows, 2) if k == c and k is not None and a < b)
-    left, right = df.select("key", F.col("who").alias("a")), df.where("n % 2 = 0").select("key", F.col("who").alias("b"))
-    got = sorted(map(tuple, pairs_between(left, right, ["key"], "a", "b", tile=7).select("key", "a", "b").collect()))
+    df = df.withColumn("_blocks", F.when(F.col("key") == "hot", 9).otherwise(1))
+    left, right = df.select("key", F.col("who").alias("a"), "_blocks"), df.where("n % 2 = 0").select("key", F.col("who").alias("b"), "_blocks")
+    got = sorted(map(tuple, pairs_between(left, right, ["key"], "a", "b").select("key", "a", "b").collect()))
     assert got == sorted((k, a, b) for k, a, _ in rows for c, b, n in rows if k == c and k is not None and n % 2 == 0)
 
 
