@@ -1,8 +1,8 @@
 """URL filters by a path-template tree.
 
-Per host, the distinct URL paths form a tree of segments. Level by level, until no node is left that two paths
-share, a node whose children are new too often to be sections is variable: its children become wildcards of
-their shape (``{n}``, ``{n}.html``, ``{w}``). From the deepest level up, branches of one node that lead to
+Per host, the distinct URL paths form a tree of segments. From the root down, a node whose children are new too
+often to be sections is variable: its children become wildcards of their shape (``{n}``, ``{n}.html``, ``{w}``), and
+what lies below them is judged together. From the deepest level up, branches of one node that lead to
 statistically like shapes and whose labelled shares of bad URLs are alike (both against the node's largest branch
 of their kind, mostly bad or not) are merged to ``*`` and that one's name; a branch without labels of its own is merged with nothing. Each template
 then has a purity, the smoothed share of bad URLs among its labelled ones, and templates whose purity is surely
@@ -25,8 +25,8 @@ RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "e
 NEW, SURE = 0.2, 3.0
 #: Rates of two branches are alike if they differ by no more than SURE deviations and that is at most so much.
 ALIKE = 0.5
-#: Smoothing: weight of the prior share, and the prior; a template is rejected if its purity less DEVIATIONS is at least PURITY and this share is labelled.
-WEIGHT, PRIOR, PURITY, DEVIATIONS, COVER = 5.0, 0.3, 0.85, 1.64, 0.5
+#: Smoothing: weight of the prior share, and the prior; a template is rejected if its purity less DEVIATIONS is at least PURITY.
+WEIGHT, PRIOR, PURITY, DEVIATIONS = 5.0, 0.3, 0.85, 1.64
 
 
 def host_of(url: Column) -> Column:
@@ -59,24 +59,50 @@ def _joined(steps: Column) -> Column:
     return F.array_join(steps, "")
 
 
-def _tree(scratch: Scratch, paths: DataFrame) -> tuple[DataFrame, int]:
-    """``paths`` with ``steps``, their segments or wildcards, and the number of levels at which some node has several paths."""
-    paths = scratch.cut(paths.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("node", F.lit("")).withColumn("steps", F.array().cast("array<string>")))
-    level = 0
+def _nodes(paths: DataFrame, start: Column) -> DataFrame:
+    """A row for each path and each of its levels from ``start`` on: the node there by ``level, a, b`` (hashes of the steps before), and the ``step`` that leaves it."""
+
+    def node(i: Column) -> Column:
+        before = F.slice("steps", F.lit(1), i)
+        return F.struct(i.alias("level"), F.xxhash64(before).alias("a"), F.xxhash64(F.lit(29), before).alias("b"), F.get("steps", i).alias("step"))
+
+    there = F.filter(F.sequence(F.lit(0), F.size("steps")), lambda i: (i >= start) & (i < F.size("steps")))
+    return paths.withColumn("at", F.explode(F.transform(there, node))).select(*(c for c in paths.columns if c != "steps"), "at.*")
+
+
+def _tree(scratch: Scratch, paths: DataFrame) -> DataFrame:
+    """``paths`` with ``steps``, their segments or wildcards.
+
+    In a round all nodes are judged, and each path takes the wildcard of its first variable node at or below ``done``; all nodes before that
+    are settled. Rounds are as many as variable nodes lie on one path, however deep the paths are.
+    """
+    slashed = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.concat(F.lit("/"), s))
+    paths = scratch.cut(paths.withColumn("steps", slashed).withColumn("done", F.lit(0)))
     while True:
-        segment = F.get("segments", F.lit(level))
-        children = paths.where(F.size("segments") > level).groupBy("host", "node", segment.alias("segment")).agg(F.count("*").alias("c"))
-        nodes = children.groupBy("host", "node").agg(F.sum("c").alias("n"), F.count("*").alias("k")).where("n > 1").withColumn("p", F.col("k") / F.col("n"))
+        left = _nodes(paths.where("done < size(steps)").select("host", "path", "steps", "done"), F.col("done"))
+        children = left.groupBy("host", "level", "a", "b", "step").agg(F.count("*").alias("c"))
+        nodes = children.groupBy("host", "level", "a", "b").agg(F.sum("c").alias("n"), F.count("*").alias("k")).where("n > 1").withColumn("p", F.col("k") / F.col("n"))
         bound = F.expr(f"(p + {SURE**2} / (2 * n) - {SURE} * sqrt(p * (1 - p) / n + {SURE**2} / (4 * n * n))) / (1 + {SURE**2} / n)")
-        nodes = scratch.cut(nodes.select("host", "node", (bound > NEW).alias("variable")))
-        if nodes.isEmpty():
-            rest = F.transform(F.slice("segments", F.lit(level + 1), F.greatest(F.size("segments"), F.lit(1))), lambda s: F.concat(F.lit("/"), s))
-            return scratch.cut(paths.withColumn("steps", F.concat("steps", rest)).drop("segments", "node")), level
-        step = F.concat(F.lit("/"), F.when(F.col("variable"), _shape(segment)).otherwise(segment))
-        paths = paths.join(nodes, ["host", "node"], "left").withColumn("step", F.when(F.size("segments") > level, step))
-        paths = paths.withColumn("steps", F.when(F.col("step").isNull(), F.col("steps")).otherwise(F.concat("steps", F.array("step"))))
-        paths = scratch.cut(paths.withColumn("node", F.concat("node", F.coalesce("step", F.lit("")))).drop("variable", "step"))
-        level += 1
+        variable = scratch.cut(nodes.where(bound > NEW).select("host", "level", "a", "b"))
+        if variable.isEmpty():
+            return paths.drop("done")
+        first = left.join(variable, ["host", "level", "a", "b"]).groupBy("host", "path").agg(F.min("level").alias("first"))
+        before, after = F.slice("steps", F.lit(1), F.col("first")), F.slice("steps", F.col("first") + 2, F.size("steps"))
+        one = F.array(F.concat(F.lit("/"), _shape(F.substr(F.get("steps", F.col("first")), F.lit(2)))))
+        steps = F.when(F.col("first").isNull(), F.col("steps")).otherwise(F.concat(before, one, after))
+        done = F.coalesce(F.col("first") + 1, F.size("steps"))
+        after_round = scratch.cut(paths.join(first, ["host", "path"], "left").withColumns({"steps": steps, "done": done}).drop("first"))
+        scratch.drop(paths, variable)
+        paths = after_round
+
+
+def _levels(paths: DataFrame) -> list[int]:
+    """Levels, deepest first, at which some node has several branches with labels that are mostly bad, or mostly not: where there is something to merge."""
+    steps = _nodes(paths.where("labelled > 0").select("host", "steps", "labelled", "n_bad"), F.lit(0))
+    node = ["host", "level", "a", "b"]
+    branches = steps.groupBy(*node, "step").agg(F.expr("2 * sum(n_bad) >= sum(labelled)").alias("kind"))
+    several = branches.groupBy(*node, "kind").agg(F.count("*").alias("k")).where("k > 1")
+    return sorted((r[0] for r in several.select("level").distinct().collect()), reverse=True)  # a number for each level
 
 
 def _merged(scratch: Scratch, paths: DataFrame, at: int) -> DataFrame:
@@ -129,14 +155,14 @@ def url_filter(pages: DataFrame, *, rules: dict[str, str] | None = None, labels:
         rows = rows.join(known, "page_id", "left").withColumn("bad", F.coalesce("bad", "told")).drop("told")
     rows = scratch.cut(rows)
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.count_if("bad").alias("n_bad"))
-    paths, levels = _tree(scratch, paths)
-    for at in reversed(range(levels)):
+    paths = _tree(scratch, paths)
+    for at in _levels(paths):
         paths = _merged(scratch, paths, at)
     paths = paths.withColumn("template", _joined(F.col("steps")))
     counts = paths.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "n_bad")))
     share = (F.col("n_bad") + WEIGHT * PRIOR) / (F.col("labelled") + WEIGHT)
     sure = F.col("share") - DEVIATIONS * F.sqrt(F.col("share") * (1 - F.col("share")) / (F.col("labelled") + WEIGHT + 1))
-    judged = counts.withColumn("share", share).withColumn("reject", (sure >= PURITY) & (F.col("labelled") >= COVER * F.col("n")))
+    judged = counts.withColumn("share", share).withColumn("reject", sure >= PURITY)
     judged = judged.select("host", "template", F.round("share", 6).alias("purity"), "reject")
     judged = scratch.cut(paths.select("host", "path", "template").join(judged, ["host", "template"]))
     out = rows.join(judged, ["host", "path"])

@@ -156,6 +156,114 @@ def test_url_templates_at_every_level(spark):
     assert all(got[p].verdict == ("block" if bad else "allow") for p, _, bad in rows)
 
 
+def brute_templates(urls, told):
+    """Template and verdict of ``host/path`` urls by plain recursion; ``told``: url to bad, True or False."""
+    import math
+    import re
+
+    def shape(seg):
+        ext = re.search(r"(\.[A-Za-z0-9]{1,5})?$", seg).group(0)
+        stem = seg[: len(seg) - len(ext)]
+        return ("{n}" if re.fullmatch("[0-9]+", stem) else "{h}" if re.fullmatch(r"(?=.*[0-9])[0-9a-fA-F-]{8,}", stem) else "{w}") + ext
+
+    def wild(items, level):
+        """``items``: lists of steps; those that go on beyond ``level`` are one node."""
+        on = [x for x in items if len(x["steps"]) > level]
+        n, k = len(on), len({x["steps"][level] for x in on})
+        if not n:
+            return
+        p = k / n
+        if n > 1 and (p + 9 / (2 * n) - 3 * math.sqrt(p * (1 - p) / n + 9 / (4 * n * n))) / (1 + 9 / n) > 0.2:
+            for x in on:
+                x["steps"][level] = shape(x["steps"][level])
+        for step in {x["steps"][level] for x in on}:
+            wild([x for x in on if x["steps"][level] == step], level + 1)
+
+    def merge(items, level):
+        on = [x for x in items if len(x["steps"]) > level]
+        for step in {x["steps"][level] for x in on}:
+            merge([x for x in on if x["steps"][level] == step], level + 1)
+        branches = {}
+        for x in on:
+            branches.setdefault(x["steps"][level], []).append(x)
+        for bad_kind in (True, False):
+            kin = {}
+            for step, xs in branches.items():
+                labelled, bad = sum(x["labelled"] for x in xs), sum(x["bad"] for x in xs)
+                if labelled and (2 * bad >= labelled) == bad_kind:
+                    kin[step] = (sum(x["n"] for x in xs), labelled, bad)
+            if len(kin) < 2:
+                continue
+            top = max(kin, key=lambda s: (kin[s][0], s))
+            tails = {s: Counter() for s in kin}
+            for s in kin:
+                for x in branches[s]:
+                    tails[s][tuple(x["steps"][level + 1 :])] += x["n"]
+            of, alike = kin[top][0], []
+            for s, (size, labelled, bad) in kin.items():
+                chi = sum((math.sqrt(of / size) * c - math.sqrt(size / of) * tails[top][t]) ** 2 / (c + tails[top][t]) for t, c in tails[s].items())
+                chi += sum(c * size / of for t, c in tails[top].items() if t not in tails[s])
+                q, r = ((b + 1.5) / (m + 5.0) for m, b in ((labelled, bad), kin[top][1:]))
+                spread = 0 if s == top else 3 * math.sqrt(q * (1 - q) / labelled + r * (1 - r) / kin[top][1])
+                if chi <= len(tails[s]) + 3 * math.sqrt(2 * len(tails[s])) and abs(bad / labelled - kin[top][2] / kin[top][1]) <= spread <= 0.5:
+                    alike.append(s)
+            if len(alike) > 1:
+                for s in alike:
+                    for x in branches[s]:
+                        x["steps"][level] = "*/" + top
+
+    by_host = {}
+    for url, n in Counter(urls).items():
+        host, path = url.split("/", 1)
+        known = url in told
+        by_host.setdefault(host, []).append({"url": url, "steps": [s for s in path.split("/") if s], "n": n, "labelled": n if known else 0, "bad": n if known and told[url] else 0})
+    out = {}
+    for items in by_host.values():
+        wild(items, 0)
+        merge(items, 0)
+        groups = {}
+        for x in items:
+            groups.setdefault("".join("/" + s for s in x["steps"]), []).append(x)
+        for template, xs in groups.items():
+            labelled, bad = sum(x["labelled"] for x in xs), sum(x["bad"] for x in xs)
+            share = (bad + 1.5) / (labelled + 5.0)
+            verdict = "block" if share - 1.64 * math.sqrt(share * (1 - share) / (labelled + 6.0)) >= 0.85 else "allow"
+            out.update((x["url"], (template, verdict)) for x in xs)
+    return out
+
+
+@pytest.mark.parametrize("times", [3, 10])
+def test_url_templates_against_a_plain_tree(spark, times):
+    """Labelled and unlabelled URLs that share templates, some of them bad, on hosts of several depths; copies of URLs count."""
+    rng = random.Random(times)
+    urls, told = [], {}
+    for host, depth in (("a.test", 1), ("b.test", 2), ("c.test", 4)):
+        for section in range(8):
+            ill = 1.0 if section < 3 else 0.5 if section == 3 else 0.0
+            for _ in range(30 * times):
+                middle = "/".join(rng.choice("xy") for _ in range(depth - 1))
+                end = rng.choice([f"{rng.randrange(10**6)}.html", f"{rng.randrange(16**9, 16**10):x}0", f"p{rng.randrange(10**5)}", "index.html"])
+                url = f"{host}/s{section}/{middle}/{end}"
+                urls += [url] * rng.choice([1, 1, 1, 2])
+                if section != 7 and rng.random() < 0.6:
+                    told[url] = rng.random() < ill
+    pages = spark.createDataFrame([(i, "http://" + u) for i, u in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, told[u]) for i, u in enumerate(urls) if u in told], "page_id long, bad boolean")
+    want = brute_templates(urls, told)
+    got = {r.page_id: (r.template, r.verdict) for r in url_filter(pages, labels=labels, rules={}).collect()}
+    assert [got[i] for i in range(len(urls))] == [want[u] for u in urls]
+    free = Counter(want[u][1] for u in urls if u not in told)
+    assert free["block"] > 20 and free["allow"] > 20
+
+
+def test_url_paths_of_very_many_segments(spark):
+    """A thousand shared segments, and a path below each of the ends of another, are few rounds."""
+    shared = "/".join(f"s{i}" for i in range(1000))
+    rows = [(1, f"http://h.test/{shared}/x"), (2, f"http://h.test/{shared}/y")] + [(10 + i, "http://t.test" + "/a" * i + "/b") for i in range(300)]
+    got = {r.page_id: r.template for r in url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1] == f"/{shared}/x" and got[309] == "/a" * 299 + "/b" and len(got) == 302
+
+
 def test_license_scan(spark, sf):
     docs, rows = documents(spark, sf)
     got = {r.doc_id: r for r in license_scan(docs).collect()}
