@@ -3,7 +3,7 @@
 Fit, on a bounded sample: vectors are extended by one coordinate that gives all of them one norm, so that the
 largest inner product is the smallest angle; centred sample vectors are rotated to their principal axes and then
 so that signs lose least (iterative quantisation), from several starts. The signs are the code, and it is cut into
-substrings of about as many bits as number the vectors. For ``ASKED`` sampled vectors the exact neighbours
+substrings of about as many bits as number the vectors. For ``ASKED`` sampled queries (queries may be unlike the rows) the exact neighbours
 among all rows are found; from their codes follow the substring radius ``s``, the number of substrings that finds ``FOUND`` of
 these neighbours at the least cost, and the radius of the whole code (its first ``WHOLE`` bits) that holds ``HELD`` of them.
 
@@ -203,7 +203,8 @@ class _Index:
         drawn = np.array([r["v"] for r in nodes.select("v", "a").orderBy("a").limit(SAMPLE).collect()])  # bounded by SAMPLE
         self.width = min(WIDTHS[1], max(WIDTHS[0], round(math.log2(self.rows))))
         codes = Codes(drawn, norm, self.width)
-        near = nodes.select("v").mapInArrow(_neighbours(codes, drawn[:ASKED], k, dims), "nth int, score double, off binary")
+        asked = np.array([r["v"] for r in nodes.where("asked").select("v", "a").orderBy("a").limit(ASKED).collect()]).reshape(-1, dims)  # bounded by ASKED
+        near = nodes.select("v").mapInArrow(_neighbours(codes, asked, k, dims), "nth int, score double, off binary")
         place = F.row_number().over(Window.partitionBy("nth").orderBy(F.desc("score"), "off"))
         near = near.withColumn("place", place).where(f"place between 2 and {k + 1}").select("off").collect()  # ASKED * k rows; the first is the vector itself
         off = np.frombuffer(b"".join(r["off"] for r in near), np.uint8).reshape(-1, PARTS + WHOLE // 64)

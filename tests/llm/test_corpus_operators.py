@@ -231,6 +231,20 @@ def test_nearest_at_size(spark):
     assert hit / total >= 0.9
 
 
+def test_nearest_queries_unlike_the_rows(spark):
+    """Clustered rows; a fifth of the queries are short vectors that lie in none of the clusters."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(100, 32))
+    x = centres[rng.integers(0, 100, 3000)] + 0.15 * rng.normal(size=(3000, 32))
+    odd = np.arange(0, 800, 20)
+    x[odd] = 0.05 * rng.normal(size=(len(odd), 32))
+    got = nearest(spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")).toPandas()
+    lists = got.sort_values("rank").groupby("query_id").vec_id.apply(list)
+    assert len(lists) == 150 and lists.apply(len).eq(20).all()
+    hits = {i: len(set([j for j in np.lexsort((np.arange(len(x)), -(x @ x[i]))) if j != i][:20]) & set(lists[i])) / 20 for i in range(0, len(x), 20)}
+    assert np.mean(list(hits.values())) >= 0.9 and np.mean([hits[i] for i in odd]) >= 0.8
+
+
 def test_nearest_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (40, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, [])]
     got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
