@@ -6,6 +6,7 @@ Neighbours are counted by key joins (see :mod:`.neighbours`); a junction that ma
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -112,11 +113,11 @@ def similarity_overlap(a: DataFrame, b: DataFrame, *, metric: str = "cosine", sc
     return one.select(F.coalesce(F.try_divide(F.col("ab"), below), F.lit(0.0)).alias("similarity"))
 
 
-def functional_diversity(df: DataFrame, q: tuple[int, ...] = (0, 1, 2), *, scope: str = "1,0,0,1", tau: float = 1.0, sample: str = SAMPLE) -> DataFrame:
-    """``order_q, diversity`` and ``rao``: diversity that counts near junctions as partly the same (Leinster and Cobbold), by the sparse kernel."""
+def functional_diversity(df: DataFrame, q: tuple[int, ...] = (0, 1, 2), *, scope: str = "1,0,0,1", tau: float = 1.0, sample: str = SAMPLE, near: Callable[[DataFrame, DataFrame, tuple[str, ...]], DataFrame] | None = None) -> DataFrame:
+    """``order_q, diversity`` and ``rao``: diversity that counts near junctions as partly the same (Leinster and Cobbold), by the sparse kernel or by ``near``."""
     p = df.where("junction_aa is not null").groupBy(sample, "junction_aa").agg(F.sum("frequency").alias("p"))
     p = p.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(sample))).where("p > 0")
-    pairs = neighbour_similarity(p, p, scope=scope, tau=tau, keys=(sample,))
+    pairs = near(p, p, (sample,)) if near else neighbour_similarity(p, p, scope=scope, tau=tau, keys=(sample,))
     zp = pairs.join(p.select(sample, F.col("junction_aa").alias("seq_b"), F.col("p").alias("_b")), [sample, "seq_b"]).groupBy(sample, F.col("seq_a").alias("junction_aa")).agg(F.sum(F.col("z") * F.col("_b")).alias("zp"))
     both = p.join(zp, [sample, "junction_aa"])
     value = lambda o: F.exp(-F.sum(F.col("p") * F.log("zp"))) if o == 1 else F.pow(F.sum(F.col("p") * F.pow("zp", F.lit(float(o - 1)))), 1 / (1 - o))
