@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.clonotype import CODONS
 from ..operators.diversity import thisted_coefficients
-from ..operators.features import HYDROPATHY
+from ..operators.features import HYDROPATHY, VOLUME
 from ..operators.kmer_space import reduced_alphabet
 from . import toy
 from .adapter import MUTATED, SHORT, oracle
@@ -44,6 +44,17 @@ KERNEL = "x as (select junction_aa as s, sum(frequency) as p from clonotypes whe
 SIG = f"rw as (select sample_id, substr(v_call, 1, 3) as locus, junction_aa as s, duplicate_count as n, v_identity as i, {CC} as c from clonotypes), wk as (select *, log2(1 + n) / sum(log2(1 + n)) over (partition by sample_id, locus) as w from rw where regexp_matches(s, '^[ACDEFGHIKLMNPQRSTVWY]+$')), " \
     "st as (select sample_id, locus, sum(n) as reads, cast(count(*) as double) as rich, cast(count(*) filter (n = 1) as double) as f1, cast(count(*) filter (n = 2) as double) as f2, max(n) / sum(n) as top from wk group by all)"
 
+_COST = "case when {x} = {y} then 0 when {hx} is null or {hy} is null then worst else greatest(1, floor(abs({hx} - {hy})) + floor(abs({vx} - {vy}) / 40)) end"
+GAPPED = "sc(l, h, v) as (values " + ", ".join(f"('{a}', {h}e0, {VOLUME[a]}e0)" for a, h in HYDROPATHY.items()) + "), mp as (select map(list(l), list(h)) as mh, map(list(l), list(v)) as mv, (select max(" + _COST.format(x="a.l", y="b.l", hx="a.h", hy="b.h", vx="a.v", vy="b.v").replace("worst", "0") + ") from sc a, sc b) as worst from sc), " \
+    "w as (select sample_id as g, junction_aa as s, sum(frequency) as w from clonotypes where sample_id in ('S01', 'S02') and junction_aa is not null group by all), " \
+    "t as (select s, length(s) as n, string_split(s, '') as c, list_transform(string_split(s, ''), lambda x: mh[x]) as h, list_transform(string_split(s, ''), lambda x: mv[x]) as v, worst from (select distinct s from w), mp), " \
+    "al as (select a.s as s, b.s as r, a.c as c, b.c as c2, a.h as h, b.h as h2, a.v as v, b.v as v2, a.n - b.n as d, b.n as n, a.worst as worst, unnest(case when a.n = b.n then [0] else range(b.n + 1) end) as p from t a join t b on a.n - b.n between 0 and 2), " \
+    "ac as (select *, case when d > 0 then 3 + (d - 1) + 0.5e0 * abs(p - 0.5e0 * n) else 0e0 end as gap from al), " \
+    "pn as (select s, r, min(gap + coalesce(list_sum(list_transform(range(1, n + 1), lambda i: " + _COST.format(x="c[i + if(i > p, d, 0)]", y="c2[i]", hx="h[i + if(i > p, d, 0)]", hy="h2[i]", vx="v[i + if(i > p, d, 0)]", vy="v2[i]") + ")), 0)) as pen from ac where gap <= 4 group by all), " \
+    "nr as (select s, r, pen from pn where pen <= 4 union select r, s, pen from pn where pen <= 4), " \
+    "pr as (select a.g as g, b.g as g2, sum(a.w * b.w * exp(-pen / 2)) as z, sum(a.w * b.w) as met from nr join w a on a.s = nr.s join w b on b.s = nr.r group by all), tw as (select g, sum(w) as w from w group by all), " \
+    "ph as (select pr.*, z + exp(-2e0) * greatest(x.w * y.w - met, 0) as zh from pr join tw x on x.g = pr.g join tw y on y.g = g2), " \
+    "k as (select max(z) filter (g = 'S01' and g2 = 'S02') as ab, max(zh) filter (g = 'S01' and g2 = 'S02') as abh, max(z) filter (g = g2 and g = 'S01') as aa, max(zh) filter (g = g2 and g = 'S01') as aah, max(z) filter (g = g2 and g = 'S02') as bb, max(zh) filter (g = g2 and g = 'S02') as bbh from ph)"
 RESIDUE = f"x as (select distinct a as junction_aa from (select {_TR.format(x='junction_nt')} as a from ({toy.JUNCTIONS.strip()}) where length(junction_nt) % 3 = 0) where not contains(a, '*')), g as (select a, sum(p) as p from (select {_TR.format(x='s')} as a, p from space where length(s) % 3 = 0) group by a)"
 
 
@@ -233,6 +244,7 @@ ORACLE_SQL: dict[str, str] = {name: oracle(significant(sql)) for name, sql in {
         select sample_id, s as junction_aa, v as v_call, j as j_call, cast(n as bigint) as duplicate_count, cast(d as bigint) as n_neighbors, g as n_group, round(q, 6) as pgen_ball, round(e, 6) as "E", round(case when d > e then list_sum(list_transform(range(cast(d as bigint), cast(d as bigint) + 200), lambda i: exp(i * ln(e) - e - lgamma(i + 1)))) else 1 - list_sum(list_transform(range(0, cast(d as bigint)), lambda i: exp(i * ln(e) - e - lgamma(i + 1)))) end, 6) as p_enrichment, substr(v, 1, 3) as locus from e""",
     "similarity_overlap": f", {KERNEL.format(tau='1e0')} select round(ab / sqrt(aa * bb), 6) as similarity from k",
     "similarity_overlap_morisita": f", {KERNEL.format(tau='2e0')} select round(2 * ab / (aa + bb), 6) as similarity from k",
+    "residue_overlap": f", {GAPPED} select round(ab / sqrt(aa * bb), 6) as similarity, round(ab / sqrt(aah * bbh), 6) as low, round(abh / sqrt(aa * bb), 6) as high from k",
     "functional_diversity": ", p as (select sample_id, junction_aa as s, sum(frequency) / sum(sum(frequency)) over (partition by sample_id) as p from clonotypes group by sample_id, junction_aa), z as (select a.sample_id, a.s, any_value(a.p) as p, sum(b.p * exp(-cast(hamming(a.s, b.s) as double))) as z from p a join p b on a.sample_id = b.sample_id and length(a.s) = length(b.s) and hamming(a.s, b.s) <= 1 group by all), r as (select sample_id, 1 - sum(p * z) as rao, sum(p / z) as d0, exp(-sum(p * ln(z))) as d1, 1 / sum(p * z) as d2 from z group by all), o as (select sample_id, rao, 0 as order_q, d0 as d from r union all select sample_id, rao, 1, d1 from r union all select sample_id, rao, 2, d2 from r) select sample_id, round(rao, 6) as rao, order_q, round(d, 6) as diversity from o",
     "flag_mispairing": f", {LIGHT}, p as (select a.cell_id, a.v_call as alpha_v_call, a.j_call as alpha_j_call, a.junction_aa as alpha_junction_aa, a.umi_count as alpha_umi_count, a.duplicate_count as alpha_duplicate_count, b.v_call as beta_v_call, b.j_call as beta_j_call, b.junction_aa as beta_junction_aa, b.umi_count as beta_umi_count, b.duplicate_count as beta_duplicate_count, row_number() over (partition by a.cell_id order by b.ord, a.ord) as i, count(*) over (partition by a.cell_id) as n from res a join res b using (cell_id) where a.locus = 'TRA' and b.locus = 'TRB'), q as (select * exclude (i, n), case when n = 1 then cell_id else cell_id || '_' || i end as pair_id, beta_v_call || '|' || beta_j_call || '|' || beta_junction_aa as m, alpha_v_call || '|' || alpha_j_call || '|' || alpha_junction_aa as s, alpha_duplicate_count + alpha_umi_count as w from p), e as (select m, s, count(*) as n, sum(w) as w from q group by all), c as (select m, first(s order by n desc, w desc, s) as c, count(*) as k from e group by all), f as (select q.*, c, k, bool_or(s = c) over (partition by cell_id, m) as h from q join c using (m)), g as (select *, case when k > 4 then 'ambient_master' when s != c and not h then 'noncanonical_alpha' else 'ok' end as mispairing_reason from f) select * exclude (m, s, w, c, k, h), mispairing_reason != 'ok' as mispairing_flag from g",
     "singleton_ids": ", e as (select event_id, case when event_id % 3 = 0 then null when event_id % 7 = 0 then -1 else event_id % 5 end as c from events) select event_id, cast(-row_number() over (order by event_id) as bigint) as cluster from e where c is null or c = -1 union all select event_id, cast(c as bigint) from e where c != -1",

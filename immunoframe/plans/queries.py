@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clonotype as C
 from ..operators import association as assoc
-from ..operators import batch, cluster, diversity, dynamics, enrichment, features, filters, germline, kmer_space, neighbours, overlap, pooling, ranks, rarefaction, recombination, sampling, scenarios, signature, singlecell, usage
+from ..operators import batch, cluster, diversity, dynamics, enrichment, features, filters, germline, kernels, kmer_space, neighbours, overlap, pooling, ranks, rarefaction, recombination, sampling, scenarios, signature, singlecell, usage
 from ..sources import readers
 from ..sources.scratch import Scratch
 from . import adapter as A
@@ -549,6 +549,11 @@ def similarity_overlap_morisita(s, d):
     return enrichment.similarity_overlap(*_two(s, d), metric="morisita", tau=2.0)
 
 
+@query
+def residue_overlap(s, d):
+    return kernels.residue_overlap(*_two(s, d))
+
+
 @query
 def functional_diversity(s, d):
     return enrichment.functional_diversity(A.clonotypes(s, d))
