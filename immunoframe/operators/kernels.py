@@ -7,7 +7,7 @@ gap_extend + prior |p - anchor|``, at the best ``p``; the anchor is the middle (
 
 Pairs come from a filter that loses none: letters that little penalty parts are one group, chosen so that a change of
 group costs at least some ``t``; a pair within ``most`` then differs by at most ``most / t`` groups, which is a near match
-of reduced strings (see :mod:`.neighbours`). Longer sequences come with each block left out. What pairs beyond ``most`` would add
+of reduced strings (see :mod:`.neighbours`). Longer sequences come with each block left out, and have less left for residues. What pairs beyond ``most`` would add
 is bounded by ``exp(-most / tau)`` times the weights they have, so that sums come with bounds.
 """
 
@@ -108,9 +108,8 @@ def penalised_pairs(a: DataFrame, b: DataFrame, *, penalties: Penalties | None =
     penalties, keys = penalties_from_scales() if penalties is None else penalties, list(keys)
     prior, anchor = (0.0, 0.0) if placement == "none" else (prior, 0.5 if placement == "central" else 0.0)
     longest = int((most - gap_open) // gap_extend) + 1 if gap_open <= most else 0
-    groups, k = _filter(penalties, most)
 
-    def side(df: DataFrame, name: str, sign: int) -> DataFrame:
+    def side(df: DataFrame, name: str, sign: int, gaps: range, groups: dict[str, str]) -> DataFrame:
         """Sequences with ``_d``, how much longer ``a`` is than ``b``, and ``_r``, reduced strings of the length of the shorter one."""
         seq, n = F.col(name), F.length(name)
 
@@ -119,17 +118,26 @@ def penalised_pairs(a: DataFrame, b: DataFrame, *, penalties: Penalties | None =
             near = F.filter(at, lambda p: F.abs(p - F.lit(anchor) * (n - d)) * prior <= most - gap_open - (d - 1) * gap_extend)
             return F.transform(near, lambda p: F.struct(F.lit(sign * d).alias("_d"), F.concat(F.substring(seq, F.lit(1), p), F.substring(seq, p + d + 1, n)).alias("_r")))
 
-        whole = F.array(*(F.struct(F.lit(-sign * d).alias("_d"), seq.alias("_r")) for d in range(longest + 1)))
-        forms = F.concat(whole, *(without(d) for d in range(1, longest + 1)))
+        whole = F.array(*(F.struct(F.lit(-sign * d).alias("_d"), seq.alias("_r")) for d in gaps))
+        forms = F.concat(whole, *(without(d) for d in gaps if d))
         held = df.select(*keys, F.col("junction_aa").alias(name)).where(seq.isNotNull()).distinct()
         forms = held.withColumn("_x", F.explode(forms)).select(*keys, name, "_x.*")
         return forms.withColumn("_r", F.translate("_r", "".join(groups), "".join(groups.values()))).distinct()
 
-    x, y, within = side(a, "seq_a", 1), side(b, "seq_b", -1), [*keys, "_d"]
-    left, right = (d.select(*within, F.col("_r").alias(s)).distinct() for d, s in ((x, "seq_a"), (y, "seq_b")))
-    met = _substituted(left, right, k, within, True).select(*within, F.col("seq_a").alias("_ra"), F.col("seq_b").alias("_rb"))
-    found = met.join(x.withColumnRenamed("_r", "_ra"), [*within, "_ra"]).join(y.withColumnRenamed("_r", "_rb"), [*within, "_rb"])
-    found = found.select(*keys, "seq_a", "seq_b").distinct()
+    def candidates(gaps: range, left: float) -> DataFrame:
+        """Pairs that such gaps and ``left`` for residues allow."""
+        groups, k = _filter(penalties, left)
+        x, y, within = side(a, "seq_a", 1, gaps, groups), side(b, "seq_b", -1, gaps, groups), [*keys, "_d"]
+        one, two = (d.select(*within, F.col("_r").alias(s)).distinct() for d, s in ((x, "seq_a"), (y, "seq_b")))
+        met = _substituted(one, two, k, within, True).select(*within, F.col("seq_a").alias("_ra"), F.col("seq_b").alias("_rb"))
+        found = met.join(x.withColumnRenamed("_r", "_ra"), [*within, "_ra"]).join(y.withColumnRenamed("_r", "_rb"), [*within, "_rb"])
+        return found.select(*keys, "seq_a", "seq_b")
+
+    found = candidates(range(1), most)
+    if longest:
+        # Dealt anew, as a union of equally dealt tables must not pass for one table so dealt.
+        found = found.unionByName(candidates(range(1, longest + 1), most - gap_open)).repartition(*keys, "seq_a", "seq_b")
+    found = found.distinct()
     return found.withColumn("penalty", _penalty(penalties, most, gap_open, gap_extend, prior, anchor)("seq_a", "seq_b")).where("penalty is not null")
 
 

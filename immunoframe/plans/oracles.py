@@ -52,8 +52,8 @@ GAPPED = "sc(l, h, v) as (values " + ", ".join(f"('{a}', {h}e0, {VOLUME[a]}e0)"
     "ac as (select *, case when d > 0 then 3 + (d - 1) + 0.5e0 * abs(p - 0.5e0 * n) else 0e0 end as gap from al), " \
     "pn as (select s, r, min(gap + coalesce(list_sum(list_transform(range(1, n + 1), lambda i: " + _COST.format(x="c[i + if(i > p, d, 0)]", y="c2[i]", hx="h[i + if(i > p, d, 0)]", hy="h2[i]", vx="v[i + if(i > p, d, 0)]", vy="v2[i]") + ")), 0)) as pen from ac where gap <= 4 group by all), " \
     "nr as (select s, r, pen from pn where pen <= 4 union select r, s, pen from pn where pen <= 4), " \
-    "pr as (select a.g as g, b.g as g2, sum(a.w * b.w * exp(-pen / 2)) as z, sum(a.w * b.w) as met from nr join w a on a.s = nr.s join w b on b.s = nr.r group by all), tw as (select g, sum(w) as w from w group by all), " \
-    "ph as (select pr.*, z + exp(-2e0) * greatest(x.w * y.w - met, 0) as zh from pr join tw x on x.g = pr.g join tw y on y.g = g2), " \
+    "pr as (select a.g as g, b.g as g2, sum(a.w * b.w * exp(-2 * pen)) as z, sum(a.w * b.w) as met from nr join w a on a.s = nr.s join w b on b.s = nr.r group by all), tw as (select g, sum(w) as w from w group by all), " \
+    "ph as (select pr.*, z + exp(-8e0) * greatest(x.w * y.w - met, 0) as zh from pr join tw x on x.g = pr.g join tw y on y.g = g2), " \
     "k as (select max(z) filter (g = 'S01' and g2 = 'S02') as ab, max(zh) filter (g = 'S01' and g2 = 'S02') as abh, max(z) filter (g = g2 and g = 'S01') as aa, max(zh) filter (g = g2 and g = 'S01') as aah, max(z) filter (g = g2 and g = 'S02') as bb, max(zh) filter (g = g2 and g = 'S02') as bbh from ph)"
 RESIDUE = f"x as (select distinct a as junction_aa from (select {_TR.format(x='junction_nt')} as a from ({toy.JUNCTIONS.strip()}) where length(junction_nt) % 3 = 0) where not contains(a, '*')), g as (select a, sum(p) as p from (select {_TR.format(x='s')} as a, p from space where length(s) % 3 = 0) group by a)"
 

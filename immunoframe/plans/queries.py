@@ -551,7 +551,7 @@ def similarity_overlap_morisita(s, d):
 
 @query
 def residue_overlap(s, d):
-    return kernels.residue_overlap(*_two(s, d))
+    return kernels.residue_overlap(*_two(s, d), tau=0.5)
 
 
 @query
