@@ -144,6 +144,15 @@ def _log_beta_binomial(y: np.ndarray, t: np.ndarray, r: float) -> np.ndarray:
     return f(t + 1.0) - f(y + 1.0) - f(t - y + 1.0) + f(y + r) + f(t - y + r) - f(t + 2 * r) + math.lgamma(2 * r) - 2 * math.lgamma(r)
 
 
+def _beta_binomial(t: int, r: float) -> np.ndarray:
+    """The chance of each 0..t when the share is Beta(r, r), by the ratios of neighbours from one end to the middle: its halves are each other's mirror."""
+    y = np.arange(t // 2)
+    half = np.append(0.0, np.cumsum(np.log((t - y) * (y + r) / ((y + 1) * (t - y - 1 + r)))))
+    log_p = np.append(half, half[::-1] if t % 2 else half[-2::-1])
+    p = np.exp(log_p - log_p.max())
+    return p / p.sum()
+
+
 def common_dispersion(tables: DataFrame) -> float:
     """The dispersion of ``y`` of ``t`` (equal pairs counted in ``n``) of greatest likelihood, searched by golden section of its logarithm.
 
@@ -182,7 +191,7 @@ def common_dispersion(tables: DataFrame) -> float:
 
 def expansion_test(a: DataFrame, b: DataFrame, *, key: tuple[str, ...] = KEY, dispersion: float | str = "auto", min_total: int = 6, log2fc: float = 1.0, alpha: float = 0.05) -> DataFrame:
     """Exact test of two equalised libraries with a common dispersion: ``count_*, q_*, log2fc, p_value, q_value, dispersion, call``."""
-    pairs = joined(a, b, key).drop("f_a", "f_b")
+    pairs = Scratch(a.sparkSession, "expansion").cut(joined(a, b, key).drop("f_a", "f_b"))  # read often
     f = tmm_factor(pairs)
     totals = pairs.agg(F.sum("count_a").cast("double").alias("_na"), F.sum("count_b").cast("double").alias("_nb"))  # one row
     # Both go to the geometric mean of their effective sizes, the factor split between them.
@@ -196,11 +205,12 @@ def expansion_test(a: DataFrame, b: DataFrame, *, key: tuple[str, ...] = KEY, di
     def exact(y: pd.Series, t: pd.Series) -> pd.Series:
         out = np.ones(len(y))
         for n, rows in t.groupby(t).indices.items():
-            pmf = np.exp(_log_beta_binomial(np.arange(n + 1.0), np.full(n + 1, float(n)), r))
+            pmf = _beta_binomial(int(n), r)
             out[rows] = [min(1.0, pmf[pmf <= pmf[i] * (1 + 1e-9)].sum()) for i in y.to_numpy()[rows]]
         return pd.Series(out)
 
-    few = pairs.where(F.col("t") >= min_total).groupBy("y", "t").agg(F.count("*").alias("_k")).withColumn("p_value", exact("y", "t"))
+    few = pairs.where(F.col("t") >= min_total).groupBy("y", "t").agg(F.count("*").alias("_k"))
+    few = few.repartition(a.sparkSession.sparkContext.defaultParallelism, "y", "t").withColumn("p_value", exact("y", "t"))
     out = pairs.join(_weighted_bh(few).select("y", "t", "p_value", "q_value"), ["y", "t"], "left").withColumn("log2fc", F.log2((F.col("q_b") + 0.5) / (F.col("q_a") + 0.5)))
     sig = (F.col("q_value") < alpha) & (F.abs("log2fc") >= log2fc)
     call = F.when(F.col("p_value").isNull(), "untested").when(sig & (F.col("log2fc") > 0), "expanded").when(sig, "contracted").otherwise("unchanged")
