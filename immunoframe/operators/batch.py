@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clonotype import SAMPLE, strip_allele
+from ..sources.scratch import Scratch
 from .filters import strip_calls
 
 GENES = ("v_call", "j_call")
@@ -36,6 +37,7 @@ def correct_vj_usage(
     own, pair = [sample, batch, "locus"], ["locus", *GENES]
     rows = strip_calls(df).withColumn("locus", F.substring("v_call", 1, 3))
     usage = rows.groupBy(*own, *GENES).agg((F.sum("duplicate_count") if weighted else F.count("*")).alias("count"))
+    usage = Scratch(df.sparkSession, "vj-usage").cut(usage)  # genes of samples, read often
     grid = usage.select(*own).distinct().join(usage.select(*pair).distinct(), "locus")  # the result has this many rows
     within = Window.partitionBy(sample, "locus")
     full = grid.join(usage, [*own, *GENES], "left").fillna(0, ["count"])
