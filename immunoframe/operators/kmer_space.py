@@ -64,23 +64,25 @@ class KmerSpace:
 
     def weighted(self, df: DataFrame, kind: str = "frequency", sample: str = SAMPLE) -> DataFrame:
         """``sample, at, x``: each sample's weights of known k-mers, of length 1."""
+        df = df.groupBy(sample, "v_call", "junction_aa").agg(F.sum(kind).alias(kind))  # before junctions are cut
         tf = patterned(df, self.pattern, self.groups, self.flank).groupBy(sample, "kmer").agg(F.sum(kind).cast("double").alias("tf"))
         x = tf.join(self.vocabulary, "kmer").withColumn("x", (F.log1p("tf") if self.sublinear else F.col("tf")) * F.col("idf"))
         size = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(sample)))
         return x.select(sample, "at", F.when(size > 0, F.col("x") / size).otherwise(0.0).alias("x"))
 
     def transform(self, df: DataFrame, kind: str = "frequency", sample: str = SAMPLE) -> DataFrame:
-        """``sample, component, value``, and as component -1 the length of what the basis doesn't hold."""
+        """``sample, component, value``, and as component -1 the length of what the basis doesn't hold: 0 for a sample without known k-mers."""
         x = self.weighted(df, kind, sample)
         projected = x.join(self.basis, "at").groupBy(sample, "component").agg(F.sum(F.col("x") * F.col("loading")).alias("value"))
         held = projected.groupBy(sample).agg(F.sum(F.col("value") * F.col("value")).alias("_in"))
-        whole = x.groupBy(sample).agg(F.sum(F.col("x") * F.col("x")).alias("_all")).join(held, sample)
-        return projected.unionByName(whole.select(sample, F.lit(-1).alias("component"), F.sqrt(F.greatest(F.col("_all") - F.col("_in"), F.lit(0.0))).alias("value")))
+        whole = df.select(sample).distinct().join(x.groupBy(sample).agg(F.sum(F.col("x") * F.col("x")).alias("_all")), sample, "left").join(held, sample, "left")
+        left = F.coalesce("_all", F.lit(0.0)) - F.coalesce("_in", F.lit(0.0))
+        return projected.unionByName(whole.select(sample, F.lit(-1).alias("component"), F.sqrt(F.greatest(left, F.lit(0.0))).alias("value")))
 
 
 def vocabulary(df: DataFrame, pattern: str = "xxxx", groups: int = 8, flank: int = 4, *, min_df: float = 0.02, max_df: float = 0.8, max_columns: int = 50_000, sample: str = SAMPLE) -> DataFrame:
     """``kmer, df, idf, at``: k-mers that enough and not too many samples hold; beyond ``max_columns`` the most frequent."""
-    held = patterned(df, pattern, groups, flank).groupBy("kmer").agg(F.countDistinct(sample).alias("df"))
+    held = patterned(df.select(sample, "v_call", "junction_aa").distinct(), pattern, groups, flank).groupBy("kmer").agg(F.countDistinct(sample).alias("df"))
     n = df.agg(F.countDistinct(sample).alias("_n"))  # one row
     kept = held.crossJoin(F.broadcast(n)).where((F.col("df") >= min_df * F.col("_n")) & (F.col("df") <= max_df * F.col("_n")))
     kept = kept.orderBy(F.desc("df"), "kmer").limit(max_columns)  # the size of the vocabulary is a parameter
