@@ -72,7 +72,7 @@ class KmerSpace:
 
     def transform(self, df: DataFrame, kind: str = "frequency", sample: str = SAMPLE) -> DataFrame:
         """``sample, component, value``, and as component -1 the length of what the basis doesn't hold: 0 for a sample without known k-mers."""
-        x = self.weighted(df, kind, sample)
+        x = Scratch(df.sparkSession, "kmer-weights").cut(self.weighted(df, kind, sample))  # at most the vocabulary for each sample; read often
         projected = x.join(self.basis, "at").groupBy(sample, "component").agg(F.sum(F.col("x") * F.col("loading")).alias("value"))
         held = projected.groupBy(sample).agg(F.sum(F.col("value") * F.col("value")).alias("_in"))
         whole = df.select(sample).distinct().join(x.groupBy(sample).agg(F.sum(F.col("x") * F.col("x")).alias("_all")), sample, "left").join(held, sample, "left")
