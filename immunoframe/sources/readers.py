@@ -79,16 +79,16 @@ def _table(spark: SparkSession, paths: Paths, sep: str = "\t", quote: str = "",
     parts = []
     for files in by_header(spark, paths) or [paths]:
         df = read(files)
-        df = df.select(*(F.col(f"`{c}`").alias(c.lstrip("#").strip().lower()) for c in df.columns), _sample_of_file().alias("_file"))
+        df = df.select(*(F.col(f"`{c}`").alias(c.lstrip("#").strip().lower()) for c in df.columns), _sample_of_file(df).alias("_file"))
         df = df.select(*(F.when(F.col(f"`{c}`") != ".", F.col(f"`{c}`")).alias(c) for c in df.columns))
         parts.append(df.withColumns({f"_as {c}": _column(df, *given) for c, given in (names or {}).items()}))
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return df.limit(limit) if limit is not None else df
 
 
-def _sample_of_file() -> Column:
-    """The file's name without folder and extensions."""
-    return F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.(?:txt|tsv|csv|json|vidjil|parquet|pq|gz|bz2|zst))*$", 1)
+def _sample_of_file(df: DataFrame) -> Column:
+    """The name without folder and extensions of the file of each row of ``df``, the scan itself; the pattern is tried from one place only."""
+    return F.regexp_extract(df.metadataColumn("_metadata")["file_name"], r"^([^/]+?)(?:\.(?:txt|tsv|csv|json|vidjil|parquet|pq|gz|bz2|zst))*$", 1)
 
 
 def _column(df: DataFrame, *names: str) -> Column:
@@ -168,7 +168,8 @@ def read_airr(spark: SparkSession, paths: Paths, *, collapsed: bool = True, keep
 
 def read_parquet(spark: SparkSession, paths: Paths, *, keep: tuple[str, ...] = (), recompute: bool = True) -> DataFrame:
     """Stored clonotypes under any of their names; lists of calls stay whole, a missing count is one read."""
-    df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths)).withColumn("_file", _sample_of_file())
+    df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    df = df.withColumn("_file", _sample_of_file(df))
     _needed(df, ALIASES, ("junction_aa",), "parquet")
     out = _aliased(df, keep, numbers=False)
     return add_locus(normalize(out, keep=tuple(c for c in (*keep, "productive") if c in out.columns), recompute=not _keep_frequency(out, recompute)))
@@ -269,7 +270,7 @@ def read_vidjil(spark: SparkSession, paths: Paths, *, sample_id: int = 0) -> Dat
     """
     seg = "struct<`5`: string, `4`: string, `3`: string, junction: struct<start: int, stop: int, aa: string>>"
     df = spark.read.schema(f"clones array<struct<sequence: string, reads: array<bigint>, seg: {seg}>>").json(paths, multiLine=True)
-    c = df.select(_sample_of_file().alias(SAMPLE), F.explode("clones").alias("c")).where("c.seg is not null and c.seg.junction is not null")
+    c = df.select(_sample_of_file(df).alias(SAMPLE), F.explode("clones").alias("c")).where("c.seg is not null and c.seg.junction is not null")
     start, stop = F.col("c.seg.junction.start"), F.col("c.seg.junction.stop")
     reads = F.coalesce("c.reads", F.array(F.lit(0).cast("long")))
     count = F.when(F.size(reads) > sample_id, F.get(reads, F.lit(sample_id))).otherwise(F.raise_error(F.concat(F.lit(f"sample {sample_id} is out of range: a clone has "), F.size(reads).cast("string"), F.lit(" samples"))).cast("long"))

@@ -37,6 +37,15 @@ def test_airr(spark, tmp_path):
         readers.read_airr(spark, write(tmp_path / "c.tsv", "junction_aa\tj_call", "CF\tJ1"))
 
 
+def test_sample_named_by_file(spark, tmp_path):
+    head = "sample_id\tv_call\tj_call\tjunction_aa\tjunction\t_metadata"
+    path = write(tmp_path / "a.b.tsv.txt.gz.tsv", head, "S1\tV1\tJ1\tCF\tTGT\tx", "\tV2\tJ1\tCF\tTGT\ty")
+    df = readers.read_airr(spark, path, collapsed=False)
+    assert {(r.sample_id, r.v_call) for r in df.collect()} == {("S1", "V1"), ("a.b", "V2")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "input_file_name" not in plan and "regexp_extract(__metadata" in plan and ".file_name, ^(" in plan  # not the whole path, from each of its letters
+
+
 def test_clone_exports(spark, tmp_path):
     one = lambda df: (lambda r: (r.v_call, r.d_call, r.j_call, r.junction_aa, r.junction_nt, r.duplicate_count))(df.first())
     path = write(tmp_path / "m.txt", "cloneId\tcloneCount\tallVHitsWithScore\tallDHitsWithScore\tallJHitsWithScore\tallCHitsWithScore\tnSeqCDR3\taaSeqCDR3", "0\t12.0\tTRBV5*00(100),TRBV6*00(9)\t\tTRBJ1*00(1)\t\ttgtgc\tC_~F", "1\t1\t\t\tTRBJ1*00(1)\t\tTGT\tC")
