@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clonotype import SAMPLE, strip_allele
+from ..sources.scratch import Scratch
 from .association import fdr_bh
 from .neighbours import near_pairs
 
@@ -30,8 +31,8 @@ def poisson_tail(k: pd.Series, mean: pd.Series) -> pd.Series:
             return 0.0
         if n > m:  # falling terms from n on
             i = np.arange(n, n + 60 + int(12 * math.sqrt(m + n)))
-        else:
-            i = np.arange(0, n)
+        else:  # what lies further below the mean adds less than 1e-17
+            i = np.arange(max(0, min(n, int(m - 9 * math.sqrt(m)) - 60)), n)
         logs = i * math.log(m) - m - np.array([math.lgamma(x + 1) for x in i])
         part = float(np.exp(logs).sum())
         return min(1.0, part) if n > m else max(0.0, 1.0 - part)
@@ -72,22 +73,25 @@ def tcrnet(df: DataFrame, control: DataFrame, *, scope: str = "1,0,0,1", exclude
     return out.select(sample, "junction_aa", "v_call", "j_call", "duplicate_count", "n_neighbors", "n_control", "E", "p_enrichment", "q_value", "locus")
 
 
-def alice(df: DataFrame, balls: DataFrame, *, scope: str = "1,0,0,1", selection: float = 9.41, min_degree: int = 3, min_count: int = 2, sample: str = SAMPLE) -> DataFrame:
+def alice(df: DataFrame, balls: DataFrame, *, scope: str = "1,0,0,1", selection: float = 9.41, min_degree: int = 3, min_count: int = 2, sample: str = SAMPLE, scratch: Scratch | None = None) -> DataFrame:
     """Neighbours of each junction among the nucleotide clonotypes of its V and J gene, against what generation and selection let expect.
 
     ``balls``: ``junction_aa, v_call, j_call, pgen_ball``, the generation probability of a junction and all its neighbours (see
     :func:`immunoframe.operators.recombination.pgen_ball`). Junctions with fewer neighbours than ``min_degree`` (themselves
-    included) are not tested; clonotypes below ``min_count`` take no part.
+    included) are not tested; clonotypes below ``min_count`` take no part. Clonotypes are read once: sizes, pairs and degrees
+    come from a written row for each junction of a sample and its genes.
     """
+    scratch = scratch or Scratch(df.sparkSession, "alice")
     genes = [strip_allele(F.col(c)).alias(c) for c in ("v_call", "j_call")]
     group = [sample, "v_call", "j_call"]
-    kept = df.where((F.col("duplicate_count") >= min_count) & F.col("junction_aa").isNotNull()).select(sample, *genes, "junction_aa", "junction_nt", "duplicate_count")
-    sizes = kept.groupBy(*group).agg(F.count("*").alias("n_group"))
-    held = kept.groupBy(*group, "junction_aa").agg(F.count("*").alias("_nt"), F.sum("duplicate_count").alias("duplicate_count"))
+    kept = df.where((F.col("duplicate_count") >= min_count) & F.col("junction_aa").isNotNull()).select(sample, *genes, "junction_aa", "duplicate_count")
+    held = scratch.cut(kept.groupBy(*group, "junction_aa").agg(F.count("*").alias("_nt"), F.sum("duplicate_count").alias("duplicate_count")))
+    sizes = held.groupBy(*group).agg(F.sum("_nt").alias("n_group"))
     pairs = near_pairs(held, held, keys=group, scope=scope)
     degree = pairs.join(held.select(*group, F.col("junction_aa").alias("seq_b"), "_nt"), [*group, "seq_b"]).groupBy(*group, F.col("seq_a").alias("junction_aa")).agg(F.sum("_nt").alias("n_neighbors"))
     out = held.join(degree, [*group, "junction_aa"]).where(F.col("n_neighbors") >= min_degree).join(sizes, group).join(balls, ["junction_aa", "v_call", "j_call"])
     out = out.withColumn("E", F.col("n_group") * selection * F.col("pgen_ball")).withColumn("p_enrichment", poisson_tail("n_neighbors", "E"))
+    out = scratch.cut(out)  # read by the ranks of p and beside them
     out = fdr_bh(out, "p_enrichment", "q_value", (sample,))
     return out.select(sample, "junction_aa", "v_call", "j_call", "duplicate_count", "n_neighbors", "n_group", "pgen_ball", "E", "p_enrichment", "q_value", F.substring("v_call", 1, 3).alias("locus"))
 

@@ -233,3 +233,21 @@ def test_arrivals(spark, tmp_path):
         arrivals.keep(arrivals.running_usage(arrivals.arrivals(spark, folder)), f"usage_{n}", f"{state}{n}").awaitTermination()
     got = {(r.sample_id, r.v_call): r.weight for r in spark.table("usage_1").collect()}
     assert got == {("a", "TRBV1"): 2, ("a", "TRBV2"): 3, ("b", "TRBV1"): 2, ("b", "TRBV2"): 3}
+
+
+def test_model_enrichment_reads_clonotypes_once(spark, tmp_path):
+    rows = [("S1", "V1*01", "J1", "CAF", f"N{i}", 2) for i in range(3)] + [("S1", "V1", "J1", "CSF", "N", 5), ("S1", "V1", "J1", "CWW", "N", 2), ("S1", "V1", "J1", "CAF", "few", 1), ("S2", "V1", "J1", "CAF", "N", 2)]
+    spark.createDataFrame(rows, "sample_id string, v_call string, j_call string, junction_aa string, junction_nt string, duplicate_count long").write.parquet(f"{tmp_path}/c")
+    balls = spark.createDataFrame([(s, "V1", "J1", 0.01) for s in ("CAF", "CSF", "CWW")], "junction_aa string, v_call string, j_call string, pgen_ball double")
+    out = enrichment.alice(spark.read.parquet(f"{tmp_path}/c"), balls, min_degree=2)
+    assert {(r.sample_id, r.junction_aa, r.duplicate_count, r.n_neighbors, r.n_group) for r in out.collect()} == {("S1", "CAF", 6, 4, 5), ("S1", "CSF", 5, 4, 5)}
+    assert not [f for f in out.inputFiles() if f.startswith(f"file://{tmp_path}/")]
+
+
+def test_poisson_tail_near_large_means(spark):
+    """Against sums of all terms; terms far below the mean are not computed."""
+    cases = [(n, float(m)) for m in (1, 70, 1000, 40000) for n in (1, m // 2, m - int(m**0.5), m, m + 1, m + 3 * int(m**0.5))]
+    got = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, k long, m double").withColumn("p", enrichment.poisson_tail("k", "m")).orderBy("i").collect()
+    for r in got:
+        whole = 1 - math.fsum(math.exp(i * math.log(r.m) - r.m - math.lgamma(i + 1)) for i in range(r.k))
+        assert abs(r.p - whole) < 1e-9, (r, whole)
